@@ -99,9 +99,7 @@ def mosaic_coordinates(tiles: DataFrame, c: CubeConfig) -> DataFrame:
 
 def process_tiles(obs500: DataFrame, obs1km: DataFrame, c: CubeConfig) -> DataFrame:
     """Cleaned bands and mask of all tiles that pass the gate."""
-    # per tile and date one row: bounded by the calendar times the tile grid (648 tiles)
-    passing = F.broadcast(tile_gate(obs500, c).select(*_TILE))
-    kept = obs500.join(passing, _TILE, "left_semi")
+    kept = obs500.join(tile_gate(obs500, c).select(*_TILE), _TILE, "left_semi")
     return upsample_mask(clean_bands(kept, c), obs1km, c)
 
 

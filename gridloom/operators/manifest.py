@@ -17,7 +17,7 @@ def parse_granules(listing: DataFrame) -> DataFrame:
     stamp = r"A(\d{4})(\d{3})"
 
     def number(group):
-        return F.expr(f"try_cast(regexp_extract(name, '{stamp}', {group}) AS INT)")
+        return F.regexp_extract("name", stamp, group).try_cast("int")
 
     return (
         listing.filter(F.size(parts) >= 3)
@@ -69,20 +69,23 @@ def day_range(df: DataFrame, start: str, count: str) -> DataFrame:
     return df.filter(F.col(count) > 0).withColumn("day", F.explode(days))
 
 
-def day_paths(df: DataFrame, archive: str, base: str, home: str = "~") -> DataFrame:
+def day_paths(df: DataFrame, archive: str, base: str, home: str | None = None) -> DataFrame:
     """Source URL and target folder per (product, year, day), the day padded to three digits.
 
-    A relative base gets ``./`` in front, which also holds for ``~``, since it
-    does not start with a slash; ``home`` is only for callers who expand it.
+    A base that does not start with a slash gets ``./`` in front, ``~`` included;
+    give ``home`` to have ``~`` replaced instead.
     """
+    root = base.rstrip("/")
+    if home is not None and base.startswith("~"):
+        root = home.rstrip("/") + root[1:]
+    if not root.startswith("/"):
+        root = "./" + root
     day = F.lpad(F.col("day").cast("string"), 3, "0")
     tail = [F.col("product"), F.col("year").cast("string"), day]
-    root = home.rstrip("/") + base[1:] if base.startswith("~") and home != "~" else base
-    root = root if root.startswith("/") else "./" + root
     return df.withColumns(
         {
             "src": F.concat_ws("/", F.lit(archive.rstrip("/")), *tail),
-            "dest": F.concat_ws("/", F.lit(root.rstrip("/")), *tail),
+            "dest": F.concat_ws("/", F.lit(root), *tail),
         }
     )
 

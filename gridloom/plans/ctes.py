@@ -31,6 +31,11 @@ USABILITY = """CAST(CASE WHEN state = 65535 THEN 255
     WHEN ((state >> 2) & 1) = 1 THEN 1 ELSE 0 END AS SMALLINT)"""
 
 
+def r6(expr: str) -> str:
+    """Six decimals; the nudge keeps short decimal fractions off the rounding edge."""
+    return f"round({expr} + 1e-9, 6)"
+
+
 def clean(b: int) -> str:
     return (
         f"CASE WHEN r{b} * 1e-4 BETWEEN -100 AND 16000 AND ((qc >> {2 + 4 * (b - 1)}) & 15) = 0 "
@@ -99,8 +104,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "coarse": (
         ["obs"],
-        """SELECT tile, date, row // 2 AS row, col // 2 AS col, max(state) AS state
-  FROM obs GROUP BY 1, 2, 3, 4 HAVING (row // 2) % 11 <> 0""",
+        """SELECT * FROM (SELECT tile, date, row // 2 AS row, col // 2 AS col, max(state) AS state
+  FROM obs GROUP BY 1, 2, 3, 4) WHERE row % 11 <> 0""",
     ),
     "lctiles": (
         [],

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,3 +21,10 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def r6(value: Column | str, alias: str | None = None) -> Column:
+    """Six decimals; the nudge keeps short decimal fractions off the rounding edge."""
+    col = F.col(value) if isinstance(value, str) else value
+    out = F.round(col + F.lit(1e-9), 6)
+    return out.alias(alias or value) if alias or isinstance(value, str) else out

@@ -44,18 +44,22 @@ def radiometry(cube: DataFrame, patches: DataFrame, dim: DataFrame, patch: int)
     """Per cell of the chosen patches: class name and median of each band.
 
     A cell lies in one patch and a patch has one class, so the pivot of the
-    long form back to bands as columns is the wide median table itself.
+    long form back to bands as columns is the wide median table itself. Cells
+    without any value are left out.
     """
-    medians = temporal_medians(extract(cube, patches, patch))
+    medians = temporal_medians(extract(cube, patches, patch)).dropna("all", subset=BANDS)
     named = name_classes(medians, dim).filter("land_cover_name IS NOT NULL")
     return named.select("y", "x", "land_cover_name", *[F.col(b).alias(b.upper()) for b in BANDS])
 
 
 def pivot_bands(long: DataFrame, bands: list[str]) -> DataFrame:
-    """Bands as columns per (y, x, class name), mean of duplicates; names given, no extra pass."""
-    return (
-        long.groupBy("y", "x", "land_cover_name").pivot("band", bands).agg(F.avg("reflectance"))
-    )
+    """Bands as columns per (y, x, class name), mean of duplicates, cells without values left out.
+
+    The band names are given, so no pass looks for them.
+    """
+    keys = ["y", "x", "land_cover_name"]
+    known = long.filter("reflectance IS NOT NULL AND land_cover_name IS NOT NULL")
+    return known.groupBy(*keys).pivot("band", bands).agg(F.avg("reflectance"))
 
 
 def histogram(long: DataFrame, lo: float, hi: float, bins: int, value: str = "reflectance") -> DataFrame:

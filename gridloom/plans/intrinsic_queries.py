@@ -48,7 +48,8 @@ _MEDIANS = f"""SELECT y, x, class, {", ".join(f"median({b}) AS {b}" for b in BAN
   GROUP BY y, x, class"""
 _LCDIM = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{c}')" for i, n, c in LAND_COVER) + ") v(lc, name, color)"
 _R_WITH = {"dominant": _DOMINANT, "chosen": _CHOSEN, "medians": _MEDIANS, "lcdim": _LCDIM}
-_RADIO = """SELECT y, x, name AS land_cover_name, {bands} FROM medians m JOIN lcdim d ON m.class = d.lc"""
+_ANY = "coalesce(" + ", ".join(BANDS) + ") IS NOT NULL"
+_RADIO = "SELECT y, x, name AS land_cover_name, {bands} FROM medians m JOIN lcdim d ON m.class = d.lc WHERE " + _ANY
 _LONG = (
     "SELECT y, x, name AS land_cover_name, color, band, reflectance FROM ("
     + " UNION ALL ".join(f"SELECT y, x, class, '{b}' AS band, {b} AS reflectance FROM medians" for b in BANDS)
@@ -311,7 +312,7 @@ def density(spark, d):
         "cube landcover",
         "SELECT y, x, land_cover_name, "
         + ", ".join(f"round(avg(reflectance) FILTER (band = '{b}') + 1e-9, 6) AS {b}" for b in BANDS)
-        + " FROM long GROUP BY 1, 2, 3",
+        + " FROM long WHERE reflectance IS NOT NULL GROUP BY 1, 2, 3",
         **_R_WITH,
         long=_LONG,
     ),

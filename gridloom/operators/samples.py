@@ -279,12 +279,12 @@ def to_chips(cells: DataFrame, bands: list[str], patch: int, keys: list[str]) ->
         lambda i: F.struct(i.alias("pos"), zeros.alias("v")),
     )
     whole = grouped.withColumn("cells", F.array_sort(F.concat("present", gaps)))
+
+    def plane(i: int) -> Column:
+        return F.transform("cells", lambda e: e["v"][i])
+
     chips = [
-        F.struct(
-            F.lit(b).alias("band"),
-            F.transform("cells", lambda e, _i=i: e["v"][_i]).alias("pixels"),
-        )
-        for i, b in enumerate(bands)
+        F.struct(F.lit(b).alias("band"), plane(i).alias("pixels")) for i, b in enumerate(bands)
     ]
     return whole.select(*keys, F.explode(F.array(*chips)).alias("c")).select(*keys, "c.band", "c.pixels")
 

@@ -260,15 +260,15 @@ def predictions(spark: SparkSession, sf_dir: str, bands: int = 6) -> DataFrame:
         "t",
         "y",
         "x",
-        *[F.when(ok[b], target[b]).otherwise(F.lit(0.0)).alias(f"t{b}") for b in target],
+        *[F.when(ok[b], target[b]).otherwise(F.lit(0.0)).alias(f"target_b0{b}") for b in target],
         *[
             F.when(
                 ok[b],
                 target[b] + ((F.col("h") * F.col("_m.k") + b) % 21 - 10) / F.lit(1000.0),
             )
             .otherwise(F.lit(0.0))
-            .alias(f"p{b}")
+            .alias(f"pred_b0{b}")
             for b in target
         ],
-        *[((F.col("state") == 0) & ok[b]).alias(f"v{b}") for b in target],
+        *[((F.col("state") == 0) & ok[b]).alias(f"valid_b0{b}") for b in target],
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.config import SampleConfig
 from gridloom.functions.spectral import add
@@ -99,7 +100,7 @@ def predict(
     (rows, outputs). Rows arrive in Arrow batches cut to ``batch_rows``; no
     group is collected. Load weights lazily inside ``model``.
     """
-    schema = stacks.schema.add("output", "array<float>")
+    schema = T.StructType([*stacks.schema.fields, T.StructField("output", T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

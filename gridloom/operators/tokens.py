@@ -102,18 +102,26 @@ def _sum(values: Column) -> Column:
 
 
 def standardise(tokens: DataFrame, column: str = "values", epsilon: float = 1e-6) -> DataFrame:
-    """Each token to zero mean and unit sample variance, inside the row."""
-    n = F.size(column)
-    with_mean = tokens.withColumn("_m", _sum(F.col(column)) / n)
-    deviations = F.transform(column, lambda v: v - F.col("_m"))
-    squares = F.transform("_d", lambda v: v * v)
-    scaled = F.transform("_d", lambda v: v / F.col("_s"))
-    return (
-        with_mean.withColumn("_d", deviations)
-        .withColumn("_s", F.sqrt(F.try_divide(_sum(squares), n - 1) + F.lit(epsilon)))
-        .withColumn(column, scaled)
-        .drop("_m", "_d", "_s")
-    )
+    """Each token to zero mean and unit sample variance, inside the row.
+
+    Sum and squared deviations are lambda variables of the finishing steps, so
+    each is computed once per token and not again for every element.
+    """
+    values, n = F.col(column), F.size(column)
+
+    def with_sum(total: Column) -> Column:
+        mean = total / n
+
+        def with_squares(squares: Column) -> Column:
+            spread = F.sqrt(F.try_divide(squares, n - 1) + F.lit(epsilon))
+            return F.transform(values, lambda v: (v - mean) / spread)
+
+        return F.aggregate(
+            values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean), with_squares
+        )
+
+    scaled = F.aggregate(values, F.lit(0.0), lambda a, v: a + v, with_sum)
+    return tokens.withColumn(column, scaled)
 
 
 def token_loss(df: DataFrame, target: str = "values", pred: str = "pred") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ["manifest", "cube", "intrinsic", "sample"]
+_GROUPS = ["manifest", "cube", "intrinsic", "sample", "token", "score", "report"]
 
 
 def _load():

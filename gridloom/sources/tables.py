@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import LAND_COVER, MASK_CODES
 from gridloom.schemas import LC_DIM, MASK_DIM
+from gridloom.sources.listing import stored_files
 
 
 def lc_dim(spark: SparkSession) -> DataFrame:
@@ -89,20 +90,28 @@ def scan_patch_metrics(spark: SparkSession, root: str, prefixes: dict[str, str],
     """Detailed metric files anywhere below ``root``; per model the first path counts.
 
     ``prefixes`` maps the display name to the file-name prefix; models without
-    a file are absent from the result.
+    a file are left out. A hit is one CSV file or one folder of part files.
+    Only file names are looked at to choose, and at most one path per given
+    model comes to the driver.
     """
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*_detailed_patch_metrics*")
-        .csv(root, header=True, schema=schema)
-        .withColumn("path", F.col("_metadata.file_path"))
+    pattern = r"^(.*/([^/]+)_detailed_patch_metrics(?:\.csv)?)(?:/|$)"
+    hits = stored_files(spark, root).select(
+        F.regexp_extract("path", pattern, 1).alias("hit"),
+        F.regexp_extract("path", pattern, 2).alias("prefix"),
     )
-    folder = F.regexp_extract("path", r"([^/]+)_detailed_patch_metrics[^/]*$", 1)
-    by_prefix = F.create_map(*[F.lit(v) for name, p in prefixes.items() for v in (p, name)])
-    named = rows.withColumn("model", F.try_element_at(by_prefix, folder)).filter("model IS NOT NULL")
-    # one row per model: the display names are given by the caller
-    first = named.groupBy("model").agg(F.min("path").alias("path"))
-    return named.join(F.broadcast(first), ["model", "path"], "left_semi").drop("path")
+    wanted = hits.filter(F.col("prefix").isin(list(prefixes.values())))
+    first = {r["prefix"]: r["hit"] for r in wanted.groupBy("prefix").agg(F.min("hit").alias("hit")).collect()}
+    found = [
+        spark.read.csv(first[prefix], header=True, schema=schema).withColumn("model", F.lit(name))
+        for name, prefix in prefixes.items()
+        if prefix in first
+    ]
+    if not found:
+        raise FileNotFoundError(f"no detailed patch metrics below {root}")
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def safe_name(name):

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,77 +17,63 @@ from gridloom.schemas import SAMPLE_KEY
 _CELL = [*SAMPLE_KEY, "y", "x"]
 
 
-def cell_targets(cells: DataFrame, c: SampleConfig) -> DataFrame:
-    """Truth and validity per cell: the target frame's row."""
-    return cells.filter("is_target").select(
-        *_CELL, *[f"target_{b}" for b in c.bands], *[f"valid_{b}" for b in c.bands]
-    )
+def _scored(c: SampleConfig) -> list[str]:
+    return [f"{kind}_{b}" for kind in ("target", "valid") for b in c.bands]
 
 
 def temporal_median(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """Lower median over the window of each cell and band, beside the cell's truth.
 
-    One group is the T frames of one cell, so truth and prediction come out of
-    the same aggregate, without a join.
+    The window lies in the row, so nothing moves.
     """
-    middle = (c.window - 1) // 2
-
-    def lower(b: str):
-        return F.sort_array(F.collect_list(f"in_{b}"))[middle]
+    middle = F.lit((c.window - 1) // 2)
+    medians = [F.get(F.sort_array(f"in_{b}"), middle).alias(f"pred_{b}") for b in c.bands]
+    return cells.select(*_CELL, *medians, *_scored(c))
 
-    return cells.groupBy(*_CELL).agg(
-        *[lower(b).alias(f"pred_{b}") for b in c.bands],
-        *[F.max(f"target_{b}").alias(f"target_{b}") for b in c.bands],
-        *[F.bool_or(f"valid_{b}").alias(f"valid_{b}") for b in c.bands],
-    )
 
+def best_frames(cells: DataFrame, c: SampleConfig) -> DataFrame:
+    """Per sample the input frame closest to the truth over all bands and cells, with its error.
 
-def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
-    """Per sample the input frame closest to the truth over all bands and cells.
-
-    The truth of a cell reaches its other frames by a window over at most T
-    rows; the choice is a two-level aggregate; the chosen frames come back by
-    an equi-join on the sample.
+    One partial aggregate of T sums per sample; the earliest frame wins ties.
+    The mean is over the whole patch.
     """
-    group = W.partitionBy(*_CELL)
-    spread = cells.select(
-        *_CELL,
-        "t",
-        *[f"in_{b}" for b in c.bands],
-        *[F.max(f"target_{b}").over(group).alias(f"target_{b}") for b in c.bands],
-        *[F.bool_or(f"valid_{b}").over(group).alias(f"valid_{b}") for b in c.bands],
-    )
-    square = add([F.pow(F.col(f"in_{b}") - F.col(f"target_{b}"), F.lit(2.0)) for b in c.bands])
-    errors = spread.groupBy(*SAMPLE_KEY, "t").agg((F.avg(square) / len(c.bands)).alias("mse"))
-    best = errors.groupBy(*SAMPLE_KEY).agg(F.min(F.struct("mse", "t")).alias("_b")).select(
-        *SAMPLE_KEY, F.col("_b.t").alias("t"), F.col("_b.mse").alias("frame_mse")
+    n = len(c.bands) * c.patch * c.patch
+
+    def error(k: int):
+        d = [F.get(f"in_{b}", F.lit(k)) - F.col(f"target_{b}") for b in c.bands]
+        return F.sum(add([v * v for v in d])) / n
+
+    options = [F.struct(error(k).alias("mse"), F.lit(k).alias("k")) for k in range(c.window)]
+    best = cells.groupBy(*SAMPLE_KEY).agg(F.array_min(F.array(*options)).alias("_b"))
+    return best.select(
+        *SAMPLE_KEY,
+        (F.col("t_start") + F.col("_b.k")).alias("t"),
+        F.col("_b.mse").alias("frame_mse"),
     )
-    chosen = spread.join(best, [*SAMPLE_KEY, "t"])
-    return chosen.withColumnsRenamed({f"in_{b}": f"pred_{b}" for b in c.bands})
 
 
-def best_frames(cells: DataFrame, c: SampleConfig) -> DataFrame:
-    """The frame ``oracle_frame`` picks and its error, one row per sample."""
-    chosen = oracle_frame(cells, c)
-    return chosen.groupBy(*SAMPLE_KEY).agg(
-        F.first("t").alias("t"), F.first("frame_mse").alias("frame_mse")
+def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
+    """Every sample's best single frame as its prediction."""
+    chosen = cells.join(best_frames(cells, c), SAMPLE_KEY)
+    at = F.col("t") - F.col("t_start")
+    return chosen.select(
+        *_CELL, "t", "frame_mse", *[F.get(f"in_{b}", at).alias(f"pred_{b}") for b in c.bands], *_scored(c)
     )
 
 
 def stack_inputs(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """One flat array per sample, in (band, frame, row, column) order.
 
-    A group is one dense sample: window x patch x patch cells.
+    A group is one dense sample: patch x patch cells.
     """
-    entry = F.struct("t", "y", "x", F.array(*[F.col(f"in_{b}").cast("float") for b in c.bands]).alias("v"))
-    grouped = cells.groupBy(*SAMPLE_KEY).agg(F.array_sort(F.collect_list(entry)).alias("_c"))
+    entry = F.struct("y", "x", *[F.col(f"in_{b}").cast("array<float>").alias(b) for b in c.bands])
+    grouped = cells.groupBy(*SAMPLE_KEY).agg(F.sort_array(F.collect_list(entry)).alias("_c"))
 
-    def plane(i: int):
-        return F.transform("_c", lambda e: e["v"][i])
+    def plane(b: str, k: int):
+        return F.transform("_c", lambda e: F.get(e[b], F.lit(k)))
 
-    return grouped.select(
-        *SAMPLE_KEY, F.concat(*[plane(i) for i in range(len(c.bands))]).alias("input")
-    )
+    planes = [plane(b, k) for b in c.bands for k in range(c.window)]
+    return grouped.select(*SAMPLE_KEY, F.concat(*planes).alias("input"))
 
 
 def predict(

@@ -5,11 +5,14 @@ Predictions are cells with ``pred_*``, ``target_*`` and ``valid_*`` columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.spectral import add, psnr_from_rmse, spectral_angle
 
@@ -58,16 +61,14 @@ def _box_means(stack: np.ndarray) -> np.ndarray:
     """Means over all full windows of the last two axes, by differences of running sums."""
     w = SSIM_WINDOW
     for axis in (-1, -2):
-        total = np.cumsum(stack, axis=axis)
-        total = np.concatenate([np.zeros_like(np.take(total, [0], axis=axis)), total], axis=axis)
-        n = total.shape[axis]
-        upper = np.take(total, np.arange(w, n), axis=axis)
-        stack = upper - np.take(total, np.arange(0, n - w), axis=axis)
+        total = np.cumsum(np.moveaxis(stack, axis, -1), axis=-1)
+        total = np.concatenate([np.zeros_like(total[..., :1]), total], axis=-1)
+        stack = np.moveaxis(total[..., w:] - total[..., :-w], -1, axis)
     return stack / float(w * w)
 
 
-def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> float:
-    """Mean similarity of two (band, row, column) stacks."""
+def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> np.ndarray:
+    """Mean similarity of (sample, band, row, column) stacks, one value per sample."""
     n = SSIM_WINDOW * SSIM_WINDOW
     c1, c2 = (SSIM_K1 * data_range) ** 2, (SSIM_K2 * data_range) ** 2
     mp, mt = _box_means(pred), _box_means(target)
@@ -75,8 +76,8 @@ def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> floa
     vp = unbias * (_box_means(pred * pred) - mp * mp)
     vt = unbias * (_box_means(target * target) - mt * mt)
     cov = unbias * (_box_means(pred * target) - mp * mt)
-    score = ((2 * mp * mt + c1) * (2 * cov + c2)) / ((mp * mp + mt * mt + c1) * (vp + vt + c2))
-    return float(score.mean())
+    value = ((2 * mp * mt + c1) * (2 * cov + c2)) / ((mp * mp + mt * mt + c1) * (vp + vt + c2))
+    return value.mean(axis=(1, 2, 3))
 
 
 def ssim(
@@ -84,24 +85,53 @@ def ssim(
 ) -> DataFrame:
     """Structural similarity per sample: 7 by 7 uniform windows, interior mean, mask ignored.
 
-    One group is one patch, at most ``patch`` squared cells, scored as dense
-    arrays in which absent cells are 0. ``keys`` include y_coord and x_coord.
+    Spark puts the cells of a sample next to each other; a task then walks its
+    Arrow batches and scores all samples that end in a batch at once, as dense
+    arrays in which absent cells are 0. It holds one batch and one unfinished
+    sample. ``keys`` include y_coord and x_coord.
     """
     if patch < SSIM_WINDOW:
         raise ValueError(f"patch must be at least {SSIM_WINDOW}")
-    pred, target = [f"pred_{b}" for b in bands], [f"target_{b}" for b in bands]
+    values = [f"{kind}_{b}" for kind in ("pred", "target") for b in bands]
     place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
-    flat = cells.select(*keys, place.alias("_pos"), *pred, *target)
-    schema = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys)
-
-    def score(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        stack = np.zeros((2 * len(bands), patch * patch))
-        stack[:, group["_pos"].to_numpy()] = group[pred + target].to_numpy(dtype=float).T
-        stack = stack.reshape(2 * len(bands), patch, patch)
-        value = _similarity(stack[: len(bands)], stack[len(bands) :], data_range)
-        return pd.DataFrame([[*key, value]], columns=[*keys, "ssim"])
-
-    return flat.groupBy(*keys).applyInPandas(score, f"{schema}, ssim DOUBLE")
+    placed = (
+        cells.select(*keys, place.alias("_pos"), *values)
+        .repartition(*keys)
+        .sortWithinPartitions(*keys)
+    )
+    schema = T.StructType([*(placed.schema[k] for k in keys), T.StructField("ssim", T.DoubleType())])
+    nb = len(bands)
+
+    def finish(rows: pd.DataFrame, ids: np.ndarray) -> pd.DataFrame:
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        stack = np.zeros((len(first), 2 * nb, patch * patch))
+        stack[ids, :, rows["_pos"].to_numpy()] = rows[values].to_numpy(dtype=float)
+        stack = stack.reshape(len(first), 2 * nb, patch, patch)
+        done = rows.iloc[first][keys].reset_index(drop=True)
+        return done.assign(ssim=_similarity(stack[:, :nb], stack[:, nb:], data_range))
+
+    def numbered(rows: pd.DataFrame) -> np.ndarray:
+        change = (rows[keys].iloc[1:].to_numpy() != rows[keys].iloc[:-1].to_numpy()).any(axis=1)
+        return np.r_[0, np.cumsum(change)]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_rows = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            open_rows.append(batch)
+            if (batch[keys].iloc[-1] == open_rows[0][keys].iloc[0]).all():
+                continue  # still the one unfinished sample
+            rows = pd.concat(open_rows, ignore_index=True) if len(open_rows) > 1 else batch
+            ids = numbered(rows)
+            closed = int(np.searchsorted(ids, ids[-1]))
+            yield finish(rows.iloc[:closed], ids[:closed])
+            open_rows = [rows.iloc[closed:]]
+        if open_rows:
+            rows = pd.concat(open_rows, ignore_index=True)
+            yield finish(rows, numbered(rows))
+
+    return placed.mapInPandas(walk, schema)
 
 
 def ssim_windows(

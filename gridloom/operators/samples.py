@@ -1,8 +1,10 @@
 """Spatio-temporal samples: splits, windows, gates, gaps, masks, chips, batches.
 
-A sample is (split, y_coord, x_coord, t_start); its cells are rows of the cube
-with the sample's key. Gates work on one row per patch and frame, so rejected
-samples never reach the cells.
+A sample is (split, y_coord, x_coord, t_start). Gates work on one row per patch
+and frame, so rejected samples never reach the cells. A sample cell is one row
+with one array of T values per band: each cube row is shuffled once, by patch,
+and the overlapping train windows are cut from the cell's series afterwards,
+where it lies.
 """
 
 from __future__ import annotations
@@ -148,8 +150,8 @@ def donor_frame(targets: DataFrame, c: SampleConfig) -> DataFrame:
     )
 
 
-def sample_cells(cube: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFrame:
-    """Cells of all window frames of the samples.
+def frame_cells(cube: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFrame:
+    """Long form: one row per sample, window frame and observed cell.
 
     An equi-join on (patch, frame): the sample side has one row per frame and
     is smaller than the cells by the patch area.
@@ -158,6 +160,56 @@ def sample_cells(cube: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFr
     return keyed.join(window_frames(samples, c), [*_PATCH, "t"])
 
 
+def series(
+    cube: DataFrame, times: int, c: SampleConfig, shape: tuple[int, int] | None = None
+) -> DataFrame:
+    """One row per cell: its frames 0 .. times-1 in order, absent ones missing and filled.
+
+    With a grid shape, cells never observed occur as well. A group is one cell,
+    at most ``times`` rows; rows are placed by patch, so the join with the
+    samples needs no second exchange.
+    """
+    rows = with_patch(cube, c.patch).select(*_PATCH, "y", "x", "t", "usability", *c.bands)
+    if shape is not None:
+        height, width = shape
+        cells = cube.sparkSession.range(height * width).select(
+            F.expr(f"CAST(id div {width} AS INT)").alias("y"),
+            F.expr(f"CAST(id % {width} AS INT)").alias("x"),
+        )
+        rows = rows.unionByName(with_patch(cells, c.patch), allowMissingColumns=True)
+    entry = F.when(F.col("t").isNotNull(), F.struct("t", "usability", *c.bands))
+    grouped = rows.repartition(*_PATCH).groupBy(*_PATCH, "y", "x").agg(
+        F.collect_list(entry).alias("_seen")
+    )
+    every = F.sequence(F.lit(0), F.lit(times - 1))
+    missing = F.transform(
+        F.array_except(every, F.col("_seen.t")),
+        lambda t: F.struct(
+            t.alias("t"),
+            F.lit(MASK_FILL).cast("smallint").alias("usability"),
+            *[F.lit(None).cast("double").alias(b) for b in c.bands],
+        ),
+    )
+    return grouped.select(
+        *_PATCH, "y", "x", F.sort_array(F.concat("_seen", missing)).alias("series")
+    )
+
+
+def sample_cells(cells: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFrame:
+    """One row per sample and cell of ``series``: per band the window's T values.
+
+    The sample side of a task is smaller than its cells by the patch area, so
+    it is the hashed side and the cells need not be sorted.
+    """
+    joined = cells.join(samples.hint("shuffle_hash"), _PATCH)
+
+    def window(name: str) -> Column:
+        frames_ = [F.get("series", F.col("t_start") + k)[name] for k in range(c.window)]
+        return F.array(*frames_).alias(name)
+
+    return joined.select(*samples.columns, "y", "x", *[window(n) for n in ("usability", *c.bands)])
+
+
 def normalised_inputs(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """Bands on the physical scale; missing stays NULL for the mask, 0 comes later."""
     return cells.withColumns({b: normalise(F.col(b)) for b in c.bands})
@@ -169,40 +221,47 @@ def sanitised_inputs(cells: DataFrame, c: SampleConfig) -> DataFrame:
 
 
 def synthetic_gaps(cells: DataFrame, c: SampleConfig) -> DataFrame:
-    """Sample cells with band inputs, the gap flag and, on the target frame, truth and validity.
+    """Inputs, truth and validity of sample cells.
 
-    Expects normalised bands and the columns ``t_target`` and ``t_donor``. The
-    frames of one cell meet in one window group of at most T rows; where the
-    donor frame is not pristine there, the target frame's input is 0.
+    Expects normalised bands and the columns ``t_target`` and ``t_donor``. Per
+    band: ``in_*`` the T inputs with missing as 0, ``target_*`` the truth,
+    ``valid_*`` whether it counts. Where the donor frame is not pristine the
+    target frame's input is 0 (``gap``). All of it is local to the row.
     """
-    group = W.partitionBy(*_CELL)
-    donor = F.max(F.when(F.col("t") == F.col("t_donor"), F.col("usability"))).over(group)
-    is_target = F.col("t") == F.col("t_target")
-    hole = (
-        is_target
-        & F.col("t_donor").isNotNull()
-        & (F.coalesce(F.col("_donor"), F.lit(MASK_FILL)) != c.pristine_code)
-    )
-    marked = cells.withColumn("_donor", donor).withColumns({"is_target": is_target, "gap": hole})
-    pristine = F.col("usability") == c.pristine_code
+    at = F.col("t_target") - F.col("t_start")
+    donor = F.get("usability", F.col("t_donor") - F.col("t_start"))
+    pristine = F.get("usability", at) == c.pristine_code
+
+    def inputs(b: str) -> Column:
+        values = [
+            F.when(F.col("gap") & (at == k), F.lit(0.0)).otherwise(F.coalesce(F.get(b, F.lit(k)), F.lit(0.0)))
+            for k in range(c.window)
+        ]
+        return F.array(*values).alias(f"in_{b}")
+
+    marked = cells.withColumn("gap", F.coalesce(donor != c.pristine_code, F.lit(False)))
     return marked.select(
         *_CELL,
-        "t",
-        "usability",
-        "is_target",
+        "t_target",
         "gap",
-        *[
-            F.when(F.col("gap"), F.lit(0.0)).otherwise(F.coalesce(b, F.lit(0.0))).alias(f"in_{b}")
-            for b in c.bands
-        ],
-        *[F.when(F.col("is_target"), F.coalesce(b, F.lit(0.0))).alias(f"target_{b}") for b in c.bands],
-        *[
-            F.when(F.col("is_target"), pristine & F.col(b).isNotNull()).alias(f"valid_{b}")
-            for b in c.bands
-        ],
+        *[inputs(b) for b in c.bands],
+        *[F.coalesce(F.get(b, at), F.lit(0.0)).alias(f"target_{b}") for b in c.bands],
+        *[(pristine & F.get(b, at).isNotNull()).alias(f"valid_{b}") for b in c.bands],
     )
 
 
+def input_frames(cells: DataFrame, c: SampleConfig) -> DataFrame:
+    """Long form of the inputs: one row per sample cell and frame."""
+    values = [
+        F.struct(
+            (F.col("t_start") + k).alias("t"),
+            *[F.get(f"in_{b}", F.lit(k)).alias(f"in_{b}") for b in c.bands],
+        )
+        for k in range(c.window)
+    ]
+    return cells.select(*_CELL, F.explode(F.array(*values)).alias("f")).select(*_CELL, "f.*")
+
+
 def valid_mask(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """Per band: the cell is pristine and has a value."""
     pristine = F.col("usability") == c.pristine_code
@@ -214,11 +273,17 @@ def valid_pixels(cells: DataFrame, c: SampleConfig) -> DataFrame:
     return cells.withColumn("valid", F.col("usability") == c.pristine_code)
 
 
-def build_samples(cube: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFrame:
-    """From a dense cube and planned samples to gap-filled sample cells."""
+def build_samples(
+    cube: DataFrame, samples: DataFrame, times: int, c: SampleConfig,
+    shape: tuple[int, int] | None = None,
+) -> DataFrame:
+    """From cube and planned samples to sample cells with realistic gaps.
+
+    The cube is read twice: its keys and mask for the gates, then its bands.
+    """
     targets = pristine_gate(target_frame(samples, frames(cube, c), c), c)
-    cells = sample_cells(cube, donor_frame(targets, c), c)
-    return synthetic_gaps(normalised_inputs(cells, c), c)
+    cells = series(normalised_inputs(cube, c), times, c, shape)
+    return synthetic_gaps(sample_cells(cells, donor_frame(targets, c), c), c)
 
 
 def augment(
@@ -352,10 +417,8 @@ def compact_slots(df: DataFrame, batch: list[str], slot: str) -> DataFrame:
 
 def last_frame_target(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """Fallback target: the window's last frame."""
-    last = F.col("t_start") + c.window - 1
-    return cells.filter(F.col("t") == last).select(
-        *_CELL, *[F.col(f"in_{b}").alias(f"target_{b}") for b in c.bands]
-    )
+    last = F.lit(c.window - 1)
+    return cells.select(*_CELL, *[F.get(f"in_{b}", last).alias(f"target_{b}") for b in c.bands])
 
 
 def split_summary(samples: DataFrame) -> DataFrame:

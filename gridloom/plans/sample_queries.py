@@ -82,11 +82,14 @@ def gated(spark, d):
 
 def cells(spark, d):
     kept = samples.donor_frame(gated(spark, d), C)
-    return samples.normalised_inputs(samples.sample_cells(dense(spark, d), kept, C), C)
+    scaled = samples.normalised_inputs(derived.cube(spark, d), C)
+    return samples.sample_cells(samples.series(scaled, T, C, derived.grid_shape(spark, d)), kept, C)
 
 
 def built(spark, d):
-    return samples.build_samples(dense(spark, d), plan(spark, d), C)
+    shape = derived.grid_shape(spark, d)
+    planned = samples.plan_samples(spark, *shape, T, C)
+    return samples.build_samples(derived.cube(spark, d), planned, T, C, shape)
 
 
 def _patches(spark, d):
@@ -151,7 +154,7 @@ def epoch_order(spark, d):
     ),
 )
 def window_cells(spark, d):
-    found = samples.sample_cells(derived.cube(spark, d), plan(spark, d), C)
+    found = samples.frame_cells(derived.cube(spark, d), plan(spark, d), C)
     return found.groupBy(*SAMPLE_KEY, "t").agg(F.count("*").alias("n"), F.count("b01").alias("n01"))
 
 
@@ -239,10 +242,15 @@ def sanitise(spark, d):
     ),
 )
 def synthetic_gaps(spark, d):
-    return (
-        built(spark, d)
-        .filter("is_target")
-        .select(*SAMPLE_KEY, "t", "y", "x", "gap", r6("in_b01"), r6("in_b06"))
+    at = F.col("t_target") - F.col("t_start")
+    return built(spark, d).select(
+        *SAMPLE_KEY,
+        F.col("t_target").alias("t"),
+        "y",
+        "x",
+        "gap",
+        r6(F.get("in_b01", at), "in_b01"),
+        r6(F.get("in_b06", at), "in_b06"),
     )
 
 
@@ -255,8 +263,7 @@ def synthetic_gaps(spark, d):
     ),
 )
 def valid_mask(spark, d):
-    at_target = built(spark, d).filter("is_target")
-    return at_target.groupBy(*SAMPLE_KEY).agg(*[F.count_if(f"valid_{b}").alias(b) for b in C.bands])
+    return built(spark, d).groupBy(*SAMPLE_KEY).agg(*[F.count_if(f"valid_{b}").alias(b) for b in C.bands])
 
 
 @query("o_f14_valid_pixels", sql_over("cube", "SELECT t, y, x, usability = 0 AS valid FROM cube"))
@@ -284,7 +291,10 @@ _FLIPPED = f"""SELECT {_K}, t, k, CASE WHEN v = 1 THEN 7 - (y - y_coord) ELSE y
 )
 def augment(spark, d):
     moved = samples.augment(cells(spark, d), C, C.seed)
-    return moved.select(*SAMPLE_KEY, "t", "y", "x", F.round("b01", 6).alias("b01"))
+    frames = moved.select(*SAMPLE_KEY, "y", "x", F.posexplode("b01").alias("k", "b01"))
+    return frames.select(
+        *SAMPLE_KEY, (F.col("t_start") + F.col("k")).alias("t"), "y", "x", F.round("b01", 6).alias("b01")
+    )
 
 
 @query(

@@ -163,7 +163,9 @@ def frame_cells(cube: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFra
 def series(
     cube: DataFrame, times: int, c: SampleConfig, shape: tuple[int, int] | None = None
 ) -> DataFrame:
-    """One row per cell: its frames 0 .. times-1 in order, absent ones missing and filled.
+    """One row per cell: per band, and for the mask, an array over the frames 0 .. times-1.
+
+    Absent frames have missing bands and the fill code.
 
     With a grid shape, cells never observed occur as well. A group is one cell,
     at most ``times`` rows; rows are placed by patch, so the join with the
@@ -190,8 +192,9 @@ def series(
             *[F.lit(None).cast("double").alias(b) for b in c.bands],
         ),
     )
-    return grouped.select(
-        *_PATCH, "y", "x", F.sort_array(F.concat("_seen", missing)).alias("series")
+    ordered = grouped.select(*_PATCH, "y", "x", F.sort_array(F.concat("_seen", missing)).alias("_s"))
+    return ordered.select(
+        *_PATCH, "y", "x", *[F.col(f"_s.{name}").alias(name) for name in ("usability", *c.bands)]
     )
 
 
@@ -202,12 +205,13 @@ def sample_cells(cells: DataFrame, samples: DataFrame, c: SampleConfig) -> DataF
     it is the hashed side and the cells need not be sorted.
     """
     joined = cells.join(samples.hint("shuffle_hash"), _PATCH)
-
-    def window(name: str) -> Column:
-        frames_ = [F.get("series", F.col("t_start") + k)[name] for k in range(c.window)]
-        return F.array(*frames_).alias(name)
-
-    return joined.select(*samples.columns, "y", "x", *[window(n) for n in ("usability", *c.bands)])
+    start = F.col("t_start") + 1
+    return joined.select(
+        *samples.columns,
+        "y",
+        "x",
+        *[F.slice(name, start, F.lit(c.window)).alias(name) for name in ("usability", *c.bands)],
+    )
 
 
 def normalised_inputs(cells: DataFrame, c: SampleConfig) -> DataFrame:

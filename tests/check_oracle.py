@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -43,36 +42,26 @@ def session(name="check"):
     return spark
 
 
-def _key(row):
-    return tuple((v is None, str(type(v)), v if v is not None else 0) if not isinstance(v, (list, dict)) else (False, "", str(v)) for v in row)
-
-
-def same(a, b):
-    if isinstance(a, float) and isinstance(b, float):
-        return a == b or (math.isnan(a) and math.isnan(b))
-    if isinstance(a, float) or isinstance(b, float):
-        return False
-    return a == b
-
-
 def compare(df, con, sql):
-    """None when equal, else what differs."""
-    res = con.execute(sql)
-    names = [c[0] for c in res.description]
-    want = res.fetchall()
-    if sorted(names) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} vs {sorted(names)}"
-    cols = sorted(names)
-    got = [tuple(r[c] for c in cols) for r in df.collect()]
-    at = [names.index(c) for c in cols]
-    want = [tuple(r[i] for i in at) for r in want]
-    if len(got) != len(want):
-        return f"rows {len(got)} vs {len(want)}"
-    got.sort(key=_key)
-    want.sort(key=_key)
-    bad = [(g, w) for g, w in zip(got, want) if not all(same(x, y) for x, y in zip(g, w))]
+    """None when rows, column names and column types are equal, else what differs."""
+    con.execute(f"CREATE OR REPLACE TEMP TABLE want AS {sql}")
+    con.register("got", df.toArrow())
+    types = {
+        t: dict(con.execute(f"SELECT column_name, column_type FROM (DESCRIBE {t})").fetchall())
+        for t in ("got", "want")
+    }
+    if types["got"] != types["want"]:
+        return f"types {types['got']} vs {types['want']}"
+    cols = ", ".join(f'"{c}"' for c in sorted(types["want"]))
+    n = [con.execute(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("got", "want")]
+    if n[0] != n[1]:
+        return f"rows {n[0]} vs {n[1]}"
+    extra = f"(SELECT {cols} FROM got EXCEPT ALL SELECT {cols} FROM want)"
+    lacking = f"(SELECT {cols} FROM want EXCEPT ALL SELECT {cols} FROM got)"
+    bad = con.execute(f"SELECT count(*) FROM {extra}").fetchall()[0][0]
     if bad:
-        return f"{len(bad)} of {len(got)} rows differ, {cols}, first {bad[0]}"
+        first = [con.execute(f"SELECT * FROM {q} ORDER BY ALL LIMIT 2").fetchall() for q in (extra, lacking)]
+        return f"{bad} of {n[0]} rows differ ({cols}): got {first[0]}, want {first[1]}"
     return None
 
 
@@ -92,7 +81,7 @@ def main(argv):
             df = fn(spark, sf_dir)
             if name in sql:
                 problem = compare(df, con, sql[name])
-                rows = df.count()
+                rows = con.execute("SELECT count(*) FROM want").fetchall()[0][0]
             else:
                 rows = df.count()
                 problem = None if rows else "no rows"

@@ -12,6 +12,7 @@ from gridloom.functions.spectral import add, ndvi, ndvi_unbounded
 from gridloom.operators.patches import extract, patch_coords, with_patch
 from gridloom.operators.ranking import hash_bucket, ordered_rank, tercile
 from gridloom.schemas import BANDS
+from gridloom.sources.workspace import cut
 
 _PATCH = ["y_coord", "x_coord"]
 
@@ -193,22 +194,22 @@ def cube_metrics(
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column scaled to [0, 1] over the table as ``<name>_norm``; 0 for a constant one.
 
-    The bounds come from a scalar subquery: one row, one global aggregate.
+    The table is a small summary of a large input, so it is written once: the
+    bounds, one row, and the scaled rows then come from the written table and
+    the input is not read again.
     """
-    bounds = df.agg(
-        F.struct(
-            *[F.min(m).alias(f"lo_{m}") for m in columns],
-            *[F.max(m).alias(f"hi_{m}") for m in columns],
-        ).alias("bounds")
-    ).scalar()
-    out = df.withColumn("_b", bounds)
-    for m in columns:
-        lo, hi = F.col(f"_b.lo_{m}"), F.col(f"_b.hi_{m}")
-        out = out.withColumn(
-            f"{m}_norm",
-            F.when(lo == hi, F.lit(0.0)).otherwise(F.try_divide(F.col(m) - lo, hi - lo)),
-        )
-    return out.drop("_b")
+    fixed = cut(df, "summary")
+    bounds = fixed.agg(
+        *[F.min(m).alias(f"lo_{m}") for m in columns], *[F.max(m).alias(f"hi_{m}") for m in columns]
+    ).first()
+
+    def norm(m: str):
+        lo, hi = bounds[f"lo_{m}"], bounds[f"hi_{m}"]
+        if lo is None:
+            return F.lit(None).cast("double")
+        return F.lit(0.0) if lo == hi else (F.col(m) - F.lit(lo)) / F.lit(hi - lo)
+
+    return fixed.withColumns({f"{m}_norm": norm(m) for m in columns})
 
 
 def difficulty(

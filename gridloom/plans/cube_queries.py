@@ -23,7 +23,6 @@ _DAYS = """SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS t
   SELECT date FROM quality GROUP BY date HAVING count(*) = 4 AND min(q) >= 0.75e0)"""
 _CODES = f"SELECT tile, date, row, col, {USABILITY} AS usability FROM coarse"
 _BAND_SQL = ", ".join(f"round({clean(b)}, 6) AS b0{b}" for b in range(1, 8))
-_ROUNDED = [F.round(b, 6).alias(b) for b in BANDS]
 _CUBE_SQL = """SELECT d.t, o.date, CAST((CAST(substr(o.tile, 5, 2) AS INT) - 3) * 2400 + o.row AS INT) AS y,
   CAST((CAST(substr(o.tile, 2, 2) AS INT) - 18) * 2400 + o.col AS INT) AS x, {bands},
   CAST(coalesce(usability, 255) AS SMALLINT) AS usability
@@ -32,6 +31,10 @@ _CUBE_SQL = """SELECT d.t, o.date, CAST((CAST(substr(o.tile, 5, 2) AS INT) - 3)
 _CUBE_WITH = {"quality": _QUALITY, "days": _DAYS, "codes": _CODES}
 
 
+def _rounded():
+    return [F.round(b, 6).alias(b) for b in BANDS]
+
+
 def _built(spark, d):
     return ops.build_cube(derived.obs_500m(spark, d), derived.obs_1km(spark, d), _C)
 
@@ -112,7 +115,7 @@ def valid_range(spark, d):
 @query("o_b7_clean_bands", sql_over("obs", f"SELECT {_KEYS}, {_BAND_SQL} FROM obs"))
 def clean_bands(spark, d):
     cleaned = ops.clean_bands(derived.obs_500m(spark, d).drop("h", "p", "state"), _C)
-    return cleaned.select(*_KEY, *_ROUNDED)
+    return cleaned.select(*_KEY, *_rounded())
 
 
 @query(
@@ -157,7 +160,7 @@ def band_stack(spark, d):
 )
 def process_tiles(spark, d):
     tiles = ops.process_tiles(derived.obs_500m(spark, d), derived.obs_1km(spark, d), _C)
-    return tiles.select(*_KEY, *_ROUNDED, "usability")
+    return tiles.select(*_KEY, *_rounded(), "usability")
 
 
 @query("o_b11_mosaic_days", sql_over("obs", "SELECT date FROM days", quality=_QUALITY, days=_DAYS))
@@ -172,7 +175,7 @@ def time_index(spark, d):
 
 @query("o_b12_build_cube", sql_over("obs coarse", _CUBE_SQL, **_CUBE_WITH))
 def build_cube(spark, d):
-    return _built(spark, d).select("t", "date", "y", "x", *_ROUNDED, "usability")
+    return _built(spark, d).select("t", "date", "y", "x", *_rounded(), "usability")
 
 
 @query(

@@ -24,7 +24,10 @@ _MERGED = """SELECT m.*, d.heterogeneity, d.phenology_variability, d.cloud_persi
 _MODELS = ["m2", "m0", "m1"]
 _TIES = ["y_coord", "x_coord", "t_start"]
 _ORDER = "CASE model WHEN 'm2' THEN 1 WHEN 'm0' THEN 2 ELSE 3 END"
-_SCORES = [r6(m) for m in METRICS]
+
+
+def _scores():
+    return [r6(m) for m in METRICS]
 
 
 def _labels_sql():
@@ -55,7 +58,7 @@ def join_difficulty(spark, d):
 
 @query("o_i2_overall", sql_over("pmetrics", f"SELECT model, {_MEANS} FROM pmetrics GROUP BY model"))
 def overall(spark, d):
-    return reports.overall(derived.patch_metrics(spark, d)).select("model", *_SCORES)
+    return reports.overall(derived.patch_metrics(spark, d)).select("model", *_scores())
 
 
 @query(
@@ -74,7 +77,7 @@ def overall(spark, d):
 def by_strata(spark, d):
     labelled = intrinsic.with_strata(derived.patch_difficulty(spark, d))
     merged = reports.join_difficulty(derived.patch_metrics(spark, d), labelled)
-    return reports.by_strata(merged).select("report", "stratum", "model", *_SCORES)
+    return reports.by_strata(merged).select("report", "stratum", "model", *_scores())
 
 
 @query(
@@ -123,7 +126,7 @@ _BY_MODEL = f"""SELECT stratum, model, {_MEANS} FROM (SELECT *, {_stratum_sql('d
 @query("o_i6_by_stratum_model", sql_over("pmetrics pdiff", _BY_MODEL, merged=_MERGED))
 def by_stratum_model(spark, d):
     table = reports.by_stratum_model(_merged(spark, d), "difficulty_index", _TIES, _MODELS)
-    return table.select("stratum", "model", *_SCORES)
+    return table.select("stratum", "model", *_scores())
 
 
 @query(
@@ -166,7 +169,7 @@ def report_csv(spark, d):
     table = reports.overall(derived.patch_metrics(spark, d))
     named = table.select(tables.safe_name(F.concat(F.lit("Full (FT) "), "model")).alias("name"), *METRICS)
     tables.write_csv(named, path)
-    return spark.read.csv(path, header=True, schema=named.schema).select("name", *_SCORES)
+    return spark.read.csv(path, header=True, schema=named.schema).select("name", *_scores())
 
 
 @query(

@@ -82,8 +82,9 @@ def predict(
     """Run a user model over samples: ``input`` is one flat float array per row.
 
     The model gets an array of shape (rows, values) and returns one of shape
-    (rows, outputs). Rows arrive in Arrow batches cut to ``batch_rows``; no
-    group is collected. Load weights lazily inside ``model``.
+    (rows, outputs). Rows arrive in Arrow batches within the session's row and
+    byte limits, cut to ``batch_rows``; no group is collected. Load weights
+    lazily inside ``model``.
     """
     schema = T.StructType([*stacks.schema.fields, T.StructField("output", T.ArrayType(T.FloatType()))])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import LAND_COVER, DifficultyConfig
 from gridloom.functions.spectral import add, ndvi, ndvi_unbounded
-from gridloom.operators.patches import extract, patch_coords, with_patch
+from gridloom.operators.patches import by_patch, extract, patch_coords, with_patch
 from gridloom.operators.ranking import hash_bucket, ordered_rank, tercile
 from gridloom.schemas import BANDS
 from gridloom.sources.workspace import cut
@@ -46,9 +46,11 @@ def radiometry(cube: DataFrame, patches: DataFrame, dim: DataFrame, patch: int)
 
     A cell lies in one patch and a patch has one class, so the pivot of the
     long form back to bands as columns is the wide median table itself. Cells
-    without any value are left out.
+    without any value are left out. The patches come from a choice of at most n
+    per listed class, so they are broadcast and the cube does not move for them.
     """
-    medians = temporal_medians(extract(cube, patches, patch)).dropna("all", subset=BANDS)
+    cells = extract(cube, F.broadcast(patches), patch)
+    medians = temporal_medians(cells).dropna("all", subset=BANDS)
     named = name_classes(medians, dim).filter("land_cover_name IS NOT NULL")
     return named.select("y", "x", "land_cover_name", *[F.col(b).alias(b.upper()) for b in BANDS])
 
@@ -145,25 +147,25 @@ def shannon(landcover: DataFrame, patch: int, height=None, width=None) -> DataFr
     )
 
 
-def cell_stats(cube: DataFrame, c: DifficultyConfig, height=None, width=None) -> DataFrame:
+def cell_stats(
+    cube: DataFrame, c: DifficultyConfig, height=None, width=None, placed: bool = False
+) -> DataFrame:
     """Per cell: NDVI deviation over time and number of cloudy frames.
 
     Rows are placed by patch before anything else, so the cell and the patch
-    aggregate that follows share this one exchange.
+    aggregate that follows share this one exchange; a cube table bucketed by
+    patch (``placed``) needs none.
     """
     red, nir = F.col(c.red), F.col(c.nir)
-    cells = (
-        with_patch(cube, c.patch, height, width)
-        .select(
-            *_PATCH,
-            "y",
-            "x",
-            ndvi(red, nir).alias("ndvi"),
-            ndvi_unbounded(red, nir).alias("unbounded"),
-            (F.col("usability") == c.cloudy_code).cast("int").alias("cloudy"),
-        )
-        .repartition(*_PATCH)
+    values = with_patch(cube, c.patch, height, width).select(
+        *_PATCH,
+        "y",
+        "x",
+        ndvi(red, nir).alias("ndvi"),
+        ndvi_unbounded(red, nir).alias("unbounded"),
+        (F.col("usability") == c.cloudy_code).cast("int").alias("cloudy"),
     )
+    cells = by_patch(values, placed)
     return cells.groupBy(*_PATCH, "y", "x").agg(
         F.when(~F.coalesce(F.bool_or("unbounded"), F.lit(False)), F.stddev_pop("ndvi")).alias("ndvi_std"),
         F.sum(F.coalesce("cloudy", F.lit(0))).alias("cloudy"),
@@ -172,7 +174,8 @@ def cell_stats(cube: DataFrame, c: DifficultyConfig, height=None, width=None) ->
 
 
 def cube_metrics(
-    cube: DataFrame, c: DifficultyConfig, times: int | None = None, height=None, width=None
+    cube: DataFrame, c: DifficultyConfig, times: int | None = None, height=None, width=None,
+    placed: bool = False,
 ) -> DataFrame:
     """Phenology variability and cloud persistence per patch.
 
@@ -180,7 +183,7 @@ def cube_metrics(
     as frames and cells that are not cloudy, so a sparse cube need not be made
     dense; without it the rows present are the denominator.
     """
-    stats = cell_stats(cube, c, height, width)
+    stats = cell_stats(cube, c, height, width, placed)
     share = (
         F.avg(F.col("cloudy") / F.col("frames"))
         if times is None
@@ -220,6 +223,7 @@ def difficulty(
     height=None,
     width=None,
     geo: tuple[float, float, float] = (0.0, 0.0, 1.0),
+    placed: bool = False,
 ) -> DataFrame:
     """Difficulty index per patch with its three parts and both coordinate systems.
 
@@ -227,7 +231,7 @@ def difficulty(
     """
     parts = ["heterogeneity", "phenology_variability", "cloud_persistence"]
     joined = shannon(landcover, c.patch, height, width).join(
-        cube_metrics(cube, c, times, height, width), _PATCH
+        cube_metrics(cube, c, times, height, width, placed), _PATCH
     )
     scored = min_max(joined, parts)
     index = add([F.lit(w) * F.col(f"{m}_norm") for w, m in zip(c.weights, parts)])

@@ -12,13 +12,18 @@ from gridloom.operators.ranking import hash_bucket
 def with_patch(
     df: DataFrame, patch: int, height: int | None = None, width: int | None = None
 ) -> DataFrame:
-    """Top-left pixel of each cell's patch; with a grid shape, cut-off blocks are trimmed."""
-    out = df.withColumns(
-        {
-            "y_coord": F.expr(f"CAST(y div {patch} * {patch} AS INT)"),
-            "x_coord": F.expr(f"CAST(x div {patch} * {patch} AS INT)"),
-        }
-    )
+    """Top-left pixel of each cell's patch; with a grid shape, cut-off blocks are trimmed.
+
+    A table stored with these keys keeps them, and with them its bucketing.
+    """
+    out = df
+    if not {"y_coord", "x_coord"} <= set(df.columns):
+        out = df.withColumns(
+            {
+                "y_coord": F.expr(f"CAST(y div {patch} * {patch} AS INT)"),
+                "x_coord": F.expr(f"CAST(x div {patch} * {patch} AS INT)"),
+            }
+        )
     if height is not None:
         out = out.filter(F.col("y") < height // patch * patch)
     if width is not None:
@@ -26,6 +31,11 @@ def with_patch(
     return out
 
 
+def by_patch(df: DataFrame, placed: bool = False) -> DataFrame:
+    """All rows of a patch in one task; ``placed`` says the storage already sees to that."""
+    return df if placed else df.repartition("y_coord", "x_coord")
+
+
 def patch_grid(spark: SparkSession, height: int, width: int, patch: int) -> DataFrame:
     """All full patches of a grid, by arithmetic on a range."""
     ny, nx = height // patch, width // patch
@@ -96,7 +106,10 @@ def enumerate_windows(
 
 
 def extract(cube: DataFrame, patches: DataFrame, patch: int) -> DataFrame:
-    """All cells of the listed patches (columns y, x, class of the patch's top-left)."""
+    """All cells of the listed patches (columns y, x, class of the patch's top-left).
+
+    Mark a short list with ``broadcast``, and the cube is filtered where it is read.
+    """
     listed = patches.select(
         F.col("y").alias("y_coord"), F.col("x").alias("x_coord"), F.col("class")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULT_LEGEND, MASK_FILL, SampleConfig
 from gridloom.functions.spectral import normalise, sanitise
-from gridloom.operators.patches import patch_grid, with_patch
+from gridloom.operators.patches import by_patch, patch_grid, with_patch
 from gridloom.operators.ranking import hash_bucket, hash_rank
 from gridloom.schemas import SAMPLE_KEY
 
@@ -161,7 +161,8 @@ def frame_cells(cube: DataFrame, samples: DataFrame, c: SampleConfig) -> DataFra
 
 
 def series(
-    cube: DataFrame, times: int, c: SampleConfig, shape: tuple[int, int] | None = None
+    cube: DataFrame, times: int, c: SampleConfig, shape: tuple[int, int] | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """One row per cell: per band, and for the mask, an array over the frames 0 .. times-1.
 
@@ -169,7 +170,8 @@ def series(
 
     With a grid shape, cells never observed occur as well. A group is one cell,
     at most ``times`` rows; rows are placed by patch, so the join with the
-    samples needs no second exchange.
+    samples needs no second exchange. A dense cube table bucketed by patch
+    (``placed``, without ``shape``) needs not even the first.
     """
     rows = with_patch(cube, c.patch).select(*_PATCH, "y", "x", "t", "usability", *c.bands)
     if shape is not None:
@@ -180,7 +182,7 @@ def series(
         )
         rows = rows.unionByName(with_patch(cells, c.patch), allowMissingColumns=True)
     entry = F.when(F.col("t").isNotNull(), F.struct("t", "usability", *c.bands))
-    grouped = rows.repartition(*_PATCH).groupBy(*_PATCH, "y", "x").agg(
+    grouped = by_patch(rows, placed).groupBy(*_PATCH, "y", "x").agg(
         F.collect_list(entry).alias("_seen")
     )
     every = F.sequence(F.lit(0), F.lit(times - 1))

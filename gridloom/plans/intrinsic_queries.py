@@ -108,7 +108,7 @@ def _radiometry(spark, d):
 
 
 def _long(spark, d):
-    cells = patches.extract(derived.cube(spark, d), _chosen(spark, d), P)
+    cells = patches.extract(derived.cube(spark, d), F.broadcast(_chosen(spark, d)), P)
     long = intrinsic.long_reflectance(intrinsic.temporal_medians(cells))
     return intrinsic.name_classes(long, tables.lc_dim(spark))
 
@@ -226,7 +226,7 @@ def enumerate_windows(spark, d):
     ),
 )
 def extract(spark, d):
-    cells = patches.extract(derived.cube(spark, d), _chosen(spark, d), P)
+    cells = patches.extract(derived.cube(spark, d), F.broadcast(_chosen(spark, d)), P)
     return cells.select("t", "y", "x", "class", F.round("b01", 6).alias("b01"))
 
 

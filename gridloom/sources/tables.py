@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.config import LAND_COVER, MASK_CODES
+from gridloom.operators.patches import with_patch
 from gridloom.schemas import LC_DIM, MASK_DIM
 from gridloom.sources.listing import stored_files
 
@@ -40,14 +41,15 @@ def write_cube(
 ) -> None:
     """Chunk-partitioned columnar cube, all frames of a patch next to each other.
 
-    Range partitioning on the full key balances the write tasks however many
-    rows a chunk holds, and leaves few files per chunk.
+    One patch is the unit a write task gets, so tasks stay even however many
+    rows a chunk holds, a chunk folder gets at most one file per patch, and
+    no pass over the input looks for range bounds.
     """
-    keys = ["cy", "cx", "py", "px", "t", "y", "x"]
+    unit = ["cy", "cx", "py", "px"]
     (
         with_storage_keys(cube, patch, chunk)
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        .repartition(*unit)
+        .sortWithinPartitions(*unit, "t", "y", "x")
         .write.mode("overwrite")
         .partitionBy("cy", "cx")
         .option("compression", compression)
@@ -56,6 +58,26 @@ def write_cube(
     )
 
 
+def save_cube_table(
+    cube: DataFrame, table: str, patch: int = 224, buckets: int = 200, path: str | None = None
+) -> None:
+    """The cube as a table bucketed and sorted by patch.
+
+    Operators that place cells by patch then read it without any exchange when
+    called with ``placed=True``. Choose ``buckets`` so that one bucket, sorted,
+    suits one task.
+    """
+    keys = ["y_coord", "x_coord"]
+    writer = (
+        with_patch(cube, patch)
+        .repartition(buckets, *keys)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+    )
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def read_cube(
     spark: SparkSession, path: str, box: tuple[int, int, int, int] | None = None,
     patch: int = 224, chunk: int = 1024, fmt: str = "parquet",

@@ -58,6 +58,27 @@ def test_cell_and_patch_aggregates_share_one_exchange(spark, sf):
     assert reads and not any("l_discount" in r or "l_tax" in r for r in reads)
 
 
+def test_bucketed_cube_needs_no_exchange(spark, sf, tmp_path):
+    table = "gridloom_test_cube"
+    tables.save_cube_table(derived.cube(spark, sf), table, patch=8, buckets=4, path=str(tmp_path / "cube"))
+    stored = spark.table(table)
+    c = DifficultyConfig(patch=8)
+    metrics = intrinsic.cube_metrics(stored, c, times=12, placed=True)
+    assert "Exchange" not in _plan(metrics)
+    moved = intrinsic.cube_metrics(derived.cube(spark, sf), c, times=12)
+    key = lambda r: (r.y_coord, r.x_coord)
+    for a, b in zip(sorted(metrics.collect(), key=key), sorted(moved.collect(), key=key), strict=True):
+        assert tuple(a) == pytest.approx(tuple(b))
+    cells = samples.series(stored, 12, sample_queries.C, placed=True)
+    assert "Exchange" not in _plan(cells)
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_chosen_patches_do_not_move_the_cube(spark, sf):
+    plan = _plan(QUERIES["o_d6_extract"](spark, sf))
+    assert "BroadcastHashJoin [y_coord" in plan and "SortMergeJoin" not in plan
+
+
 def test_sample_cells_move_once(spark, sf):
     c = sample_queries.C
     planned = spark.createDataFrame([("test", 0, 0, 0, 1, 2)], "split STRING, y_coord INT, x_coord INT, t_start INT, t_target INT, t_donor INT")

@@ -15,6 +15,7 @@ from gridloom.functions.geo import tile_h, tile_v
 from gridloom.functions.quality import band_good, clean_band, usability
 from gridloom.functions.spectral import add
 from gridloom.schemas import CUBE_ATTRS
+from gridloom.sources.workspace import cut
 
 _TILE = ["tile", "date"]
 
@@ -106,13 +107,16 @@ def process_tiles(obs500: DataFrame, obs1km: DataFrame, c: CubeConfig) -> DataFr
 def build_cube(obs500: DataFrame, obs1km: DataFrame, c: CubeConfig) -> DataFrame:
     """The cube of all complete days, frames numbered by date.
 
-    The day table is tiny, so whole days drop out of both inputs by a broadcast
-    semi join before the only large shuffle, the one that joins the mask.
+    The day table is tiny and written first, so the quality column is read once
+    for it; whole days then drop out of both inputs by a broadcast join before
+    the only large shuffle, the one that joins the mask.
     """
-    frames = time_index(mosaic_days(obs500, c))
+    frames = cut(time_index(mosaic_days(obs500, c)), "frames")
+    # one row per calendar day
     fine = obs500.join(F.broadcast(frames), "date")
-    cells = upsample_mask(clean_bands(fine, c), obs1km.join(F.broadcast(frames.select("date")), "date", "left_semi"), c)
-    return mosaic_coordinates(cells, c).select("t", "date", "y", "x", *band_columns(c), "usability")
+    coarse = obs1km.join(F.broadcast(frames.select("date")), "date", "left_semi")
+    cells = mosaic_coordinates(upsample_mask(clean_bands(fine, c), coarse, c), c)
+    return cells.select("t", "date", "y", "x", *band_columns(c), "usability")
 
 
 def to_long(cube: DataFrame, bands: list[str], keys: list[str], value: str = "value") -> DataFrame:

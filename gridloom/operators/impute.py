@@ -14,6 +14,7 @@ from gridloom.config import SampleConfig
 from gridloom.functions.spectral import add
 from gridloom.schemas import SAMPLE_KEY
 
+_PATCH = ["y_coord", "x_coord"]
 _CELL = [*SAMPLE_KEY, "y", "x"]
 
 
@@ -53,8 +54,21 @@ def best_frames(cells: DataFrame, c: SampleConfig) -> DataFrame:
 
 
 def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
-    """Every sample's best single frame as its prediction."""
-    chosen = cells.join(best_frames(cells, c), SAMPLE_KEY)
+    """Every sample's best single frame as its prediction.
+
+    The choices of a patch, one per window, are gathered by patch and joined by
+    patch, which is how sample cells already lie: the cells do not move again.
+    """
+    choice = F.struct(F.struct("split", "t_start"), F.struct("t", "frame_mse"))
+    by_patch = best_frames(cells, c).groupBy(*_PATCH).agg(
+        F.map_from_entries(F.collect_list(choice)).alias("_best")
+    )
+    mine = F.element_at("_best", F.struct("split", "t_start"))
+    chosen = (
+        cells.join(by_patch.hint("shuffle_hash"), _PATCH)
+        .withColumn("_mine", mine)
+        .withColumns({"t": F.col("_mine.t"), "frame_mse": F.col("_mine.frame_mse")})
+    )
     at = F.col("t") - F.col("t_start")
     return chosen.select(
         *_CELL, "t", "frame_mse", *[F.get(f"in_{b}", at).alias(f"pred_{b}") for b in c.bands], *_scored(c)

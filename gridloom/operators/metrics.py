@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,14 +47,14 @@ def _sam(bands: list[str]) -> Column:
     return F.coalesce(F.avg(F.when(every, angle)), F.lit(0.0))
 
 
+def _pixel_columns(rmse: Column, data_range: float) -> list[Column]:
+    return [rmse.alias("rmse"), psnr_from_rmse(rmse, data_range).alias("psnr"), F.col("sam")]
+
+
 def pixel_scores(cells: DataFrame, keys: list[str], bands: list[str], data_range: float = 1.0) -> DataFrame:
     """RMSE, PSNR and angle of each sample in one partial aggregate."""
-    rmse = F.sqrt("_mse")
-    return (
-        cells.groupBy(*keys)
-        .agg(_mse(bands).alias("_mse"), _sam(bands).alias("sam"))
-        .select(*keys, rmse.alias("rmse"), psnr_from_rmse(rmse, data_range).alias("psnr"), "sam")
-    )
+    sums = cells.groupBy(*keys).agg(_mse(bands).alias("_mse"), _sam(bands).alias("sam"))
+    return sums.select(*keys, *_pixel_columns(F.sqrt("_mse"), data_range))
 
 
 def _box_means(stack: np.ndarray) -> np.ndarray:
@@ -80,58 +80,58 @@ def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> np.n
     return value.mean(axis=(1, 2, 3))
 
 
+def _chip(bands: list[str], patch: int) -> Column:
+    """Position and values of all cells of a sample; a group is at most ``patch`` squared cells."""
+    if patch < SSIM_WINDOW:
+        raise ValueError(f"patch must be at least {SSIM_WINDOW}")
+    place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
+    values = F.array(*[F.col(f"{kind}_{b}") for kind in ("pred", "target") for b in bands])
+    return F.collect_list(F.struct(place.alias("pos"), values.alias("v"))).alias("_chip")
+
+
+def _with_similarity(chips: DataFrame, bands: list[str], patch: int, data_range: float) -> DataFrame:
+    """Replace the column ``_chip`` by the similarity of its dense arrays; absent cells are 0.
+
+    Rows arrive in Arrow batches within the session's limits; a few samples at
+    a time become one array.
+    """
+    kept = [c for c in chips.columns if c != "_chip"]
+    flat = chips.select(
+        *kept, F.col("_chip.pos").alias("_pos"), F.flatten(F.col("_chip.v")).alias("_values")
+    )
+    schema = T.StructType([*(flat.schema[k] for k in kept), T.StructField("ssim", T.DoubleType())])
+    planes, area = 2 * len(bands), patch * patch
+    step = max(1, 2**20 // (planes * area))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                pos, values = part.column("_pos"), part.column("_values")
+                sizes = pos.value_lengths().to_numpy(zero_copy_only=False)
+                stack = np.zeros((len(sizes), planes, area))
+                cells = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, planes)
+                stack[np.repeat(np.arange(len(sizes)), sizes), :, pos.flatten().to_numpy()] = cells
+                stack = stack.reshape(len(sizes), planes, patch, patch)
+                scores.append(_similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range))
+            if scores:
+                out = [batch.column(k) for k in kept] + [pa.array(np.concatenate(scores))]
+                yield pa.RecordBatch.from_arrays(out, names=[*kept, "ssim"])
+
+    return flat.mapInArrow(run, schema)
+
+
 def ssim(
     cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0
 ) -> DataFrame:
     """Structural similarity per sample: 7 by 7 uniform windows, interior mean, mask ignored.
 
-    Spark puts the cells of a sample next to each other; a task then walks its
-    Arrow batches and scores all samples that end in a batch at once, as dense
-    arrays in which absent cells are 0. It holds one batch and one unfinished
-    sample. ``keys`` include y_coord and x_coord.
+    ``keys`` include y_coord and x_coord. Cells already placed by patch are
+    grouped where they are.
     """
-    if patch < SSIM_WINDOW:
-        raise ValueError(f"patch must be at least {SSIM_WINDOW}")
-    values = [f"{kind}_{b}" for kind in ("pred", "target") for b in bands]
-    place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
-    placed = (
-        cells.select(*keys, place.alias("_pos"), *values)
-        .repartition(*keys)
-        .sortWithinPartitions(*keys)
-    )
-    schema = T.StructType([*(placed.schema[k] for k in keys), T.StructField("ssim", T.DoubleType())])
-    nb = len(bands)
-
-    def finish(rows: pd.DataFrame, ids: np.ndarray) -> pd.DataFrame:
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        stack = np.zeros((len(first), 2 * nb, patch * patch))
-        stack[ids, :, rows["_pos"].to_numpy()] = rows[values].to_numpy(dtype=float)
-        stack = stack.reshape(len(first), 2 * nb, patch, patch)
-        done = rows.iloc[first][keys].reset_index(drop=True)
-        return done.assign(ssim=_similarity(stack[:, :nb], stack[:, nb:], data_range))
-
-    def numbered(rows: pd.DataFrame) -> np.ndarray:
-        change = (rows[keys].iloc[1:].to_numpy() != rows[keys].iloc[:-1].to_numpy()).any(axis=1)
-        return np.r_[0, np.cumsum(change)]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_rows = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            open_rows.append(batch)
-            if (batch[keys].iloc[-1] == open_rows[0][keys].iloc[0]).all():
-                continue  # still the one unfinished sample
-            rows = pd.concat(open_rows, ignore_index=True) if len(open_rows) > 1 else batch
-            ids = numbered(rows)
-            closed = int(np.searchsorted(ids, ids[-1]))
-            yield finish(rows.iloc[:closed], ids[:closed])
-            open_rows = [rows.iloc[closed:]]
-        if open_rows:
-            rows = pd.concat(open_rows, ignore_index=True)
-            yield finish(rows, numbered(rows))
-
-    return placed.mapInPandas(walk, schema)
+    chips = cells.groupBy(*keys).agg(_chip(bands, patch))
+    return _with_similarity(chips, bands, patch, data_range)
 
 
 def ssim_windows(
@@ -172,11 +172,13 @@ def ssim_windows(
 def score(
     cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0
 ) -> DataFrame:
-    """All four scores per sample."""
-    scores = pixel_scores(cells, keys, bands, data_range)
-    return scores.join(ssim(cells, keys, bands, patch, data_range), keys).select(
-        *keys, "rmse", "psnr", "ssim", "sam"
+    """All four scores per sample, from one pass over the cells."""
+    sums = cells.groupBy(*keys).agg(
+        _mse(bands).alias("_mse"), _sam(bands).alias("sam"), _chip(bands, patch)
     )
+    scored = _with_similarity(sums, bands, patch, data_range)
+    pixel = {c: col for c, col in zip(("rmse", "psnr"), _pixel_columns(F.sqrt("_mse"), data_range))}
+    return scored.select(*keys, pixel["rmse"], pixel["psnr"], "ssim", "sam")
 
 
 def masked_loss(

@@ -39,16 +39,16 @@ def write_cube(
     fmt: str = "parquet",
     compression: str = "zstd",
 ) -> None:
-    """Chunk-partitioned columnar cube, all frames of a patch next to each other.
+    """Chunk-partitioned columnar cube, the frames of a patch next to each other.
 
-    One patch is the unit a write task gets, so tasks stay even however many
-    rows a chunk holds, a chunk folder gets at most one file per patch, and
-    no pass over the input looks for range bounds.
+    Rows are rebalanced by chunk: small chunks share a write task, and a chunk
+    above the session's advisory partition size is split over several, so files
+    come out even however full a chunk is.
     """
     unit = ["cy", "cx", "py", "px"]
     (
         with_storage_keys(cube, patch, chunk)
-        .repartition(*unit)
+        .hint("rebalance", F.col("cy"), F.col("cx"))
         .sortWithinPartitions(*unit, "t", "y", "x")
         .write.mode("overwrite")
         .partitionBy("cy", "cx")

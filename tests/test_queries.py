@@ -10,7 +10,7 @@ from check_oracle import compare, duck
 
 import __spark_entry__ as entry
 from gridloom.config import DifficultyConfig
-from gridloom.operators import intrinsic, samples
+from gridloom.operators import impute, intrinsic, metrics, samples
 from gridloom.plans import sample_queries
 from gridloom.sources import derived, tables
 
@@ -89,6 +89,17 @@ def test_sample_cells_move_once(spark, sf):
     assert "SortMergeJoin" not in plan
 
 
+def test_filling_and_scoring_sample_cells_moves_them_no_further(spark, sf):
+    c, keys = sample_queries.C, ["split", "y_coord", "x_coord", "t_start"]
+    cells = sample_queries.built(spark, sf)
+    moves = _plan(cells).count("Exchange hashpartitioning")
+    filled = impute.temporal_median(cells, c)
+    for done in (filled, impute.best_frames(cells, c), metrics.score(filled, keys, list(c.bands), c.patch)):
+        assert _plan(done).count("Exchange hashpartitioning") == moves
+    # the two sides of the join by patch are the same cells, whose exchange is reused when run
+    assert _plan(impute.oracle_frame(cells, c)).count("Exchange hashpartitioning") == 2 * moves
+
+
 def test_selection_reaches_the_scan(spark, sf, tmp_path):
     path = str(tmp_path / "cube")
     tables.write_cube(derived.cube(spark, sf), path, patch=8, chunk=32)

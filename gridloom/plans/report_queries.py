@@ -239,6 +239,55 @@ def stretch(spark, d):
     return stretched.select("model", "t", "y", "x", r6("red"), r6("green"), r6("blue"))
 
 
+_TRUTH = "SELECT model, y_coord, x_coord, t, y, x, t1 AS red, t4 AS green, t3 AS blue FROM preds"
+_POOLED = "SELECT model, y_coord, x_coord, t, red, green, blue FROM pixels UNION ALL SELECT model, y_coord, x_coord, t, red, green, blue FROM truth"
+_RANGES = """SELECT model, y_coord, x_coord, t, quantile_cont(v, 2e-2) AS p2, quantile_cont(v, 98e-2) AS p98 FROM (
+  SELECT model, y_coord, x_coord, t, unnest([red, green, blue]) AS v FROM {source}) GROUP BY ALL"""
+_ON = "p.model = b.model AND p.y_coord = b.y_coord AND p.x_coord = b.x_coord AND p.t = b.t"
+
+
+def _pictures(spark, d):
+    keys = ["model", "y_coord", "x_coord", "t"]
+    cells = derived.predictions(spark, d)
+    return keys, reports.rgb(cells, [*keys, "y", "x"], "pred_"), reports.rgb(cells, [*keys, "y", "x"], "target_")
+
+
+@query(
+    "o_i13_stretch_pooled",
+    sql_over(
+        "preds",
+        f"""SELECT p.model, p.t, p.y, p.x, round(greatest(0, least(1, CASE WHEN p98 > p2 THEN (red - p2) / (p98 - p2) ELSE red END)) + 1e-9, 6) AS red
+  FROM truth p JOIN bounds b ON {_ON}""",
+        pixels=_PIXELS,
+        truth=_TRUTH,
+        pooled=_POOLED,
+        bounds=_RANGES.format(source="pooled"),
+    ),
+)
+def stretch_pooled(spark, d):
+    keys, predicted, truth = _pictures(spark, d)
+    bounds = reports.stretch_bounds(predicted.unionByName(truth), keys)
+    return reports.stretch(truth, bounds, keys).select("model", "t", "y", "x", r6("red"))
+
+
+@query(
+    "o_i13_stretch_truth",
+    sql_over(
+        "preds",
+        f"""SELECT p.model, p.t, p.y, p.x, round(CASE WHEN p98 > p2 THEN greatest(0, least(1, (blue - p2) / (p98 - p2 + 1e-8))) ELSE blue END + 1e-9, 6) AS blue
+  FROM pixels p JOIN bounds b ON {_ON}""",
+        pixels=_PIXELS,
+        truth=_TRUTH,
+        bounds=_RANGES.format(source="truth"),
+    ),
+)
+def stretch_truth(spark, d):
+    keys, predicted, truth = _pictures(spark, d)
+    bounds = reports.stretch_bounds(truth, keys)
+    shown = reports.stretch(predicted, bounds, keys, epsilon=1e-8, clip_flat=False)
+    return shown.select("model", "t", "y", "x", r6("blue"))
+
+
 @query(
     "o_a17_metrics_scan",
     sql_over(
@@ -295,17 +344,17 @@ def write_report(spark, d):
     )
 
 
-@query(
-    "o_j2_stored_size",
-    """SELECT 3 AS files_at_least, true AS sized""",
-)
+@query("o_j2_stored_size")
 def stored_size(spark, d):
     path = workspace.new_path(spark, "sized")
-    derived.table(spark, d, "orders").repartition(3, "o_orderkey").write.parquet(path)
-    files = listing.stored_files(spark, path)
-    return files.agg(
-        F.least(F.count("*"), F.lit(3)).cast("int").alias("files_at_least"), (F.sum("length") > 0).alias("sized")
+    orders = derived.table(spark, d, "orders")
+    tables.write_by(orders, path, "o_orderpriority")
+    files = listing.stored_files(spark, path).select(
+        F.regexp_extract("path", "o_orderpriority=([^/]+)/", 1).alias("format"), "length"
     )
+    rows = spark.read.parquet(path).groupBy(F.col("o_orderpriority").alias("format"))
+    timings = rows.agg((F.count("*") / F.lit(100.0)).alias("seconds"))
+    return runs.write_report(files, timings)
 
 
 @query(

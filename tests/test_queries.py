@@ -29,7 +29,8 @@ def con(sf):
 
 
 def test_every_query_has_a_twin_and_a_plain_name():
-    assert set(QUERIES) == set(SQL)
+    # a stored size in bytes is nothing SQL can tell
+    assert set(QUERIES) - set(SQL) == {"o_j2_stored_size"} and set(SQL) <= set(QUERIES)
     assert all(name.startswith("o_") for name in QUERIES)
 
 

@@ -40,6 +40,14 @@ def spectral_angle(pred: list[Column], target: list[Column]) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
 
+def quantile(ordered: Column, share: float) -> Column:
+    """Linearly interpolated quantile of a sorted array without NULLs; NULL for an empty one."""
+    at = (F.size(ordered) - 1) * F.lit(share)
+    below = F.floor(at).cast("int")
+    low = F.get(ordered, below)
+    return low + (F.coalesce(F.get(ordered, below + 1), low) - low) * (at - below)
+
+
 def psnr_from_rmse(rmse: Column, data_range: float = 1.0) -> Column:
     """Infinite for a perfect match; NULL stays NULL."""
     return F.when(rmse > 0, F.lit(20.0) * F.log10(F.lit(data_range) / rmse)).when(

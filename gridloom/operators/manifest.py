@@ -91,7 +91,7 @@ def day_paths(df: DataFrame, archive: str, base: str, home: str | None = None) -
 
 
 def first_days(granules: DataFrame, first_n: int | None = None) -> DataFrame:
-    """Distinct dates in order, the first ``first_n`` of them (all when None)."""
+    """The first ``first_n`` distinct dates, or all of them."""
     days = granules.filter("date IS NOT NULL").select("date").distinct()
     return days if first_n is None else days.orderBy("date").limit(first_n)
 

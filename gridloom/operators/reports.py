@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.spectral import psnr_from_rmse
+from gridloom.functions.spectral import psnr_from_rmse, quantile
 from gridloom.operators.ranking import ordered_rank, tercile
 from gridloom.schemas import METRICS
 
@@ -142,12 +142,12 @@ def rgb(cells: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
 def stretch_bounds(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """2nd and 98th percentile over the pooled channels of each sample, interpolated.
 
-    One group is one sample's picture values.
+    One group is one sample's picture: three values per cell of a patch.
     """
-    pooled = pixels.select(*keys, F.explode(F.array("red", "green", "blue")).alias("v"))
-    both = F.percentile("v", F.array(F.lit(0.02), F.lit(0.98)))
-    return pooled.groupBy(*keys).agg(both.alias("_p")).select(
-        *keys, F.col("_p")[0].alias("p2"), F.col("_p")[1].alias("p98")
+    pooled = F.flatten(F.collect_list(F.array("red", "green", "blue")))
+    lists = pixels.groupBy(*keys).agg(F.sort_array(F.array_compact(pooled)).alias("_v"))
+    return lists.select(
+        *keys, quantile(F.col("_v"), 0.02).alias("p2"), quantile(F.col("_v"), 0.98).alias("p98")
     )
 
 

@@ -166,7 +166,8 @@ def series(
 ) -> DataFrame:
     """One row per cell: per band, and for the mask, an array over the frames 0 .. times-1.
 
-    Absent frames have missing bands and the fill code.
+    Absent frames have missing bands and the fill code. (t, y, x) is the cube's
+    key, so a frame occurs once.
 
     With a grid shape, cells never observed occur as well. A group is one cell,
     at most ``times`` rows; rows are placed by patch, so the join with the
@@ -181,7 +182,8 @@ def series(
             F.expr(f"CAST(id % {width} AS INT)").alias("x"),
         )
         rows = rows.unionByName(with_patch(cells, c.patch), allowMissingColumns=True)
-    entry = F.when(F.col("t").isNotNull(), F.struct("t", "usability", *c.bands))
+    code = F.coalesce("usability", F.lit(MASK_FILL)).cast("smallint").alias("usability")
+    entry = F.when(F.col("t").isNotNull(), F.struct("t", code, *c.bands))
     grouped = by_patch(rows, placed).groupBy(*_PATCH, "y", "x").agg(
         F.collect_list(entry).alias("_seen")
     )

@@ -42,6 +42,16 @@ def test_cap_counts_after_the_skip(spark):
     assert got == [names[1], names[2]]
 
 
+def test_cap_on_a_hot_day_acts_before_the_shuffle(spark):
+    names = [_name(1 if i % 3 else 2 + i % 50, "h18v03", i) for i in range(3000)]
+    g = manifest.parse_granules(_files(spark, names))
+    none = spark.createDataFrame([], "name STRING, size BIGINT")
+    capped = manifest.pending(g, none, 10)
+    assert capped.filter("date = DATE'2024-01-01'").count() == 10
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
 def test_completeness_is_exact_and_the_day_cut_comes_first(spark):
     per_day = {1: 3, 2: 4, 3: 5, 4: 4}
     names = [_name(d, f"h1{i}v03", i) for d, n in per_day.items() for i in range(n)]
@@ -97,6 +107,13 @@ def test_materialize_reuses_the_first_result(spark, tmp_path):
     assert workspace.materialize(spark.range(9).withColumn("v", F.lit(2)), path).agg(F.sum("v")).first()[0] == 3
 
 
+def test_cuts_go_to_the_working_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "work_dir", lambda _: str(tmp_path))
+    fixed = workspace.cut(spark.range(5).withColumn("v", F.rand()))
+    assert str(tmp_path) in fixed.inputFiles()[0]
+    assert fixed.collect() == fixed.collect()
+
+
 def test_work_dir_follows_the_session_and_refuses_a_cluster_without_one():
     class Conf:
         def __init__(self, values):

@@ -80,10 +80,13 @@ def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> np.n
     return value.mean(axis=(1, 2, 3))
 
 
-def _chip(bands: list[str], patch: int) -> Column:
-    """Position and values of all cells of a sample; a group is at most ``patch`` squared cells."""
+def _check(patch: int) -> None:
     if patch < SSIM_WINDOW:
         raise ValueError(f"patch must be at least {SSIM_WINDOW}")
+
+
+def _chip(bands: list[str], patch: int) -> Column:
+    """Position and values of all cells of a sample; a group is at most ``patch`` squared cells."""
     place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
     values = F.array(*[F.col(f"{kind}_{b}") for kind in ("pred", "target") for b in bands])
     return F.collect_list(F.struct(place.alias("pos"), values.alias("v"))).alias("_chip")
@@ -122,14 +125,41 @@ def _with_similarity(chips: DataFrame, bands: list[str], patch: int, data_range:
     return flat.mapInArrow(run, schema)
 
 
+def _grouped_similarity(
+    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float
+) -> DataFrame:
+    """Similarity of one sample after the other, from sorted rows that can spill."""
+    values = [f"{kind}_{b}" for kind in ("pred", "target") for b in bands]
+    place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
+    flat = cells.select(*keys, place.alias("_pos"), *values)
+    schema = T.StructType([*(flat.schema[k] for k in keys), T.StructField("ssim", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        stack = np.zeros((1, len(values), patch * patch))
+        at = table.column("_pos").to_numpy()
+        for i, name in enumerate(values):
+            stack[0, i, at] = table.column(name).to_numpy()
+        stack = stack.reshape(1, len(values), patch, patch)
+        score_ = _similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range)
+        return table.select(keys).slice(0, 1).append_column("ssim", pa.array(score_))
+
+    return flat.groupBy(*keys).applyInArrow(run, schema)
+
+
 def ssim(
-    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0
+    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0,
+    lists_up_to: int = 64,
 ) -> DataFrame:
     """Structural similarity per sample: 7 by 7 uniform windows, interior mean, mask ignored.
 
     ``keys`` include y_coord and x_coord. Cells already placed by patch are
-    grouped where they are.
+    grouped where they are. Patches up to ``lists_up_to`` cells wide travel as
+    one row each, many to a batch; wider ones come to Python one by one from
+    sorted rows, so that no task holds more than one.
     """
+    _check(patch)
+    if patch > lists_up_to:
+        return _grouped_similarity(cells, keys, bands, patch, data_range)
     chips = cells.groupBy(*keys).agg(_chip(bands, patch))
     return _with_similarity(chips, bands, patch, data_range)
 
@@ -170,15 +200,21 @@ def ssim_windows(
 
 
 def score(
-    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0
+    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0,
+    lists_up_to: int = 64,
 ) -> DataFrame:
-    """All four scores per sample, from one pass over the cells."""
+    """All four scores per sample; small patches in one pass, wide ones as two parts of one."""
+    _check(patch)
+    if patch > lists_up_to:
+        parts = pixel_scores(cells, keys, bands, data_range)
+        similar = _grouped_similarity(cells, keys, bands, patch, data_range)
+        return parts.join(similar, keys).select(*keys, "rmse", "psnr", "ssim", "sam")
     sums = cells.groupBy(*keys).agg(
         _mse(bands).alias("_mse"), _sam(bands).alias("sam"), _chip(bands, patch)
     )
     scored = _with_similarity(sums, bands, patch, data_range)
-    pixel = {c: col for c, col in zip(("rmse", "psnr"), _pixel_columns(F.sqrt("_mse"), data_range))}
-    return scored.select(*keys, pixel["rmse"], pixel["psnr"], "ssim", "sam")
+    rmse, psnr, _ = _pixel_columns(F.sqrt("_mse"), data_range)
+    return scored.select(*keys, rmse, psnr, "ssim", "sam")
 
 
 def masked_loss(

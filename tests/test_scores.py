@@ -43,9 +43,10 @@ def arrays():
     return pred, target, rng.random(target.shape) < 0.7
 
 
-def test_scores_match_numpy(spark, arrays):
+@pytest.mark.parametrize("lists_up_to", [64, 0])
+def test_scores_match_numpy(spark, arrays, lists_up_to):
     pred, target, valid = arrays
-    row = metrics.score(_cells(spark, *arrays), KEYS, BANDS, 16).first()
+    row = metrics.score(_cells(spark, *arrays), KEYS, BANDS, 16, lists_up_to=lists_up_to).first()
     mse = ((pred - target) ** 2)[valid].mean()
     assert row.rmse == pytest.approx(np.sqrt(mse))
     assert row.psnr == pytest.approx(10 * np.log10(1 / mse))
@@ -56,11 +57,14 @@ def test_scores_match_numpy(spark, arrays):
     assert row.sam == pytest.approx(np.arccos(np.clip(cosine, -1, 1)).mean())
 
 
-def test_both_similarity_forms_agree(spark, arrays):
+def test_all_similarity_forms_agree(spark, arrays):
     cells = _cells(spark, *arrays)
     a = metrics.ssim(cells, KEYS, BANDS, 16).first().ssim
     b = metrics.ssim_windows(cells, KEYS, BANDS, 16).first().ssim
-    assert a == pytest.approx(b, abs=1e-12)
+    c = metrics.ssim(cells, KEYS, BANDS, 16, lists_up_to=0).first().ssim
+    assert a == pytest.approx(b, abs=1e-12) and a == pytest.approx(c, abs=1e-12)
+    with pytest.raises(ValueError):
+        metrics.ssim(cells, KEYS, BANDS, 6)
 
 
 def test_similarity_across_arrow_batches(spark, arrays):
@@ -73,8 +77,9 @@ def test_similarity_across_arrow_batches(spark, arrays):
     try:
         for rows in (7, 256, 600, 10000):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-            got = {r.model: r.ssim for r in metrics.ssim(cells, KEYS, BANDS, 16).collect()}
-            assert got == pytest.approx(want)
+            for lists_up_to in (64, 0):
+                found = metrics.ssim(cells, KEYS, BANDS, 16, lists_up_to=lists_up_to).collect()
+                assert {r.model: r.ssim for r in found} == pytest.approx(want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +79,8 @@ def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
 def stack_inputs(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """One flat array per sample, in (band, frame, row, column) order.
 
-    A group is one dense sample: patch x patch cells.
+    A group is one dense sample: patch x patch cells. For wide patches take
+    ``predict_cells``, which holds one sample at a time.
     """
     entry = F.struct("y", "x", *[F.col(f"in_{b}").cast("array<float>").alias(b) for b in c.bands])
     grouped = cells.groupBy(*SAMPLE_KEY).agg(F.sort_array(F.collect_list(entry)).alias("_c"))
@@ -111,3 +113,34 @@ def predict(
                 yield part
 
     return stacks.mapInPandas(run, schema)
+
+
+def predict_cells(
+    cells: DataFrame, c: SampleConfig, model: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
+    """Run a user model sample by sample; predictions come back beside each cell's truth.
+
+    The model gets (1, bands, frames, rows, columns) and returns (1, bands,
+    rows, columns). A task holds one sample, from sorted rows that can spill,
+    and cells already placed by patch do not move.
+    """
+    kept = [*_CELL, *_scored(c)]
+    flat = cells.select(*kept, *[f"in_{b}" for b in c.bands])
+    schema = T.StructType(
+        [*(flat.schema[k] for k in kept), *(T.StructField(f"pred_{b}", T.DoubleType()) for b in c.bands)]
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        y = table.column("y").to_numpy() - table.column("y_coord").to_numpy()
+        x = table.column("x").to_numpy() - table.column("x_coord").to_numpy()
+        stack = np.zeros((1, len(c.bands), c.window, c.patch, c.patch))
+        for i, b in enumerate(c.bands):
+            values = table.column(f"in_{b}").combine_chunks().flatten().to_numpy()
+            stack[0, i][:, y, x] = values.reshape(-1, c.window).T
+        made = np.asarray(model(stack), dtype=float)[0]
+        out = table.select(kept)
+        for i, b in enumerate(c.bands):
+            out = out.append_column(f"pred_{b}", pa.array(made[i, y, x]))
+        return out
+
+    return flat.groupBy(*SAMPLE_KEY).applyInArrow(run, schema)

@@ -101,6 +101,20 @@ def predict(spark, d):
     return flat.filter("pos BETWEEN 128 AND 191").withColumn("v", F.round(F.col("v").cast("double"), 4))
 
 
+@query(
+    "o_h3_predict_cells",
+    sql_over(
+        "shape dense",
+        f"""SELECT {_S}, y, x, {q6('avg(in_b01)')} AS pred_b01, {q6('avg(in_b06)')} AS pred_b06, {q6('max(target_b01)')} AS target_b01
+  FROM built GROUP BY {_S}, y, x""",
+        **sq.BUILT,
+    ),
+)
+def predict_cells(spark, d):
+    made = impute.predict_cells(sq.built(spark, d), sq.C, lambda stack: stack.mean(axis=2))
+    return made.select(*SAMPLE_KEY, "y", "x", r6("pred_b01"), r6("pred_b06"), r6("target_b01"))
+
+
 @query("o_h4_rmse", sql_over("preds", f"SELECT {_K}, {q6('rmse')} AS rmse FROM pixel", pixel=_PIXEL))
 def rmse(spark, d):
     return _scores(spark, d).select(*_KEYS, r6("rmse"))

@@ -141,6 +141,18 @@ def test_gap_filling(spark):
     np.testing.assert_allclose(out.output, stack.max(axis=1).ravel(), rtol=1e-6)
 
 
+def test_model_on_cells_then_scores(spark):
+    rng = np.random.default_rng(6)
+    stack, target = rng.random((3, 4, 8, 8)), rng.random((3, 8, 8))
+    c = SampleConfig(patch=8, window=4, bands=tuple(BANDS))
+    made = impute.predict_cells(_sample(spark, stack, target), c, lambda a: a.max(axis=2))
+    for r in made.collect():
+        assert [r[f"pred_{b}"] for b in BANDS] == pytest.approx(stack.max(axis=1)[:, r.y, r.x])
+    row = metrics.score(made, ["split", "y_coord", "x_coord", "t_start"], BANDS, 8).first()
+    assert row.rmse == pytest.approx(np.sqrt(((stack.max(axis=1) - target) ** 2).mean()))
+    assert row.ssim == pytest.approx(_ssim(stack.max(axis=1), target))
+
+
 def test_earliest_frame_wins_ties(spark):
     stack = np.zeros((3, 4, 2, 2))
     c = SampleConfig(patch=2, window=4, bands=tuple(BANDS))

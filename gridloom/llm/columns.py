@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 12_000_000
+PIECE_BYTES = 6_000_000
 
 
 def _table(chars: bytes) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import fertility, packing
+from gridloom.llm import fertility, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +38,9 @@ def op3_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
     )
+
+
+@query
+def op6_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under a Jaccard similarity of 0.85 of three-word shingles."""
+    return near_dedup.link(table(spark, sf_dir, "documents"), size=3, percent=85)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import fertility, near_dedup, packing
+from gridloom.llm import fertility, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,9 @@ def op3_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of each document under a Jaccard similarity of 0.85 of three-word shingles."""
     return near_dedup.link(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query
+def op10_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document, from labels of rows that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)

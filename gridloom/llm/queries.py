@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import fertility, near_dedup, packing, quality
+from gridloom.llm import fertility, grammar, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,9 @@ def op6_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of each document, from labels of rows that are not held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+@query
+def op5_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of each document's ids, read back from grammar-compressed files."""
+    return grammar.store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)

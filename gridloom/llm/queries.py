@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import fertility, grammar, near_dedup, packing, quality
+from gridloom.llm import fertility, grammar, line_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,10 @@ def op10_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, length and checksum of each document's ids, read back from grammar-compressed files."""
     return grammar.store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op4_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without lines that equal, or nearly equal, an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, max_edits=1, min_words=3, min_near=40)

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 6_000_000
+PIECE_BYTES = 2_500_000
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -136,7 +136,7 @@ class Encoder:
     tokens in a text are ordinary text.
     """
 
-    CACHE = 1_000_000
+    CACHE = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,8 +168,6 @@ class Encoder:
         return np.append(np.flatnonzero(start), len(data))
 
     def _learn(self, new: list[str], with_spans: bool) -> None:
-        if len(self.known) + len(new) > self.CACHE:
-            self.known.clear()
         plain, hard = [], []
         for piece in new:
             body = piece.strip(" \n") if self.lower else piece[1:] if piece[:1] == " " else piece
@@ -196,6 +194,7 @@ class Encoder:
         codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
         new = [p for p in distinct if p not in self.known]
         if len(self.known) + len(new) > self.CACHE:
+            self.known.clear()
             new = distinct
         if new:
             self._learn(new, with_spans)

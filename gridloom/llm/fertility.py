@@ -12,6 +12,7 @@ one by one; a NULL language uses the script; an empty table gives no rows; other
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,7 +94,7 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def scripts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     """The script with most letters in each row, judged by the lead bytes of its characters."""
     n = len(offsets) - 1
-    upto = np.concatenate(([0], np.cumsum(LETTER[data])))
+    upto = np.concatenate(([0], np.cumsum(LETTER[data], dtype=np.int32)))
     lead = np.flatnonzero((data >= 0xC2) & (data < 0xF0))
     first, second = data[lead].astype(np.int64), data[lead + 1].astype(np.int64) & 0x3F
     third = data[np.minimum(lead + 2, len(data) - 1)].astype(np.int64) & 0x3F
@@ -143,18 +144,18 @@ def measure(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> Dat
                 new = distinct
             plain = byte_level.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
             for w, found, other in zip(new, plain, piece_level.encode(new, num_threads=1) if new else []):
-                known[w] = (len(found.ids), np.array(other, "<u4").tobytes())
+                known[w] = (len(found.ids), array("I", other).tobytes())
             rated = [known[w] for w in distinct]
             sizes = np.array([len(r[1]) // 4 for r in rated], np.int64)
             first = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else sizes
             tokens, per_word = gathered(np.frombuffer(b"".join(r[1] for r in rated), "<u4"), first, sizes, codes)
             owner = np.repeat(rows, per_word)
-            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
             word_chars = summed(chars[ends] - chars[starts], rows, n)
             byte_tokens = summed(np.array([r[0] for r in rated], np.int64)[codes], rows, n)
             piece_tokens = np.bincount(owner, minlength=n)
             fallback = np.bincount(owner[is_byte[tokens]], minlength=n)
-            upto = np.concatenate(([0], np.cumsum(SYMBOL[data])))
+            upto = np.concatenate(([0], np.cumsum(SYMBOL[data], dtype=np.int32)))
             empty = piece_tokens == 0
 
             def ratio(a: np.ndarray, b: np.ndarray) -> pa.Array:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import fertility, grammar, line_dedup, near_dedup, packing, quality
+from gridloom.llm import decontaminate, fertility, grammar, line_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op4_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without lines that equal, or nearly equal, an earlier one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs, max_edits=1, min_words=3, min_near=40)
+
+
+@query
+def op7_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents within five edits per hundred characters."""
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_rate=0.05)

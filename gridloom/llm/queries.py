@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, fertility, grammar, line_dedup, near_dedup, packing, quality
+from gridloom.llm import decontaminate, fertility, grammar, html_text, line_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,10 @@ def op4_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents within five edits per hundred characters."""
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_rate=0.05)
+
+
+@query
+def op9_tree_model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))

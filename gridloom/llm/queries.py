@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, fertility, grammar, html_text, line_dedup, near_dedup, packing, quality
+from gridloom.llm import decontaminate, fertility, grammar, html_text, line_dedup, near_dedup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,11 @@ def op9_tree_model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.train(pages))
+
+
+@query
+def op2_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each field and line of every document."""
+    return token_counts.count(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ("source", "lang", "text"), rule="most"
+    )

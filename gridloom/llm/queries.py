@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, fertility, grammar, html_text, line_dedup, near_dedup, packing, quality, token_counts
+from gridloom.llm import decontaminate, fertility, grammar, html_text, licences, line_dedup, near_dedup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,10 @@ def op2_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ("source", "lang", "text"), rule="most"
     )
+
+
+@query
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of each document, from its paragraphs."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))

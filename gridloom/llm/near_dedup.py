@@ -8,9 +8,10 @@ pairs under that distance share a key. With 6 chunks of 4 values and one error t
 at a similarity of 0.85 exceeds it with a probability below 0.0001. Links are confirmed on the full sets.
 
 Documents with equal sets form one class, found by a 128-bit digest; only the class's smallest document enters the
-index. Of each key, every document is first compared with the smallest one; what these links join need not be compared
-any more, and all pairs of a key whose documents lie in different components follow. So a group of N near
-copies costs N comparisons, and no link between components is lost.
+index. Of each key, every document is first compared with the most connected one; what these links join need not be compared
+any more, and all pairs of a key whose documents lie in different components follow, unless the shingles that
+one of them shares with no other such document rule a link out. So a group of N near copies costs about N
+comparisons, and no link between components is lost.
 
 Defined results: NULL texts and texts without words have an empty set, link with nothing and are kept. Rows that repeat a
 ``doc_id`` are one node: their sets all count for it, and each row gets the node's component. A NULL ``doc_id`` links with
@@ -78,6 +79,18 @@ def minwise(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def digests(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Two words per row that stand for its set; 0 for an empty one."""
+    out = np.zeros((2, n), np.int64)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(starts):
+        with np.errstate(over="ignore"):
+            for k in range(2):
+                turned = mixed(values + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03))
+                out[k, owner[starts]] = np.add.reduceat(turned, starts).view(np.int64)
+    return out
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Set size, 128-bit digest of the set, signature and sketch of each document."""
     n_values = CHUNKS * WIDTH
@@ -89,14 +102,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             counts = np.bincount(owner, minlength=n).astype(np.int64) if len(owner) else np.zeros(n, np.int64)
             full = np.flatnonzero(counts)
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            sums = np.zeros((2, n), np.int64)
+            sums = digests(owner, values, n)
             values_out = np.zeros((n, n_values), np.int32)
             bits = sketch(owner, values, n)
             if len(starts):
-                with np.errstate(over="ignore"):
-                    for k, seed in enumerate((1, 2)):
-                        turned = mixed(values + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
-                        sums[k, full] = np.add.reduceat(turned, starts).view(np.int64)
                 least = minwise(values, starts, n_values)
                 values_out[full] = (least >> np.uint64(40)).T.astype(np.int64) & (KEY_WIDTH - 1)
             flat = pa.array(values_out.ravel())
@@ -143,7 +152,7 @@ def keys(classes: DataFrame) -> DataFrame:
         return out
 
     every = F.array(*(key(c, i, kept) for c in range(CHUNKS) for i, kept in enumerate(choices)))
-    return classes.select("doc_id", "n_shingles", "bits1", "bits2", F.explode(every).alias("key"))
+    return classes.select("doc_id", "n_shingles", "digest1", "bits1", "bits2", F.explode(every).alias("key"))
 
 
 def close(percent: int) -> Column:
@@ -155,24 +164,40 @@ def close(percent: int) -> Column:
     return (100 * small >= percent * large) & (differ <= SKETCH_LIMIT)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; the sets are made anew for the documents concerned."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Digest and full set of the documents named by ``ids``, made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             owner, values = shingled(batch.column("text"), size)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(batch)))))
+            n = len(batch)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    pa.array(digests(owner, values, n)[0]),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))),
                 ],
-                names=["doc_id", "shingles"],
+                names=["doc_id", "digest1", "shingles"],
             )
 
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return chosen.mapInArrow(run, "doc_id bigint, digest1 bigint, shingles array<bigint>")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """How many shingles of each set no other set of the table has."""
+    spread = sets.select("doc_id", "digest1", F.explode("shingles").alias("shingle"))
+    seen = spread.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("digest1").alias("digest1")
+    )
+    return seen.where("n = 1").groupBy("doc_id", "digest1").agg(F.count("*").alias("own"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = shingle_sets(docs, ids, size)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -198,33 +223,48 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         ["digest1", "digest2", "n_shingles", "doc_id"], "left_semi",
     ).dropDuplicates(["doc_id", "digest1", "digest2"])
     index = keys(picked)
-    shared = index.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre != last")
-    index = cut(index.join(shared.select("key", "centre"), "key"), "index")
-
-    head = index.where("doc_id = centre").select("key", "n_shingles", "bits1", "bits2", "doc_id").dropDuplicates(["key", "doc_id", "bits1", "bits2"])
+    shared = index.groupBy("key").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p != q").select("key")
+    index = cut(index.join(shared, "key", "left_semi"), "index")
+
+    # a key's centre is the document that shares most keys with most others
+    crowd = index.groupBy("key").agg(F.count("*").alias("n"))
+    degree = index.select("key", "doc_id").join(crowd, "key").groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    centres = index.select("key", "doc_id").join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", "doc_id")).alias("c"))
+    centres = centres.select("key", F.col("c.doc_id").alias("centre"))
+    head = (
+        index.join(centres, "key").where("doc_id = centre").select("key", "n_shingles", "bits1", "bits2", "doc_id")
+        .dropDuplicates(["key", "doc_id", "bits1", "bits2"])
+    )
     stars = (
-        index.where("doc_id != centre").alias("l").join(head.alias("r"), (F.col("l.key") == F.col("r.key")) & close(percent))
+        index.alias("l")
+        .join(head.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") != F.col("r.doc_id")) & close(percent))
         .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     )
     stars = cut(stars, "stars")
     found = cut(confirmed(stars, docs, size, percent), "links")
 
-    # what lies in different components is compared pair by pair
+    # what lies in different components is compared pair by pair, unless shingles of its own rule a link out
     parts = components(found)
     placed = index.join(parts, index["doc_id"] == parts["node"], "left").select(
         index["*"], F.coalesce("root", "doc_id").alias("part")
     )
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
     placed = cut(placed.join(mixed_keys.select("key"), "key", "left_semi"), "open")
+    own = own_shingles(shingle_sets(docs, placed.select("doc_id").distinct(), size))
+    placed = placed.join(own, ["doc_id", "digest1"], "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+    placed = placed.where(100 * F.col("common") >= percent * F.col("n_shingles"))
+    most = F.least("l.common", "r.common")
+    possible = 100 * most >= percent * (F.col("l.n_shingles") + F.col("r.n_shingles") - most)
     rest = (
         placed.alias("l").join(
             placed.alias("r"),
             (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part"))
-            & (F.col("l.doc_id") > F.col("r.doc_id")) & close(percent),
+            & (F.col("l.doc_id") > F.col("r.doc_id")) & close(percent) & possible,
         )
         .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     )
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = confirmed(rest, docs, size, percent)
     roots = components(found.union(more).union(equal))
     joined = marked.join(roots, marked["doc_id"] == roots["node"], "left")

@@ -227,3 +227,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limit: int = 2000) -> DataFrame:
     """Trains on the labelled rows that are not held out and scores every row."""
     return score(docs, train(docs, labels, limit), threshold)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns; no row moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            rows, features = indicators(batch.column("text"))
+            yield batch.filter(pa.array(model.scores(rows, features, len(batch)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,8 +7,11 @@ of bytes other than space, tab, newline, vertical tab, form feed and return.
 from __future__ import annotations
 
 import os
+import sys
+import types
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,8 @@ def _table(chars: bytes) -> np.ndarray:
 
 SPACE = _table(b" \t\n\x0b\x0c\r")
 LETTER = _table(bytes(range(65, 91)) + bytes(range(97, 123)))
+LOWER_CASE = np.arange(256, dtype=np.uint8)
+LOWER_CASE[65:91] += 32
 # ASCII punctuation that no pre-tokenizer pattern joins to a letter before it (the apostrophe does)
 STOP = _table(bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"))
 
@@ -121,9 +126,28 @@ def gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, codes: np
     return values[at], n
 
 
+def kept(name: str) -> dict:
+    """A dictionary that a reused worker process keeps for its next task; functions travel by value, module globals do not stay."""
+    holder = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker"))
+    return holder.__dict__.setdefault(name, {})
+
+
 # the byte alphabet of byte-level files: printable Latin-1 stands for itself, the rest follows from 256
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_KEPT)))}
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_KEPT)))}
+
+
+class Store:
+    """Ids (and character spans) of pieces, one after the other."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.begin, self.ids, self.spans = array("q", [0]), array("I"), array("I")
+
+    def add(self, piece: str, ids: list[int]) -> None:
+        self.index[piece] = len(self.begin) - 1
+        self.ids.extend(ids)
+        self.begin.append(len(self.ids))
 
 
 class Encoder:
@@ -145,7 +169,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lower = self.tokenizer.normalizer is not None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.path = path
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Offsets of the pieces, and of the rows."""
@@ -167,41 +191,53 @@ class Encoder:
         start[first[first < len(data)]] = True
         return np.append(np.flatnonzero(start), len(data))
 
-    def _learn(self, new: list[str], with_spans: bool) -> None:
+    def _learn(self, store: Store, new: list[str], with_spans: bool) -> None:
         plain, hard = [], []
         for piece in new:
-            body = piece.strip(" \n") if self.lower else piece[1:] if piece[:1] == " " else piece
+            body = piece[1:] if piece[:1] == " " and not self.lower else piece
             easy = not with_spans and body.isalpha() and (body.isascii() or max(body) < "\u0100")
             (plain if easy else hard).append(piece)
         # one run of letters is one pre-token: the model itself takes it, in its byte alphabet
-        tokenize, known = self.tokenizer.model.tokenize, self.known
+        tokenize = self.tokenizer.model.tokenize
         for piece in plain:
-            part = piece.strip(" \n").lower() if self.lower else piece
-            known[piece] = (array("I", [t.id for t in tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes(), b"")
+            part = piece.lower() if self.lower else piece
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(BYTE_CHARS)
+            elif part[0] == " ":
+                part = BYTE_CHARS[32] + part[1:]
+            store.add(piece, [t.id for t in tokenize(part)])
         encode = self.tokenizer.encode_batch if with_spans else self.tokenizer.encode_batch_fast
         for piece, found in zip(hard, encode(hard, add_special_tokens=False)):
-            where = np.array(found.offsets, "<u4").tobytes() if with_spans else b""
-            known[piece] = (array("I", found.ids).tobytes(), where)
+            store.add(piece, found.ids)
+            if with_spans:
+                store.spans.extend(chain.from_iterable(found.offsets))
 
     def __call__(self, column: pa.Array, with_spans: bool = False):
         """Ids of all rows in a row and the offsets of the rows in them.
 
         ``with_spans`` adds first character and character behind each token, counted from the row's start.
         """
+        memory = kept(f"pieces {self.path} {with_spans}")
+        store = memory.setdefault("store", Store())
         data, offsets = flat(column)
         cuts = self.cuts(data, offsets) if len(data) else np.zeros(1, np.int64)
-        found = strings(data, cuts).dictionary_encode()
+        body, at = data, cuts
+        if self.lower and not with_spans:  # such a file drops white space and case, so fewer pieces differ without them
+            inside = ~SPACE[data]
+            at = np.concatenate(([0], np.cumsum(inside)))[cuts]
+            body = LOWER_CASE[data][inside]
+        found = strings(body, at).dictionary_encode()
         codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > self.CACHE:
-            self.known.clear()
-            new = distinct
-        if new:
-            self._learn(new, with_spans)
-        known = [self.known[p] for p in distinct]
-        sizes = np.array([len(k[0]) // 4 for k in known], np.int64)
-        first = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else sizes
-        ids, n = gathered(np.frombuffer(b"".join(k[0] for k in known), "<u4"), first, sizes, codes)
+        if len(store.index) > self.CACHE:
+            store = memory["store"] = Store()
+        places = list(map(store.index.get, distinct))
+        if None in places:
+            self._learn(store, [p for p, at in zip(distinct, places) if at is None], with_spans)
+            places = list(map(store.index.get, distinct))
+        places = np.array(places, np.int64)
+        begin = np.frombuffer(store.begin, np.int64)
+        first, sizes = begin[places], begin[places + 1] - begin[places]
+        ids, n = gathered(np.frombuffer(store.ids, np.uint32), first, sizes, codes)
         upto = np.concatenate(([0], np.cumsum(n)))
         rows = upto[np.searchsorted(cuts[:-1], offsets)]
         if not with_spans:
@@ -209,6 +245,6 @@ class Encoder:
         chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         row = rows_of(cuts[:-1], offsets)
         base = np.repeat(chars[cuts[:-1]] - chars[offsets[row]], n)
-        where = np.frombuffer(b"".join(k[1] for k in known), "<u4").reshape(-1, 2)
+        where = np.frombuffer(store.spans, np.uint32).reshape(-1, 2)
         at, _ = gathered(np.arange(len(where)), first, sizes, codes)
         return ids, rows, base + where[at, 0], base + where[at, 1]

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import LETTER, Encoder, coded, flat, gathered, mixed, pieces, rows_of, spans
+from gridloom.llm.columns import LETTER, Encoder, coded, flat, gathered, kept, mixed, pieces, rows_of, spans
 from gridloom.sources.workspace import cut
 
 SYMBOL = np.zeros(256, bool)
@@ -130,7 +130,7 @@ def measure(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> Dat
         byte_level = Encoder(byte_vocabulary)
         piece_level = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary)
         is_byte = np.array([piece_level.is_byte(i) for i in range(piece_level.get_piece_size())])
-        known: dict[str, tuple[int, bytes]] = {}
+        known: dict[str, tuple[int, bytes]] = kept(f"words {byte_vocabulary} {piece_vocabulary}")
         for batch in pieces(batches, "text"):
             data, offsets = flat(batch.column("text"))
             n = len(offsets) - 1

@@ -94,11 +94,12 @@ def words(text: Column) -> Column:
 
 def grams(column: Column, longest: int = 3) -> Column:
     """Distinct n-grams of an array of words."""
-    parts = [
-        F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(1), F.size(column) - (n - 1)), lambda i, n=n: F.array_join(F.slice(column, i, n), " ")))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ]
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(column) - (n - 1))
+        joined = F.transform(places, lambda i: F.array_join(F.slice(column, i, n), " "))
+        return F.when(F.size(column) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(n) for n in range(1, longest + 1)]
     return F.array_distinct(F.concat(*parts))
 
 
@@ -147,13 +148,13 @@ def train(docs: DataFrame, sample: int = 100, common: float = 0.01, alpha: float
         texts = [(f, t) for f, t in TEMPLATES] + [(NONE, t) for t in LOOK_ALIKES]
         spelled = _rows(docs.sparkSession, texts, "family string, text string").select("family", words(F.col("text")).alias("words"))
         spelled = [(r["family"], r["words"], r["terms"]) for r in spelled.select("family", "words", grams(F.col("words")).alias("terms")).collect()]
-        plain = rows.where(F.size("words") > 0)
-        total = max(plain.where(F.col("family") == NONE).count(), 1)
+        lines = rows.where("weight = 1")
+        total = lines.count()
         usual = sorted({w for _, ws, _ in spelled for w in ws})
         often = {
             r["w"]
-            for r in plain.where(F.col("family") == NONE).select(F.explode(F.array_distinct("words")).alias("w"))
-            .where(F.col("w").isin(usual)).groupBy("w").count().where(F.col("count") >= common * total).collect()
+            for r in lines.select(F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(usual))
+            .groupBy("w").count().where(F.col("count") > common * total + 2).collect()
         }
         cues = [w for w in usual if w not in often]
         cue = set(cues)

@@ -31,11 +31,11 @@ def state_fields(state: Column) -> dict[str, Column]:
     }
 
 
-def usability(state: Column, fill: int = 65535) -> Column:
-    """Usability code of a state word, worst condition first; cloud state 3 is clear."""
+def usability(state: Column, fill: int = 65535, mask_fill: int = 255) -> Column:
+    """Usability code of a state word, worst condition first; cloud state 3 is clear. ``mask_fill`` stands for the fill word."""
     f = state_fields(state)
     return (
-        F.when(state == fill, 255)
+        F.when(state == fill, mask_fill)
         .when(f["cloud"].isin(1, 2), 4)
         .when((f["adjacent"] == 1) | (f["cirrus"] != 0), 3)
         .when(f["aerosol"] == 3, 2)

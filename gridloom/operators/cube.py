@@ -74,7 +74,7 @@ def upsample_mask(fine: DataFrame, coarse: DataFrame, c: CubeConfig) -> DataFram
         *_TILE,
         F.col("row").alias("_row"),
         F.col("col").alias("_col"),
-        usability(F.col("state"), c.state_fill).alias("usability"),
+        usability(F.col("state"), c.state_fill, c.mask_fill).alias("usability"),
     )
     keyed = fine.withColumns(
         {

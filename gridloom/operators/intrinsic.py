@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gridloom.config import LAND_COVER, DifficultyConfig
 from gridloom.functions.spectral import add, ndvi, ndvi_unbounded, quantile
-from gridloom.operators.patches import by_patch, extract, patch_coords, with_patch
-from gridloom.operators.ranking import hash_bucket, ordered_rank, tercile
+from gridloom.operators.patches import extract, patch_coords, with_patch
+from gridloom.operators.ranking import digest, ordered_rank, tercile
 from gridloom.schemas import BANDS
 from gridloom.sources.workspace import cut
 
@@ -76,18 +76,20 @@ def histogram(long: DataFrame, lo: float, hi: float, bins: int, value: str = "re
 
 
 def density(hist: DataFrame, lo: float, hi: float, bins: int, bandwidth: float) -> DataFrame:
-    """Gaussian density at bin centres from the histogram's inner bins.
+    """Gaussian density at bin centres, over all values.
 
-    The input has at most bins x bands x classes rows; each adds its weight to
-    every centre.
+    The input has at most (bins + 2) x bands x classes rows; each inner one adds
+    its weight to every centre. Values below ``lo`` and from ``hi`` on have no known
+    place, so they count in the total only: the curve over [lo, hi] holds
+    their share less than 1.
     """
     step = (hi - lo) / bins
-    inner = hist.filter(F.col("bin").between(1, bins))
-    spread = inner.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    spread = hist.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    inside = F.col("bin").between(1, bins)
     z = (F.col("at") - F.col("bin")) * F.lit(step / bandwidth)
     kernel = F.exp(-0.5 * z * z) * F.lit(1.0 / (bandwidth * (2.0 * 3.141592653589793) ** 0.5))
     return spread.groupBy("band", "land_cover_name", "at").agg(
-        (F.sum(kernel * F.col("n")) / F.sum("n")).alias("density"),
+        (F.sum(F.when(inside, kernel * F.col("n")).otherwise(0.0)) / F.sum("n")).alias("density"),
     )
 
 
@@ -116,7 +118,7 @@ def band_correlation(df: DataFrame, bands: list[str]) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` rows in seeded order: a top-n per task, then of those."""
-    return df.orderBy(hash_bucket(["y", "x"], seed), "y", "x").limit(n)
+    return df.orderBy(digest("rows", ["y", "x"], seed), "y", "x").limit(n)
 
 
 def stable_cells(cube: DataFrame, landcover: DataFrame, classes: list[int]) -> DataFrame:
@@ -149,17 +151,15 @@ def shannon(landcover: DataFrame, patch: int, height=None, width=None) -> DataFr
     )
 
 
-def cell_stats(
-    cube: DataFrame, c: DifficultyConfig, height=None, width=None, placed: bool = False
-) -> DataFrame:
+def cell_stats(cube: DataFrame, c: DifficultyConfig, height=None, width=None) -> DataFrame:
     """Per cell: NDVI deviation over time and number of cloudy frames.
 
-    Rows are placed by patch before anything else, so the cell and the patch
-    aggregate that follows share this one exchange; a cube table bucketed by
-    patch (``placed``) needs none.
+    The frames of a cell that a task reads are combined before anything moves, and
+    cells spread over as many tasks as there are, not one per patch. A cube
+    table bucketed by patch is aggregated where it lies.
     """
     red, nir = F.col(c.red), F.col(c.nir)
-    values = with_patch(cube, c.patch, height, width).select(
+    cells = with_patch(cube, c.patch, height, width).select(
         *_PATCH,
         "y",
         "x",
@@ -167,7 +167,6 @@ def cell_stats(
         ndvi_unbounded(red, nir).alias("unbounded"),
         (F.col("usability") == c.cloudy_code).cast("int").alias("cloudy"),
     )
-    cells = by_patch(values, placed)
     return cells.groupBy(*_PATCH, "y", "x").agg(
         F.when(~F.coalesce(F.bool_or("unbounded"), F.lit(False)), F.stddev_pop("ndvi")).alias("ndvi_std"),
         F.sum(F.coalesce("cloudy", F.lit(0))).alias("cloudy"),
@@ -176,16 +175,19 @@ def cell_stats(
 
 
 def cube_metrics(
-    cube: DataFrame, c: DifficultyConfig, times: int | None = None, height=None, width=None,
-    placed: bool = False,
+    cube: DataFrame, c: DifficultyConfig, times: int | None = None, height: int | None = None, width: int | None = None
 ) -> DataFrame:
     """Phenology variability and cloud persistence per patch.
 
     ``times`` is the number of frames of the cube. With it, absent rows count
     as frames and cells that are not cloudy, so a sparse cube need not be made
-    dense; without it the rows present are the denominator.
+    dense; the grid's ``height`` and ``width`` must then be given, since patches
+    cut off at its edge are left out. Without ``times`` the rows present are
+    the denominator.
     """
-    stats = cell_stats(cube, c, height, width, placed)
+    if times is not None and (height is None or width is None):
+        raise ValueError("times needs the grid's height and width")
+    stats = cell_stats(cube, c, height, width)
     share = (
         F.avg(F.col("cloudy") / F.col("frames"))
         if times is None
@@ -225,7 +227,6 @@ def difficulty(
     height=None,
     width=None,
     geo: tuple[float, float, float] = (0.0, 0.0, 1.0),
-    placed: bool = False,
 ) -> DataFrame:
     """Difficulty index per patch with its three parts and both coordinate systems.
 
@@ -233,7 +234,7 @@ def difficulty(
     """
     parts = ["heterogeneity", "phenology_variability", "cloud_persistence"]
     joined = shannon(landcover, c.patch, height, width).join(
-        cube_metrics(cube, c, times, height, width, placed), _PATCH
+        cube_metrics(cube, c, times, height, width), _PATCH
     )
     scored = min_max(joined, parts)
     index = add([F.lit(w) * F.col(f"{m}_norm") for w, m in zip(c.weights, parts)])

@@ -45,22 +45,28 @@ def classify_entries(listing: DataFrame) -> DataFrame:
 def pending(
     granules: DataFrame, present: DataFrame, max_per_day: int = 10, order: str = "pos"
 ) -> DataFrame:
-    """Files not yet stored with content, at most ``max_per_day`` a day in listing order.
+    """Files not yet stored with content, at most ``max_per_day`` a product and day in listing order.
 
-    The cap on the row number reaches the map side as a group limit, so a day
-    that holds most of the listing still sends few rows.
+    Directories are neither fetched nor counted. The cap on the row number reaches the
+    map side as a group limit, so a day that holds most of the listing still
+    sends few rows.
     """
     return cap_per_day(missing(granules, present), max_per_day, order)
 
 
 def missing(granules: DataFrame, present: DataFrame) -> DataFrame:
+    """Files among the entries that are not stored with content; directories (size 0) are no files."""
     stored = present.filter("size > 0").select("name")
-    return granules.join(stored, "name", "left_anti")
+    files = classify_entries(granules).filter("kind = 'file'").drop("kind")
+    return files.join(stored, "name", "left_anti")
 
 
 def cap_per_day(granules: DataFrame, n: int, order: str = "pos") -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("date").orderBy(order, "name"))
-    return granules.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+    """The first ``n`` of each product and day; names without a day have no cap of a day and are kept."""
+    rank = F.row_number().over(W.partitionBy("product", "date").orderBy(order, "name"))
+    dated = granules.filter("date IS NOT NULL")
+    capped = dated.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+    return capped.unionByName(granules.filter("date IS NULL"))
 
 
 def day_range(df: DataFrame, start: str, count: str) -> DataFrame:

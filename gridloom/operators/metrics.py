@@ -85,83 +85,70 @@ def _check(patch: int) -> None:
         raise ValueError(f"patch must be at least {SSIM_WINDOW}")
 
 
-def _chip(bands: list[str], patch: int) -> Column:
-    """Position and values of all cells of a sample; a group is at most ``patch`` squared cells."""
-    place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
-    values = F.array(*[F.col(f"{kind}_{b}") for kind in ("pred", "target") for b in bands])
-    return F.collect_list(F.struct(place.alias("pos"), values.alias("v"))).alias("_chip")
-
-
-def _with_similarity(chips: DataFrame, bands: list[str], patch: int, data_range: float) -> DataFrame:
-    """Replace the column ``_chip`` by the similarity of its dense arrays; absent cells are 0.
+def _by_sample(
+    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float, sums: dict[str, Column]
+) -> DataFrame:
+    """Similarity of each sample, and sums over its cells, in one pass for any patch size.
 
-    Rows arrive in Arrow batches within the session's limits; a few samples at
-    a time become one array.
+    A row number per sample makes the planner bring a sample's cells together in order (nothing moves where
+    they already lie so); the sorted rows, which can spill, then stream through Arrow batches. A task holds the
+    batch at hand and the one sample that is not complete yet. Absent cells are 0 in the similarity.
     """
-    kept = [c for c in chips.columns if c != "_chip"]
-    flat = chips.select(
-        *kept, F.col("_chip.pos").alias("_pos"), F.flatten(F.col("_chip.v")).alias("_values")
-    )
-    schema = T.StructType([*(flat.schema[k] for k in kept), T.StructField("ssim", T.DoubleType())])
-    planes, area = 2 * len(bands), patch * patch
-    step = max(1, 2**20 // (planes * area))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                pos, values = part.column("_pos"), part.column("_values")
-                sizes = pos.value_lengths().to_numpy(zero_copy_only=False)
-                stack = np.zeros((len(sizes), planes, area))
-                cells = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, planes)
-                stack[np.repeat(np.arange(len(sizes)), sizes), :, pos.flatten().to_numpy()] = cells
-                stack = stack.reshape(len(sizes), planes, patch, patch)
-                scores.append(_similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range))
-            if scores:
-                out = [batch.column(k) for k in kept] + [pa.array(np.concatenate(scores))]
-                yield pa.RecordBatch.from_arrays(out, names=[*kept, "ssim"])
-
-    return flat.mapInArrow(run, schema)
-
-
-def _grouped_similarity(
-    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float
-) -> DataFrame:
-    """Similarity of one sample after the other, from sorted rows that can spill."""
     values = [f"{kind}_{b}" for kind in ("pred", "target") for b in bands]
     place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
-    flat = cells.select(*keys, place.alias("_pos"), *values)
-    schema = T.StructType([*(flat.schema[k] for k in keys), T.StructField("ssim", T.DoubleType())])
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("_pos"))
+    rows = cells.select(*keys, place.alias("_pos"), *values, *[v.alias(k) for k, v in sums.items()])
+    rows = rows.withColumn("_number", number)
+    kept = [rows.schema[k] for k in keys]
+    summed = list(sums)
+    schema = T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in ("ssim", *summed))])
+    area = patch * patch
+    step = max(1, 2**20 // (len(values) * area))
+
+    def scored(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        first = np.flatnonzero(table.column("_number").to_numpy() == 1)
+        ends = np.append(first[1:], table.num_rows)
+        pos = table.column("_pos").to_numpy()
+        found = []
+        for at in range(0, len(first), step):
+            low, high = first[at], ends[min(at + step, len(first)) - 1]
+            sample = np.repeat(np.arange(len(first[at : at + step])), ends[at : at + step] - first[at : at + step])
+            stack = np.zeros((len(first[at : at + step]), len(values), area))
+            for i, name in enumerate(values):
+                stack[sample, i, pos[low:high]] = table.column(name).slice(low, high - low).to_numpy()
+            stack = stack.reshape(-1, len(values), patch, patch)
+            found.append(_similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range))
+        totals = [np.add.reduceat(table.column(k).to_numpy(), first) for k in summed]
+        names = table.select(keys).take(pa.array(first)).combine_chunks()
+        columns = [names.column(k).combine_chunks() for k in keys]
+        columns += [pa.array(np.concatenate(found)), *(pa.array(t, pa.float64()) for t in totals)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "ssim", *summed])
 
-    def run(table: pa.Table) -> pa.Table:
-        stack = np.zeros((1, len(values), patch * patch))
-        at = table.column("_pos").to_numpy()
-        for i, name in enumerate(values):
-            stack[0, i, at] = table.column(name).to_numpy()
-        stack = stack.reshape(1, len(values), patch, patch)
-        score_ = _similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range)
-        return table.select(keys).slice(0, 1).append_column("ssim", pa.array(score_))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_number").to_numpy() == 1)
+            if len(starts):
+                done = pa.Table.from_batches([*held, batch.slice(0, starts[-1])], batch.schema)
+                if done.num_rows:
+                    yield scored(done)
+                held = [batch.slice(starts[-1])]
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield scored(pa.Table.from_batches(held))
 
-    return flat.groupBy(*keys).applyInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def ssim(
-    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0,
-    lists_up_to: int = 64,
-) -> DataFrame:
+def ssim(cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0) -> DataFrame:
     """Structural similarity per sample: 7 by 7 uniform windows, interior mean, mask ignored.
 
-    ``keys`` include y_coord and x_coord. Cells already placed by patch are
-    grouped where they are. Patches up to ``lists_up_to`` cells wide travel as
-    one row each, many to a batch; wider ones come to Python one by one from
-    sorted rows, so that no task holds more than one.
+    ``keys`` include y_coord and x_coord. Cells already placed by patch are scored where they are.
     """
     _check(patch)
-    if patch > lists_up_to:
-        return _grouped_similarity(cells, keys, bands, patch, data_range)
-    chips = cells.groupBy(*keys).agg(_chip(bands, patch))
-    return _with_similarity(chips, bands, patch, data_range)
+    return _by_sample(cells, keys, bands, patch, data_range, {})
 
 
 def ssim_windows(
@@ -199,22 +186,28 @@ def ssim_windows(
     return inner.groupBy(*keys).agg(mean.alias("ssim"))
 
 
-def score(
-    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0,
-    lists_up_to: int = 64,
-) -> DataFrame:
-    """All four scores per sample; small patches in one pass, wide ones as two parts of one."""
+def score(cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0) -> DataFrame:
+    """All four scores per sample, in one pass over the cells whatever the patch size."""
     _check(patch)
-    if patch > lists_up_to:
-        parts = pixel_scores(cells, keys, bands, data_range)
-        similar = _grouped_similarity(cells, keys, bands, patch, data_range)
-        return parts.join(similar, keys).select(*keys, "rmse", "psnr", "ssim", "sam")
-    sums = cells.groupBy(*keys).agg(
-        _mse(bands).alias("_mse"), _sam(bands).alias("sam"), _chip(bands, patch)
-    )
-    scored = _with_similarity(sums, bands, patch, data_range)
-    rmse, psnr, _ = _pixel_columns(F.sqrt("_mse"), data_range)
-    return scored.select(*keys, rmse, psnr, "ssim", "sam")
+    angle = spectral_angle([F.col(f"pred_{b}") for b in bands], [F.col(f"target_{b}") for b in bands])
+    every = F.col(f"valid_{bands[0]}")
+    for b in bands[1:]:
+        every = every & F.col(f"valid_{b}")
+    every = F.coalesce(every, F.lit(False)) & angle.isNotNull()
+    zero, one = F.lit(0.0), F.lit(1.0)
+    sums = {
+        "_valid_sum": add([F.when(F.col(f"valid_{b}"), _square(b)).otherwise(zero) for b in bands]),
+        "_valid_n": add([F.when(F.col(f"valid_{b}"), one).otherwise(zero) for b in bands]),
+        "_all_sum": add([_square(b) for b in bands]),
+        "_all_n": F.lit(float(len(bands))),
+        "_angle": F.when(every, angle).otherwise(zero),
+        "_angle_n": F.when(every, one).otherwise(zero),
+    }
+    found = _by_sample(cells, keys, bands, patch, data_range, sums)
+    mse = F.when(F.col("_valid_n") > 0, F.try_divide("_valid_sum", "_valid_n")).otherwise(F.col("_all_sum") / F.col("_all_n"))
+    sam = F.coalesce(F.try_divide("_angle", "_angle_n"), zero)
+    rmse, psnr, _ = _pixel_columns(F.sqrt(mse), data_range)
+    return found.select(*keys, rmse, psnr, "ssim", sam.alias("sam"))
 
 
 def masked_loss(

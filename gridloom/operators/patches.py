@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranking import hash_bucket
+from gridloom.operators.ranking import digest
 
 
 def with_patch(
@@ -14,16 +14,18 @@ def with_patch(
 ) -> DataFrame:
     """Top-left pixel of each cell's patch; with a grid shape, cut-off blocks are trimmed.
 
-    A table stored with these keys keeps them, and with them its bucketing.
+    The patch size is recorded with the keys. A table stored with keys of this size
+    keeps them, and with them its bucketing; keys of another size are refused, and
+    keys without a recorded size are computed again.
     """
-    out = df
-    if not {"y_coord", "x_coord"} <= set(df.columns):
-        out = df.withColumns(
-            {
-                "y_coord": F.expr(f"CAST(y div {patch} * {patch} AS INT)"),
-                "x_coord": F.expr(f"CAST(x div {patch} * {patch} AS INT)"),
-            }
-        )
+    out, keys = df, ("y_coord", "x_coord")
+    sizes = {df.schema[k].metadata.get("patch") for k in keys if k in df.columns}
+    if sizes - {None, patch}:
+        raise ValueError(f"the table has keys of patch {(sizes - {None, patch}).pop()}, not {patch}")
+    if sizes != {patch} or not set(keys) <= set(df.columns):
+        out = df.withColumns({k: F.expr(f"CAST({k[0]} div {patch} * {patch} AS INT)") for k in keys})
+        for k in keys:
+            out = out.withMetadata(k, {"patch": patch})
     if height is not None:
         out = out.filter(F.col("y") < height // patch * patch)
     if width is not None:
@@ -63,7 +65,7 @@ def stratified_patches(dominant: DataFrame, classes: list[int], n: int, seed: in
     The row-number filter is a group limit on the map side, so a class that
     covers most of the region sends at most ``n`` patches per task.
     """
-    order = hash_bucket(["y_coord", "x_coord"], seed)
+    order = digest("patches", ["y_coord", "x_coord"], seed)
     rank = F.row_number().over(W.partitionBy("class").orderBy(order, "y_coord", "x_coord"))
     return (
         dominant.filter(F.col("class").isin(classes))

@@ -8,34 +8,42 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.workspace import cut
 
-# Fixed values of the seeded order: prime multipliers and the number of buckets.
-MULTIPLIERS = (7919, 104729, 15485863)
-BUCKETS = 10007
+# Digits of a digest that make a bucket (4096 of them) and a draw.
+BUCKET_DIGITS, DRAW_DIGITS = 3, 7
 
 
-def hash_bucket(cols: list[str], seed: int = 0, epoch: int = 0) -> Column:
-    """Seeded bucket in 0..10006 from up to three non-negative integer columns."""
-    total = F.lit(seed * 31 + epoch * 131).cast("bigint")
-    for mult, c in zip(MULTIPLIERS, cols):
-        total = total + F.col(c).cast("bigint") * F.lit(mult)
-    return (total % F.lit(BUCKETS)).cast("int")
+def digest(purpose: str, cols: list[str], seed: int = 0, epoch: int = 0) -> Column:
+    """Seeded hex digest of any number of columns; another purpose, seed or epoch gives an unrelated one.
+
+    Its text gives a random order, and ``draw`` up to four independent numbers.
+    """
+    parts = [F.lit(purpose), F.lit(str(seed)), F.lit(str(epoch))]
+    parts += [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
+def draw(hexes: Column, part: int, n: int) -> Column:
+    """Number in 0 .. n - 1 from the digits of one of four parts of a digest."""
+    digits = F.substring(hexes, 1 + part * DRAW_DIGITS, DRAW_DIGITS)
+    return F.conv(digits, 16, 10).cast("bigint") % F.lit(n)
 
 
 def hash_rank(
     df: DataFrame, cols: list[str], seed: int = 0, epoch: int = 0,
-    by: list[str] = (), name: str = "rank", total: str | None = None,
+    by: list[str] = (), name: str = "rank", total: str | None = None, purpose: str = "order",
 ) -> DataFrame:
-    """Position 1..n in seeded hash order, ties by ``cols``, per ``by`` group.
+    """Position 1..n in the seeded random order of a digest, ties by ``cols``, per ``by`` group.
 
-    Bucket sizes come first (partial counts, at most 10007 rows per group),
+    Bucket sizes come first (partial counts, at most 4096 rows per group),
     their running sum gives each bucket's offset, and rows are numbered inside
     their bucket. No task sees more than one bucket of one group. ``df`` is
     read twice, so it should be cheap to produce or already written.
     """
     by = list(by)
-    keyed = df.withColumn("_bucket", hash_bucket(cols, seed, epoch))
+    keyed = df.withColumn("_digest", digest(purpose, cols, seed, epoch))
+    keyed = keyed.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
-    # at most 10007 rows per group from here on
+    # at most 4096 rows per group from here on
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = sizes.select(
@@ -44,7 +52,7 @@ def hash_rank(
         (F.sum("_size").over(before) - F.col("_size")).alias("_before"),
         F.sum("_size").over(group).alias("_total"),
     )
-    inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*cols))
+    inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_digest", *cols))
     ranked = (
         keyed.withColumn("_inside", inside)
         .join(F.broadcast(offsets), [*by, "_bucket"])
@@ -52,7 +60,7 @@ def hash_rank(
     )
     if total:
         ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop("_bucket", "_inside", "_before", "_total")
+    return ranked.drop("_digest", "_bucket", "_inside", "_before", "_total")
 
 
 def ordered_rank(

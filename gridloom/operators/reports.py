@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.spectral import psnr_from_rmse, quantile
-from gridloom.operators.ranking import ordered_rank, tercile
+from gridloom.operators.ranking import digest, ordered_rank, tercile
 from gridloom.schemas import METRICS
 
 _PATCH = ["y_coord", "x_coord"]
@@ -129,8 +129,7 @@ def top_per_stratum(samples: DataFrame, n: int, order: str = "seq") -> DataFrame
 
 def pick_batches(batches: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` batch numbers in seeded order."""
-    order = (F.col("batch") * F.lit(7919) + F.lit(seed * 31)) % F.lit(10007)
-    return batches.select("batch").distinct().orderBy(order, "batch").limit(n)
+    return batches.select("batch").distinct().orderBy(digest("batches", ["batch"], seed), "batch").limit(n)
 
 
 def rgb(cells: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:

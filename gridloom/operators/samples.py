@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.config import DEFAULT_LEGEND, MASK_FILL, SampleConfig
 from gridloom.functions.spectral import normalise, sanitise
 from gridloom.operators.patches import by_patch, patch_grid, with_patch
-from gridloom.operators.ranking import hash_bucket, hash_rank
+from gridloom.operators.ranking import digest, draw, hash_rank
 from gridloom.schemas import SAMPLE_KEY
 
 _PATCH = ["y_coord", "x_coord"]
@@ -32,7 +32,7 @@ def _label(rank: Column, n: Column, c: SampleConfig) -> Column:
 
 def spatial_split(patches: DataFrame, c: SampleConfig) -> DataFrame:
     """Patches in seeded order, cut into train, val and test: no patch is in two splits."""
-    ranked = hash_rank(patches, _PATCH, c.seed, total="n")
+    ranked = hash_rank(patches, _PATCH, c.seed, total="n", purpose="split")
     return ranked.select(_label(F.col("rank"), F.col("n"), c).alias("split"), *_PATCH)
 
 
@@ -55,7 +55,7 @@ def sample_split(patches: DataFrame, times: int, c: SampleConfig) -> DataFrame:
     for name, stride in (("train", 1), ("val", c.window), ("test", c.window)):
         starts = F.explode(F.sequence(F.lit(0), F.lit(times - c.window), F.lit(stride)))
         ranked = hash_rank(
-            patches.withColumn("t_start", starts), [*_PATCH, "t_start"], c.seed, total="n"
+            patches.withColumn("t_start", starts), [*_PATCH, "t_start"], c.seed, total="n", purpose="split"
         )
         labelled = ranked.withColumn("split", _label(F.col("rank"), F.col("n"), c))
         parts.append(labelled.filter(F.col("split") == name).select(*SAMPLE_KEY))
@@ -144,7 +144,7 @@ def donor_frame(targets: DataFrame, c: SampleConfig) -> DataFrame:
     """Seeded choice of one of the other frames; NULL where the window has one frame."""
     if c.window < 2:
         return targets.withColumn("t_donor", F.lit(None).cast("int"))
-    pick = F.col("t_start") + hash_bucket([*_PATCH, "t_start"], c.seed) % (c.window - 1)
+    pick = F.col("t_start") + draw(digest("donor", [*_PATCH, "t_start"], c.seed), 0, c.window - 1)
     return targets.withColumn(
         "t_donor", (pick + (pick >= F.col("t_target")).cast("int")).cast("int")
     )
@@ -301,14 +301,14 @@ def augment(
     """Flip and turn train samples by remapping cell coordinates inside the patch.
 
     Horizontal flip, vertical flip (each half of the time) and 0 to 3 quarter
-    turns come from the seeded bucket of the sample, or from ``params``.
+    turns are independent draws of the sample, seed and epoch, or come from ``params``.
     """
     p = c.patch
-    bucket = hash_bucket([*_PATCH, "t_start"], seed, epoch)
+    drawn = digest("augment", [*_PATCH, "t_start"], seed, epoch)
     flip_h, flip_v, turns = params or (
-        bucket % 2 == 1,
-        F.floor(bucket / 2) % 2 == 1,
-        F.floor(bucket / 4) % 4,
+        draw(drawn, 0, 2) == 1,
+        draw(drawn, 1, 2) == 1,
+        draw(drawn, 2, 4),
     )
     ly, lx = F.col("y") - F.col("y_coord"), F.col("x") - F.col("x_coord")
     far = F.lit(p - 1)

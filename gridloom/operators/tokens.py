@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.encoding import date_encoding, location_encoding, sincos_3d
-from gridloom.operators.ranking import hash_bucket
+from gridloom.operators.ranking import digest
 
 
 def patchify(
@@ -70,7 +70,7 @@ def random_mask(
     ``length`` tokens. Without a noise column a seeded hash is used.
     """
     if noise is None:
-        noise = F.xxhash64(F.lit(seed), *keys, "token")
+        noise = seeded_noise([*keys, "token"], seed)
     keep = int(length * (1 - ratio))
     place = F.row_number().over(W.partitionBy(*keys).orderBy("_noise", "token")) - 1
     ranked = tokens.withColumn("_noise", noise).withColumn("shuffled_at", place)
@@ -78,8 +78,8 @@ def random_mask(
 
 
 def seeded_noise(columns: list[str], seed: int = 42) -> Column:
-    """Reproducible noise from up to three integer columns, for ``random_mask``."""
-    return hash_bucket(columns, seed)
+    """Reproducible noise from any columns, for ``random_mask``."""
+    return digest("mask", columns, seed)
 
 
 def restore(

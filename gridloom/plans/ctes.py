@@ -31,6 +31,16 @@ USABILITY = """CAST(CASE WHEN state = 65535 THEN 255
     WHEN ((state >> 2) & 1) = 1 THEN 1 ELSE 0 END AS SMALLINT)"""
 
 
+def mixed(purpose: str, cols: str, epoch: str = "0", seed: int = 42) -> str:
+    """Seeded digest of columns, as ``ranking.digest`` makes it."""
+    values = ", ".join(f"coalesce(CAST({c.strip()} AS VARCHAR), '')" for c in cols.split(","))
+    return f"md5(concat_ws('|', '{purpose}', '{seed}', CAST({epoch} AS VARCHAR), {values}))"
+
+
+def drawn(digest: str, part: int, n: int) -> str:
+    return f"(CAST('0x' || substr({digest}, {1 + 7 * part}, 7) AS BIGINT) % {n})"
+
+
 def r6(expr: str) -> str:
     """Six decimals; the nudge keeps short decimal fractions off the rounding edge."""
     return f"round({expr} + 1e-9, 6)"

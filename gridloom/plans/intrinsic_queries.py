@@ -10,7 +10,7 @@ from gridloom.config import LAND_COVER, STABLE_CLASSES, DifficultyConfig
 from gridloom.operators import cube as cube_ops
 from gridloom.operators import intrinsic, landcover, patches
 from gridloom.plans.ctes import r6 as q6
-from gridloom.plans.ctes import sql_over
+from gridloom.plans.ctes import mixed, sql_over
 from gridloom.plans.registry import query, r6
 from gridloom.schemas import BANDS
 from gridloom.sources import derived, tables, workspace
@@ -42,7 +42,7 @@ _DOMINANT = f"""SELECT y_coord, x_coord, lc AS class FROM (
   SELECT {_YX}, lc, count(*) AS n FROM landcover GROUP BY 1, 2, 3)
   QUALIFY row_number() OVER (PARTITION BY y_coord, x_coord ORDER BY n DESC, lc) = 1"""
 _CHOSEN = f"""SELECT y_coord, x_coord, class FROM dominant QUALIFY row_number() OVER (PARTITION BY class ORDER BY
-  ({_SEED} * 31 + CAST(y_coord AS BIGINT) * 7919 + CAST(x_coord AS BIGINT) * 104729) % 10007, y_coord, x_coord) <= {_PER_CLASS}"""
+  {mixed('patches', 'y_coord, x_coord', seed=_SEED)}, y_coord, x_coord) <= {_PER_CLASS}"""
 _MEDIANS = f"""SELECT y, x, class, {", ".join(f"median({b}) AS {b}" for b in BANDS)} FROM (
   SELECT c.*, class FROM (SELECT *, {_YX} FROM cube) c JOIN chosen p ON c.y_coord = p.y_coord AND c.x_coord = p.x_coord)
   GROUP BY y, x, class"""
@@ -119,9 +119,9 @@ def _std(spark, d):
 
 
 def difficulty_table(spark, d):
-    return intrinsic.difficulty(
-        derived.cube(spark, d), derived.landcover(spark, d), _D, times=derived.FRAMES, geo=_ORIGIN
-    )
+    height, width = derived.grid_shape(spark, d)
+    cube, classes = derived.cube(spark, d), derived.landcover(spark, d)
+    return intrinsic.difficulty(cube, classes, _D, derived.FRAMES, height, width, geo=_ORIGIN)
 
 
 @query(
@@ -294,9 +294,9 @@ def histogram(spark, d):
     "o_e5_density",
     sql_over(
         "cube landcover",
-        """SELECT band, land_cover_name, CAST(a.at AS INT) AS at, round(sum(n * exp(-5e-1 * ((a.at - bin) * (5e-2 / 1e-1)) ** 2)
-    / (1e-1 * sqrt(2 * pi()))) / sum(n) + 1e-9, 6) AS density
-  FROM hist, (SELECT unnest(range(1, 33)) AS at) a WHERE bin BETWEEN 1 AND 32 GROUP BY 1, 2, 3""",
+        """SELECT band, land_cover_name, CAST(a.at AS INT) AS at, round(coalesce(sum(n * exp(-5e-1 * ((a.at - bin) * (5e-2 / 1e-1)) ** 2)
+    / (1e-1 * sqrt(2 * pi()))) FILTER (bin BETWEEN 1 AND 32), 0) / sum(n) + 1e-9, 6) AS density
+  FROM hist, (SELECT unnest(range(1, 33)) AS at) a GROUP BY 1, 2, 3""",
         lcdim=_LCDIM,
         hist=_HIST,
     ),
@@ -342,9 +342,9 @@ def band_correlation(spark, d):
     "o_e8_sample_rows",
     sql_over(
         "cube",
-        """SELECT y, x, round(b01 + 1e-9, 6) AS b01, round(b02 + 1e-9, 6) AS b02 FROM (
+        f"""SELECT y, x, round(b01 + 1e-9, 6) AS b01, round(b02 + 1e-9, 6) AS b02 FROM (
   SELECT y, x, median(b01) AS b01, median(b02) AS b02 FROM cube GROUP BY y, x)
-  ORDER BY (1302 + CAST(y AS BIGINT) * 7919 + CAST(x AS BIGINT) * 104729) % 10007, y, x LIMIT 1000""",
+  ORDER BY {mixed('rows', 'y, x')}, y, x LIMIT 1000""",
     ),
 )
 def sample_rows(spark, d):
@@ -449,7 +449,8 @@ def ndvi(spark, d):
     sql_over("cube", f"SELECT y_coord, x_coord, {q6('phenology_variability')} AS phenology_variability FROM metrics", cellstats=_CELL, metrics=_METRICS),
 )
 def phenology(spark, d):
-    metrics = intrinsic.cube_metrics(derived.cube(spark, d), _D, times=derived.FRAMES)
+    height, width = derived.grid_shape(spark, d)
+    metrics = intrinsic.cube_metrics(derived.cube(spark, d), _D, derived.FRAMES, height, width)
     return metrics.select(*_PATCH, r6("phenology_variability"))
 
 
@@ -458,7 +459,8 @@ def phenology(spark, d):
     sql_over("cube", f"SELECT y_coord, x_coord, {q6('cloud_persistence')} AS cloud_persistence FROM metrics", cellstats=_CELL, metrics=_METRICS),
 )
 def cloud_persistence(spark, d):
-    metrics = intrinsic.cube_metrics(derived.cube(spark, d), _D, times=derived.FRAMES)
+    height, width = derived.grid_shape(spark, d)
+    metrics = intrinsic.cube_metrics(derived.cube(spark, d), _D, derived.FRAMES, height, width)
     return metrics.select(*_PATCH, r6("cloud_persistence"))
 
 

@@ -56,7 +56,7 @@ def tile_allowlist(spark, d):
     "o_a4_missing_files",
     sql_over(
         "parsed",
-        "SELECT name FROM parsed WHERE name NOT IN (SELECT name FROM present WHERE size > 0)",
+        "SELECT name FROM parsed WHERE size <> 0 AND name NOT IN (SELECT name FROM present WHERE size > 0)",
         present=_PRESENT,
     ),
 )
@@ -68,8 +68,8 @@ def missing_files(spark, d):
     "o_a5_daily_cap",
     sql_over(
         "parsed",
-        """SELECT date, name FROM parsed WHERE name NOT IN (SELECT name FROM present WHERE size > 0)
-  QUALIFY row_number() OVER (PARTITION BY date ORDER BY pos) <= 2""",
+        """SELECT date, name FROM parsed WHERE size <> 0 AND name NOT IN (SELECT name FROM present WHERE size > 0)
+  QUALIFY date IS NULL OR row_number() OVER (PARTITION BY product, date ORDER BY pos) <= 2""",
         present=_PRESENT,
     ),
 )

@@ -8,7 +8,7 @@ from gridloom.functions.spectral import safe_div
 from gridloom.operators import intrinsic, reports, runs
 from gridloom.plans import sample_queries as sq
 from gridloom.plans.ctes import r6 as q6
-from gridloom.plans.ctes import sql_over
+from gridloom.plans.ctes import mixed, sql_over
 from gridloom.plans.intrinsic_queries import tercile_sql
 from gridloom.plans.registry import query, r6
 from gridloom.schemas import METRICS, PATCH_METRICS
@@ -193,8 +193,8 @@ def top_per_stratum(spark, d):
     "o_i11_pick_batches",
     sql_over(
         "shape",
-        """SELECT batch FROM (SELECT DISTINCT seq // 4 AS batch FROM samples WHERE split = 'train')
-  ORDER BY (batch * 7919 + 1302) % 10007, batch LIMIT 10""",
+        f"""SELECT batch FROM (SELECT DISTINCT seq // 4 AS batch FROM samples WHERE split = 'train')
+  ORDER BY {mixed('batches', 'batch')}, batch LIMIT 10""",
         **sq.PLAN,
     ),
 )
@@ -344,17 +344,25 @@ def write_report(spark, d):
     )
 
 
-@query("o_j2_stored_size")
+@query(
+    "o_j2_stored_size",
+    """SELECT format, round(bytes / 1048576e0 + 1e-9, 6) AS size_mb, n / 100e0 AS seconds,
+  round(bytes / 1048576e0 / (n / 100e0) + 1e-9, 6) AS throughput_mb_per_s FROM (
+  SELECT substr(o_orderpriority, 1, 1) AS format, count(*) AS n,
+    sum(strlen(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)) + 1) AS bytes FROM orders GROUP BY 1)""",
+)
 def stored_size(spark, d):
+    """Plain text files: the bytes of a line are its characters and the line end."""
     path = workspace.new_path(spark, "sized")
-    orders = derived.table(spark, d, "orders")
-    tables.write_by(orders, path, "o_orderpriority")
+    line = F.concat_ws("|", "o_orderkey", "o_custkey").alias("line")
+    orders = derived.table(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).alias("format"), line)
+    tables.write_by(orders, path, "format", fmt="text")
     files = listing.stored_files(spark, path).select(
-        F.regexp_extract("path", "o_orderpriority=([^/]+)/", 1).alias("format"), "length"
+        F.regexp_extract("path", "format=([^/]+)/", 1).alias("format"), "length"
     )
-    rows = spark.read.parquet(path).groupBy(F.col("o_orderpriority").alias("format"))
-    timings = rows.agg((F.count("*") / F.lit(100.0)).alias("seconds"))
-    return runs.write_report(files, timings)
+    timings = orders.groupBy("format").agg((F.count("*") / F.lit(100.0)).alias("seconds"))
+    report = runs.write_report(files, timings)
+    return report.select("format", r6("size_mb"), "seconds", r6("throughput_mb_per_s"))
 
 
 @query(

@@ -8,7 +8,7 @@ from gridloom.config import DEFAULT_LEGEND, SampleConfig
 from gridloom.operators import cube as cube_ops
 from gridloom.operators import patches, samples
 from gridloom.plans.ctes import r6 as q6
-from gridloom.plans.ctes import sql_over
+from gridloom.plans.ctes import drawn, mixed, sql_over
 from gridloom.plans.registry import query, r6
 from gridloom.schemas import FEATURE_BANDS, SAMPLE_KEY
 from gridloom.sources import derived, tables, workspace
@@ -18,17 +18,16 @@ T = derived.FRAMES
 _PATCH = ["y_coord", "x_coord"]
 _K = "split, y_coord, x_coord, t_start"
 
-HASH_P = "(1302 + CAST(y_coord AS BIGINT) * 7919 + CAST(x_coord AS BIGINT) * 104729)"
-HASH = f"({HASH_P} + CAST(t_start AS BIGINT) * 15485863)"
+_AT = "y_coord, x_coord, t_start"
 _CUT = """CASE WHEN r <= CAST(floor(n * 7e-1) AS BIGINT) THEN 'train'
   WHEN r <= CAST(floor(n * 7e-1) AS BIGINT) + CAST(floor(n * 15e-2) AS BIGINT) THEN 'val' ELSE 'test' END"""
 _PATCHES = """SELECT CAST(y AS INT) AS y_coord, CAST(x AS INT) AS x_coord
   FROM (SELECT unnest(range(0, h, 8)) AS y FROM shape), (SELECT unnest(range(0, 64, 8)) AS x)"""
 _SPLIT = f"""SELECT {_CUT} AS split, y_coord, x_coord FROM (SELECT *, count(*) OVER () AS n,
-  row_number() OVER (ORDER BY {HASH_P} % 10007, y_coord, x_coord) AS r FROM patches)"""
+  row_number() OVER (ORDER BY {mixed('split', 'y_coord, x_coord')}, y_coord, x_coord) AS r FROM patches)"""
 _STARTS = """SELECT split, y_coord, x_coord, CAST(unnest(CASE WHEN split = 'train' THEN range(0, 9) ELSE range(0, 9, 4) END) AS INT) AS t_start
   FROM parts"""
-_SAMPLES = f"""SELECT {_K}, row_number() OVER (PARTITION BY split ORDER BY {HASH} % 10007, y_coord, x_coord, t_start) - 1 AS seq FROM starts"""
+_SAMPLES = f"""SELECT {_K}, row_number() OVER (PARTITION BY split ORDER BY {mixed('order', _AT)}, y_coord, x_coord, t_start) - 1 AS seq FROM starts"""
 _FRAMES = """SELECT CAST(y // 8 * 8 AS INT) AS y_coord, CAST(x // 8 * 8 AS INT) AS x_coord, t,
   count(*) FILTER (usability IN (1, 2, 3, 4)) / 64e0 AS bad, count(*) FILTER (usability = 0) / 64e0 AS pristine
   FROM cube GROUP BY 1, 2, 3"""
@@ -38,7 +37,7 @@ _TARGETS = f"""SELECT {_K}, seq, t AS t_target, bad AS bad_fraction, pristine AS
   LEFT JOIN frames f ON s.y_coord = f.y_coord AND s.x_coord = f.x_coord AND w.t = f.t)
   QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY bad, t) = 1"""
 _DONORS = f"""SELECT *, CAST(d + CASE WHEN d >= t_target THEN 1 ELSE 0 END AS INT) AS t_donor FROM (
-  SELECT *, t_start + {HASH} % 10007 % 3 AS d FROM targets WHERE pristine_fraction >= 5e-1)"""
+  SELECT *, t_start + {drawn(mixed('donor', _AT), 0, 3)} AS d FROM targets WHERE pristine_fraction >= 5e-1)"""
 _N = {b: f"(({b} - -1e-2) / 161e-2)" for b in FEATURE_BANDS}
 _CELLS = f"""SELECT s.split, s.y_coord, s.x_coord, s.t_start, s.t_target, s.t_donor, c.t, c.y, c.x, c.usability,
   c.t = s.t_target AS is_target, {", ".join(f"({b} - -1e-2) / (16e-1 - -1e-2) AS {b}" for b in FEATURE_BANDS)}
@@ -108,7 +107,7 @@ def spatial_split(spark, d):
         "shape",
         " UNION ALL ".join(
             f"""SELECT * FROM (SELECT {_CUT} AS split, y_coord, x_coord, t_start FROM (SELECT *, count(*) OVER () AS n,
-  row_number() OVER (ORDER BY {HASH} % 10007, y_coord, x_coord, t_start) AS r FROM (
+  row_number() OVER (ORDER BY {mixed('split', _AT)}, y_coord, x_coord, t_start) AS r FROM (
   SELECT *, CAST(unnest(range(0, 9, {stride})) AS INT) AS t_start FROM patches))) WHERE split = '{name}'"""
             for name, stride in (("train", 1), ("val", 4), ("test", 4))
         ),
@@ -133,7 +132,7 @@ def shuffle_order(spark, d):
     "o_f3b_epoch_order",
     sql_over(
         "shape",
-        f"""SELECT {_K}, row_number() OVER (PARTITION BY split ORDER BY ({HASH} + CASE WHEN split = 'train' THEN 393 ELSE 0 END) % 10007,
+        f"""SELECT {_K}, row_number() OVER (PARTITION BY split ORDER BY {mixed('order', _AT, "CASE WHEN split = 'train' THEN 3 ELSE 0 END")},
   y_coord, x_coord, t_start) - 1 AS seq FROM starts""",
         **PLAN,
     ),
@@ -273,7 +272,7 @@ def valid_pixels(spark, d):
 
 _FLIPPED = f"""SELECT {_K}, t, k, CASE WHEN v = 1 THEN 7 - (y - y_coord) ELSE y - y_coord END AS ly,
   CASE WHEN h = 1 THEN 7 - (x - x_coord) ELSE x - x_coord END AS lx, b01 FROM (
-  SELECT *, {HASH} % 10007 % 2 AS h, {HASH} % 10007 // 2 % 2 AS v, {HASH} % 10007 // 4 % 4 AS k FROM cells WHERE split = 'train')"""
+  SELECT *, {drawn(mixed('augment', _AT), 0, 2)} AS h, {drawn(mixed('augment', _AT), 1, 2)} AS v, {drawn(mixed('augment', _AT), 2, 4)} AS k FROM cells WHERE split = 'train')"""
 
 
 @query(

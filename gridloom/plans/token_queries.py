@@ -8,7 +8,7 @@ from gridloom.functions import encoding
 from gridloom.operators import tokens
 from gridloom.plans import sample_queries as sq
 from gridloom.plans.ctes import r6 as q6
-from gridloom.plans.ctes import sql_over
+from gridloom.plans.ctes import mixed, sql_over
 from gridloom.plans.registry import query, r6
 from gridloom.sources import derived
 
@@ -23,7 +23,7 @@ _FLAT = " UNION ALL ".join(
   CAST(((lt % 2 * 4 + ly % 4) * 4 + lx % 4) * 2 + {i} AS INT) AS pos, {b} AS v FROM blocks"""
     for i, b in enumerate(_BANDS)
 )
-_NOISE = "(1302 + CAST(y_coord AS BIGINT) * 7919 + CAST(x_coord AS BIGINT) * 104729 + CAST(token AS BIGINT) * 15485863) % 10007"
+_NOISE = mixed("mask", "y_coord, x_coord, t_start, token")
 _MASKED = f"""SELECT {_KS}, token, row_number() OVER (PARTITION BY {_KS} ORDER BY {_NOISE}, token) - 1 AS place
   FROM (SELECT DISTINCT {_KS}, token FROM flat)"""
 _W = {"blocks": _BLOCKS, "flat": _FLAT}
@@ -46,7 +46,7 @@ def token_table(spark, d):
 
 
 def masked(spark, d):
-    noise = tokens.seeded_noise(["y_coord", "x_coord", "token"])
+    noise = tokens.seeded_noise(["y_coord", "x_coord", "t_start", "token"])
     return tokens.random_mask(token_table(spark, d), _K, _LENGTH, 0.75, noise)
 
 

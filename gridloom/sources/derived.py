@@ -96,7 +96,7 @@ def cube(spark: SparkSession, sf_dir: str, c: CubeConfig = CubeConfig()) -> Data
             clean_band(F.col(f"r{b}"), F.col("qc"), b, c).alias(name)
             for b, name in enumerate(BANDS, start=1)
         ],
-        usability(F.col("state"), c.state_fill).alias("usability"),
+        usability(F.col("state"), c.state_fill, c.mask_fill).alias("usability"),
     )
 
 

@@ -21,7 +21,8 @@ def mask_dim(spark: SparkSession) -> DataFrame:
 
 
 def with_storage_keys(cube: DataFrame, patch: int, chunk: int) -> DataFrame:
-    return cube.withColumns(
+    """Chunk and patch numbers; the two sizes are recorded with the patch numbers."""
+    keyed = cube.withColumns(
         {
             "cy": F.expr(f"y div {chunk}").cast("int"),
             "cx": F.expr(f"x div {chunk}").cast("int"),
@@ -29,6 +30,7 @@ def with_storage_keys(cube: DataFrame, patch: int, chunk: int) -> DataFrame:
             "px": F.expr(f"x div {patch}").cast("int"),
         }
     )
+    return keyed.withMetadata("py", {"patch": patch, "chunk": chunk}).withMetadata("px", {"patch": patch, "chunk": chunk})
 
 
 def write_cube(
@@ -80,21 +82,30 @@ def save_cube_table(
 
 def read_cube(
     spark: SparkSession, path: str, box: tuple[int, int, int, int] | None = None,
-    patch: int = 224, chunk: int = 1024, fmt: str = "parquet",
+    patch: int | None = None, chunk: int | None = None, fmt: str = "parquet",
 ) -> DataFrame:
     """Lazy cube scan. ``box`` (y0, x0, y1, x1; ends excluded) prunes chunk
-    directories first and row groups by their patch statistics next."""
+    directories first and row groups by their patch statistics next.
+
+    Patch and chunk are those the cube was written with. Formats that keep no
+    record of them (ORC) prune only if they are given here; others refuse a mismatch.
+    """
     cube = spark.read.format(fmt).load(path)
     if box is None:
         return cube
+    kept = cube.schema["py"].metadata
+    for name, given in (("patch", patch), ("chunk", chunk)):
+        if given is not None and kept.get(name, given) != given:
+            raise ValueError(f"the cube was written with {name} {kept[name]}, not {given}")
+    patch, chunk = kept.get("patch", patch), kept.get("chunk", chunk)
     y0, x0, y1, x1 = box
-    return cube.filter(
-        F.col("cy").between(y0 // chunk, (y1 - 1) // chunk)
-        & F.col("cx").between(x0 // chunk, (x1 - 1) // chunk)
-        & F.col("py").between(y0 // patch, (y1 - 1) // patch)
-        & F.col("px").between(x0 // patch, (x1 - 1) // patch)
-        & (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
-    )
+    inside = (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
+    for size, rows, columns in ((chunk, "cy", "cx"), (patch, "py", "px")):
+        if size is not None:
+            inside = (
+                F.col(rows).between(y0 // size, (y1 - 1) // size) & F.col(columns).between(x0 // size, (x1 - 1) // size) & inside
+            )
+    return cube.filter(inside)
 
 
 def scan_landcover(spark: SparkSession, pattern: str) -> DataFrame:

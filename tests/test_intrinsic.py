@@ -83,7 +83,7 @@ def test_difficulty_of_sparse_and_dense_cube_agree(spark, sf):
     sparse = derived.cube(spark, sf)
     height, width = derived.grid_shape(spark, sf)
     dense = cube_ops.densify(sparse, height, width, derived.FRAMES)
-    a = intrinsic.difficulty(sparse, lc, c, times=derived.FRAMES).orderBy("y_coord", "x_coord").collect()
+    a = intrinsic.difficulty(sparse, lc, c, derived.FRAMES, height, width).orderBy("y_coord", "x_coord").collect()
     b = intrinsic.difficulty(dense, lc, c).orderBy("y_coord", "x_coord").collect()
     assert len(a) == len(b) == 8
     for r, s in zip(a, b):

@@ -11,10 +11,10 @@ from check_oracle import compare, duck
 import __spark_entry__ as entry
 from gridloom.config import DifficultyConfig
 from gridloom.operators import impute, intrinsic, metrics, samples
-from gridloom.plans import sample_queries
+from gridloom.plans import all_queries, all_sql, sample_queries
 from gridloom.sources import derived, tables
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 SELECTED = [
     "o_a5_daily_cap", "o_a12_complete_days", "o_b12_build_cube", "o_b15_chunked_sink", "o_c2_mosaic_first",
     "o_d3_stratified_patches", "o_e6_pivot", "o_e16f_difficulty", "o_e17_strata", "o_f12_synthetic_gaps",
@@ -29,9 +29,9 @@ def con(sf):
 
 
 def test_every_query_has_a_twin_and_a_plain_name():
-    # a stored size in bytes is nothing SQL can tell
-    assert set(QUERIES) - set(SQL) == {"o_j2_stored_size"} and set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
     assert all(name.startswith("o_") for name in QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -50,11 +50,12 @@ def test_no_pairwise_join_and_no_row_python(spark, sf, name):
         assert bad not in plan
 
 
-def test_cell_and_patch_aggregates_share_one_exchange(spark, sf):
+def test_cells_are_combined_before_they_move(spark, sf):
     cells = derived.cube(spark, sf)
-    plan = _plan(intrinsic.cube_metrics(cells, DifficultyConfig(patch=8), times=12))
-    below = _plan(cells)
-    assert plan.count("Exchange hashpartitioning") == below.count("Exchange hashpartitioning") + 1
+    plan = _plan(intrinsic.cube_metrics(cells, DifficultyConfig(patch=8), 12, *derived.grid_shape(spark, sf)))
+    assert "REPARTITION" not in plan
+    by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning(y_coord" in line and " x" in line.split("x_coord", 1)[1]]
+    assert len(by_cell) == 1 and "partial_stddev_pop" in plan[plan.index(by_cell[0]) :]
     reads = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert reads and not any("l_discount" in r or "l_tax" in r for r in reads)
 
@@ -64,9 +65,10 @@ def test_bucketed_cube_needs_no_exchange(spark, sf, tmp_path):
     tables.save_cube_table(derived.cube(spark, sf), table, patch=8, buckets=4, path=str(tmp_path / "cube"))
     stored = spark.table(table)
     c = DifficultyConfig(patch=8)
-    metrics = intrinsic.cube_metrics(stored, c, times=12, placed=True)
+    shape = derived.grid_shape(spark, sf)
+    metrics = intrinsic.cube_metrics(stored, c, 12, *shape)
     assert "Exchange" not in _plan(metrics)
-    moved = intrinsic.cube_metrics(derived.cube(spark, sf), c, times=12)
+    moved = intrinsic.cube_metrics(derived.cube(spark, sf), c, 12, *shape)
     key = lambda r: (r.y_coord, r.x_coord)
     for a, b in zip(sorted(metrics.collect(), key=key), sorted(moved.collect(), key=key), strict=True):
         assert tuple(a) == pytest.approx(tuple(b))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -47,7 +48,7 @@ def test_hash_rank(spark, partitions):
     rows = [(y * 8, x * 8) for y in range(21) for x in range(21)]
     df = spark.createDataFrame(rows, "y INT, x INT").repartition(partitions)
     got = {(r.y, r.x): r["rank"] for r in ranking.hash_rank(df, ["y", "x"], 42, total="n").collect()}
-    key = lambda r: ((42 * 31 + r[0] * 7919 + r[1] * 104729) % 10007, r)
+    key = lambda r: (hashlib.md5(f"order|42|0|{r[0]}|{r[1]}".encode()).hexdigest(), r)
     assert got == {r: i + 1 for i, r in enumerate(sorted(rows, key=key))}
 
 
@@ -58,3 +59,9 @@ def test_terciles_follow_the_stacking_order_of_models_on_ties(spark):
     assert {(r.model, r.y_coord): r.stratum[0] for r in got} == {
         ("c", 0): "L", ("c", 1): "L", ("b", 0): "M", ("b", 1): "M", ("a", 0): "H", ("a", 1): "H",
     }
+
+
+def test_digest_takes_any_number_of_columns(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4), (1, 2, 3, 5), (1, 2, 3, None)], "a INT, b INT, c INT, d INT")
+    assert df.select(ranking.digest("order", ["a", "b", "c", "d"])).distinct().count() == 3
+    assert len(ranking.hash_rank(df, ["a", "b", "c", "d"]).collect()) == 3

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,8 +97,8 @@ def _expected(b, u, samples_rows, c):
         if (win[at] == 0).mean() < c.min_pristine:
             continue
         norm = (b[:, t0 : t0 + c.window, y : y + c.patch, x : x + c.patch] + 0.01) / 1.61
-        bucket = (c.seed * 31 + y * 7919 + x * 104729 + t0 * 15485863) % 10007
-        donor = bucket % (c.window - 1)
+        hexes = hashlib.md5(f"donor|{c.seed}|0|{y}|{x}|{t0}".encode()).hexdigest()
+        donor = int(hexes[:7], 16) % (c.window - 1)
         donor += donor >= at
         hole = win[donor] != 0
         inputs = np.nan_to_num(norm, nan=0.0)
@@ -205,3 +207,40 @@ def test_stratum_defaults_to_unknown(spark):
     strata = spark.createDataFrame([(0, 0, "Low")], "y_coord INT, x_coord INT, stratum STRING")
     got = {r.y_coord: r.difficulty_stratum for r in samples.attach_stratum(s, strata).collect()}
     assert got == {0: "Low", 8: "Unknown"}
+
+
+def _corr(a, b):
+    return abs(np.corrcoef(np.array(a, float), np.array(b, float))[0, 1])
+
+
+def test_seed_and_epoch_shuffle_and_draws_are_independent(spark):
+    c = SampleConfig(patch=8, window=4)
+    planned = samples.plan_samples(spark, 8 * 21, 8 * 21, 20, c).filter("split = 'train'").cache()
+    keys = ["y_coord", "x_coord", "t_start"]
+    order = {}
+    for seed, epoch in ((42, 0), (42, 1), (42, 2), (7, 0)):
+        rows = samples.shuffle_order(planned.drop("seq"), seed, epoch).select(*keys, "seq").collect()
+        order[seed, epoch] = {tuple(r[k] for k in keys): r.seq for r in rows}
+    first = order[42, 0]
+    n = len(first)
+    for other in list(order)[1:]:
+        # a rotation would leave one difference for nearly all samples
+        steps = [(order[other][k] - first[k]) % n for k in first]
+        assert len(set(steps)) > n / 3 and _corr([first[k] for k in first], [order[other][k] for k in first]) < 0.1
+    split = samples.spatial_split(samples.patch_grid(spark, 8 * 21, 8 * 21, 8), c).collect()
+    train = {(r.y_coord // 8, r.x_coord // 8) for r in split if r.split == "train"}
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1), (0, 7), (2, 3)):  # a lattice would repeat itself along some step
+        pairs = [((y, x) in train, (y + dy, x + dx) in train) for y in range(19) for x in range(1, 14)]
+        assert _corr(*zip(*pairs)) < 0.2
+    targets = planned.withColumn("t_target", F.col("t_start"))
+    flips = []
+    for epoch in (0, 1, 2):
+        cells = targets.select(*KEY, F.col("y_coord").alias("y"), F.col("x_coord").alias("x"), F.lit(1).alias("v"))
+        moved = samples.augment(cells, c, 42, epoch).select("y_coord", "x_coord", "t_start", (F.col("x") - F.col("x_coord")).alias("dx"))
+        flips.append({tuple(r[k] for k in keys): r.dx > 0 for r in moved.collect()})
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        share = np.mean([flips[a][k] != flips[b][k] for k in flips[a]])
+        assert 0.45 < share < 0.55
+    donors = {tuple(r[k] for k in keys): r.t_donor - r.t_start for r in samples.donor_frame(targets, c).collect()}
+    assert _corr([donors[k] for k in donors], [flips[0][k] for k in donors]) < 0.05
+    assert _corr([donors[k] for k in donors], [first[k] for k in donors]) < 0.05

@@ -43,10 +43,9 @@ def arrays():
     return pred, target, rng.random(target.shape) < 0.7
 
 
-@pytest.mark.parametrize("lists_up_to", [64, 0])
-def test_scores_match_numpy(spark, arrays, lists_up_to):
+def test_scores_match_numpy(spark, arrays):
     pred, target, valid = arrays
-    row = metrics.score(_cells(spark, *arrays), KEYS, BANDS, 16, lists_up_to=lists_up_to).first()
+    row = metrics.score(_cells(spark, *arrays), KEYS, BANDS, 16).first()
     mse = ((pred - target) ** 2)[valid].mean()
     assert row.rmse == pytest.approx(np.sqrt(mse))
     assert row.psnr == pytest.approx(10 * np.log10(1 / mse))
@@ -61,8 +60,8 @@ def test_all_similarity_forms_agree(spark, arrays):
     cells = _cells(spark, *arrays)
     a = metrics.ssim(cells, KEYS, BANDS, 16).first().ssim
     b = metrics.ssim_windows(cells, KEYS, BANDS, 16).first().ssim
-    c = metrics.ssim(cells, KEYS, BANDS, 16, lists_up_to=0).first().ssim
-    assert a == pytest.approx(b, abs=1e-12) and a == pytest.approx(c, abs=1e-12)
+    c = metrics.score(cells, KEYS, BANDS, 16).first().ssim
+    assert a == pytest.approx(b, abs=1e-12) and a == c
     with pytest.raises(ValueError):
         metrics.ssim(cells, KEYS, BANDS, 6)
 
@@ -77,9 +76,8 @@ def test_similarity_across_arrow_batches(spark, arrays):
     try:
         for rows in (7, 256, 600, 10000):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-            for lists_up_to in (64, 0):
-                found = metrics.ssim(cells, KEYS, BANDS, 16, lists_up_to=lists_up_to).collect()
-                assert {r.model: r.ssim for r in found} == pytest.approx(want)
+            found = metrics.ssim(cells, KEYS, BANDS, 16).collect()
+            assert {r.model: r.ssim for r in found} == pytest.approx(want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
@@ -157,3 +155,28 @@ def test_earliest_frame_wins_ties(spark):
     stack = np.zeros((3, 4, 2, 2))
     c = SampleConfig(patch=2, window=4, bands=tuple(BANDS))
     assert impute.best_frames(_sample(spark, stack, np.ones((3, 2, 2))), c).first().t == 0
+
+
+def test_scores_of_wide_patches_take_one_pass(spark):
+    rng = np.random.default_rng(5)
+    target = rng.random((2, 40, 40))
+    pred = np.clip(target + rng.normal(0, 0.1, target.shape), 0, 1)
+    rows = [
+        (0, 0, y, x, *map(float, pred[:, y, x]), *map(float, target[:, y, x]), True, (y + x) % 3 > 0)
+        for y, x in np.ndindex(40, 40) if (y * x) % 7
+    ]
+    names = "y_coord INT, x_coord INT, y INT, x INT, pred_a DOUBLE, pred_b DOUBLE, target_a DOUBLE, target_b DOUBLE, valid_a BOOLEAN, valid_b BOOLEAN"
+    cells = spark.createDataFrame(rows, names)
+    keys, bands = ["y_coord", "x_coord"], ["a", "b"]
+    df = metrics.score(cells, keys, bands, 40)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Scan") == 1
+    got, parts = df.first(), metrics.pixel_scores(cells, keys, bands).first()
+    assert (got.rmse, got.psnr, got.sam) == pytest.approx((parts.rmse, parts.psnr, parts.sam))
+    seen = np.zeros((40, 40), bool)
+    for r in rows:
+        seen[r[2], r[3]] = True
+    assert got.ssim == pytest.approx(_ssim(pred * seen, target * seen))
+    # cells already placed by patch do not move again
+    placed = metrics.score(cells.repartition("y_coord", "x_coord"), keys, bands, 40)
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

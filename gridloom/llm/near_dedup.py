@@ -9,9 +9,9 @@ at a similarity of 0.85 exceeds it with a probability below 0.0001. Links are co
 
 Documents with equal sets form one class, found by a 128-bit digest; only the class's smallest document enters the
 index. Of each key, every document is first compared with the most connected one; what these links join need not be compared
-any more, and all pairs of a key whose documents lie in different components follow, unless the shingles that
-one of them shares with no other such document rule a link out. So a group of N near copies costs about N
-comparisons, and no link between components is lost.
+any more. Keys whose documents lie in different components stay open: the pairs among their documents that can still
+be links must share one of their rarest shingles (and enough behind it), and those are compared. So a group of N near
+copies costs about N comparisons, and no link between components is lost.
 
 Defined results: NULL texts and texts without words have an empty set, link with nothing and are kept. Rows that repeat a
 ``doc_id`` are one node: their sets all count for it, and each row gets the node's component. A NULL ``doc_id`` links with
@@ -20,6 +20,7 @@ nothing, has a NULL component and is kept. An empty table gives no rows; other c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.columns import hashed, mixed, pieces, words
 from gridloom.llm.components import components
+from gridloom.llm.sizes import only
 from gridloom.sources.workspace import cut
 
 CHUNKS, WIDTH, ERRORS, BITS = 6, 4, 1, 16
-# Two words of single-bit minwise values (one per range of the hash): a quick bound before the sets are read. At a
-# similarity of 0.85 128 bits differ in 9.6 places on average; more than 30 have a probability below 1e-8.
-SKETCH_BITS, SKETCH_LIMIT = 128, 30
+# Words of single-bit minwise values (one per range of the hash): a quick bound before the sets are read.
+SKETCH_BITS = 256
+WORDS = [f"bits{k + 1}" for k in range(SKETCH_BITS // 64)]
 KEY_WIDTH = 1 << BITS
 
 
@@ -116,25 +118,24 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(sums[0]),
                     pa.array(sums[1]),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_values), flat),
-                    pa.array(bits[0]),
-                    pa.array(bits[1]),
+                    *map(pa.array, bits),
                 ],
-                names=["doc_id", "n_shingles", "digest1", "digest2", "sig", "bits1", "bits2"],
+                names=["doc_id", "n_shingles", "digest1", "digest2", "sig", *WORDS],
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, digest1 bigint, digest2 bigint, sig array<int>, bits1 bigint, bits2 bigint"
+        run, f"doc_id bigint, n_shingles bigint, digest1 bigint, digest2 bigint, sig array<int>, {', '.join(f'{w} bigint' for w in WORDS)}"
     )
 
 
 def sketch(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Two words per row: one bit of the smallest value in each of 128 ranges of the hash; 0 for an empty range."""
-    out = np.zeros((2, n), np.uint64)
+    """One bit per row of the smallest value in each of 256 ranges of the hash, in words; 0 for an empty range."""
+    out = np.zeros((len(WORDS), n), np.uint64)
     place = (values >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
     head = np.flatnonzero(np.diff(owner * SKETCH_BITS + place, prepend=-1))  # values are ordered within a row
     place, row = place[head], owner[head]
     bit = (mixed(values[head]) & np.uint64(1)) << (place % 64).astype(np.uint64)
-    for k in range(2):
+    for k in range(len(WORDS)):
         mine = place // 64 == k
         out[k] = np.bitwise_or.reduceat(np.append(bit[mine], np.uint64(0)), np.searchsorted(row[mine], np.arange(n)))
         out[k, np.bincount(row[mine], minlength=n) == 0] = 0
@@ -152,16 +153,22 @@ def keys(classes: DataFrame) -> DataFrame:
         return out
 
     every = F.array(*(key(c, i, kept) for c in range(CHUNKS) for i, kept in enumerate(choices)))
-    return classes.select("doc_id", "n_shingles", "digest1", "bits1", "bits2", F.explode(every).alias("key"))
+    return classes.select("doc_id", "n_shingles", "digest1", *WORDS, F.explode(every).alias("key"))
 
 
 def close(percent: int) -> Column:
-    """A bound that no pair of the wanted similarity breaks: set sizes exactly, sketches all but surely."""
-    differ = F.bit_count(F.col("l.bits1").bitwiseXOR(F.col("r.bits1"))) + F.bit_count(
-        F.col("l.bits2").bitwiseXOR(F.col("r.bits2"))
-    )
+    """A bound for pairs of the wanted similarity, by set sizes and sketches.
+
+    A shingle that only one set has changes one bit of the sketch at most, which bounds small sets exactly. Of large sets at
+    similarity t a bit differs with probability (1 - t) / 2; six standard deviations more have a probability below 1e-8.
+    """
+    differ = F.lit(0)
+    for w in WORDS:
+        differ = differ + F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}")))
     small, large = F.least("l.n_shingles", "r.n_shingles"), F.greatest("l.n_shingles", "r.n_shingles")
-    return (100 * small >= percent * large) & (differ <= SKETCH_LIMIT)
+    p = (100 - percent) / 200
+    limit = SKETCH_BITS * p + 6 * math.sqrt(SKETCH_BITS * p * (1 - p))
+    return (100 * small >= percent * large) & (differ <= limit) & (differ * (100 + percent) <= (small + large) * (100 - percent))
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -181,22 +188,30 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "digest1", "shingles"],
             )
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    chosen = only(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id")
     return chosen.mapInArrow(run, "doc_id bigint, digest1 bigint, shingles array<bigint>")
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """How many shingles of each set no other set of the table has."""
-    spread = sets.select("doc_id", "digest1", F.explode("shingles").alias("shingle"))
-    seen = spread.groupBy("shingle").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("digest1").alias("digest1")
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each set that also others have, with their place in the order from rare to common.
+
+    Two sets whose similarity reaches ``percent`` share a shingle among the rarest ``100 - percent`` of a hundred (and one more) of the larger
+    set. Shingles are counted over the sets given.
+    """
+    spread = sets.select("doc_id", "digest1", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = spread.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = spread.join(counts, "shingle", "left").groupBy("doc_id", "digest1", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order")
+    )  # one set each
+    head = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return ranked.select("doc_id", "digest1", "n", F.posexplode(head).alias("place", "entry")).where("entry.often > 1").select(
+        "doc_id", "digest1", "n", "place", F.col("entry.shingle").alias("shingle")
     )
-    return seen.where("n = 1").groupBy("doc_id", "digest1").agg(F.count("*").alias("own"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id"))
     sets = shingle_sets(docs, ids, size)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -232,8 +247,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     centres = index.select("key", "doc_id").join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", "doc_id")).alias("c"))
     centres = centres.select("key", F.col("c.doc_id").alias("centre"))
     head = (
-        index.join(centres, "key").where("doc_id = centre").select("key", "n_shingles", "bits1", "bits2", "doc_id")
-        .dropDuplicates(["key", "doc_id", "bits1", "bits2"])
+        index.join(centres, "key").where("doc_id = centre").select("key", "n_shingles", *WORDS, "doc_id")
+        .dropDuplicates(["key", "doc_id", *WORDS])
     )
     stars = (
         index.alias("l")
@@ -250,18 +265,19 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
     placed = cut(placed.join(mixed_keys.select("key"), "key", "left_semi"), "open")
-    own = own_shingles(shingle_sets(docs, placed.select("doc_id").distinct(), size))
-    placed = placed.join(own, ["doc_id", "digest1"], "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-    placed = placed.where(100 * F.col("common") >= percent * F.col("n_shingles"))
-    most = F.least("l.common", "r.common")
-    possible = 100 * most >= percent * (F.col("l.n_shingles") + F.col("r.n_shingles") - most)
+    opened = placed.select("doc_id", "digest1", "n_shingles", *WORDS, "part").distinct()
+    rare = prefixes(cut(shingle_sets(docs, opened.select("doc_id").distinct(), size), "sets"), percent)
+    rare = cut(rare.join(opened, ["doc_id", "digest1"]), "rare")
+    # how many shingles a pair must share, and how many it still can from its first common one on
+    needed = F.ceil((F.col("l.n") + F.col("r.n")) * percent / (100 + percent))
+    can = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
+    larger = (F.col("l.n") > F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.doc_id") > F.col("r.doc_id")))
     rest = (
-        placed.alias("l").join(
-            placed.alias("r"),
-            (F.col("l.key") == F.col("r.key")) & (F.col("l.part") != F.col("r.part"))
-            & (F.col("l.doc_id") > F.col("r.doc_id")) & close(percent) & possible,
+        rare.alias("l").join(
+            rare.alias("r"),
+            (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") != F.col("r.part")) & larger & (can >= needed) & close(percent),
         )
-        .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+        .select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
     )
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "pairs")

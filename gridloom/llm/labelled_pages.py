@@ -95,7 +95,7 @@ def _box(draw: random.Random, tag: str, attributes: str) -> str:
     elif kind < 0.5:
         inner = _text(draw)
     elif kind < 0.85:
-        head = draw.choice(("h2", "h2", "h3", "h4"))
+        head = draw.choice(("h1", "h2", "h2", "h3", "h4"))
         inner = f"<{head}>{draw.choice(SENTENCES)}</{head}>" * draw.randint(0, 1) + "".join(
             draw.choice(("<p>{}</p>", "<p>{}</p>", "<div><p>{}</p></div>", "<div><span>Name</span><p>{}</p></div>")).format(_text(draw)) for _ in range(draw.randint(1, 5))
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.spectral import safe_div
 from gridloom.operators import intrinsic, reports, runs
 from gridloom.plans import sample_queries as sq
+from gridloom.plans import score_queries as scores
 from gridloom.plans.ctes import r6 as q6
 from gridloom.plans.ctes import mixed, sql_over
 from gridloom.plans.intrinsic_queries import tercile_sql
@@ -80,6 +81,25 @@ def by_strata(spark, d):
     return reports.by_strata(merged).select("report", "stratum", "model", *_scores())
 
 
+@query(
+    "o_i0_evaluation_report",
+    sql_over(
+        "shape dense pdiff",
+        f"""SELECT report, stratum, model, {_MEANS} FROM (SELECT m.*, l.report, l.stratum FROM scored m JOIN (
+  SELECT y_coord, x_coord, 'Overall Difficulty' AS report, stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Spatial Heterogeneity', spatial_stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Phenology Variability', phenology_stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Cloud Persistence', cloud_stratum FROM labelled) l
+  ON m.y_coord = l.y_coord AND m.x_coord = l.x_coord) GROUP BY ALL""",
+        **scores._EVAL_WITH,
+        scored=scores._EVAL_SCORES,
+        labelled=_LABELLED,
+    ),
+)
+def evaluation_report(spark, d):
+    return scores.evaluated(spark, d)["strata"].select("report", "stratum", "model", *_scores())
+
+
 @query(
     "o_i4_stack_models",
     sql_over(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import impute, metrics
+from gridloom.operators import evaluation, impute, intrinsic, metrics
 from gridloom.plans import sample_queries as sq
 from gridloom.plans.ctes import r6 as q6
 from gridloom.plans.ctes import sql_over
@@ -30,17 +30,26 @@ _COS = (
     f"* sqrt({' + '.join(f't{b} * t{b}' for b in _N)}) + 1e-8)"
 )
 _SAM = f"coalesce(avg(acos(greatest(-1e0, least(1e0, {_COS})))) FILTER ({' AND '.join(f'v{b}' for b in _N)}), 0)"
-_PIXEL = f"SELECT {_K}, sqrt({_MSE}) AS rmse, {_SAM} AS sam FROM preds GROUP BY {_K}"
-_LONG = " UNION ALL ".join(
-    f"SELECT {_K}, y - y_coord AS ly, x - x_coord AS lx, {b} AS band, p{b} AS p, t{b} AS q FROM preds" for b in _N
-)
-_BOX = f"""SELECT {_K}, band, dy, dx, sum(p) / 49 AS mp, sum(q) / 49 AS mt, sum(p * p) / 49 AS pp, sum(q * q) / 49 AS tt,
+
+
+def score_ctes(keys: str, source: str = "preds") -> dict[str, str]:
+    """Pixel scores and similarity of the predictions in ``source`` per sample."""
+    pixel = f"SELECT {keys}, sqrt({_MSE}) AS rmse, {_SAM} AS sam FROM {source} GROUP BY {keys}"
+    long = " UNION ALL ".join(
+        f"SELECT {keys}, y - y_coord AS ly, x - x_coord AS lx, {b} AS band, p{b} AS p, t{b} AS q FROM {source}" for b in _N
+    )
+    box = f"""SELECT {keys}, band, dy, dx, sum(p) / 49 AS mp, sum(q) / 49 AS mt, sum(p * p) / 49 AS pp, sum(q * q) / 49 AS tt,
   sum(p * q) / 49 AS pt FROM long JOIN (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx) o
   ON ly BETWEEN dy AND dy + 6 AND lx BETWEEN dx AND dx + 6 GROUP BY ALL"""
-_SSIM = f"""SELECT {_K}, avg(((2 * mp * mt + 1e-4) * (2 * (49 / 48e0) * (pt - mp * mt) + 9e-4)) /
+    ssims = f"""SELECT {keys}, avg(((2 * mp * mt + 1e-4) * (2 * (49 / 48e0) * (pt - mp * mt) + 9e-4)) /
   ((mp * mp + mt * mt + 1e-4) * ((49 / 48e0) * (pp - mp * mp) + (49 / 48e0) * (tt - mt * mt) + 9e-4))) AS ssim
-  FROM box GROUP BY {_K}"""
-_SSIM_WITH = {"long": _LONG, "box": _BOX, "ssims": _SSIM}
+  FROM box GROUP BY {keys}"""
+    return {"pixel": pixel, "long": long, "box": box, "ssims": ssims}
+
+
+_SCORED = score_ctes(_K)
+_PIXEL = _SCORED["pixel"]
+_SSIM_WITH = {k: _SCORED[k] for k in ("long", "box", "ssims")}
 _PSNR = "CASE WHEN rmse > 0 THEN 20e0 * log10(1e0 / rmse) ELSE CAST('inf' AS DOUBLE) END"
 
 
@@ -80,6 +89,77 @@ def oracle_frame(spark, d):
     return impute.best_frames(sq.built(spark, d), sq.C).withColumn("frame_mse", r6("frame_mse"))
 
 
+_BEST = f"""SELECT {_S}, t, mse FROM (
+  SELECT {", ".join(f"b.{k}" for k in SAMPLE_KEY)}, b.t,
+    avg(({" + ".join(f"(b.in_{b} - g.target_{b}) ** 2" for b in FEATURE_BANDS)}) / 6) AS mse
+  FROM built b JOIN built g ON g.is_target AND {" AND ".join(f"b.{k} = g.{k}" for k in [*SAMPLE_KEY, "y", "x"])}
+  GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_S} ORDER BY mse, t) = 1"""
+_BS = ", ".join(f"b.{k}" for k in SAMPLE_KEY)
+
+
+def _filled(model: str, value: str, join: str = "") -> str:
+    """Predicted, true and valid values per cell of one filler; ``value`` has the band as {b}."""
+    columns = [f"{value.format(b=b)} AS p{i}" for i, b in enumerate(FEATURE_BANDS, 1)]
+    columns += [f"max(target_{b}) AS t{i}" for i, b in enumerate(FEATURE_BANDS, 1)]
+    columns += [f"bool_or(valid_{b}) AS v{i}" for i, b in enumerate(FEATURE_BANDS, 1)]
+    return f"SELECT '{model}' AS model, {_BS}, y, x, {', '.join(columns)} FROM built b {join} GROUP BY {_BS}, y, x"
+
+
+_BEST_FRAME = _filled(
+    "oracle", "max(in_{b}) FILTER (b.t = o.t)", "JOIN best o ON " + " AND ".join(f"b.{k} = o.{k}" for k in SAMPLE_KEY)
+)
+_FILLED = " UNION ALL ".join(
+    [_filled("median", "list_sort(list(in_{b}))[2]"), _BEST_FRAME, _filled("mean", "avg(in_{b})")]
+)
+
+
+@query(
+    "o_h2_oracle_cells",
+    sql_over(
+        "shape dense",
+        f"SELECT {_S}, y, x, " + ", ".join(f"round(p{i}, 6) AS pred_{b}, round(t{i}, 6) AS target_{b}, v{i} AS valid_{b}" for i, b in enumerate(FEATURE_BANDS, 1)) + " FROM filled",
+        **sq.BUILT,
+        best=_BEST,
+        filled=_BEST_FRAME,
+    ),
+)
+def oracle_cells(spark, d):
+    filled = impute.oracle_frame(sq.built(spark, d), sq.C)
+    columns = [c for b in FEATURE_BANDS for c in (F.round(f"pred_{b}", 6).alias(f"pred_{b}"), F.round(f"target_{b}", 6).alias(f"target_{b}"), F.col(f"valid_{b}"))]
+    return filled.select(*SAMPLE_KEY, "y", "x", *columns)
+
+
+def evaluated(spark, d):
+    """Median, best frame and a user's function on the test samples."""
+    fillers = {
+        "median": lambda cells: impute.temporal_median(cells, sq.C),
+        "oracle": lambda cells: impute.oracle_frame(cells, sq.C),
+        "mean": lambda cells: impute.predict_cells(cells, sq.C, lambda stack: stack.mean(axis=2)),
+    }
+    strata = intrinsic.with_strata(derived.patch_difficulty(spark, d))
+    return evaluation.evaluate(
+        derived.cube(spark, d), sq.plan(spark, d), strata, fillers, sq.T, sq.C, derived.grid_shape(spark, d)
+    )
+
+
+_EVAL_KEYS = f"model, {_S}"
+_EVAL_WITH = {**sq.BUILT, "best": _BEST, "filled": f"SELECT * FROM ({_FILLED}) WHERE split = 'test'", **score_ctes(_EVAL_KEYS, "filled")}
+_EVAL_SCORES = f"""SELECT p.*, {_PSNR} AS psnr, s.ssim FROM pixel p JOIN ssims s
+  ON {" AND ".join(f"p.{k} = s.{k}" for k in ["model", *SAMPLE_KEY])}"""
+
+
+@query(
+    "o_i0_evaluation_scores",
+    sql_over(
+        "shape dense",
+        f"SELECT {_EVAL_KEYS}, {q6('rmse')} AS rmse, {q6('psnr')} AS psnr, {q6('ssim')} AS ssim, {q6('sam')} AS sam FROM ({_EVAL_SCORES})",
+        **_EVAL_WITH,
+    ),
+)
+def evaluation_scores(spark, d):
+    return evaluated(spark, d)["scores"].select("model", *SAMPLE_KEY, *[r6(m) for m in ("rmse", "psnr", "ssim", "sam")])
+
+
 def _frame_mean(batch: np.ndarray) -> np.ndarray:
     """Stand-in for a user's network: the mean over the four input frames."""
     rows = batch.reshape(len(batch), 6, 4, -1)

@@ -19,7 +19,7 @@ def work_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/") + "/gridloom"
+        return f"{configured.rstrip('/')}/gridloom/{spark.conf.get('spark.app.id', 'run')}"
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
@@ -29,6 +29,16 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete what this application wrote to its working folder; results still to be read from there are lost.
+
+    Call it at the end of a run, when every result has been written elsewhere.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -126,12 +126,22 @@ def test_work_dir_follows_the_session_and_refuses_a_cluster_without_one():
         def __init__(self, **values):
             self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
 
-    given = Session(spark_checkpoint_dir="hdfs://shared/cp/", spark_master="yarn")
-    assert workspace.work_dir(given) == "hdfs://shared/cp/gridloom"
+    given = Session(spark_checkpoint_dir="hdfs://shared/cp/", spark_master="yarn", spark_app_id="app-1")
+    assert workspace.work_dir(given) == "hdfs://shared/cp/gridloom/app-1"  # a run's own folder
     with pytest.raises(ValueError):
         workspace.work_dir(Session(spark_master="yarn"))
 
 
+def test_directories_are_neither_fetched_nor_counted_and_caps_are_per_product(spark):
+    names = ["P.A2024001.h18v03.061.hdf", "P.A2024001.h18v04.061.hdf", "Q.A2024001.h18v03.061.hdf", "P.A2024001.h19v03.061.hdf", "x.y.z", "u.v.w"]
+    sizes = [0, 5, 5, 5, 5, 5]
+    rows = [(i, n, s) for i, (n, s) in enumerate(zip(names, sizes))]
+    listing_ = manifest.parse_granules(spark.createDataFrame(rows, "pos INT, name STRING, size INT"))
+    none = spark.createDataFrame([], "name STRING, size INT")
+    got = {r.name for r in manifest.pending(listing_, none, 1).collect()}
+    assert got == {names[1], names[2], "x.y.z", "u.v.w"}
+
+
 def test_metric_scan_takes_the_first_path_per_model(spark, tmp_path):
     schema = "model STRING, y_coord INT, rmse DOUBLE"
     for folder, value in (("b", 2), ("a", 1)):

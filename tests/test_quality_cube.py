@@ -3,10 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.config import QC_FILL, CubeConfig
+from gridloom.config import QC_FILL, CubeConfig, DifficultyConfig
 from gridloom.functions import quality
-from gridloom.operators import cube
-from gridloom.sources import tables
+from gridloom.operators import cube, intrinsic
+from gridloom.operators.patches import with_patch
+from gridloom.sources import derived, tables
 
 GOLDEN = [
     (0, 0), (4, 1), (192, 2), (256, 3), (8192, 3), (1, 4), (2, 4), (3, 0), (65535, 255),
@@ -108,6 +109,9 @@ def test_cube_round_trip_prunes_and_keeps_metadata(spark, tmp_path):
     assert back.schema["b01"].metadata["long_name"] == "Red"
     assert "4=Cloudy" in back.schema["usability"].metadata["usability_mask_key"]
     boxed = tables.read_cube(spark, path, box=(0, 16, 8, 20), patch=8, chunk=16)
+    assert tables.read_cube(spark, path, box=(0, 16, 8, 20)).count() == boxed.count() > 0
+    with pytest.raises(ValueError):
+        tables.read_cube(spark, path, box=(0, 16, 8, 20), patch=224)
     assert boxed.count() == 2 * 8 * 4
     plan = boxed._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cy" in plan and "PushedFilters: [IsNotNull(py)" in plan
@@ -117,3 +121,23 @@ def test_config_is_checked():
     for bad in ({"bands": ()}, {"bands": (8,)}, {"range_on": "x"}, {"tiles_per_day": 0}, {"min_valid_fraction": 2}):
         with pytest.raises(ValueError):
             CubeConfig(**bad)
+
+
+def test_patch_keys_of_another_size_are_refused(spark):
+    cells = spark.createDataFrame([(9, 17)], "y INT, x INT")
+    keyed = with_patch(cells, 8)
+    assert tuple(with_patch(keyed, 8).select("y_coord", "x_coord").first()) == (8, 16)
+    with pytest.raises(ValueError):
+        with_patch(keyed, 16)
+    bare = keyed.select("y", "x", (F.col("y_coord") + 0).alias("y_coord"), (F.col("x_coord") + 0).alias("x_coord"))
+    assert tuple(with_patch(bare, 16).select("y_coord", "x_coord").first()) == (0, 16)
+
+
+def test_mask_fill_is_a_parameter(spark):
+    row = spark.range(1).select(quality.usability(F.lit(65535), mask_fill=200).alias("a"), quality.usability(F.lit(65535)).alias("b")).first()
+    assert (row.a, row.b) == (200, 255)
+
+
+def test_frames_need_the_shape(spark, sf):
+    with pytest.raises(ValueError):
+        intrinsic.cube_metrics(derived.cube(spark, sf), DifficultyConfig(patch=8), times=12)

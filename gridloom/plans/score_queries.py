@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluation, impute, intrinsic, metrics
+from gridloom.operators.patches import with_patch
 from gridloom.plans import sample_queries as sq
 from gridloom.plans.ctes import r6 as q6
 from gridloom.plans.ctes import sql_over
@@ -231,6 +232,38 @@ def score(spark, d):
     return scored.select(*_KEYS, *[r6(m) for m in ("rmse", "psnr", "ssim", "sam")])
 
 
+_WIDE = "SELECT * REPLACE (CAST(y // 64 * 64 AS INT) AS y_coord, CAST(x // 64 * 64 AS INT) AS x_coord) FROM preds"
+_MOMENTS = {"mp": "p", "mt": "q", "pp": "p * p", "tt": "q * q", "pt": "p * q"}
+_WIDE_WITH = {
+    "wide": _WIDE,
+    **{k: v for k, v in score_ctes(_K, "wide").items() if k in ("pixel", "long")},
+    "whole": f"""SELECT s.*, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM (
+  SELECT * FROM (SELECT DISTINCT {_K} FROM wide), (SELECT unnest(range(64)) AS ly), (SELECT unnest(range(64)) AS lx), (SELECT unnest(range(1, 7)) AS band)) s
+  LEFT JOIN long l ON {" AND ".join(f"s.{k} = l.{k}" for k in [*_KEYS, "ly", "lx", "band"])}""",
+    "across": f"""SELECT {_K}, band, ly, lx, {", ".join(f"sum({v}) OVER w AS {k}" for k, v in _MOMENTS.items())} FROM whole
+  WINDOW w AS (PARTITION BY {_K}, band, ly ORDER BY lx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "box": f"""SELECT * FROM (SELECT {_K}, band, ly, lx, {", ".join(f"sum({k}) OVER w / 49 AS {k}" for k in _MOMENTS)} FROM across
+  WINDOW w AS (PARTITION BY {_K}, band, lx ORDER BY ly ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) WHERE ly >= 6 AND lx >= 6""",
+    "ssims": score_ctes(_K)["ssims"],
+}
+
+
+@query(
+    "o_h8_score_wide",
+    sql_over(
+        "preds",
+        f"""SELECT {", ".join(f"p.{k}" for k in _KEYS)}, {q6('rmse')} AS rmse, {q6(_PSNR)} AS psnr, {q6('ssim')} AS ssim, {q6('sam')} AS sam
+  FROM pixel p JOIN ssims s ON {" AND ".join(f"p.{k} = s.{k}" for k in _KEYS)}""",
+        **_WIDE_WITH,
+    ),
+)
+def score_wide(spark, d):
+    """Patches as wide as the grid, cut off at its lower edge."""
+    cells = with_patch(derived.predictions(spark, d).drop("y_coord", "x_coord"), 64)
+    scored = metrics.score(cells, _KEYS, FEATURE_BANDS, 64)
+    return scored.select(*_KEYS, *[r6(m) for m in ("rmse", "psnr", "ssim", "sam")])
+
+
 _ABS = " + ".join(f"sum(CASE WHEN v{b} THEN abs(p{b} - t{b}) ELSE 0 END)" for b in _N)
 _CELL_SUM = " + ".join(f"sum(CASE WHEN v1 THEN {_SQ[b]} ELSE 0 END)" for b in _N)
 

@@ -49,12 +49,12 @@ def _merged(spark, d):
     "o_i1_join_difficulty",
     sql_over(
         "pmetrics pdiff",
-        f"SELECT model, y_coord, x_coord, t_start, {q6('rmse')} AS rmse, {q6('difficulty_index')} AS difficulty_index FROM merged",
+        "SELECT model, y_coord, x_coord, t_start, " + ", ".join(f"{q6(m)} AS {m}" for m in [*METRICS, "difficulty_index"]) + " FROM merged",
         merged=_MERGED,
     ),
 )
 def join_difficulty(spark, d):
-    return _merged(spark, d).select("model", "y_coord", "x_coord", "t_start", r6("rmse"), r6("difficulty_index"))
+    return _merged(spark, d).select("model", "y_coord", "x_coord", "t_start", *_scores(), r6("difficulty_index"))
 
 
 @query("o_i2_overall", sql_over("pmetrics", f"SELECT model, {_MEANS} FROM pmetrics GROUP BY model"))
@@ -256,7 +256,7 @@ def stretch(spark, d):
     keys = ["model", "y_coord", "x_coord", "t"]
     picture = reports.rgb(derived.predictions(spark, d), [*keys, "y", "x"], "pred_")
     stretched = reports.stretch(picture, reports.stretch_bounds(picture, keys), keys)
-    return stretched.select("model", "t", "y", "x", r6("red"), r6("green"), r6("blue"))
+    return stretched.select("model", "t", "y", "x", *[r6(c) for c in _RGB])
 
 
 _TRUTH = "SELECT model, y_coord, x_coord, t, y, x, t1 AS red, t4 AS green, t3 AS blue FROM preds"
@@ -272,12 +272,16 @@ def _pictures(spark, d):
     return keys, reports.rgb(cells, [*keys, "y", "x"], "pred_"), reports.rgb(cells, [*keys, "y", "x"], "target_")
 
 
+_RGB = ("red", "green", "blue")
+
+
 @query(
     "o_i13_stretch_pooled",
     sql_over(
         "preds",
-        f"""SELECT p.model, p.t, p.y, p.x, round(greatest(0, least(1, CASE WHEN p98 > p2 THEN (red - p2) / (p98 - p2) ELSE red END)) + 1e-9, 6) AS red
-  FROM truth p JOIN bounds b ON {_ON}""",
+        "SELECT p.model, p.t, p.y, p.x, "
+        + ", ".join(f"round(greatest(0, least(1, CASE WHEN p98 > p2 THEN ({c} - p2) / (p98 - p2) ELSE {c} END)) + 1e-9, 6) AS {c}" for c in _RGB)
+        + f" FROM truth p JOIN bounds b ON {_ON}",
         pixels=_PIXELS,
         truth=_TRUTH,
         pooled=_POOLED,
@@ -287,15 +291,16 @@ def _pictures(spark, d):
 def stretch_pooled(spark, d):
     keys, predicted, truth = _pictures(spark, d)
     bounds = reports.stretch_bounds(predicted.unionByName(truth), keys)
-    return reports.stretch(truth, bounds, keys).select("model", "t", "y", "x", r6("red"))
+    return reports.stretch(truth, bounds, keys).select("model", "t", "y", "x", *[r6(c) for c in _RGB])
 
 
 @query(
     "o_i13_stretch_truth",
     sql_over(
         "preds",
-        f"""SELECT p.model, p.t, p.y, p.x, round(CASE WHEN p98 > p2 THEN greatest(0, least(1, (blue - p2) / (p98 - p2 + 1e-8))) ELSE blue END + 1e-9, 6) AS blue
-  FROM pixels p JOIN bounds b ON {_ON}""",
+        "SELECT p.model, p.t, p.y, p.x, "
+        + ", ".join(f"round(CASE WHEN p98 > p2 THEN greatest(0, least(1, ({c} - p2) / (p98 - p2 + 1e-8))) ELSE {c} END + 1e-9, 6) AS {c}" for c in _RGB)
+        + f" FROM pixels p JOIN bounds b ON {_ON}",
         pixels=_PIXELS,
         truth=_TRUTH,
         bounds=_RANGES.format(source="truth"),
@@ -305,7 +310,7 @@ def stretch_truth(spark, d):
     keys, predicted, truth = _pictures(spark, d)
     bounds = reports.stretch_bounds(truth, keys)
     shown = reports.stretch(predicted, bounds, keys, epsilon=1e-8, clip_flat=False)
-    return shown.select("model", "t", "y", "x", r6("blue"))
+    return shown.select("model", "t", "y", "x", *[r6(c) for c in _RGB])
 
 
 @query(

@@ -236,7 +236,7 @@ def sanitise(spark, d):
     "o_f12_synthetic_gaps",
     sql_over(
         "shape dense",
-        f"SELECT {_K}, t, y, x, gap, {q6('in_b01')} AS in_b01, {q6('in_b06')} AS in_b06 FROM built WHERE is_target",
+        f"SELECT {_K}, t, y, x, gap, " + ", ".join(f"{q6(f'in_{b}')} AS in_{b}" for b in FEATURE_BANDS) + " FROM built WHERE is_target",
         **BUILT,
     ),
 )
@@ -248,8 +248,7 @@ def synthetic_gaps(spark, d):
         "y",
         "x",
         "gap",
-        r6(F.get("in_b01", at), "in_b01"),
-        r6(F.get("in_b06", at), "in_b06"),
+        *[r6(F.get(f"in_{b}", at), f"in_{b}") for b in C.bands],
     )
 
 
@@ -379,13 +378,13 @@ def pad_batches(spark, d):
     "o_f21_last_frame",
     sql_over(
         "shape dense",
-        f"SELECT {_K}, y, x, {q6('in_b01')} AS target_b01, {q6('in_b06')} AS target_b06 FROM built WHERE t = t_start + 3",
+        f"SELECT {_K}, y, x, " + ", ".join(f"{q6(f'in_{b}')} AS target_{b}" for b in FEATURE_BANDS) + " FROM built WHERE t = t_start + 3",
         **BUILT,
     ),
 )
 def last_frame(spark, d):
     return samples.last_frame_target(built(spark, d), C).select(
-        *SAMPLE_KEY, "y", "x", r6("target_b01"), r6("target_b06")
+        *SAMPLE_KEY, "y", "x", *[r6(f"target_{b}") for b in C.bands]
     )
 
 

@@ -62,16 +62,19 @@ def _scores(spark, d):
     "o_h1_temporal_median",
     sql_over(
         "shape dense",
-        f"""SELECT {_S}, y, x, {q6('list_sort(list(in_b01))[2]')} AS pred_b01, {q6('list_sort(list(in_b06))[2]')} AS pred_b06,
-  {q6('max(target_b01)')} AS target_b01, bool_or(valid_b01) AS valid_b01 FROM built GROUP BY {_S}, y, x""",
+        f"SELECT {_S}, y, x, "
+        + ", ".join(
+            f"{q6(f'list_sort(list(in_{b}))[2]')} AS pred_{b}, {q6(f'max(target_{b})')} AS target_{b}, bool_or(valid_{b}) AS valid_{b}"
+            for b in FEATURE_BANDS
+        )
+        + f" FROM built GROUP BY {_S}, y, x",
         **sq.BUILT,
     ),
 )
 def temporal_median(spark, d):
     filled = impute.temporal_median(sq.built(spark, d), sq.C)
-    return filled.select(
-        *SAMPLE_KEY, "y", "x", r6("pred_b01"), r6("pred_b06"), r6("target_b01"), "valid_b01"
-    )
+    columns = [c for b in FEATURE_BANDS for c in (r6(f"pred_{b}"), r6(f"target_{b}"), F.col(f"valid_{b}"))]
+    return filled.select(*SAMPLE_KEY, "y", "x", *columns)
 
 
 @query(
@@ -171,29 +174,32 @@ def _frame_mean(batch: np.ndarray) -> np.ndarray:
     "o_h3_predict",
     sql_over(
         "shape dense",
-        f"""SELECT {_S}, CAST({{i}} * 64 + (y - y_coord) * 8 + x - x_coord AS INT) AS pos, round(avg(in_{{b}}), 4) AS v
-  FROM built GROUP BY {_S}, y, x""".format(i=2, b="b03"),
+        " UNION ALL ".join(
+            f"SELECT {_S}, CAST({i} * 64 + (y - y_coord) * 8 + x - x_coord AS INT) AS pos, round(avg(in_{b}), 4) AS v FROM built GROUP BY {_S}, y, x"
+            for i, b in enumerate(FEATURE_BANDS)
+        ),
         **sq.BUILT,
     ),
 )
 def predict(spark, d):
     made = impute.predict(impute.stack_inputs(sq.built(spark, d), sq.C), _frame_mean)
     flat = made.select(*SAMPLE_KEY, F.posexplode("output").alias("pos", "v"))
-    return flat.filter("pos BETWEEN 128 AND 191").withColumn("v", F.round(F.col("v").cast("double"), 4))
+    return flat.withColumn("v", F.round(F.col("v").cast("double"), 4))
 
 
 @query(
     "o_h3_predict_cells",
     sql_over(
         "shape dense",
-        f"""SELECT {_S}, y, x, {q6('avg(in_b01)')} AS pred_b01, {q6('avg(in_b06)')} AS pred_b06, {q6('max(target_b01)')} AS target_b01
-  FROM built GROUP BY {_S}, y, x""",
+        f"SELECT {_S}, y, x, "
+        + ", ".join(f"{q6(f'avg(in_{b})')} AS pred_{b}, {q6(f'max(target_{b})')} AS target_{b}" for b in FEATURE_BANDS)
+        + f" FROM built GROUP BY {_S}, y, x",
         **sq.BUILT,
     ),
 )
 def predict_cells(spark, d):
     made = impute.predict_cells(sq.built(spark, d), sq.C, lambda stack: stack.mean(axis=2))
-    return made.select(*SAMPLE_KEY, "y", "x", r6("pred_b01"), r6("pred_b06"), r6("target_b01"))
+    return made.select(*SAMPLE_KEY, "y", "x", *[r6(f"{k}_{b}") for b in FEATURE_BANDS for k in ("pred", "target")])
 
 
 @query("o_h4_rmse", sql_over("preds", f"SELECT {_K}, {q6('rmse')} AS rmse FROM pixel", pixel=_PIXEL))

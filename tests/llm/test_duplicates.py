@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import AWKWARD, prose
+from awkward_rows import AWKWARD, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -8,7 +8,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from conftest import AWKWARD, CLASHING, prose
+from awkward_rows import AWKWARD, CLASHING, prose
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

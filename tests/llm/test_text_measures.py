@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
-from conftest import AWKWARD, prose
+from awkward_rows import AWKWARD, prose
 
 from gridloom.llm import fertility, licences, quality
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
-from conftest import AWKWARD, prose
+from awkward_rows import AWKWARD, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

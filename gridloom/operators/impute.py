@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from gridloom.config import SampleConfig
 from gridloom.functions.spectral import add
+from gridloom.operators.samples import per_block, place_keys
 from gridloom.schemas import SAMPLE_KEY
 
 _PATCH = ["y_coord", "x_coord"]
@@ -57,8 +58,8 @@ def best_frames(cells: DataFrame, c: SampleConfig) -> DataFrame:
 def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
     """Every sample's best single frame as its prediction.
 
-    The choices of a patch, one per window, are gathered by patch and joined by
-    patch, which is how sample cells already lie: the cells do not move again.
+    The choices of a patch, one per window, are gathered by patch and joined where
+    the sample cells already lie: the cells do not move again.
     """
     choice = F.struct(F.struct("split", "t_start"), F.struct("t", "frame_mse"))
     by_patch = best_frames(cells, c).groupBy(*_PATCH).agg(
@@ -66,7 +67,7 @@ def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
     )
     mine = F.element_at("_best", F.struct("split", "t_start"))
     chosen = (
-        cells.join(by_patch.hint("shuffle_hash"), _PATCH)
+        cells.join(per_block(by_patch, cells, c.patch).hint("shuffle_hash"), place_keys(cells))
         .withColumn("_mine", mine)
         .withColumns({"t": F.col("_mine.t"), "frame_mse": F.col("_mine.frame_mse")})
     )

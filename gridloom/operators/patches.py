@@ -33,11 +33,6 @@ def with_patch(
     return out
 
 
-def by_patch(df: DataFrame, placed: bool = False) -> DataFrame:
-    """All rows of a patch in one task; ``placed`` says the storage already sees to that."""
-    return df if placed else df.repartition("y_coord", "x_coord")
-
-
 def patch_grid(spark: SparkSession, height: int, width: int, patch: int) -> DataFrame:
     """All full patches of a grid, by arithmetic on a range."""
     ny, nx = height // patch, width // patch

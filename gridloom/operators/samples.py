@@ -15,12 +15,30 @@ from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULT_LEGEND, MASK_FILL, SampleConfig
 from gridloom.functions.spectral import normalise, sanitise
-from gridloom.operators.patches import by_patch, patch_grid, with_patch
+from gridloom.operators.patches import patch_grid, with_patch
 from gridloom.operators.ranking import digest, draw, hash_rank
 from gridloom.schemas import SAMPLE_KEY
 
 _PATCH = ["y_coord", "x_coord"]
 _CELL = [*SAMPLE_KEY, "y", "x"]
+#: Rows of a patch that lie together; a wider patch spreads over several tasks.
+BLOCK_ROWS = 16
+
+
+def block_count(patch: int) -> int:
+    return -(-patch // BLOCK_ROWS)
+
+
+def place_keys(cells: DataFrame) -> list[str]:
+    """The columns by which the cells of ``series`` are placed: patch, and block of rows where patches have several."""
+    return [*_PATCH, *(["_block"] if "_block" in cells.columns else [])]
+
+
+def per_block(rows: DataFrame, cells: DataFrame, patch: int) -> DataFrame:
+    """Rows of a small table by patch, repeated for each block so that they meet the ``cells`` where these lie."""
+    if "_block" not in cells.columns:
+        return rows
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(block_count(patch) - 1))))
 
 
 def _label(rank: Column, n: Column, c: SampleConfig) -> Column:
@@ -170,9 +188,11 @@ def series(
     key, so a frame occurs once.
 
     With a grid shape, cells never observed occur as well. A group is one cell,
-    at most ``times`` rows; rows are placed by patch, so the join with the
-    samples needs no second exchange. A dense cube table bucketed by patch
-    (``placed``, without ``shape``) needs not even the first.
+    at most ``times`` rows; rows are placed by patch and, where a patch has more than
+    ``BLOCK_ROWS`` rows, by block of its rows (column ``_block``), so the join with
+    the samples needs no second exchange and a patch is spread over several
+    tasks. A dense cube table bucketed by patch (``placed``, without ``shape``) needs
+    not even the first.
     """
     rows = with_patch(cube, c.patch).select(*_PATCH, "y", "x", "t", "usability", *c.bands)
     if shape is not None:
@@ -184,7 +204,10 @@ def series(
         rows = rows.unionByName(with_patch(cells, c.patch), allowMissingColumns=True)
     code = F.coalesce("usability", F.lit(MASK_FILL)).cast("smallint").alias("usability")
     entry = F.when(F.col("t").isNotNull(), F.struct("t", code, *c.bands))
-    grouped = by_patch(rows, placed).groupBy(*_PATCH, "y", "x").agg(
+    if not placed and block_count(c.patch) > 1:
+        rows = rows.withColumn("_block", F.floor((F.col("y") - F.col("y_coord")) / BLOCK_ROWS).cast("int"))
+    keys = place_keys(rows)
+    grouped = (rows if placed else rows.repartition(*keys)).groupBy(*keys, "y", "x").agg(
         F.collect_list(entry).alias("_seen")
     )
     every = F.sequence(F.lit(0), F.lit(times - 1))
@@ -196,9 +219,9 @@ def series(
             *[F.lit(None).cast("double").alias(b) for b in c.bands],
         ),
     )
-    ordered = grouped.select(*_PATCH, "y", "x", F.sort_array(F.concat("_seen", missing)).alias("_s"))
+    ordered = grouped.select(*keys, "y", "x", F.sort_array(F.concat("_seen", missing)).alias("_s"))
     return ordered.select(
-        *_PATCH, "y", "x", *[F.col(f"_s.{name}").alias(name) for name in ("usability", *c.bands)]
+        *keys, "y", "x", *[F.col(f"_s.{name}").alias(name) for name in ("usability", *c.bands)]
     )
 
 
@@ -208,10 +231,12 @@ def sample_cells(cells: DataFrame, samples: DataFrame, c: SampleConfig) -> DataF
     The sample side of a task is smaller than its cells by the patch area, so
     it is the hashed side and the cells need not be sorted.
     """
-    joined = cells.join(samples.hint("shuffle_hash"), _PATCH)
+    keys = place_keys(cells)
+    joined = cells.join(per_block(samples, cells, c.patch).hint("shuffle_hash"), keys)
     start = F.col("t_start") + 1
     return joined.select(
         *samples.columns,
+        *keys[2:],
         "y",
         "x",
         *[F.slice(name, start, F.lit(c.window)).alias(name) for name in ("usability", *c.bands)],
@@ -250,6 +275,7 @@ def synthetic_gaps(cells: DataFrame, c: SampleConfig) -> DataFrame:
     marked = cells.withColumn("gap", F.coalesce(donor != c.pristine_code, F.lit(False)))
     return marked.select(
         *_CELL,
+        *place_keys(cells)[2:],
         "t_target",
         "gap",
         *[inputs(b) for b in c.bands],
@@ -332,7 +358,7 @@ def augment(
             }
         )
     )
-    return moved.drop("_ly", "_lx", "_k", "_y1", "_x1")
+    return moved.drop("_ly", "_lx", "_k", "_y1", "_x1", "_block")
 
 
 def to_chips(cells: DataFrame, bands: list[str], patch: int, keys: list[str]) -> DataFrame:

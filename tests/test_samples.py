@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULT_LEGEND, SampleConfig
-from gridloom.operators import patches, samples
+from gridloom.operators import impute, patches, samples
 
 BANDS = ("b01", "b02")
 KEY = ["split", "y_coord", "x_coord", "t_start"]
@@ -244,3 +244,23 @@ def test_seed_and_epoch_shuffle_and_draws_are_independent(spark):
     donors = {tuple(r[k] for k in keys): r.t_donor - r.t_start for r in samples.donor_frame(targets, c).collect()}
     assert _corr([donors[k] for k in donors], [flips[0][k] for k in donors]) < 0.05
     assert _corr([donors[k] for k in donors], [first[k] for k in donors]) < 0.05
+
+
+def test_wide_patches_spread_over_blocks_and_move_once(spark, monkeypatch):
+    c = _config()
+    df, _, _ = _cube(spark, drop=0.2)
+    planned = samples.plan_samples(spark, 4, 6, 5, c)
+    whole = samples.build_samples(df, planned, 5, c, (4, 6))
+    best = impute.oracle_frame(whole, c)
+    monkeypatch.setattr(samples, "BLOCK_ROWS", 1)
+    cut = samples.build_samples(df, planned, 5, c, (4, 6))
+    order = [*KEY, "y", "x"]
+    assert "_block" in cut.columns and samples.block_count(c.patch) > 1
+    assert cut.drop("_block").orderBy(*order).collect() == whole.orderBy(*order).collect()
+    found = impute.oracle_frame(cut, c)
+    assert found.orderBy(*order).collect() == best.orderBy(*order).collect()
+    # raw cells move once, by patch and block; the choice of frames joins them where they lie
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan and physical.count("REPARTITION_BY_COL") == 2  # once for the choice, once for the result
+    assert "hashpartitioning(y_coord" in physical and "SortMergeJoin [y_coord" not in physical.split("ObjectHashAggregate")[0]

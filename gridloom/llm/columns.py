@@ -6,6 +6,7 @@ of bytes other than space, tab, newline, vertical tab, form feed and return.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
@@ -44,6 +45,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
         for a, b in zip([0, *cuts], [*cuts, len(sizes)]):
             if b > a:
                 yield batch.slice(a, b - a)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a reused worker would keep it beside the other one of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

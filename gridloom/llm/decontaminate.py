@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.columns import pieces
 from gridloom.llm.edits import find, pattern_bits
 
 MATCHES = "doc_id bigint, item_id bigint, distance int, begin int, length int, pieces_hit int"
@@ -125,12 +126,10 @@ def search(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, bloc
     def against(items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, error_rate)
-            for batch in batches:
+            for batch in pieces(batches, "text"):
                 rows = []
-                for i in range(0, len(batch), 256):
-                    part = batch.slice(i, 256)
-                    for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                        rows += [(doc_id, *match) for match in matcher.matches(plain(text))]
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    rows += [(doc_id, *match) for match in matcher.matches(plain(text))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[c] for r in rows], field.type) for c, field in enumerate(schema)], schema=schema
                 )
@@ -152,7 +151,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block
     def without(frame: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, error_rate)
-            for batch in batches:
+            for batch in pieces(batches, "text"):
                 keep = [not matcher.matches(plain(text)) for text in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

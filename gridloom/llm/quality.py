@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.columns import LETTER, coded, flat, hashed, mixed, pieces, rows_of, spans
 
 BITS = 18
+PIECE = 1_200_000  # bytes of text at a time; an indicator takes some tens of bytes on the way
 UPPER, LOWER, DIGIT = (np.zeros(256, bool) for _ in range(3))
 UPPER[65:91] = LOWER[97:123] = DIGIT[48:58] = True
 
@@ -186,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 2000) -> Model:
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * limit ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             rows, features = indicators(batch.column("text"))
             ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(batch)))))
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(features, pa.int32()))
@@ -215,7 +216,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             rows, features = indicators(batch.column("text"))
             found = model.scores(rows, features, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
@@ -233,7 +234,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns; no row moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             rows, features = indicators(batch.column("text"))
             yield batch.filter(pa.array(model.scores(rows, features, len(batch)) >= threshold))
 

@@ -172,14 +172,14 @@ class Encoder:
 
     CACHE = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lower = self.tokenizer.normalizer is not None
-        self.path = path
+        self.path, self.cache = path, cache
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Offsets of the pieces, and of the rows."""
@@ -238,7 +238,7 @@ class Encoder:
             body = LOWER_CASE[data][inside]
         found = strings(body, at).dictionary_encode()
         codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
-        if len(store.index) > self.CACHE:
+        if len(store.index) > self.cache:
             store = memory["store"] = Store()
         places = list(map(store.index.get, distinct))
         if None in places:

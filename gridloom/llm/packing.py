@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.columns import Encoder, pieces
 
+# Less at a time than elsewhere: as the last stage of a pipeline, packing meets executors whose heap is already full.
+CACHE, PIECE = 200_000, 1_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -37,8 +39,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
     """Each document's ids and the end id, cut into pieces of at most ``length`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in pieces(batches, "text"):
+        encoder = Encoder(tokenizer, CACHE)
+        for batch in pieces(batches, "text", PIECE):
             ids, rows = encoder(batch.column("text"))
             n = len(rows) - 1
             ids = np.insert(ids, rows[1:], end_id).astype("<u4")

@@ -39,6 +39,9 @@ CHUNKS, WIDTH, ERRORS, BITS = 6, 4, 1, 16
 # Words of single-bit minwise values (one per range of the hash): a quick bound before the sets are read.
 SKETCH_BITS = 256
 WORDS = [f"bits{k + 1}" for k in range(SKETCH_BITS // 64)]
+# Bits that say which of 512 ranges of a second hash a set reaches.
+PRESENCE_BITS = 512
+PRESENCE = [f"reach{k + 1}" for k in range(PRESENCE_BITS // 64)]
 KEY_WIDTH = 1 << BITS
 
 
@@ -142,6 +145,14 @@ def sketch(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def presence(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The ranges of a hash that each row's set reaches, as bits in words."""
+    out = np.zeros((len(PRESENCE), n), np.uint64)
+    place = (mixed(values ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - PRESENCE_BITS.bit_length() + 1)).astype(np.int64)
+    np.bitwise_or.at(out, (place // 64, owner), np.uint64(1) << (place % 64).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def keys(classes: DataFrame) -> DataFrame:
     """Index rows: one per chunk and choice of values to leave out."""
     choices = list(combinations(range(WIDTH), WIDTH - ERRORS))
@@ -183,13 +194,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array(digests(owner, values, n)[0]),
+                    *map(pa.array, presence(owner, values, n)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))),
                 ],
-                names=["doc_id", "digest1", "shingles"],
+                names=["doc_id", "digest1", *PRESENCE, "shingles"],
             )
 
     chosen = only(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id")
-    return chosen.mapInArrow(run, "doc_id bigint, digest1 bigint, shingles array<bigint>")
+    words = ", ".join(f"{w} bigint" for w in PRESENCE)
+    return chosen.mapInArrow(run, f"doc_id bigint, digest1 bigint, {words}, shingles array<bigint>")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -266,8 +279,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
     placed = cut(placed.join(mixed_keys.select("key"), "key", "left_semi"), "open")
     opened = placed.select("doc_id", "digest1", "n_shingles", *WORDS, "part").distinct()
-    rare = prefixes(cut(shingle_sets(docs, opened.select("doc_id").distinct(), size), "sets"), percent)
-    rare = cut(rare.join(opened, ["doc_id", "digest1"]), "rare")
+    sets = cut(shingle_sets(docs, opened.select("doc_id").distinct(), size), "sets")
+    known = opened.join(sets.select("doc_id", "digest1", *PRESENCE).distinct(), ["doc_id", "digest1"])
+    rare = cut(prefixes(sets, percent).join(known, ["doc_id", "digest1"]), "rare")
+    # a range that only one of two sets reaches holds a shingle that only this one has
+    differ = sum((F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in PRESENCE), F.lit(0))
+    apart = differ * (100 + percent) > (F.col("l.n") + F.col("r.n")) * (100 - percent)
     # how many shingles a pair must share, and how many it still can from its first common one on
     needed = F.ceil((F.col("l.n") + F.col("r.n")) * percent / (100 + percent))
     can = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
@@ -275,7 +292,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rest = (
         rare.alias("l").join(
             rare.alias("r"),
-            (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") != F.col("r.part")) & larger & (can >= needed) & close(percent),
+            (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") != F.col("r.part")) & larger & (can >= needed) & close(percent) & ~apart,
         )
         .select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
     )

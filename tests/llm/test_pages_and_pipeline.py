@@ -141,6 +141,19 @@ def test_stages(spark, tmp_path):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
+def test_line_stage_keeps_the_first_of_each_line(spark):
+    """No line with words leaves the corpus: what goes is in an earlier place."""
+    passage = [prose(700 + k, 20).replace("\n", " ") for k in range(12)]
+    rows = [(0, "\n".join(passage)), (1, "\n".join(passage) + "\none line of its own"), (2, "\n".join(passage)), (3, "\n".join(passage) + "\nTitle")]
+    rows += [(9, "\n".join(["the same line again here"] * 50)), (10, " \n" + passage[0] + "\n"), (11, "two words"), (12, ""), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert {i for i, _ in rows} - set(got) == {2, 10}
+    assert got[1] == "one line of its own" and got[9] == "the same line again here" and got[3] == "Title" and got[13] is None
+    lines = {x.strip() for t in got.values() for x in (t or "").split("\n")}
+    assert {x.strip() for _, t in rows for x in (t or "").split("\n")} <= lines
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     docs = corpus(spark).limit(0)
     spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))

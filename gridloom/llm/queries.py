@@ -62,7 +62,7 @@ def op5_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without lines that equal, or nearly equal, an earlier one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs, max_edits=1, min_words=3, min_near=40)
+    return line_dedup.dedup(docs, min_words=3, error_rate=0.05)
 
 
 @query

@@ -179,6 +179,34 @@ def test_lines_equal_all_pairs(spark, max_edits):
     assert all((r.n_removed == 0) == (not r.first_docs) for r in got.values())
 
 
+def test_growing_budget_equals_all_pairs(spark):
+    """A budget of five edits per hundred characters, for lines of every length."""
+    draw = random.Random(9)
+    pool = [prose(k, 2 + 3 * k).replace("\n", " ") for k in range(1, 14)]
+    pool += ["a common passage that is in very many of the lines " * 3 + prose(40 + k, 4).replace("\n", " ") for k in range(4)]
+    rows = []
+    for i in range(60):
+        lines = [changed(x, draw.randrange(10**6), draw.randrange(int(0.05 * len(x)) + 3)) for x in draw.sample(pool, 5)]
+        lines += ["a common passage that is in very many of the lines " * draw.randrange(1, 4) + prose(500 + i, 5).replace("\n", " "), "short line here"]
+        rows.append((i, "\n".join([*lines, prose(100 + i, 6).replace("\n", " "), "a b c d", "é" * 30 + f" x y{i}"])))
+    texts = sorted({line.strip(" \t\r") for _, t in rows for line in t.split("\n") if len(line.split()) >= 3})
+    links = []
+    for n, x in enumerate(texts):
+        for y in texts[:n]:
+            k = int(0.05 * min(len(x), len(y)))
+            if k and abs(len(x) - len(y)) <= k and within(x, y, k) is not None:
+                links.append((x, y))
+    assert any(1 < distance(x, y) for x, y in links[:50]) and any(min(len(x), len(y)) < 40 for x, y in links)
+    root, first, gone = forest(texts, links), {}, defaultdict(set)
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            if len(line.split()) >= 3 and first.setdefault(root(line.strip(" \t\r")), (i, k)) != (i, k):
+                gone[i].add(k)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
 def test_lines_of_awkward_documents(awkward, nothing):
     got = line_dedup.dedup(awkward).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in AWKWARD)

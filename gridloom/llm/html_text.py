@@ -9,7 +9,8 @@ gradient steps, for which the same messages give the expectations.
 
 Inline elements do not make blocks; ``br`` counts as white space. Character references are decoded; white space of any kind
 inside a block becomes one space; blocks are joined in page order by one newline. Scripts, styles, templates, form controls
-and the head are never text. Unclosed and wrongly nested elements close as their blocks do.
+and the head are never text. Unclosed and wrongly nested elements close as their blocks do: of a hidden element without its end tag
+only the text right in it is lost, not the blocks behind.
 
 Defined results: a NULL or empty page gives an empty text of 0 characters; rows that repeat a ``page_id`` or have NULL are read one
 by one; an empty table gives no rows; columns other than ``page_id, url, html`` are ignored. Pages are read whole.
@@ -37,7 +38,10 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # Element kinds of HTML.
-HIDDEN = frozenset("script style noscript template iframe svg math select option textarea button object canvas audio video head title".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes head".split())
+HIDDEN = frozenset("noscript template svg math select option button object canvas audio video".split())
+#: Tags whose start or end closes an open option; a start tag that closes an open element of another kind.
+AFTER_OPTION, CLOSED_BY = frozenset("option optgroup datalist select".split()), {"button": "button", "select": "select", "input": "select", "textarea": "select"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "body main article section nav aside header footer address div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote"
@@ -80,6 +84,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node(-1, "page", (), None)]
     blocks: list[tuple[int, str]] = []
     stack, buffer, at, link, linked = [0], [], 0, False, 0
+    hidden: list[tuple[str, int, int, int]] = []  # open hidden elements: tag, and how many open elements, nodes and blocks were before
 
     def flush() -> None:
         nonlocal linked
@@ -94,29 +99,51 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((stack[-1], text))
         linked = 0
 
-    def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str] = frozenset()) -> None:
-        """Ends the innermost open element of ``tags``, unless one of ``scope`` lies inside."""
-        for depth in range(len(stack) - 1, 0, -1):
+    def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str] = frozenset(), lowest: int = 1) -> None:
+        """Ends the innermost open element of ``tags``, unless one of ``scope`` lies inside or it lies below ``lowest``."""
+        for depth in range(len(stack) - 1, lowest - 1, -1):
             tag = nodes[stack[depth]].tag
             if tag in tags:
                 flush()
                 del stack[depth:]
+                while hidden and hidden[-1][1] > depth:  # left open
+                    hidden.pop()
                 return
             if tag in scope:
                 return
 
+    def show(tag: str) -> None:
+        """Ends an open hidden element without its end tag: its blocks stay."""
+        for k in range(len(hidden) - 1, -1, -1):
+            if hidden[k][0] == tag:
+                del hidden[k]
+                return
+
+    def hide(tag: str) -> None:
+        """Ends an open hidden element by its end tag, with all that is in it."""
+        for k in range(len(hidden) - 1, -1, -1):
+            if hidden[k][0] == tag:
+                _, depth, first, mark = hidden[k]
+                if stack[-1] >= first:
+                    flush()
+                    del stack[depth:]
+                blocks[mark:] = [b for b in blocks[mark:] if b[0] < first]
+                del nodes[first:], hidden[k:]
+                return
+
     end = len(page)
     while at < end:
         begin = page.find("<", at)
         found = TOKEN.match(page, begin) if begin >= 0 else None
         text = page[at : end if begin < 0 else begin]
-        if text:
+        if text and not (hidden and stack[-1] < hidden[-1][2]):
             buffer.append(text)
             linked += len(text) if link else 0
         if begin < 0:
             break
         if not found:  # a lone sign
-            buffer.append("<")
+            if not (hidden and stack[-1] < hidden[-1][2]):
+                buffer.append("<")
             at = begin + 1
             continue
         at = found.end()
@@ -124,7 +151,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in HIDDEN:
+        if tag in AFTER_OPTION and hidden and hidden[-1][0] == "option" and not (closing and tag == "option"):
+            show("option")
+        if not closing and tag in CLOSED_BY:
+            show(CLOSED_BY[tag])
+        if tag in HIDDEN or tag == "foreignobject":
+            if closing:
+                hide(tag)
+            elif not rest.endswith("/") and (tag != "foreignobject" or hidden):
+                hidden.append((tag, len(stack), len(nodes), len(blocks)))
+                buffer.append(" ")
+        elif tag in RAW:
             if not closing and not rest.endswith("/"):
                 behind = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = behind.end() if behind else (at if tag == "head" else end)
@@ -135,12 +172,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if closing:
                 close({tag}, {"table", "article", "section", "main", "body"} - {tag} if tag != "body" else frozenset())
             else:
+                while hidden and hidden[-1][0] in ("svg", "math"):  # blocks end drawings and formulas
+                    hidden.pop()
+                lowest = hidden[-1][1] if hidden else 1
                 if tag in CLOSES_P:
-                    close({"p"}, {"div", "td", "th", "li", "section", "article", "blockquote", "table", "main", "aside"})
+                    close({"p"}, {"div", "td", "th", "li", "section", "article", "blockquote", "table", "main", "aside"}, lowest)
                 if tag in SIBLINGS:
                     while any(nodes[s].tag in SIBLINGS[tag] for s in stack[1:]):
                         before = len(stack)
-                        close(SIBLINGS[tag], SCOPES[tag])
+                        close(SIBLINGS[tag], SCOPES[tag], lowest)
                         if len(stack) == before:
                             break
                 words, label = _attributes(rest) if rest else ((), None)

@@ -70,6 +70,30 @@ def test_pages(model, page, text):
     assert model.text(page) == text
 
 
+STORY = "<article><h1>Head</h1><p>The story, told in full here.</p></article>"
+
+
+@pytest.mark.parametrize("tag", sorted(html_text.HIDDEN))
+def test_pages_with_a_hidden_element_left_open(model, tag):
+    want = "Head\nThe story, told in full here."
+    assert model.text(f"<header><{tag} id=x>no</header>{STORY}") == want
+    assert model.text(f"<body><{tag}>no{STORY}</body>") == want
+    assert model.text(f"<article><p>One, two.<{tag}>no</p><p>Three, four.</p></article>") == "One, two.\nThree, four."
+    # closed and nested ones take all that is in them
+    inner = "" if tag in ("svg", "math", "select", "option", "button") else f"<{tag}>a</{tag}>"
+    block = "" if tag in ("svg", "math") else "<p>no, not this.</p>"
+    assert model.text(f"<article><p>One <{tag}>no {inner} no</{tag}> two.</p><{tag}>{block}no</{tag}<p>Three.</p></article>".replace(f"</{tag}<", f"</{tag}><")) == "One two.\nThree."
+
+
+def test_pages_with_options_and_drawings(model):
+    want = "Head\nThe story, told in full here."
+    assert model.text(f"<form><input list=d><datalist id=d><option value=a><option value=b></datalist></form>{STORY}") == want
+    assert model.text(f"<form><select><optgroup label=x><option>a<option>b<optgroup label=y><option>c</select></form>{STORY}") == want
+    assert model.text(f"<datalist><option value=a><option value=b></datalist>{STORY}") == want
+    assert model.text("<article><p>One <svg><svg><text>a</text></svg><text>b</text></svg> two.</p></article>") == "One two."
+    assert model.text(f"{STORY}<script>var a = '<p>no</p>'") == want
+
+
 def test_given_pages_equal_their_article(spark, sf, nothing):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in llm_queries.QUERIES["op9_tree_model_extraction"](spark, sf).collect()}

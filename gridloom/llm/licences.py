@@ -1,11 +1,13 @@
 """Licence scan of paragraphs: a trained n-gram classifier with an unknown class, confirmed by template comparison.
 
-A paragraph is a line; its words are runs of ASCII letters and digits in lower case. Features are the word n-grams (one
+A paragraph is a block of lines without an empty one between them (comment marks alone are empty); the block as a whole, so that
+wrapped notices are seen, and each of its lines are scored. ``n_paragraphs`` counts lines. Words are runs of ASCII letters and digits in lower case. Features are the word n-grams (one
 to three words) of the licence templates and of the look-alikes, without those made of common words only. A
 multinomial logistic regression with an L1 part is fitted on templates, cut-down variants of them, look-alikes, and a
 bounded sample of paragraphs. Its probabilities are made sharper or softer by one temperature fitted on
 held-back rows, and the least probability that counts is chosen on the held-back rows without a licence. A
-prediction stands if enough n-grams of one of the family's templates are in the paragraph; what looks like a
+family stands if enough n-grams of one of its templates are in the paragraph, so one paragraph may name several; of templates that hold
+most of each other's n-grams (as CC BY and CC BY-SA) only the closest stands. What looks like a
 licence but matches no template is unknown.
 
 A paragraph without any word that makes a feature has no feature at all, so only the others are scored; nothing is lost by that.
@@ -118,6 +120,26 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "row", "place", words(F.col("paragraph")).alias("words"))
 
 
+def units(docs: DataFrame) -> DataFrame:
+    """Blocks between empty lines and, of blocks of several lines, each line: document, number of the block, words."""
+    blocks = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"),
+        F.posexplode(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*+\n)+", -1)).alias("place", "block"),
+    )
+    lines = F.split("block", "\n", -1)
+    parts = F.when(F.size(lines) > 1, F.concat(F.array("block"), lines)).otherwise(F.array("block"))
+    return blocks.select("doc_id", "row", "place", F.posexplode(parts).alias("unit", "text")).select("doc_id", "row", "place", "unit", words(F.col("text")).alias("words"))
+
+
+def akin(model: Model, confirm: float) -> list[list[int]]:
+    """For each template the places of those of other families that it confirms, or that confirm it, whatever the text."""
+    family = {k: f for _, k, f in model.template_terms}
+    numbers = sorted(model.template_sizes)
+    terms = {k: {t for t, n, _ in model.template_terms if n == k} for k in numbers}
+    shared = [[len(terms[a] & terms[b]) >= confirm * max(min(len(terms[a]), len(terms[b])), 1) for b in numbers] for a in numbers]
+    return [[j for j, b in enumerate(numbers) if shared[i][j] and family.get(a) != family.get(b)] for i, a in enumerate(numbers)]
+
+
 def examples(docs: DataFrame, sample: int) -> DataFrame:
     """Labelled word lists: cut-down templates, look-alikes, and lines of at most ``sample`` documents that share no three words
     in a row with a template."""
@@ -221,9 +243,9 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     """One row per document: ``n_paragraphs``, the licence of the surest paragraph (``none`` without one, ``unknown`` if none is
     confirmed), its probability and similarity to a template, all confirmed families, and the number of unknown paragraphs."""
     spark = docs.sparkSession
-    every = paragraphs(docs)
+    every = units(docs)
     cue = F.array(*map(F.lit, model.cues))
-    keys = ["doc_id", "row", "place"]
+    keys = ["doc_id", "row", "place", "unit"]
     scored = every.where(F.arrays_overlap("words", cue)).select(*keys, F.explode(grams(F.col("words"))).alias("term"))
     # every term of a template or look-alike, with its weights and the templates that hold it: a table of the model's size
     holders: dict[str, list[int]] = {}
@@ -243,25 +265,38 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     similar = [
         F.greatest(F.lit(0.0), F.lit(0.0), *(F.col(f"_t{k}") / model.template_sizes[k] for k in numbers if family_of.get(k) == f)) for f in model.families
     ]
-    rated = summed.select(*keys, probabilities(margins, model.temperature).alias("p"), F.array(*similar).alias("similar"))
+    close = F.array(*(F.when(F.lit(model.template_sizes[k] > 0), F.col(f"_t{k}") / max(model.template_sizes[k], 1)).otherwise(0.0) for k in numbers))
+    rated = summed.select(*keys, probabilities(margins, model.temperature).alias("p"), F.array(*similar).alias("similar"), close.alias("close"))
     licence = F.slice("p", 2, len(model.families) - 1)
-    rated = rated.select(*keys, "p", "similar", F.array_position(licence, F.array_max(licence)).cast("int").alias("best"))
-    rated = rated.select(
-        "doc_id", "row", (1 - F.get("p", 0)).alias("probability"), F.get("similar", F.col("best")).alias("similarity"),
-        F.get(F.array(*map(F.lit, model.families)), F.col("best")).alias("family"),
-    ).where(F.col("probability") >= model.least)
-    confirmed = F.col("similarity") >= confirm
-    shown = F.struct(confirmed.alias("confirmed"), "probability", "similarity", F.when(confirmed, F.col("family")).otherwise("unknown").alias("licence"))
-    found = rated.select(
-        "doc_id", "row", F.lit(0).cast("bigint").alias("n"), shown.alias("shown"), F.when(confirmed, F.col("family")).alias("family"), (~confirmed).cast("int").alias("unknown"),
+    rated = rated.select(*keys, "p", "similar", "close", F.array_position(licence, F.array_max(licence)).cast("int").alias("best"))
+    rated = rated.withColumn("probability", 1 - F.get("p", 0)).where(F.col("probability") >= model.least)
+    names, others = F.array(*map(F.lit, model.families)), akin(model, confirm)
+    near = F.array(*(F.array(*map(F.lit, o)) if o else F.array().cast("array<int>") for o in others))
+    owner = F.array(*(F.lit(model.families.index(family_of.get(k, NONE))) for k in numbers))
+
+    def rank(i: Column) -> Column:
+        return F.struct((F.get(owner, i) == F.col("best")).alias("best"), F.get("close", i).alias("close"), F.get("p", F.get(owner, i)).alias("p"), (-i).alias("i"))
+
+    sure = F.filter(F.sequence(F.lit(0), F.lit(len(numbers) - 1)), lambda i: F.get("close", i) >= confirm)
+    rated = rated.withColumn("sure", sure)
+    rated = rated.withColumn("sure", F.filter("sure", lambda i: ~F.exists("sure", lambda j: F.array_contains(F.get(near, i), j) & (rank(j) > rank(i)))))
+    # the classifier's family if it stands, else the closest of those that do
+    lead = F.coalesce(F.get(owner, F.negative(F.array_max(F.transform("sure", rank))["i"])), F.col("best"))
+    rated = rated.withColumn("lead", lead).withColumn("confirmed", F.size("sure") > 0)
+    shown = F.struct("confirmed", "probability", F.get("similar", F.col("lead")).alias("similarity"), F.when(F.col("confirmed"), F.get(names, F.col("lead"))).otherwise("unknown").alias("licence"))
+    blocks = rated.select("doc_id", "row", "place", "confirmed", shown.alias("shown"), F.array_distinct(F.transform("sure", lambda i: F.get(names, F.get(owner, i)))).alias("family")).groupBy("doc_id", "row", "place").agg(
+        F.max("confirmed").alias("confirmed"), F.max("shown").alias("shown"), F.array_distinct(F.flatten(F.collect_set("family"))).alias("family")
+    )
+    found = blocks.select(
+        "doc_id", "row", F.lit(0).cast("bigint").alias("n"), "shown", "family", (~F.col("confirmed")).cast("int").alias("unknown"),
     )
     whole = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"),
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n"),
-        F.lit(None).cast(found.schema["shown"].dataType).alias("shown"), F.lit(None).cast("string").alias("family"), F.lit(0).alias("unknown"),
+        F.lit(None).cast(found.schema["shown"].dataType).alias("shown"), F.array().cast("array<string>").alias("family"), F.lit(0).alias("unknown"),
     )
     out = whole.union(found).groupBy("doc_id", "row").agg(
-        F.max("n").alias("n_paragraphs"), F.max("shown").alias("shown"), F.sort_array(F.collect_set("family")).alias("families"), F.sum("unknown").alias("n_unknown")
+        F.max("n").alias("n_paragraphs"), F.max("shown").alias("shown"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("family")))).alias("families"), F.sum("unknown").alias("n_unknown")
     )
     return out.select(
         "doc_id", "n_paragraphs", F.coalesce("shown.licence", F.lit(NONE)).alias("licence"), F.round("shown.probability", 6).alias("probability"),

@@ -139,6 +139,25 @@ def test_licences(spark, awkward, nothing):
     assert licences.train(nothing).families[0] == "none"
 
 
+def test_wrapped_and_dual_licences(spark):
+    """Notices over several lines, with comment marks, and paragraphs that name two licences."""
+    bsd = [
+        "Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions",
+        "are met:", "",
+    ]
+    lgpl = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published"
+    texts = [
+        (1, "\n".join(bsd), ["bsd"]), (2, prose(3, 30) + "\n\n" + "\n".join(f" * {x}" for x in bsd) + "\n" + prose(4, 30), ["bsd"]),
+        (3, "Licensed under the MIT license or Apache License, Version 2.0", ["apache", "mit"]), (4, lgpl, ["lgpl"]),
+        (5, "Licensed under CC BY-SA 4.0.", ["cc-by-sa"]), (6, "Licensed under the\n#\nMIT license.", []),
+    ]
+    plain = [(100 + i, prose(i, 150)) for i in range(30)]
+    docs = spark.createDataFrame(plain + [(i, t) for i, t, _ in texts], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licences.scan(docs, licences.train(docs, sample=20)).collect()}
+    assert {i: got[i].families for i, _, f in texts if f} == {i: f for i, _, f in texts if f}
+    assert got[1].n_unknown == 0 and got[3].licence in ("apache", "mit") and got[6].licence != "mit"
+
+
 def test_licence_scores_equal_a_plain_sum(spark):
     text = "Licensed under the MIT license."
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")

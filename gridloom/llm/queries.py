@@ -7,7 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, fertility, grammar, html_text, licences, line_dedup, near_dedup, packing, quality, token_counts
+from gridloom.llm import (
+    decontaminate,
+    fertility,
+    grammar,
+    html_text,
+    licences,
+    line_dedup,
+    near_dedup,
+    packing,
+    prefix_trie,
+    quality,
+    repair,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +104,16 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of each document, from its paragraphs."""
     docs = table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.train(docs))
+
+
+@query
+def op11_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and checksum of every conversation after planted damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.audits(repair.repair(repair.damage(conversations), conversations))
+
+
+@query
+def op12_ternary_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations whose first turns are those of their group's first one."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import (
+    context_tree,
     decontaminate,
     fertility,
     grammar,
@@ -117,3 +119,9 @@ def op11_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_ternary_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of conversations whose first turns are those of their group's first one."""
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each text, learned from rows that are not held out."""
+    return context_tree.score(table(spark, sf_dir, "documents"), context_tree.fold(F.col("doc_id")) == 2)

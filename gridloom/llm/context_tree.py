@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.columns import LOWER_CASE, SPACE, coded, flat, hashed, mixed, pieces, rows_of, spans
 from gridloom.sources.workspace import cut
 
-DEPTH = 5
+DEPTH = 6
 BATCH_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
 

@@ -40,6 +40,7 @@ BATCH_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
 
 TEXTS, CODES, WORDS, TOP = 0, 1, 2, 3
+KEPT = {CODES: np.float32, WORDS: np.float64}  # of an answer: seven digits of a logarithm, a whole count
 BATCHES = "kind int, batch bigint, bucket int, keys binary, counts binary, docs binary, flags binary, sizes binary, body binary"
 MODEL = "kind int, bucket int, keys binary, counts binary, total bigint, distinct bigint, node bigint, zeros bigint, ones bigint, below double"
 ANSWERS = "kind int, batch bigint, bucket int, answers binary"
@@ -56,6 +57,26 @@ def record(fields: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], types[k]) for n, k in zip(names, kinds)], names=list(names))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes first, then all second ones, compressed."""
+    columns = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(columns.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(columns.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return packed(np.diff(keys, prepend=np.int64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.int64))
+
+
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -87,12 +108,17 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def coded_bytes(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     """For each byte the ``depth`` bytes before it, latest first, and the byte itself, as one number."""
-    inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     out = np.zeros(len(data), np.int64)
     for back in range(1, depth + 1):
         out <<= 8
-        out[back:] |= np.where(inside[back:] >= back, data[:-back], 0)
-    return out << 8 | data
+        out[back:] |= data[:-back]
+    for inside in range(depth):  # nothing of the text before
+        at = offsets[:-1] + inside
+        at = at[at < offsets[1:]]
+        out[at] &= ~((1 << 8 * (depth - inside)) - 1)
+    out <<= 8
+    out |= data
+    return out
 
 
 def distinct_codes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +143,10 @@ def bucket_of(keys: np.ndarray, kind: int, depth: int, buckets: int) -> np.ndarr
 
 
 def dealt(keys: np.ndarray, kind: int, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys by bucket, and where each bucket starts."""
-    bucket = bucket_of(keys, kind, depth, buckets)
-    return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+    """Order of the keys by bucket and size, and where each bucket starts."""
+    order = np.argsort(keys)
+    bucket = bucket_of(keys[order], kind, depth, buckets)
+    return order[np.argsort(bucket, kind="stable")], np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
 
 
 def gather(depth: int, buckets: int, batch_bytes: int):
@@ -139,7 +166,7 @@ def gather(depth: int, buckets: int, batch_bytes: int):
             yield record(
                 BATCHES, kind=TEXTS, batch=batch, bucket=-1, docs=ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(),
                 flags=(flags | ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << 1).tobytes(),
-                sizes=sizes.tobytes(), body=zstandard.ZstdCompressor(level=1).compress(data.tobytes()),
+                sizes=sizes.tobytes(), body=zstandard.ZstdCompressor(level=3).compress(data.tobytes()),
             )
             learned = flags == 0
             places, codes = distinct_codes(data, offsets, depth)
@@ -153,7 +180,7 @@ def gather(depth: int, buckets: int, batch_bytes: int):
             for b in range(buckets):
                 some = order[first[b] : first[b + 1]]
                 if len(some):
-                    yield record(BATCHES, kind=kind, batch=batch, bucket=b, keys=keys[some].tobytes(), counts=counts[some].tobytes())
+                    yield record(BATCHES, kind=kind, batch=batch, bucket=b, keys=packed_keys(keys[some]), counts=packed(counts[some]))
 
         for batch in pieces(batches, "text"):
             data, offsets = normalised(batch.column("text"))
@@ -271,7 +298,7 @@ def learn(depth: int, most: int = 4_000_000):
             kind, bucket = at
             keys, counts = merged()
             yield record(
-                MODEL, kind=kind, bucket=bucket, keys=keys.tobytes(), counts=counts.tobytes(), total=int(counts.sum()), distinct=len(keys)
+                MODEL, kind=kind, bucket=bucket, keys=packed_keys(keys), counts=packed(counts), total=int(counts.sum()), distinct=len(keys)
             )
             if kind == CODES and len(keys):
                 nodes, zeros, ones, below = levels(keys, counts, depth)[-1].above()
@@ -289,7 +316,7 @@ def learn(depth: int, most: int = 4_000_000):
                 if held:
                     yield from flush()
                 at, held, size = here, [], 0
-            keys, counts = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int64)
+            keys, counts = unpacked_keys(row["keys"]), unpacked(row["counts"], np.int64)
             seen = counts > 0
             held.append((keys[seen], counts[seen]))
             size += len(held[-1][0])
@@ -311,9 +338,9 @@ def answer(depth: int, top: list[Level]):
             here = row["kind"], row["bucket"]
             if here != at:
                 at, keys, values, tree = here, np.zeros(0, np.int64), np.zeros(0), top
-            wanted = np.frombuffer(row["keys"], np.int64)
+            wanted = unpacked_keys(row["keys"])
             if row["batch"] is None:
-                keys, values = wanted, np.frombuffer(row["counts"], np.int64).astype(np.float64)
+                keys, values = wanted, unpacked(row["counts"], np.int64).astype(np.float64)
                 if row["kind"] == CODES and len(keys):
                     tree = levels(keys, values.astype(np.int64), depth) + top
                     values = np.concatenate([log10_codes(keys[i : i + 65536], tree, depth) for i in range(0, len(keys), 65536)])
@@ -327,7 +354,7 @@ def answer(depth: int, top: list[Level]):
             out[known] = values[place[known]]
             if row["kind"] == CODES and not known.all():
                 out[~known] = log10_codes(wanted[~known], tree, depth)
-            yield record(ANSWERS, kind=row["kind"], batch=row["batch"], bucket=row["bucket"], answers=out.tobytes())
+            yield record(ANSWERS, kind=row["kind"], batch=row["batch"], bucket=row["bucket"], answers=packed(out.astype(KEPT[row["kind"]])))
 
     return run
 
@@ -369,7 +396,7 @@ def add_up(depth: int, buckets: int, texts: int, tokens: int, distinct: int):
                     yield from flush()
                 held, answers = row, {CODES: [], WORDS: []}
             else:
-                answers[row["kind"]].append(np.frombuffer(row["answers"], np.float64))
+                answers[row["kind"]].append(unpacked(row["answers"], KEPT[row["kind"]]))
         if held is not None:
             yield from flush()
 

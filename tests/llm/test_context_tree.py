@@ -91,7 +91,7 @@ def same(got, want):
     got, want = sorted(got, key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want):
-        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+        assert a[5:] == pytest.approx(b[5:], rel=1e-6, abs=1e-6)
 
 
 @pytest.mark.parametrize("depth", [2, 3, 6])

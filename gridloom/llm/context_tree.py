@@ -37,7 +37,6 @@ from gridloom.sources.workspace import cut
 
 DEPTH = 6
 BATCH_BYTES = 8_000_000
-SLICE_BYTES = 2_000_000
 BUCKET_BYTES = 16_000_000
 
 TEXTS, CODES, WORDS, TOP = 0, 1, 2, 3
@@ -122,16 +121,21 @@ def coded_bytes(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray
     return out
 
 
-def distinct_codes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple]]:
-    """The different codes in order; for slices of some MB of the texts, the first one and the one behind, each byte's place and the codes there."""
-    part = offsets[:-1] // SLICE_BYTES
-    cuts = [0, *np.flatnonzero(np.diff(part)) + 1, len(part)]
-    slices = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        bytes_here = data[offsets[a] : offsets[b]]
-        found = pa.array(coded_bytes(bytes_here, offsets[a : b + 1] - offsets[a], depth)).dictionary_encode()
-        slices.append((a, b, found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_numpy(zero_copy_only=False)))
-    return np.unique(np.concatenate([s[3] for s in slices])), slices
+def counted_codes(data: np.ndarray, offsets: np.ndarray, depth: int, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and how often each is in the texts to learn from."""
+    codes = coded_bytes(data, offsets, depth)
+    codes <<= 1
+    codes |= np.repeat(learned, np.diff(offsets))
+    codes.sort()
+    first = np.flatnonzero(np.append(True, codes[1:] >> 1 != codes[:-1] >> 1))
+    upto = np.cumsum(codes & 1)
+    return codes[first] >> 1, np.diff(upto[np.append(first[1:], len(codes)) - 1], prepend=0)
+
+
+def placed_codes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each byte's code among the different ones, and these."""
+    found = pa.array(coded_bytes(data, offsets, depth)).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_numpy(zero_copy_only=False)
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,12 +180,7 @@ def gather(depth: int, buckets: int, batch_bytes: int):
                 sizes=sizes.tobytes(), body=zstandard.ZstdCompressor(level=3).compress(data.tobytes()),
             )
             learned = flags == 0
-            codes, slices = distinct_codes(data, offsets, depth)
-            counts = np.zeros(len(codes), np.int64)
-            for a, b, places, some in slices:
-                counts[np.searchsorted(codes, some)] += np.bincount(places[np.repeat(learned[a:b], sizes[a:b])], minlength=len(some))
-            del slices
-            yield from shares(CODES, batch, codes, counts)
+            yield from shares(CODES, batch, *counted_codes(data, offsets, depth, learned))
             row, places, words = distinct_words(data, offsets)
             yield from shares(WORDS, batch, words, np.bincount(places, learned[row], len(words)).astype(np.int64))
 
@@ -388,11 +387,9 @@ def add_up(depth: int, buckets: int, texts: int, tokens: int, distinct: int):
                 out[dealt(keys, kind, depth, buckets)[0]] = np.concatenate([np.zeros(0), *answers[kind]])
                 return out
 
-            codes, slices = distinct_codes(data, offsets, depth)
-            logs, score = by_place(CODES, codes), np.zeros(len(docs))
-            for a, b, places, some in slices:
-                score[a:b] = np.add.reduceat(logs[np.searchsorted(codes, some)][places], offsets[a:b] - offsets[a])
-            del slices
+            places, codes = placed_codes(data, offsets, depth)
+            score = np.add.reduceat(by_place(CODES, codes)[places], offsets[:-1])
+            del places, codes
             row, places, words = distinct_words(data, offsets)
             counts = by_place(WORDS, words)[places]
             n = len(docs)

@@ -72,13 +72,16 @@ class CubeConfig:
 
     ``range_on`` says whether ``valid_range`` is compared with the scaled
     reflectance (the compatible reading, which rejects nothing for 16-bit
-    input) or with the raw digital number.
+    input) or with the raw digital number. Where ``reflectance_fill`` or
+    ``qc_fill`` is given, that raw word or quality word is no observation.
     """
 
     bands: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7)
     scale_factor: float = 0.0001
     valid_range: tuple[float, float] = (-100, 16000)
     range_on: str = "scaled"
+    reflectance_fill: int | None = None
+    qc_fill: int | None = None
     state_fill: int = STATE_FILL
     mask_fill: int = MASK_FILL
     upsampling: int = 2

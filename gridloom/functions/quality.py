@@ -55,5 +55,10 @@ def in_range(raw: Column, c: CubeConfig) -> Column:
 
 
 def clean_band(raw: Column, qc: Column, band: int, c: CubeConfig) -> Column:
-    """Scaled reflectance, NULL where out of range or flagged by the QC word."""
-    return F.when(in_range(raw, c) & band_good(qc, band), scaled(raw, c))
+    """Scaled reflectance, NULL where out of range, flagged by the QC word, or a fill word the parameters name."""
+    kept = in_range(raw, c) & band_good(qc, band)
+    if c.reflectance_fill is not None:
+        kept = kept & (raw != c.reflectance_fill)
+    if c.qc_fill is not None:
+        kept = kept & (qc != c.qc_fill)
+    return F.when(kept, scaled(raw, c))

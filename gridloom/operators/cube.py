@@ -119,6 +119,43 @@ def build_cube(obs500: DataFrame, obs1km: DataFrame, c: CubeConfig) -> DataFrame
     return cells.select("t", "date", "y", "x", *band_columns(c), "usability")
 
 
+def build_chunks(obs500: DataFrame, obs1km: DataFrame, c: CubeConfig) -> DataFrame:
+    """The cube of all complete days with its chunk numbers, placed by frame and chunk.
+
+    Fine and coarse rows get the same chunk key, move once by it, meet there cell by cell of the coarse grid (a group is one
+    coarse cell and the fine ones it covers), and can be written where they lie. Tiles and chunks must be whole numbers of
+    coarse cells, and a coarse cell occurs once a day; ``build_cube`` takes any size.
+    """
+    k = c.upsampling
+    if any(n % k for n in (c.tile_rows, c.tile_cols, c.chunk)):
+        raise ValueError(f"tile and chunk edges must be multiples of {k}")
+    frames = cut(time_index(mosaic_days(obs500, c)), "frames")
+    # one row per calendar day
+    fine = mosaic_coordinates(clean_bands(obs500.join(F.broadcast(frames), "date"), c), c)
+    coarse = mosaic_coordinates(
+        obs1km.join(F.broadcast(frames), "date").withColumns({"row": F.col("row") * k, "col": F.col("col") * k}), c
+    )
+    code = usability(F.col("state"), c.state_fill, c.mask_fill)
+    entry = F.struct("y", "x", *band_columns(c))
+
+    def placed(rows: DataFrame, value, cell) -> DataFrame:
+        numbers = {"cy": f"y div {c.chunk}", "cx": f"x div {c.chunk}", "my": f"y div {k}", "mx": f"x div {k}"}
+        return rows.select(
+            "t", "date", *[F.expr(e).cast("int").alias(n) for n, e in numbers.items()], value.alias("code"), cell.alias("cell")
+        )
+
+    kind = fine.select(entry.alias("cell")).schema["cell"].dataType
+    both = placed(fine, F.lit(None).cast("smallint"), entry).union(placed(coarse, code, F.lit(None).cast(kind)))
+    met = (
+        both.repartition("t", "cy", "cx")
+        .groupBy("t", "date", "cy", "cx", "my", "mx")
+        .agg(F.max("code").alias("code"), F.collect_list("cell").alias("cells"))
+    )
+    cells = met.select("t", "date", "cy", "cx", "code", F.explode("cells").alias("cell"))
+    mask = F.coalesce("code", F.lit(c.mask_fill)).cast("smallint").alias("usability")
+    return cells.select("t", "date", "cell.y", "cell.x", *[f"cell.{b}" for b in band_columns(c)], mask, "cy", "cx")
+
+
 def to_long(cube: DataFrame, bands: list[str], keys: list[str], value: str = "value") -> DataFrame:
     """One row per key and band; the mask, being a float in the stack, comes as a double."""
     wide = cube.select(*keys, *[F.col(b).cast("double").alias(b) for b in bands])

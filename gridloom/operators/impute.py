@@ -7,16 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.config import SampleConfig
 from gridloom.functions.spectral import add
-from gridloom.operators.samples import per_block, place_keys
 from gridloom.schemas import SAMPLE_KEY
 
-_PATCH = ["y_coord", "x_coord"]
 _CELL = [*SAMPLE_KEY, "y", "x"]
 
 
@@ -56,24 +56,27 @@ def best_frames(cells: DataFrame, c: SampleConfig) -> DataFrame:
 
 
 def oracle_frame(cells: DataFrame, c: SampleConfig) -> DataFrame:
-    """Every sample's best single frame as its prediction.
+    """Every sample's best single frame as its prediction, in one pass over the cells.
 
-    The choices of a patch, one per window, are gathered by patch and joined where
-    the sample cells already lie: the cells do not move again.
+    A sample's cells are buffered while the errors of its T frames are summed (a window without an order, whose buffer spills), then go
+    out with the frame of least error, the earliest on ties. Cells placed by patch do not move.
     """
-    choice = F.struct(F.struct("split", "t_start"), F.struct("t", "frame_mse"))
-    by_patch = best_frames(cells, c).groupBy(*_PATCH).agg(
-        F.map_from_entries(F.collect_list(choice)).alias("_best")
-    )
-    mine = F.element_at("_best", F.struct("split", "t_start"))
-    chosen = (
-        cells.join(per_block(by_patch, cells, c.patch).hint("shuffle_hash"), place_keys(cells))
-        .withColumn("_mine", mine)
-        .withColumns({"t": F.col("_mine.t"), "frame_mse": F.col("_mine.frame_mse")})
-    )
-    at = F.col("t") - F.col("t_start")
-    return chosen.select(
-        *_CELL, "t", "frame_mse", *[F.get(f"in_{b}", at).alias(f"pred_{b}") for b in c.bands], *_scored(c)
+    n = len(c.bands) * c.patch * c.patch
+    sample = W.partitionBy(*SAMPLE_KEY)
+
+    def error(k: int):
+        d = [F.get(f"in_{b}", F.lit(k)) - F.col(f"target_{b}") for b in c.bands]
+        return F.sum(add([v * v for v in d])).over(sample) / n
+
+    options = [F.struct(error(k).alias("mse"), F.lit(k).alias("k")) for k in range(c.window)]
+    inputs = [f"in_{b}" for b in c.bands]
+    summed = cells.select(*_CELL, *inputs, *_scored(c), F.array_min(F.array(*options)).alias("_b"))
+    return summed.select(
+        *_CELL,
+        (F.col("t_start") + F.col("_b.k")).alias("t"),
+        F.col("_b.mse").alias("frame_mse"),
+        *[F.get(f"in_{b}", F.col("_b.k")).alias(f"pred_{b}") for b in c.bands],
+        *_scored(c),
     )
 
 
@@ -117,31 +120,50 @@ def predict(
 
 
 def predict_cells(
-    cells: DataFrame, c: SampleConfig, model: Callable[[np.ndarray], np.ndarray]
+    cells: DataFrame, c: SampleConfig, model: Callable[[np.ndarray], np.ndarray], batch: int = 8, resources: ResourceProfile | None = None
 ) -> DataFrame:
-    """Run a user model sample by sample; predictions come back beside each cell's truth.
+    """Run a user model on up to ``batch`` samples at once; predictions come back beside each cell's truth.
 
-    The model gets (1, bands, frames, rows, columns) and returns (1, bands,
-    rows, columns). A task holds one sample, from sorted rows that can spill,
-    and cells already placed by patch do not move.
+    The model gets (samples, bands, frames, rows, columns) and returns (samples, bands, rows, columns); absent cells
+    are 0. Cells already placed by patch do not move; a task streams them sorted by sample (the sort can spill) and holds
+    the samples of one batch. The last batch of a task may be smaller. ``resources`` is a stage's own resource profile, say
+    one GPU a task.
     """
     kept = [*_CELL, *_scored(c)]
-    flat = cells.select(*kept, *[f"in_{b}" for b in c.bands])
+    inputs = [f"in_{b}" for b in c.bands]
+    number = F.row_number().over(W.partitionBy(*SAMPLE_KEY).orderBy("y", "x"))
+    flat = cells.select(*kept, *inputs, number.alias("_number"))
     schema = T.StructType(
         [*(flat.schema[k] for k in kept), *(T.StructField(f"pred_{b}", T.DoubleType()) for b in c.bands)]
     )
 
-    def run(table: pa.Table) -> pa.Table:
+    def predicted(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        sample = np.cumsum(table.column("_number").to_numpy() == 1) - 1
         y = table.column("y").to_numpy() - table.column("y_coord").to_numpy()
         x = table.column("x").to_numpy() - table.column("x_coord").to_numpy()
-        stack = np.zeros((1, len(c.bands), c.window, c.patch, c.patch))
-        for i, b in enumerate(c.bands):
-            values = table.column(f"in_{b}").combine_chunks().flatten().to_numpy()
-            stack[0, i][:, y, x] = values.reshape(-1, c.window).T
-        made = np.asarray(model(stack), dtype=float)[0]
-        out = table.select(kept)
-        for i, b in enumerate(c.bands):
-            out = out.append_column(f"pred_{b}", pa.array(made[i, y, x]))
-        return out
-
-    return flat.groupBy(*SAMPLE_KEY).applyInArrow(run, schema)
+        stack = np.zeros((int(sample[-1]) + 1, len(c.bands), c.window, c.patch, c.patch))
+        for i, name in enumerate(inputs):
+            values = table.column(name).combine_chunks().flatten().to_numpy()
+            stack[sample, i, :, y, x] = values.reshape(-1, c.window)
+        made = np.asarray(model(stack), dtype=float)
+        columns = [table.column(k).combine_chunks() for k in kept]
+        columns += [pa.array(made[sample, i, y, x]) for i in range(len(c.bands))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], 0  # batches in hand, samples begun in them
+        for rows in batches:
+            starts = np.flatnonzero(rows.column("_number").to_numpy() == 1)
+            at = 0
+            while seen + len(starts) > batch:  # the sample after the last whole batch has begun
+                cut = int(starts[batch - seen])
+                yield predicted(pa.Table.from_batches([*held, rows.slice(at, cut - at)], rows.schema))
+                held, starts, at, seen = [], starts[batch - seen :], cut, 0
+            held.append(rows.slice(at))
+            seen += len(starts)
+        held = [h for h in held if h.num_rows]
+        if held:
+            yield predicted(pa.Table.from_batches(held))
+
+    return flat.mapInArrow(run, schema, profile=resources)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.spectral import add, psnr_from_rmse, spectral_angle
+from gridloom.operators.samples import BLOCK_ROWS
 
 # Fixed values of the structural similarity: window edge and stabilisers.
 SSIM_WINDOW = 7
@@ -68,7 +69,7 @@ def _box_means(stack: np.ndarray) -> np.ndarray:
 
 
 def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> np.ndarray:
-    """Mean similarity of (sample, band, row, column) stacks, one value per sample."""
+    """Similarity of every full window of (..., row, column) stacks."""
     n = SSIM_WINDOW * SSIM_WINDOW
     c1, c2 = (SSIM_K1 * data_range) ** 2, (SSIM_K2 * data_range) ** 2
     mp, mt = _box_means(pred), _box_means(target)
@@ -76,8 +77,7 @@ def _similarity(pred: np.ndarray, target: np.ndarray, data_range: float) -> np.n
     vp = unbias * (_box_means(pred * pred) - mp * mp)
     vt = unbias * (_box_means(target * target) - mt * mt)
     cov = unbias * (_box_means(pred * target) - mp * mt)
-    value = ((2 * mp * mt + c1) * (2 * cov + c2)) / ((mp * mp + mt * mt + c1) * (vp + vt + c2))
-    return value.mean(axis=(1, 2, 3))
+    return ((2 * mp * mt + c1) * (2 * cov + c2)) / ((mp * mp + mt * mt + c1) * (vp + vt + c2))
 
 
 def _check(patch: int) -> None:
@@ -85,24 +85,39 @@ def _check(patch: int) -> None:
         raise ValueError(f"patch must be at least {SSIM_WINDOW}")
 
 
-def _by_sample(
-    cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float, sums: dict[str, Column]
-) -> DataFrame:
-    """Similarity of each sample, and sums over its cells, in one pass for any patch size.
+def _row_blocks(cells: DataFrame, patch: int) -> tuple[DataFrame, int]:
+    """Cells by block of ``BLOCK_ROWS`` window rows (column ``_unit``), and the rows of a block.
 
-    A row number per sample makes the planner bring a sample's cells together in order (nothing moves where
-    they already lie so); the sorted rows, which can spill, then stream through Arrow batches. A task holds the
-    batch at hand and the one sample that is not complete yet. Absent cells are 0 in the similarity.
+    A window starts in its block and reaches six rows further, so the first six rows of a block go to the one before
+    as well. A patch of few rows is one block, and nothing is copied.
+    """
+    halo = SSIM_WINDOW - 1
+    starts = patch - halo
+    if starts <= BLOCK_ROWS:
+        return cells.withColumn("_unit", F.lit(0)), patch
+    line = F.col("y") - F.col("y_coord")
+    own = F.floor(line / BLOCK_ROWS).cast("int")
+    last = (starts - 1) // BLOCK_ROWS
+    first = F.when(line % BLOCK_ROWS < halo, own - 1).otherwise(own)
+    units = F.sequence(F.greatest(first, F.lit(0)), F.least(own, F.lit(last)))
+    return cells.withColumn("_unit", F.explode(units)), BLOCK_ROWS + halo
+
+
+def _window_sums(cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float) -> DataFrame:
+    """Sum of the similarity over the windows of each block of a sample that has cells, and their number.
+
+    A row number makes the planner bring a block's cells together (nothing moves where they already lie so); the sorted rows,
+    which can spill, stream through Arrow batches. A task holds the batch at hand and the one block that is not
+    complete yet, never a whole wide sample. Absent cells are 0.
     """
     values = [f"{kind}_{b}" for kind in ("pred", "target") for b in bands]
-    place = ((F.col("y") - F.col("y_coord")) * patch + F.col("x") - F.col("x_coord")).cast("int")
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("_pos"))
-    rows = cells.select(*keys, place.alias("_pos"), *values, *[v.alias(k) for k, v in sums.items()])
-    rows = rows.withColumn("_number", number)
+    blocks, height = _row_blocks(cells, patch)
+    place = ((F.col("y") - F.col("y_coord") - F.col("_unit") * BLOCK_ROWS) * patch + F.col("x") - F.col("x_coord")).cast("int")
+    number = F.row_number().over(W.partitionBy(*keys, "_unit").orderBy(F.lit(0)))
+    rows = blocks.select(*keys, "_unit", place.alias("_pos"), *values).withColumn("_number", number)
     kept = [rows.schema[k] for k in keys]
-    summed = list(sums)
-    schema = T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in ("ssim", *summed))])
-    area = patch * patch
+    schema = T.StructType([*kept, T.StructField("_sum", T.DoubleType()), T.StructField("_windows", T.LongType())])
+    area, starts = height * patch, patch - SSIM_WINDOW + 1
     step = max(1, 2**20 // (len(values) * area))
 
     def scored(table: pa.Table) -> pa.RecordBatch:
@@ -110,20 +125,23 @@ def _by_sample(
         first = np.flatnonzero(table.column("_number").to_numpy() == 1)
         ends = np.append(first[1:], table.num_rows)
         pos = table.column("_pos").to_numpy()
+        # rows of windows that start in the block
+        lines = np.minimum(height - SSIM_WINDOW + 1, starts - table.column("_unit").to_numpy()[first] * BLOCK_ROWS)
         found = []
         for at in range(0, len(first), step):
-            low, high = first[at], ends[min(at + step, len(first)) - 1]
-            sample = np.repeat(np.arange(len(first[at : at + step])), ends[at : at + step] - first[at : at + step])
-            stack = np.zeros((len(first[at : at + step]), len(values), area))
+            n = len(first[at : at + step])
+            low, high = first[at], ends[at + n - 1]
+            unit = np.repeat(np.arange(n), ends[at : at + n] - first[at : at + n])
+            stack = np.zeros((n, len(values), area))
             for i, name in enumerate(values):
-                stack[sample, i, pos[low:high]] = table.column(name).slice(low, high - low).to_numpy()
-            stack = stack.reshape(-1, len(values), patch, patch)
-            found.append(_similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range))
-        totals = [np.add.reduceat(table.column(k).to_numpy(), first) for k in summed]
+                stack[unit, i, pos[low:high]] = table.column(name).slice(low, high - low).to_numpy()
+            stack = stack.reshape(n, len(values), height, patch)
+            per_line = _similarity(stack[:, : len(bands)], stack[:, len(bands) :], data_range).sum(axis=(1, 3))
+            found.append(np.where(np.arange(per_line.shape[1]) < lines[at : at + n, None], per_line, 0.0).sum(axis=1))
         names = table.select(keys).take(pa.array(first)).combine_chunks()
         columns = [names.column(k).combine_chunks() for k in keys]
-        columns += [pa.array(np.concatenate(found)), *(pa.array(t, pa.float64()) for t in totals)]
-        return pa.RecordBatch.from_arrays(columns, names=[*keys, "ssim", *summed])
+        columns += [pa.array(np.concatenate(found)), pa.array((lines * starts * len(bands)).astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -145,10 +163,14 @@ def _by_sample(
 def ssim(cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0) -> DataFrame:
     """Structural similarity per sample: 7 by 7 uniform windows, interior mean, mask ignored.
 
-    ``keys`` include y_coord and x_coord. Cells already placed by patch are scored where they are.
+    ``keys`` include y_coord and x_coord. Window sums per block of rows are added up per sample; a window without any cell
+    is two equal pictures, so blocks without cells count 1 per window.
     """
     _check(patch)
-    return _by_sample(cells, keys, bands, patch, data_range, {})
+    windows = F.lit(float(len(bands) * (patch - SSIM_WINDOW + 1) ** 2))
+    sums = _window_sums(cells, keys, bands, patch, data_range).groupBy(*keys)
+    sums = sums.agg(F.sum("_sum").alias("_sum"), F.sum("_windows").alias("_windows"))
+    return sums.select(*keys, ((F.col("_sum") + windows - F.col("_windows")) / windows).alias("ssim"))
 
 
 def ssim_windows(
@@ -187,27 +209,14 @@ def ssim_windows(
 
 
 def score(cells: DataFrame, keys: list[str], bands: list[str], patch: int, data_range: float = 1.0) -> DataFrame:
-    """All four scores per sample, in one pass over the cells whatever the patch size."""
+    """All four scores per sample: three from partial sums, the similarity from blocks of rows.
+
+    ``cells`` is read once for each, so it should be cheap to make or written. One small row per sample is joined.
+    """
     _check(patch)
-    angle = spectral_angle([F.col(f"pred_{b}") for b in bands], [F.col(f"target_{b}") for b in bands])
-    every = F.col(f"valid_{bands[0]}")
-    for b in bands[1:]:
-        every = every & F.col(f"valid_{b}")
-    every = F.coalesce(every, F.lit(False)) & angle.isNotNull()
-    zero, one = F.lit(0.0), F.lit(1.0)
-    sums = {
-        "_valid_sum": add([F.when(F.col(f"valid_{b}"), _square(b)).otherwise(zero) for b in bands]),
-        "_valid_n": add([F.when(F.col(f"valid_{b}"), one).otherwise(zero) for b in bands]),
-        "_all_sum": add([_square(b) for b in bands]),
-        "_all_n": F.lit(float(len(bands))),
-        "_angle": F.when(every, angle).otherwise(zero),
-        "_angle_n": F.when(every, one).otherwise(zero),
-    }
-    found = _by_sample(cells, keys, bands, patch, data_range, sums)
-    mse = F.when(F.col("_valid_n") > 0, F.try_divide("_valid_sum", "_valid_n")).otherwise(F.col("_all_sum") / F.col("_all_n"))
-    sam = F.coalesce(F.try_divide("_angle", "_angle_n"), zero)
-    rmse, psnr, _ = _pixel_columns(F.sqrt(mse), data_range)
-    return found.select(*keys, rmse, psnr, "ssim", sam.alias("sam"))
+    sums = pixel_scores(cells, keys, bands, data_range)
+    found = sums.join(ssim(cells, keys, bands, patch, data_range), keys)
+    return found.select(*keys, "rmse", "psnr", "ssim", "sam")
 
 
 def masked_loss(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.spectral import psnr_from_rmse, quantile
+from gridloom.functions.spectral import psnr_from_rmse
 from gridloom.operators.ranking import digest, ordered_rank, tercile
 from gridloom.schemas import METRICS
 
@@ -62,6 +62,29 @@ def by_strata(merged: DataFrame, tables: dict[str, str] = STRATUM_TABLES) -> Dat
     return _means(flat, ["report", "stratum", "model"])
 
 
+def report_tables(merged: DataFrame, tables: dict[str, str] = STRATUM_TABLES) -> DataFrame:
+    """The overall table and those of all strata from one aggregate by grouping sets; ``report`` names the table.
+
+    Overall rows have no stratum. Rows whose label is missing count in no stratum of that report.
+    """
+    present = {title: col for title, col in tables.items() if col in merged.columns}
+    columns = list(present.values())
+    sets = [["model"], *[["model", c] for c in columns]]
+    rest = [m for m in METRICS if m != "psnr"]
+    means = merged.groupingSets(sets, "model", *columns).agg(
+        F.grouping_id().alias("_set"), *[F.avg(m).alias(m) for m in rest]
+    )
+    # one bit per column that a set leaves out, the model's first
+    every = 2 ** len(columns) - 1
+    title, stratum = F.when(F.col("_set") == every, "Overall"), F.lit(None).cast("string")
+    for i, (name, column) in enumerate(present.items()):
+        here = F.col("_set") == every - 2 ** (len(columns) - 1 - i)
+        title, stratum = title.when(here, name), F.coalesce(F.when(here, F.col(column)), stratum)
+    out = means.select(title.alias("report"), stratum.alias("stratum"), "model", *rest)
+    out = out.filter((F.col("report") == "Overall") | F.col("stratum").isNotNull())
+    return out.withColumn("psnr", psnr_from_rmse(F.col("rmse"))).select("report", "stratum", "model", *METRICS)
+
+
 def stack_models(tables: dict[str, DataFrame]) -> DataFrame:
     """One table from per-model tables, the display name as ``model``."""
     named = [df.withColumn("model", F.lit(name)) for name, df in tables.items()]
@@ -138,16 +161,57 @@ def rgb(cells: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
     return cells.select(*keys, *[F.col(f"{prefix}{b}").alias(c) for c, b in named.items()])
 
 
+def rank_quantiles(values: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of each group by rank selection, as columns named by ``shares``; NULLs do not count.
+
+    Values are ranked where their group is sorted, which can spill; only the two neighbours of each wanted rank are
+    aggregated, so no list of a group is built.
+    """
+    group = W.partitionBy(*keys)
+    ranked = values.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_v"), (F.row_number().over(group.orderBy(value)) - 1).alias("_at"), F.count("*").over(group).alias("_n")
+    )
+
+    def picked(share: float, up: int) -> Column:
+        return F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) * share) + up, F.col("_v")))
+
+    found = ranked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[picked(q, up).alias(f"{name}_{up}") for name, q in shares.items() for up in (0, 1)]
+    )
+
+    def between(name: str, share: float) -> Column:
+        place, low = (F.col("_n") - 1) * F.lit(share), F.col(f"{name}_0")
+        return low + (F.coalesce(F.col(f"{name}_1"), low) - low) * (place - F.floor(place))
+
+    return found.select(*keys, *[between(name, q).alias(name) for name, q in shares.items()])
+
+
 def stretch_bounds(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """2nd and 98th percentile over the pooled channels of each sample, interpolated.
+    """2nd and 98th percentile over the pooled channels of each sample, interpolated."""
+    pooled = pixels.select(*keys, F.explode(F.array("red", "green", "blue")).alias("value"))
+    return rank_quantiles(pooled, keys, "value", {"p2": 0.02, "p98": 0.98})
+
+
+def sample_pictures(filled: DataFrame, cells: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """All pictures of a sample in colour: prediction, truth and its input frames, named by ``picture``.
 
-    One group is one sample's picture: three values per cell of a patch.
+    ``filled`` has ``pred_*``, ``cells`` the sample cells with ``in_*`` and ``target_*``. Pooled, they give the range a figure of the
+    sample is stretched to.
     """
-    pooled = F.flatten(F.collect_list(F.array("red", "green", "blue")))
-    lists = pixels.groupBy(*keys).agg(F.sort_array(F.array_compact(pooled)).alias("_v"))
-    return lists.select(
-        *keys, quantile(F.col("_v"), 0.02).alias("p2"), quantile(F.col("_v"), 0.98).alias("p98")
+    shown = {"prediction": rgb(filled, [*keys, "y", "x"], "pred_"), "truth": rgb(cells, [*keys, "y", "x"], "target_")}
+    out = None
+    for name, picture in shown.items():
+        picture = picture.select(*keys, "y", "x", F.lit(name).alias("picture"), "red", "green", "blue")
+        out = picture if out is None else out.unionByName(picture)
+    bands = {"red": "b01", "green": "b04", "blue": "b03"}
+    frames = F.array(
+        *[
+            F.struct(F.lit(f"frame {k}").alias("picture"), *[F.get(f"in_{b}", F.lit(k)).alias(n) for n, b in bands.items()])
+            for k in range(window)
+        ]
     )
+    inputs = cells.select(*keys, "y", "x", F.explode(frames).alias("f")).select(*keys, "y", "x", "f.*")
+    return out.unionByName(inputs)
 
 
 def stretch(

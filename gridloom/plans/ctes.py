@@ -163,10 +163,10 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
-def sql_over(names: str, body: str, **extra: str) -> str:
+def sql_over(names: str, body: str, once: str = "", **extra: str) -> str:
     """``body`` behind the named derived tables (space separated) and their inputs.
 
-    ``extra`` adds further expressions, in the order given.
+    ``extra`` adds further expressions, in the order given; those named in ``once`` are computed once.
     """
     order: list[str] = []
 
@@ -179,5 +179,7 @@ def sql_over(names: str, body: str, **extra: str) -> str:
 
     for name in names.split():
         visit(name)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
+    kept = {n: "MATERIALIZED " for n in once.split()}
+    whole = [(n, CTES[n][1]) for n in order] + list(extra.items())
+    parts = [f"{n} AS {kept.get(n, '')}({q})" for n, q in whole]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from gridloom.config import CubeConfig
+from gridloom.config import BAND_NAMES, BAND_WAVELENGTHS_NM, MASK_LEGEND, QC_FILL, REFLECTANCE_FILL, CubeConfig
 from gridloom.functions import quality
 from gridloom.operators import cube as ops
 from gridloom.plans.ctes import USABILITY, clean, sql_over
@@ -178,6 +180,36 @@ def build_cube(spark, d):
     return _built(spark, d).select("t", "date", "y", "x", *_rounded(), "usability")
 
 
+@query(
+    "o_b12_build_chunks",
+    sql_over(
+        "obs coarse",
+        "SELECT *, CAST(y // 1024 AS INT) AS cy, CAST(x // 1024 AS INT) AS cx FROM (" + _CUBE_SQL + ")",
+        **_CUBE_WITH,
+    ),
+)
+def build_chunks(spark, d):
+    """Built and written with one movement of the cells, then read back."""
+    path = workspace.new_path(spark, "cube")
+    built = ops.build_chunks(derived.obs_500m(spark, d), derived.obs_1km(spark, d), _C)
+    tables.write_cube(built, path, patch=_C.patch, chunk=_C.chunk, placed=True)
+    return tables.read_cube(spark, path).select("t", "date", "y", "x", *_rounded(), "usability", "cy", "cx")
+
+
+@query(
+    "o_b7_fill_words",
+    sql_over(
+        "obs",
+        f"SELECT {_KEYS}, " + ", ".join(f"round(CASE WHEN r{b} <> -28672 AND qc <> 787410671 THEN {clean(b)} END, 6) AS b0{b}" for b in range(1, 8)) + " FROM obs",
+    ),
+)
+def fill_words(spark, d):
+    """Cleaned bands where the products' fill words are no observations."""
+    c = replace(_C, reflectance_fill=REFLECTANCE_FILL, qc_fill=QC_FILL)
+    cleaned = ops.clean_bands(derived.obs_500m(spark, d).drop("h", "p", "state"), c)
+    return cleaned.select(*_KEY, *_rounded())
+
+
 @query(
     "o_b13_densify",
     sql_over("dense", "SELECT t, y, x, round(b01, 6) AS b01, round(b06, 6) AS b06, usability FROM dense"),
@@ -188,21 +220,63 @@ def densify(spark, d):
     return dense.select("t", "y", "x", F.round("b01", 6).alias("b01"), F.round("b06", 6).alias("b06"), "usability")
 
 
+_FIXED_ATTRS = [
+    ("global", "Conventions", "CF-1.11"),
+    ("global", "usability_mask_key", MASK_LEGEND),
+    ("time", "standard_name", "time"),
+    ("y", "standard_name", "projection_y_coordinate"),
+    ("y", "units", "m"),
+    ("x", "standard_name", "projection_x_coordinate"),
+    ("x", "units", "m"),
+    ("band", "band_names", ", ".join([*BAND_NAMES, "Usability Mask"])),
+    ("band", "band_wavelengths_nm", ", ".join([f"{w} nm" for w in BAND_WAVELENGTHS_NM] + ["N/A"])),
+    ("reflectance_and_mask", "units", "1"),
+    ("reflectance_and_mask", "grid_mapping", "sinusoidal"),
+]
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 @query(
     "o_b14_attributes",
     sql_over(
         "obs",
-        """SELECT 'included_days' AS key, string_agg(strftime(date, '%Y%j'), ',' ORDER BY date) AS value FROM days
-  UNION ALL SELECT 'total_days_processed', CAST(count(*) AS VARCHAR) FROM days
-  UNION ALL SELECT 'source_tiles', string_agg(DISTINCT tile, ',' ORDER BY tile) FROM obs""",
+        f"""SELECT 'global' AS scope, 'included_days' AS key, string_agg(strftime(date, '%Y%j'), ',' ORDER BY date) AS value FROM days
+  UNION ALL SELECT 'global', 'total_days_processed', CAST(count(*) AS VARCHAR) FROM days
+  UNION ALL SELECT 'global', 'source_tiles', string_agg(DISTINCT tile, ',' ORDER BY tile) FROM obs
+  UNION ALL SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_text, row)) + ")" for row in _FIXED_ATTRS)})""",
         quality=_QUALITY,
         days=_DAYS,
     ),
 )
 def attributes(spark, d):
     obs = derived.obs_500m(spark, d)
-    attrs = ops.cube_attrs(ops.mosaic_days(obs, _C), obs, _C)
-    return attrs.filter(F.col("key").isin("included_days", "total_days_processed", "source_tiles")).select("key", "value")
+    return ops.cube_attrs(ops.mosaic_days(obs, _C), obs, _C).select("scope", "key", "value")
+
+
+@query(
+    "o_b14_column_metadata",
+    sql_over(
+        "cube",
+        " UNION ALL ".join(
+            f"SELECT 'b0{b}' AS name, 'long_name=' || {_text(BAND_NAMES[b - 1])} || ';units=1;wavelength_nm=' || {_text(BAND_WAVELENGTHS_NM[b - 1])} AS metadata, count(b0{b}) AS n FROM cube"
+            for b in range(1, 8)
+        )
+        + f" UNION ALL SELECT 'usability', 'usability_mask_key=' || {_text(MASK_LEGEND)}, count(usability) FROM cube",
+    ),
+)
+def column_metadata(spark, d):
+    """Metadata of the columns of a stored cube, beside the number of their values."""
+    path = workspace.new_path(spark, "cube")
+    tables.write_cube(ops.with_band_metadata(derived.cube(spark, d), _C), path, patch=8, chunk=32)
+    stored = tables.read_cube(spark, path)
+    columns = [*BANDS, "usability"]
+    told = {b: ";".join(f"{k}={v}" for k, v in sorted(stored.schema[b].metadata.items())) for b in columns}
+    counted = stored.agg(*[F.count(b).alias(b) for b in columns]).unpivot([], columns, "name", "n")
+    known = F.create_map(*[F.lit(v) for pair in told.items() for v in pair])
+    return counted.select("name", F.element_at(known, F.col("name")).alias("metadata"), "n")
 
 
 @query(

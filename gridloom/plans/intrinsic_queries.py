@@ -306,6 +306,43 @@ def density(spark, d):
     return curve.select("band", "land_cover_name", "at", r6("density"))
 
 
+def _named(spark, d):
+    classed = landcover.with_class(derived.cube(spark, d), derived.landcover(spark, d))
+    long = cube_ops.to_long(classed, BANDS, ["lc"], "reflectance")
+    return intrinsic.name_classes(long, tables.lc_dim(spark), "lc")
+
+
+_CLASSED = "SELECT band, name AS land_cover_name, v FROM (" + " UNION ALL ".join(
+    f"SELECT '{b}' AS band, lc, {b} AS v FROM cube c JOIN landcover l ON c.y = l.y AND c.x = l.x WHERE {b} IS NOT NULL" for b in BANDS
+) + ") u JOIN lcdim d ON u.lc = d.lc"
+_SCOTT = """SELECT *, lo - 3 * width AS start, (hi - lo + 6 * width) / 199 AS step FROM (
+  SELECT band, land_cover_name, count(*) AS n, stddev_samp(v) * power(count(*), -2e-1) AS width, min(v) AS lo, max(v) AS hi
+  FROM classed GROUP BY ALL) WHERE width > 0"""
+_DEALT = """SELECT band, land_cover_name, bin, sum(w) AS w FROM (
+  SELECT band, land_cover_name, unnest([floor(a), floor(a) + 1]) AS bin, unnest([floor(a) + 1 - a, a - floor(a)]) AS w FROM (
+    SELECT c.band, c.land_cover_name, (v - start) / step AS a FROM classed c JOIN scott s ON c.band = s.band AND c.land_cover_name = s.land_cover_name))
+  GROUP BY ALL"""
+
+
+@query(
+    "o_e5_kernel_density",
+    sql_over(
+        "cube landcover",
+        """SELECT d.band, d.land_cover_name, CAST(p AS INT) AS point, round(max(start + p * step), 5) AS value,
+  round(sum(w * exp(-5e-1 * power((p - bin) * step / width, 2))) / (max(n) * max(width) * sqrt(2 * pi())), 5) AS density
+  FROM dealt d JOIN scott s ON d.band = s.band AND d.land_cover_name = s.land_cover_name, (SELECT unnest(range(200)) AS p) g
+  GROUP BY d.band, d.land_cover_name, p""",
+        lcdim=_LCDIM,
+        classed=_CLASSED,
+        scott=_SCOTT,
+        dealt=_DEALT,
+    ),
+)
+def kernel_density(spark, d):
+    curve = intrinsic.kernel_density(_named(spark, d))
+    return curve.select("band", "land_cover_name", "point", F.round("value", 5).alias("value"), F.round("density", 5).alias("density"))
+
+
 @query(
     "o_e6_pivot",
     sql_over(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.spectral import safe_div
-from gridloom.operators import intrinsic, reports, runs
+from gridloom.operators import impute, intrinsic, reports, runs
 from gridloom.plans import sample_queries as sq
 from gridloom.plans import score_queries as scores
 from gridloom.plans.ctes import r6 as q6
 from gridloom.plans.ctes import mixed, sql_over
 from gridloom.plans.intrinsic_queries import tercile_sql
 from gridloom.plans.registry import query, r6
-from gridloom.schemas import METRICS, PATCH_METRICS
+from gridloom.schemas import METRICS, PATCH_METRICS, SAMPLE_KEY
 from gridloom.sources import derived, listing, tables, workspace
 
 _PSNR = "CASE WHEN avg(rmse) > 0 THEN 20e0 * log10(1e0 / avg(rmse)) ELSE CAST('inf' AS DOUBLE) END"
@@ -81,6 +81,26 @@ def by_strata(spark, d):
     return reports.by_strata(merged).select("report", "stratum", "model", *_scores())
 
 
+@query(
+    "o_i3_report_tables",
+    sql_over(
+        "pmetrics pdiff",
+        f"""SELECT report, stratum, model, {_MEANS} FROM (SELECT m.*, l.report, l.stratum FROM pmetrics m JOIN (
+  SELECT y_coord, x_coord, 'Overall' AS report, CAST(NULL AS VARCHAR) AS stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Overall Difficulty', stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Spatial Heterogeneity', spatial_stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Phenology Variability', phenology_stratum FROM labelled
+  UNION ALL SELECT y_coord, x_coord, 'Cloud Persistence', cloud_stratum FROM labelled) l
+  ON m.y_coord = l.y_coord AND m.x_coord = l.x_coord) GROUP BY ALL""",
+        labelled=_LABELLED,
+    ),
+)
+def report_tables(spark, d):
+    labelled = intrinsic.with_strata(derived.patch_difficulty(spark, d))
+    merged = reports.join_difficulty(derived.patch_metrics(spark, d), labelled)
+    return reports.report_tables(merged).select("report", "stratum", "model", *_scores())
+
+
 @query(
     "o_i0_evaluation_report",
     sql_over(
@@ -248,6 +268,7 @@ _BOUNDS = """SELECT model, y_coord, x_coord, t, quantile_cont(v, 2e-2) AS p2, qu
         )
         + """ FROM pixels p JOIN bounds b ON p.model = b.model AND p.y_coord = b.y_coord
   AND p.x_coord = b.x_coord AND p.t = b.t""",
+        once="preds pixels bounds",
         pixels=_PIXELS,
         bounds=_BOUNDS,
     ),
@@ -301,6 +322,7 @@ def stretch_pooled(spark, d):
         "SELECT p.model, p.t, p.y, p.x, "
         + ", ".join(f"round(CASE WHEN p98 > p2 THEN greatest(0, least(1, ({c} - p2) / (p98 - p2 + 1e-8))) ELSE {c} END + 1e-9, 6) AS {c}" for c in _RGB)
         + f" FROM pixels p JOIN bounds b ON {_ON}",
+        once="preds pixels bounds",
         pixels=_PIXELS,
         truth=_TRUTH,
         bounds=_RANGES.format(source="truth"),
@@ -313,6 +335,39 @@ def stretch_truth(spark, d):
     return shown.select("model", "t", "y", "x", *[r6(c) for c in _RGB])
 
 
+_SAMPLE = ", ".join(SAMPLE_KEY)
+_SHOWN = " UNION ALL ".join(
+    [
+        f"SELECT {_SAMPLE}, y, x, 'prediction' AS picture, p1 AS red, p4 AS green, p3 AS blue FROM filled",
+        f"SELECT {_SAMPLE}, y, x, 'truth', in_b01, in_b04, in_b03 FROM truth",
+        f"SELECT {_SAMPLE}, y, x, 'frame ' || CAST(t - t_start AS VARCHAR), in_b01, in_b04, in_b03 FROM built",
+    ]
+)
+_SAME = " AND ".join(f"p.{k} = b.{k}" for k in SAMPLE_KEY)
+
+
+@query(
+    "o_i13_stretch_frames",
+    sql_over(
+        "shape dense",
+        "SELECT " + ", ".join(f"p.{k}" for k in SAMPLE_KEY) + ", p.y, p.x, picture, "
+        + ", ".join(f"round(greatest(0, least(1, CASE WHEN p98 > p2 THEN ({c} - p2) / (p98 - p2) ELSE {c} END)) + 1e-9, 6) AS {c}" for c in _RGB)
+        + f" FROM shown p JOIN bounds b ON {_SAME}",
+        **sq.BUILT,
+        filled=f"SELECT {_SAMPLE}, y, x, " + ", ".join(f"list_sort(list(in_b0{b}))[2] AS p{b}" for b in (1, 3, 4)) + f" FROM built GROUP BY {_SAMPLE}, y, x",
+        truth=f"SELECT {_SAMPLE}, y, x, " + ", ".join(f"max(target_b0{b}) AS in_b0{b}" for b in (1, 3, 4)) + f" FROM built GROUP BY {_SAMPLE}, y, x",
+        shown=_SHOWN,
+        bounds=f"SELECT {_SAMPLE}, quantile_cont(v, 2e-2) AS p2, quantile_cont(v, 98e-2) AS p98 FROM (SELECT {_SAMPLE}, unnest([red, green, blue]) AS v FROM shown) GROUP BY ALL",
+    ),
+)
+def stretch_frames(spark, d):
+    """Prediction, truth and all four input frames of a sample on one common range."""
+    cells = workspace.cut(sq.built(spark, d), "samples")
+    shown = reports.sample_pictures(impute.temporal_median(cells, sq.C), cells, SAMPLE_KEY, sq.C.window)
+    stretched = reports.stretch(shown, reports.stretch_bounds(shown, SAMPLE_KEY), SAMPLE_KEY)
+    return stretched.select(*SAMPLE_KEY, "y", "x", "picture", *[r6(c) for c in _RGB])
+
+
 @query(
     "o_a17_metrics_scan",
     sql_over(

@@ -237,6 +237,7 @@ def sanitise(spark, d):
     sql_over(
         "shape dense",
         f"SELECT {_K}, t, y, x, gap, " + ", ".join(f"{q6(f'in_{b}')} AS in_{b}" for b in FEATURE_BANDS) + " FROM built WHERE is_target",
+        once="dense built",
         **BUILT,
     ),
 )
@@ -379,6 +380,7 @@ def pad_batches(spark, d):
     sql_over(
         "shape dense",
         f"SELECT {_K}, y, x, " + ", ".join(f"{q6(f'in_{b}')} AS target_{b}" for b in FEATURE_BANDS) + " FROM built WHERE t = t_start + 3",
+        once="dense built",
         **BUILT,
     ),
 )

@@ -40,18 +40,21 @@ def write_cube(
     chunk: int = 1024,
     fmt: str = "parquet",
     compression: str = "zstd",
+    placed: bool = False,
 ) -> None:
     """Chunk-partitioned columnar cube, the frames of a patch next to each other.
 
     Rows are rebalanced by chunk: small chunks share a write task, and a chunk
     above the session's advisory partition size is split over several, so files
-    come out even however full a chunk is.
+    come out even however full a chunk is. Rows already ``placed`` by chunk
+    (``cube.build_chunks``) are written where they lie.
     """
     unit = ["cy", "cx", "py", "px"]
+    rows = with_storage_keys(cube, patch, chunk)
+    if not placed:
+        rows = rows.hint("rebalance", F.col("cy"), F.col("cx"))
     (
-        with_storage_keys(cube, patch, chunk)
-        .hint("rebalance", F.col("cy"), F.col("cx"))
-        .sortWithinPartitions(*unit, "t", "y", "x")
+        rows.sortWithinPartitions(*unit, "t", "y", "x")
         .write.mode("overwrite")
         .partitionBy("cy", "cx")
         .option("compression", compression)

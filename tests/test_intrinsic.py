@@ -120,3 +120,21 @@ def test_density_integrates_to_one(spark):
 def test_dimensions(spark):
     assert tables.lc_dim(spark).count() == 11 and tables.mask_dim(spark).count() == 6
     assert math.isclose(sum(DifficultyConfig().weights), 0.99)
+
+
+def test_kernel_density_holds_all_the_mass(spark):
+    rng = np.random.default_rng(1)
+    groups = {("b01", "Forest"): rng.normal(0.3, 0.1, 400), ("b02", "Crop"): rng.random(50), ("b02", "Flat"): np.ones(5), ("b02", "One"): np.ones(1)}
+    rows = [(b, n, float(v)) for (b, n), vs in groups.items() for v in vs] + [("b01", "Forest", None)]
+    curve = intrinsic.kernel_density(spark.createDataFrame(rows, "band STRING, land_cover_name STRING, reflectance DOUBLE"), points=400)
+    got = {}
+    for r in curve.orderBy("point").collect():
+        got.setdefault((r.band, r.land_cover_name), []).append((r.value, r.density))
+    assert set(got) == {("b01", "Forest"), ("b02", "Crop")}
+    for key, points in got.items():
+        at, density = np.array(points).T
+        values = groups[key]
+        width = values.std(ddof=1) * len(values) ** -0.2
+        exact = np.exp(-0.5 * ((at[:, None] - values) / width) ** 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
+        assert density == pytest.approx(exact, abs=2e-3 * exact.max())
+        assert np.trapezoid(density, at) == pytest.approx(1, abs=5e-3)

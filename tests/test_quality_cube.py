@@ -141,3 +141,29 @@ def test_mask_fill_is_a_parameter(spark):
 def test_frames_need_the_shape(spark, sf):
     with pytest.raises(ValueError):
         intrinsic.cube_metrics(derived.cube(spark, sf), DifficultyConfig(patch=8), times=12)
+
+
+def test_fill_words_are_parameters(spark):
+    obs = _obs(spark, [("h18v03", 1, 0, 0, -28672, 7), ("h18v03", 1, 0, 1, 5, 7)])
+    c = CubeConfig(reflectance_fill=-28672)
+    assert [r.b01 for r in cube.clean_bands(obs, c).orderBy("col").collect()] == [None, pytest.approx(0.0005)]
+    words = obs.withColumn("qc", F.lit(0).cast("bigint"))
+    assert cube.clean_bands(words, CubeConfig(qc_fill=0)).filter("b01 IS NOT NULL").count() == 0
+
+
+def test_chunks_are_built_with_one_movement_of_the_cells(spark, tmp_path):
+    c = CubeConfig(tiles_per_day=2, tile_rows=8, tile_cols=8, chunk=4, min_valid_fraction=0.0)
+    cells = [(tile, day, r, k, 100 * day + r, 7) for tile in ("h18v03", "h18v04") for day in (1, 3) for r in range(8) for k in range(8) if (r + k) % 5]
+    obs = _obs(spark, cells)
+    rows = [(tile, dt.date(2024, 6, day), r, k, (r + k) % 9) for tile in ("h18v03", "h18v04") for day in (1, 2, 3) for r in range(4) for k in range(3)]
+    coarse = spark.createDataFrame(rows, "tile STRING, date DATE, row INT, col INT, state INT")
+    built = cube.build_chunks(obs, coarse, c)
+    want = cube.build_cube(obs, coarse, c).collect()
+    assert sorted(map(str, built.drop("cy", "cx").collect())) == sorted(map(str, want)) and len(want) == len(cells)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    path = str(tmp_path / "cube")
+    tables.write_cube(built, path, patch=2, chunk=4, placed=True)
+    assert tables.read_cube(spark, path, box=(0, 0, 4, 4)).count() == sum(t == "h18v03" and r < 4 and k < 4 for t, _, r, k, _, _ in cells)
+    with pytest.raises(ValueError):
+        cube.build_chunks(obs, coarse, CubeConfig(chunk=3))

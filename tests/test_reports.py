@@ -99,3 +99,25 @@ def test_format_comparison(spark):
     df = spark.createDataFrame(rows, "format STRING, workers INT, size_mb DOUBLE, write_seconds DOUBLE, read_mb_per_s DOUBLE")
     r = runs.compare_formats(df, "nc", "zr", 4).first()
     assert tuple(r) == pytest.approx((2.0, 0.8, 2.0, 3.0, 75.0))
+
+
+def test_quantiles_by_rank_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.random(101), "b": np.round(rng.random(50), 1), "c": np.array([2.0]), "d": np.repeat([1.0, 3.0], 40)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    found = reports.rank_quantiles(spark.createDataFrame(rows, "g STRING, v DOUBLE"), ["g"], "v", {"p2": 0.02, "p50": 0.5, "p98": 0.98})
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: (r.p2, r.p50, r.p98) for r in found.collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(tuple(np.quantile(vs, [0.02, 0.5, 0.98])))
+
+
+def test_all_tables_from_one_aggregate(spark):
+    merged = _scores(spark).withColumn("stratum", F.lit("Low")).withColumn("cloud_stratum", F.when(F.col("y_coord") == 0, "High"))
+    found = reports.report_tables(merged)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    rows = [tuple(r) for r in found.collect()]
+    strata = [tuple(r) for r in reports.by_strata(merged).select("report", "stratum", "model", "rmse", "psnr", "ssim", "sam").collect()]
+    overall = [("Overall", None, *r) for r in reports.overall(merged).select("model", "rmse", "psnr", "ssim", "sam").collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, strata + overall))

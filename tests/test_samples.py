@@ -259,8 +259,8 @@ def test_wide_patches_spread_over_blocks_and_move_once(spark, monkeypatch):
     assert cut.drop("_block").orderBy(*order).collect() == whole.orderBy(*order).collect()
     found = impute.oracle_frame(cut, c)
     assert found.orderBy(*order).collect() == best.orderBy(*order).collect()
-    # raw cells move once, by patch and block; the choice of frames joins them where they lie
+    # raw cells move once, by patch and block, and are read once: the choice of frames is a window over the sample
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     physical = found._jdf.queryExecution().executedPlan().toString()
-    assert "_block" in plan and physical.count("REPARTITION_BY_COL") == 2  # once for the choice, once for the result
-    assert "hashpartitioning(y_coord" in physical and "SortMergeJoin [y_coord" not in physical.split("ObjectHashAggregate")[0]
+    assert "_block" in plan and physical.count("REPARTITION_BY_COL") == 1
+    assert "Window" in physical and "SortMergeJoin [y_coord" not in physical.split("ObjectHashAggregate")[0]

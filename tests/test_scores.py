@@ -157,7 +157,7 @@ def test_earliest_frame_wins_ties(spark):
     assert impute.best_frames(_sample(spark, stack, np.ones((3, 2, 2))), c).first().t == 0
 
 
-def test_scores_of_wide_patches_take_one_pass(spark):
+def test_scores_of_wide_patches_go_by_row_blocks(spark):
     rng = np.random.default_rng(5)
     target = rng.random((2, 40, 40))
     pred = np.clip(target + rng.normal(0, 0.1, target.shape), 0, 1)
@@ -169,14 +169,43 @@ def test_scores_of_wide_patches_take_one_pass(spark):
     cells = spark.createDataFrame(rows, names)
     keys, bands = ["y_coord", "x_coord"], ["a", "b"]
     df = metrics.score(cells, keys, bands, 40)
+    # three scores are partial sums; the cells of the fourth move by block of rows, never as a whole sample
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Scan") == 1
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_unit" in line for line in moved) == 1 and "partial_sum" in plan
+    assert plan.count("MapInArrow") == 1
     got, parts = df.first(), metrics.pixel_scores(cells, keys, bands).first()
     assert (got.rmse, got.psnr, got.sam) == pytest.approx((parts.rmse, parts.psnr, parts.sam))
     seen = np.zeros((40, 40), bool)
     for r in rows:
         seen[r[2], r[3]] = True
     assert got.ssim == pytest.approx(_ssim(pred * seen, target * seen))
-    # cells already placed by patch do not move again
-    placed = metrics.score(cells.repartition("y_coord", "x_coord"), keys, bands, 40)
-    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    # cells of narrow patches are one block each and, placed by patch, do not move again
+    placed = metrics.ssim(cells.filter("y < 20 AND x < 20").repartition("y_coord", "x_coord"), keys, bands, 20)
+    moved = [line for line in placed._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and "REPARTITION_BY_COL" in moved[1]  # the sums, and the placing itself
+    # a block without any cell is alike in both pictures
+    top = metrics.ssim(cells.filter("y < 12"), keys, bands, 40).first().ssim
+    below = np.arange(40)[None, :, None] < 12
+    assert top == pytest.approx(_ssim(pred * seen * below, target * seen * below))
+
+
+def test_models_get_batches_of_samples(spark):
+    rng = np.random.default_rng(7)
+    stacks, target = rng.random((5, 3, 4, 8, 8)), rng.random((3, 8, 8))
+    c = SampleConfig(patch=8, window=4, bands=tuple(BANDS))
+    cells = None
+    for i, stack in enumerate(stacks):
+        one = _sample(spark, stack, target).withColumn("t_start", F.lit(i))
+        cells = one if cells is None else cells.union(one)
+
+    def model(batch):
+        assert 1 <= len(batch) <= 2
+        return batch.max(axis=2) + len(batch)
+
+    made = impute.predict_cells(cells.repartition(1), c, model, batch=2).collect()
+    assert len(made) == 5 * 64
+    for r in made:
+        # five samples in one task: two, two, one
+        size = 1 if r.t_start == 4 else 2
+        assert [r[f"pred_{b}"] for b in BANDS] == pytest.approx(stacks[r.t_start].max(axis=1)[:, r.y, r.x] + size)

@@ -224,7 +224,7 @@ def probabilities(margins: Column, temperature: Column | float) -> Column:
 
 def _calibrate(model: Model, held: DataFrame) -> None:
     """Temperature with the best likelihood of the held-back rows; least probability above what those without a licence reach."""
-    rows = held.select(F.monotonically_increasing_id().alias("id"), "family", "terms")
+    rows = held.select(F.xxhash64("family", "words").alias("id"), "family", "terms").dropDuplicates(["id"])
     scored = rows.join(_margins(rows, ["id"], model), "id")
     number = F.array_position(F.array(*map(F.lit, model.families)), F.col("family")).cast("int")
     tried = scored.select("*", F.explode(F.array(*(F.lit(0.25 * 1.25**k) for k in range(14)))).alias("t"))
@@ -246,7 +246,6 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     every = units(docs)
     cue = F.array(*map(F.lit, model.cues))
     keys = ["doc_id", "row", "place", "unit"]
-    scored = every.where(F.arrays_overlap("words", cue)).select(*keys, F.explode(grams(F.col("words"))).alias("term"))
     # every term of a template or look-alike, with its weights and the templates that hold it: a table of the model's size
     holders: dict[str, list[int]] = {}
     for term, template, _ in model.template_terms:
@@ -256,6 +255,10 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     table = _rows(
         spark, [(t, weights.get(t, zero), holders.get(t, [])) for t in sorted({*weights, *holders})], "term string, weight array<double>, templates array<int>"
     )
+    # only n-grams that the table holds become rows
+    told = sorted({*weights, *holders})
+    held = F.filter(grams(F.col("words")), lambda g: g.isin(told))
+    scored = every.where(F.arrays_overlap("words", cue)).select(*keys, F.explode(held).alias("term"))
     numbers = sorted(model.template_sizes)
     sums = [F.sum(F.get("weight", k)).alias(f"_m{k}") for k in range(len(model.families))]
     hits = [F.sum(F.array_contains("templates", k).cast("int")).alias(f"_t{k}") for k in numbers]

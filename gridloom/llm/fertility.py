@@ -3,7 +3,7 @@
 Public vocabularies measure each text: characters per token under a byte-level and a piece vocabulary, the share
 of byte-fallback tokens, and the entropy of the piece tokens. Each distinct word of a batch is encoded once,
 on its own. The bands are robust limits (median and quartile distances) over all documents of
-a language; a language with few documents takes the band of its script.
+a language; its band is blended with its script's, by the number of its documents.
 
 Defined results: NULL and empty texts have zero words and fail the base rules; a text without tokens has NULL
 measures and no verdict against it beyond the base rules; rows with the same or a NULL ``doc_id`` are measured
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.columns import LETTER, Encoder, coded, flat, gathered, kept, mixed, pieces, rows_of, spans
+from gridloom.llm.sizes import small
 from gridloom.sources.workspace import cut
 
 SYMBOL = np.zeros(256, bool)
@@ -216,18 +217,19 @@ def rules(
 
     ``kept`` is false if the base rules fail or a measure lies outside its band. A band reaches from ``below``
     deviations under the median to ``above`` over it; for texts of fewer than ``usual_words`` words it widens as the
-    spread of a mean does. Languages with fewer than ``enough`` documents use their script's band.
+    spread of a mean does. A language's band is blended with its script's by the number n of its documents, n to ``enough``, so a verdict
+    changes little by little as a language fills.
     """
     measured = cut(measure(docs, byte_vocabulary, piece_vocabulary), "fertility")
-    by_lang = bands(measured, "lang", "_lang").where(F.col("_lang_n") >= enough)
-    by_script = bands(measured, "script", "_script")
-    joined = measured.join(by_lang, "lang", "left").join(by_script, "script", "left")
+    by_lang = cut(bands(measured, "lang", "_lang"), "bands")
+    by_script = cut(bands(measured, "script", "_script"), "bands")
+    joined = measured.join(small(by_lang), "lang", "left").join(small(by_script), "script", "left")
+    own = F.coalesce(F.col("_lang_n") / (F.col("_lang_n") + enough), F.lit(0.0))
     spread = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(usual_words)) / F.greatest(F.col("n_words"), F.lit(1))))
     outside = F.lit(False)
     for m in MEASURES:
         mid, down, up = (
-            F.when(F.col("_lang_n").isNotNull(), F.col(f"_lang_{x}_{m}")).otherwise(F.col(f"_script_{x}_{m}"))
-            for x in ("mid", "down", "up")
+            F.coalesce(own * F.col(f"_lang_{x}_{m}") + (1 - own) * F.col(f"_script_{x}_{m}"), F.col(f"_script_{x}_{m}")) for x in ("mid", "down", "up")
         )
         off = F.col(m) - mid
         outside = outside | F.coalesce((off < -below * spread * down) | (off > above * spread * up), F.lit(False))

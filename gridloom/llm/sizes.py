@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 MOST_KEYS = 1_000_000
 
 
+def small(frame: DataFrame) -> DataFrame:
+    """A written table, to be sent to every executor if it has at most ``MOST_KEYS`` rows."""
+    return F.broadcast(frame) if frame.count() <= MOST_KEYS else frame
+
+
 def only(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows of ``frame`` whose ``column`` is one of the distinct ``keys``.
 

@@ -169,3 +169,34 @@ def test_licence_scores_equal_a_plain_sum(spark):
     raised = [math.exp((m - max(margins)) / model.temperature) for m in margins]
     row = licences.scan(docs, model).first()
     assert math.isclose(row.probability, 1 - raised[0] / sum(raised), abs_tol=1e-5)
+
+
+def test_verdicts_equal_plain_bands(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    paths = BYTES, PIECES
+    measured = fertility.measure(docs, *paths).toPandas()
+    rated = measured[measured.n_words >= 50]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in fertility.rules(docs, *paths).collect()}
+
+    def band(rows, m):
+        values = np.sort(rows[m].dropna().to_numpy())
+        if not len(values):
+            return None
+        low, mid, high = (values[max(math.ceil(q * len(values)) - 1, 0)] for q in (0.25, 0.5, 0.75))
+        least = 0.005 if m == "byte_share" else 0.01 * mid
+        return np.array([mid, max(1.4826 * (mid - low), least), max(1.4826 * (high - mid), least)])
+
+    for r in measured.itertuples():
+        outside = False
+        for m in fertility.MEASURES:
+            value = getattr(r, m)
+            lang, script = rated[rated.lang == r.lang], rated[rated.script == r.script]
+            own, other = band(lang, m), band(script, m)
+            if other is None or value is None or np.isnan(value):
+                continue
+            share = len(lang) / (len(lang) + 200)
+            mid, down, up = other if own is None else share * own + (1 - share) * other
+            spread = max(1, (300 / max(r.n_words, 1)) ** 0.5)
+            outside |= value - mid < -3.5 * spread * down or value - mid > 6 * spread * up
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert got[r.doc_id] == (failed, not failed and not outside), r

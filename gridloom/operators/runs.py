@@ -99,20 +99,27 @@ def weak_scaling(runs: DataFrame) -> DataFrame:
     )
 
 
-def epochs(steps: DataFrame, durations: DataFrame, world: int) -> DataFrame:
-    """Loss, throughput and speed-up per model and epoch.
+def epochs(steps: DataFrame, durations: DataFrame, world: int, validation: DataFrame | None = None) -> DataFrame:
+    """Loss, throughput and speed-up per model and epoch, and with ``validation`` steps its loss (``val_loss``).
 
     ``steps`` has (model, epoch, rank, batch, loss); the epoch loss is the sum
     over ranks and batches divided by workers and by the loader's batches.
-    ``durations`` has (model, epoch, samples, batches, seconds).
+    ``durations`` has (model, epoch, samples, batches, seconds), and ``val_batches``, the batches of the validation loader,
+    beside ``validation``. Epochs without a validation step have no such loss.
     """
     losses = steps.groupBy("model", "epoch").agg(F.sum("loss").alias("_loss"))
+    shown = []
+    if validation is not None:
+        tested = validation.groupBy("model", "epoch").agg(F.sum("loss").alias("_val"))
+        losses = losses.join(tested, ["model", "epoch"], "left")
+        shown = [safe_div(F.col("_val") / F.lit(float(world)), F.col("val_batches")).alias("val_loss")]
     first = W.partitionBy("model").orderBy("epoch").rowsBetween(W.unboundedPreceding, W.currentRow)
     joined = losses.join(durations, ["model", "epoch"])
     return joined.select(
         "model",
         "epoch",
         safe_div(F.col("_loss") / F.lit(float(world)), F.col("batches")).alias("loss"),
+        *shown,
         safe_div(F.col("samples"), F.col("seconds")).alias("throughput"),
         safe_div(F.first_value("seconds").over(first), F.col("seconds")).alias("speedup"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.config import DEFAULT_LEGEND, MASK_FILL, SampleConfig
+from gridloom.config import DEFAULT_LEGEND, SampleConfig
 from gridloom.functions.spectral import normalise, sanitise
 from gridloom.operators.patches import patch_grid, with_patch
 from gridloom.operators.ranking import digest, draw, hash_rank
@@ -202,7 +202,7 @@ def series(
             F.expr(f"CAST(id % {width} AS INT)").alias("x"),
         )
         rows = rows.unionByName(with_patch(cells, c.patch), allowMissingColumns=True)
-    code = F.coalesce("usability", F.lit(MASK_FILL)).cast("smallint").alias("usability")
+    code = F.coalesce("usability", F.lit(c.mask_fill)).cast("smallint").alias("usability")
     entry = F.when(F.col("t").isNotNull(), F.struct("t", code, *c.bands))
     if not placed and block_count(c.patch) > 1:
         rows = rows.withColumn("_block", F.floor((F.col("y") - F.col("y_coord")) / BLOCK_ROWS).cast("int"))
@@ -215,7 +215,7 @@ def series(
         F.array_except(every, F.col("_seen.t")),
         lambda t: F.struct(
             t.alias("t"),
-            F.lit(MASK_FILL).cast("smallint").alias("usability"),
+            F.lit(c.mask_fill).cast("smallint").alias("usability"),
             *[F.lit(None).cast("double").alias(b) for b in c.bands],
         ),
     )

@@ -571,3 +571,35 @@ def epochs(spark, d):
     )
     table = runs.epochs(steps, durations, world=4)
     return table.select("model", "epoch", r6("loss"), r6("throughput"), r6("speedup"))
+
+
+_PARTED = "SELECT *, event_id % 5 = 0 AS tested FROM (SELECT event_id, event_type AS model, CAST(event_id // 50 AS INT) AS epoch, CAST(event_id % 4 AS INT) AS rank, abs(value) / 1e2 AS loss FROM events)"
+
+
+@query(
+    "o_j7_validation",
+    sql_over(
+        "",
+        """SELECT model, epoch, round(loss / 4 / batches + 1e-9, 6) AS loss, round(val / 4 / nullif(val_batches, 0) + 1e-9, 6) AS val_loss FROM (
+  SELECT model, epoch, sum(loss) FILTER (NOT tested) AS loss, sum(loss) FILTER (tested) AS val, count(*) FILTER (NOT tested) AS batches,
+    count(*) FILTER (tested) AS val_batches FROM steps GROUP BY model, epoch) WHERE batches > 0""",
+        steps=_PARTED,
+    ),
+)
+def validation(spark, d):
+    """Loss of training and validation steps per epoch."""
+    steps = derived.table(spark, d, "events").select(
+        F.col("event_type").alias("model"),
+        F.expr("CAST(event_id div 50 AS INT)").alias("epoch"),
+        F.expr("CAST(event_id % 4 AS INT)").alias("rank"),
+        (F.abs("value") / 100.0).alias("loss"),
+        (F.col("event_id") % 5 == 0).alias("tested"),
+    )
+    durations = steps.groupBy("model", "epoch").agg(
+        F.count_if(~F.col("tested")).alias("batches"),
+        F.count_if("tested").alias("val_batches"),
+        F.count("*").alias("samples"),
+        F.count("*").cast("double").alias("seconds"),
+    )
+    table = runs.epochs(steps.filter("NOT tested"), durations, world=4, validation=steps.filter("tested"))
+    return table.select("model", "epoch", r6("loss"), r6("val_loss"))

@@ -150,13 +150,18 @@ def scan_patch_metrics(spark: SparkSession, root: str, prefixes: dict[str, str],
     return out
 
 
+#: Characters of a model name that file names do not keep, and what stands for the first of them; the others go.
+NOT_IN_FILES, INSTEAD = " ()", "_"
+
+
 def safe_name(name):
     """File-name form of a model name: blanks to underscores, parentheses dropped."""
-    return F.regexp_replace(F.regexp_replace(name, " ", "_"), r"[()]", "")
+    return F.translate(name, NOT_IN_FILES, INSTEAD)
 
 
 def file_name(name: str) -> str:
-    return name.replace(" ", "_").replace("(", "").replace(")", "")
+    kept = len(INSTEAD)
+    return name.translate(str.maketrans(NOT_IN_FILES[:kept], INSTEAD, NOT_IN_FILES[kept:]))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -342,3 +342,14 @@ def reuse(spark, d):
     workspace.materialize(derived.landcover(spark, d), path)
     # the second call finds the finished result and does not compute it again
     return workspace.materialize(derived.landcover(spark, d).filter("false"), path)
+
+
+@query("o_a18_stale_result", sql_over("landcover", "SELECT y, x, lc FROM landcover"))
+def stale_result(spark, d):
+    """A result whose input has changed since is made anew."""
+    source, path = workspace.new_path(spark, "landcover-source"), workspace.new_path(spark, "landcover-map")
+    whole = derived.landcover(spark, d)
+    for rows in (whole.filter("lc <= 40"), whole):
+        rows.write.mode("overwrite").parquet(source)
+        found = workspace.reuse(spark.read.parquet(source), path, [source])
+    return found

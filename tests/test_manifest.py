@@ -151,3 +151,22 @@ def test_metric_scan_takes_the_first_path_per_model(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("Full (FT)", 0, 1.0)]
     with pytest.raises(FileNotFoundError):
         tables.scan_patch_metrics(spark, str(tmp_path), {"Gone": "Gone"}, schema)
+
+
+def test_results_are_reused_until_plan_inputs_or_parameters_change(spark, tmp_path):
+    source, path = str(tmp_path / "source"), str(tmp_path / "result")
+    spark.range(3).write.parquet(source)
+
+    def files():
+        return sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "result").iterdir())
+
+    read = spark.read.parquet
+    assert workspace.reuse(read(source), path, [source]).count() == 3
+    first = files()
+    assert workspace.reuse(read(source), path, [source]).count() == 3 and files() == first
+    assert workspace.reuse(read(source).filter("id > 0"), path, [source]).count() == 2
+    assert workspace.reuse(read(source).filter("id > 1"), path, [source]).count() == 1
+    again = files()
+    assert workspace.reuse(read(source).filter("id > 1"), path, [source], {"n": 1}).count() == 1 and files() != again
+    spark.range(9).write.mode("overwrite").parquet(source)
+    assert workspace.reuse(read(source).filter("id > 1"), path, [source], {"n": 1}).count() == 7

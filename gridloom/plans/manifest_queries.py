@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULT_TILES
@@ -42,6 +44,17 @@ def listing_json(spark, d):
     return listing.parse_listing_documents(docs, "doc")
 
 
+@query(
+    "o_a1_read_days",
+    sql_over("parsed", "SELECT name, size FROM parsed WHERE product = 'MOD09GA' AND date BETWEEN DATE '1996-01-01' AND DATE '2010-12-31'"),
+)
+def read_days(spark, d):
+    """Listing pages as files, read for one product and fifteen years."""
+    path = workspace.new_path(spark, "listing")
+    derived.granules(spark, d).select("name", "size").write.option("header", True).csv(path)
+    return listing.read_days(spark, path, path + ".json", "MOD09GA", dt.date(1996, 1, 1), dt.date(2010, 12, 31))
+
+
 @query("o_a2_granule_parse", sql_over("parsed", "SELECT name, product, year, doy, tile, date FROM parsed"))
 def granule_parse(spark, d):
     return _parsed(spark, d).select("name", "product", "year", "doy", "tile", "date")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,19 @@ def read_listing(spark: SparkSession, csv_path: str, json_path: str) -> DataFram
         return read_listing_json(spark, json_path)
 
 
+def read_days(
+    spark: SparkSession, csv_path: str, json_path: str, product: str, first: date, last: date
+) -> DataFrame:
+    """Entries of one product on the days ``first`` to ``last`` of a stored listing.
+
+    Granule names begin with product, year and day of year in fixed width, so product and days are one range of names,
+    which Spark hands to the CSV reader; each page (file, or part of a long one) is a task of its own.
+    """
+    names = [f"{product}.A{day:%Y%j}" for day in (first, last + timedelta(days=1))]
+    found = read_listing(spark, csv_path, json_path)
+    return found.filter((F.col("name") >= names[0]) & (F.col("name") < names[1]))
+
+
 def parse_listing_lines(df: DataFrame, line: str) -> DataFrame:
     """Listing lines held in a column: name, size, blanks after commas dropped."""
     parsed = F.from_csv(line, "name STRING, size STRING", {"ignoreLeadingWhiteSpace": "true"})

@@ -170,3 +170,18 @@ def test_results_are_reused_until_plan_inputs_or_parameters_change(spark, tmp_pa
     assert workspace.reuse(read(source).filter("id > 1"), path, [source], {"n": 1}).count() == 1 and files() != again
     spark.range(9).write.mode("overwrite").parquet(source)
     assert workspace.reuse(read(source).filter("id > 1"), path, [source], {"n": 1}).count() == 7
+
+
+def test_product_and_days_reach_the_listing_reader(spark, tmp_path):
+    names = ["MOD09GA.A2024001.h18v03.061.1.hdf", "MOD09GA.A2024002.h18v03.061.1.hdf", "MOD09GQ.A2024001.h18v03.061.1.hdf", "README", "MOD09GA.A2024003.h18v04.061.1.hdf"]
+    path = str(tmp_path / "listing")
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name STRING, size INT")
+    rows.repartition(3).write.option("header", True).csv(path)
+    found = listing.read_days(spark, path, path, "MOD09GA", dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+    assert sorted((r.name, r.size) for r in found.collect()) == [(names[0], 0), (names[1], 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(name,MOD09GA.A2024001)" in plan and "LessThan(name,MOD09GA.A2024003)" in plan
+    other = tmp_path / "listing.json"
+    other.write_text(json.dumps({"content": [{"name": n, "size": str(i)} for i, n in enumerate(names)]}))
+    again = listing.read_days(spark, str(tmp_path / "none"), str(other), "MOD09GA", dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))

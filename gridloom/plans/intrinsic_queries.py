@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import LAND_COVER, STABLE_CLASSES, DifficultyConfig
 from gridloom.operators import cube as cube_ops
-from gridloom.operators import intrinsic, landcover, patches
+from gridloom.operators import intrinsic, landcover, moments, patches
 from gridloom.plans.ctes import r6 as q6
 from gridloom.plans.ctes import mixed, sql_over
 from gridloom.plans.registry import query, r6
@@ -551,3 +551,38 @@ def difficulty(spark, d):
 def strata(spark, d):
     labelled = intrinsic.with_strata(derived.patch_difficulty(spark, d))
     return labelled.select(*_PATCH, *intrinsic.STRATA.values())
+
+
+def _halves(spark, d):
+    """The first and the last six frames, as a cube that has grown by half."""
+    cells = derived.cube(spark, d)
+    return cells.filter("t < 6"), cells.filter("t >= 6")
+
+
+@query(
+    "o_e12_merged_std",
+    sql_over("cube", "SELECT y, x, " + ", ".join(f"round(stddev_pop({b}) + 1e-9, 6) AS {b}" for b in BANDS) + " FROM cube GROUP BY y, x HAVING " + " OR ".join(f"count({b}) > 0" for b in BANDS)),
+)
+def merged_std(spark, d):
+    """Deviations over all frames from the stored state of the first half and the second half alone."""
+    keys, (old, new) = ["y", "x"], _halves(spark, d)
+    state = workspace.cut(moments.cell_moments(old, keys, BANDS), "moments")
+    whole = moments.merge([state, moments.cell_moments(new, keys, BANDS)], [*keys, "band"])
+    return moments.deviations(whole, keys, BANDS).select(*keys, *[r6(b) for b in BANDS])
+
+
+@query(
+    "o_e7_merged_correlation",
+    sql_over(
+        "cube",
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS band_i, '{b}' AS band_j, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}) + 1e-9, 6) AS r FROM cube"
+            for i, a in enumerate(BANDS) for b in BANDS[i + 1 :]
+        ),
+    ),
+)
+def merged_correlation(spark, d):
+    keys, (old, new) = ["band_i", "band_j"], _halves(spark, d)
+    state = workspace.cut(moments.pair_moments(old, BANDS), "moments")
+    whole = moments.merge([state, moments.pair_moments(new, BANDS)], keys)
+    return moments.correlations(whole).select(*keys, "n", r6("r"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import DifficultyConfig
 from gridloom.operators import cube as cube_ops
-from gridloom.operators import intrinsic, patches
+from gridloom.operators import intrinsic, moments, patches
 from gridloom.sources import derived, tables
 
 CUBE = "t INT, y INT, x INT, b01 DOUBLE, b02 DOUBLE, usability SMALLINT"
@@ -138,3 +138,21 @@ def test_kernel_density_holds_all_the_mass(spark):
         exact = np.exp(-0.5 * ((at[:, None] - values) / width) ** 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
         assert density == pytest.approx(exact, abs=2e-3 * exact.max())
         assert np.trapezoid(density, at) == pytest.approx(1, abs=5e-3)
+
+
+def test_merged_moments_equal_one_pass(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), int(k), *(None if rng.random() < 0.2 else float(1e6 + v) for v in rng.random(2))) for d in range(3) for k in range(4) for _ in range(6)]
+    rows += [(2, 9, 1.0, None)]
+    cells = spark.createDataFrame(rows, "d INT, y INT, b01 DOUBLE, b02 DOUBLE")
+    bands, parts = ["b01", "b02"], [cells.filter(f"d = {d}") for d in range(3)]
+    state = moments.merge([moments.cell_moments(p, ["y"], bands) for p in parts], ["y", "band"])
+    for r in moments.deviations(state, ["y"], bands).collect():
+        for i, b in enumerate(bands):
+            values = [row[2 + i] for row in rows if row[1] == r.y and row[2 + i] is not None]
+            assert (r[b] is None) == (not values)
+            assert not values or r[b] == pytest.approx(np.std(values), rel=1e-6, abs=1e-9)
+    pairs = moments.merge([moments.pair_moments(p, bands) for p in parts], ["band_i", "band_j"])
+    x, y = np.array([r[2:] for r in rows if None not in r]).T
+    row = moments.correlations(pairs).first()
+    assert row.n == len(x) and row.r == pytest.approx(np.corrcoef(x, y)[0, 1], rel=1e-6)

@@ -194,3 +194,15 @@ def test_all_operators_and_the_pipeline_are_registered():
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
     assert len(AWKWARD) > 10
+
+
+def test_line_stage_keeps_columns_named_like_its_own(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five\nsix seven eight nine ten", 5, "a", "b", "c"), (2, "one two three four five\neleven twelve and more words", None, "d", None, "f"), (3, None, 0, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int, n_lines string, _gone_x string, others string")
+    found = corpus_pipeline.drop_lines(spark, docs, "")
+    assert found.columns == docs.columns and found.schema["n_lines"].dataType == docs.schema["n_lines"].dataType
+    got = {r.doc_id: tuple(r) for r in found.collect()}
+    assert got[1] == (1, rows[0][1], len(rows[0][1]), "a", "b", "c")
+    assert got[2] == (2, "eleven twelve and more words", 28, "d", None, "f") and got[3][3:] == (None, None, None)

@@ -2,12 +2,13 @@
 
 A shard holds the ids of a run of documents. Frequent pairs of neighbouring ids are replaced by new symbols, round by
 round: a round counts all pairs of the shard and replaces the most frequent ones that cannot overlap (no symbol
-ends one chosen pair and begins another; a pair of equal symbols is replaced from the left of each run). No pair
-crosses the end of a document. Rules and the expansion length of every symbol are stored beside the sequence,
+ends one chosen pair and begins another; a pair of equal symbols is replaced from the left of each run), until no pair
+is frequent. No pair crosses the end of a document. Rules and the expansion length of every symbol are stored beside the sequence,
 so any document, and any id range in it, is decoded without the others.
 
 The files are Parquet, one row per shard (``SHARD``), whose binary columns hold little-endian arrays: rules (pairs of 32-bit
-symbols; symbol ``base + k`` is rule k), sizes (32-bit expansion length per rule), symbols (16 or 32 bits, compressed),
+symbols; symbol ``base + k`` is rule k), sizes (32-bit expansion length per rule), symbols (16 or 32 bits, compressed in blocks),
+block_ends (64 bits, cumulated bytes per block),
 doc_ids, token_ends and symbol_ends (64 bits, cumulated per document). Spark writes them, so a lost executor's
 shard is made anew and only whole files are ever seen.
 
@@ -34,8 +35,10 @@ from gridloom.sources.workspace import new_path
 
 SHARD = (
     "part int, shard int, n_docs bigint, n_tokens bigint, n_symbols bigint, base bigint, width int,"
-    " rules binary, sizes binary, symbols binary, doc_ids binary, nulls binary, token_ends binary, symbol_ends binary"
+    " rules binary, sizes binary, symbols binary, doc_ids binary, nulls binary, token_ends binary, symbol_ends binary, block_ends binary"
 )
+#: Symbols that are compressed together.
+BLOCK = 1 << 15
 SHARD_TOKENS = 1 << 21
 
 
@@ -86,18 +89,19 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, span: int, most: int) -> np.n
 
 
 def compress(
-    ids: np.ndarray, ends: np.ndarray, rounds: int = 3, per_round: int = 3000, least: int = 8
+    ids: np.ndarray, ends: np.ndarray, per_round: int = 3000, least: int = 8
 ) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Base, rules, expansion lengths, symbols and the documents' ends in the symbols."""
+    """Base, rules, expansion lengths, symbols and the documents' ends in the symbols.
+
+    Each round replaces the most frequent pairs that cannot overlap each other, until no pair occurs ``least`` times.
+    """
     seq = ids.astype(np.int32)
     base = int(seq.max()) + 1 if len(seq) else 1
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         code = (seq[:-1].astype(np.int64) << 32 | seq[1:])[~last[:-1]]
         code.sort()
         edge = np.flatnonzero(code[1:] != code[:-1]) + 1
@@ -120,18 +124,32 @@ def compress(
     return base, table, sizes, seq, np.flatnonzero(last) + 1
 
 
-def expansions(base: int, rules: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rules in a row, and where each begins."""
-    begin = np.concatenate(([0], np.cumsum(sizes)))
+def reached(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Which rules the symbols need; a rule's symbols are ids or older rules."""
+    need = np.zeros(len(rules), bool)
+    need[symbols[symbols >= base] - base] = True
+    pairs = rules.tolist()
+    for k in range(len(rules) - 1, -1, -1):
+        if need[k]:
+            for symbol in pairs[k]:
+                if symbol >= base:
+                    need[symbol - base] = True
+    return need
+
+
+def expansions(base: int, rules: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the needed rules in a row, and where each begins."""
+    begin = np.concatenate(([0], np.cumsum(np.where(need, sizes, 0))))
     out = np.zeros(begin[-1], np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
+    pairs = rules.tolist()
+    for k in np.flatnonzero(need).tolist():
         at = begin[k]
-        for symbol in (a, b):
+        for symbol in pairs[k]:
             if symbol < base:
                 out[at] = symbol
                 at += 1
             else:
-                run = out[begin[symbol - base] : begin[symbol - base + 1]]
+                run = out[begin[symbol - base] : begin[symbol - base] + sizes[symbol - base]]
                 out[at : at + len(run)] = run
                 at += len(run)
     return out, begin[:-1]
@@ -152,10 +170,12 @@ def expand(symbols: np.ndarray, base: int, sizes: np.ndarray, text: np.ndarray,
 def _shard(part: int, number: int, doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     base, rules, sizes, symbols, symbol_ends = compress(ids, ends)
     width = 2 if base + len(rules) <= 1 << 16 else 4
-    packed = zstandard.ZstdCompressor(level=1).compress(symbols.astype(f"<u{width}").tobytes())
+    coder, narrow = zstandard.ZstdCompressor(level=1), symbols.astype(f"<u{width}")
+    blocks = [coder.compress(narrow[at : at + BLOCK].tobytes()) for at in range(0, len(narrow), BLOCK)]
     row = {
         "part": part, "shard": number, "n_docs": len(ends), "n_tokens": len(ids), "n_symbols": len(symbols), "base": base,
-        "width": width, "rules": rules.astype("<u4").tobytes(), "sizes": sizes.astype("<u4").tobytes(), "symbols": packed,
+        "width": width, "rules": rules.astype("<u4").tobytes(), "sizes": sizes.astype("<u4").tobytes(), "symbols": b"".join(blocks),
+        "block_ends": np.cumsum([len(b) for b in blocks]).astype("<i8").tobytes(),
         "doc_ids": doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
         "nulls": np.packbits(doc_ids.is_null().to_numpy(zero_copy_only=False)).tobytes(),
         "token_ends": ends.astype("<i8").tobytes(), "symbol_ends": symbol_ends.astype("<i8").tobytes(),
@@ -194,20 +214,49 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tok
     ordered.mapInArrow(run, SHARD).write.parquet(path)
 
 
+def symbols_of(shard: dict, first: int, behind: int) -> np.ndarray:
+    """The symbols ``first`` to ``behind`` of a shard's row; only their blocks are decompressed."""
+    ends = np.concatenate(([0], np.frombuffer(shard["block_ends"], "<i8"))).tolist()
+    coder, kind = zstandard.ZstdDecompressor(), f"<u{shard['width']}"
+    blocks = range(first // BLOCK, -(-behind // BLOCK))
+    parts = [np.frombuffer(coder.decompress(shard["symbols"][ends[b] : ends[b + 1]]), kind) for b in blocks]
+    start = blocks.start * BLOCK
+    return np.concatenate([np.zeros(0, kind), *parts]).astype(np.int64)[first - start : behind - start]
+
+
+def expanded(shard: dict, symbols: np.ndarray) -> np.ndarray:
+    """The ids of symbols; only the rules they reach are expanded."""
+    base, rules = shard["base"], np.frombuffer(shard["rules"], "<u4").reshape(-1, 2).astype(np.int64)
+    sizes = np.frombuffer(shard["sizes"], "<u4").astype(np.int64)
+    return expand(symbols, base, sizes, *expansions(base, rules, sizes, reached(base, rules, symbols)))
+
+
 def decode(shard: dict, first: int = 0, behind: int | None = None) -> list[np.ndarray]:
     """Ids of the documents ``first`` to ``behind`` of a shard's row; nothing outside them is expanded."""
-    base, width = shard["base"], shard["width"]
-    rules = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-    sizes = np.frombuffer(shard["sizes"], "<u4").astype(np.int64)
-    symbols = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard["symbols"]), f"<u{width}").astype(np.int64)
     tokens = np.concatenate(([0], np.frombuffer(shard["token_ends"], "<i8")))
     places = np.concatenate(([0], np.frombuffer(shard["symbol_ends"], "<i8")))
     behind = shard["n_docs"] if behind is None else behind
-    ids = expand(symbols[places[first] : places[behind]], base, sizes, *expansions(base, rules, sizes))
+    ids = expanded(shard, symbols_of(shard, int(places[first]), int(places[behind])))
     cuts = tokens[first : behind + 1] - tokens[first]
     return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+def decode_range(shard: dict, doc: int, first: int, behind: int) -> np.ndarray:
+    """Ids ``first`` to ``behind`` of one document, found by the expansion lengths of its symbols."""
+    places = np.concatenate(([0], np.frombuffer(shard["symbol_ends"], "<i8")))
+    symbols = symbols_of(shard, int(places[doc]), int(places[doc + 1]))
+    sizes, rule = np.frombuffer(shard["sizes"], "<u4").astype(np.int64), symbols - shard["base"]
+    lengths = np.ones(len(symbols), np.int64)
+    lengths[rule >= 0] = sizes[rule[rule >= 0]]
+    upto = np.cumsum(lengths)
+    behind = min(behind, int(upto[-1]) if len(upto) else 0)
+    if first >= behind:
+        return np.zeros(0, "<u4")
+    low, high = int(np.searchsorted(upto, first, "right")), int(np.searchsorted(upto, behind, "left")) + 1
+    skipped = int(upto[low] - lengths[low])
+    return expanded(shard, symbols[low:high])[first - skipped : behind - skipped]
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: start among all ids, number of ids and their checksum."""
     shards = spark.read.schema(SHARD).parquet(path)

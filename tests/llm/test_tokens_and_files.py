@@ -103,8 +103,8 @@ def test_best_fit_takes_the_fullest_and_closes_the_fullest():
 def test_grammar_round_trip(documents):
     ids = np.concatenate([np.array(d, "<u4") for d in documents])
     ends = np.cumsum([len(d) for d in documents])
-    base, rules, sizes, symbols, places = grammar.compress(ids, ends, rounds=5, per_round=6, least=2)
-    text, begin = grammar.expansions(base, rules, sizes)
+    base, rules, sizes, symbols, places = grammar.compress(ids, ends, per_round=6, least=2)
+    text, begin = grammar.expansions(base, rules, sizes, np.ones(len(rules), bool))
     assert [len(t) for t in np.split(text, begin[1:])] == sizes.tolist() or not len(sizes)
     for k, d in enumerate(documents):
         part = symbols[places[k - 1] if k else 0 : places[k]].astype(np.int64)
@@ -136,6 +136,10 @@ def test_token_files_of_awkward_documents(spark, awkward, nothing, tmp_path):
     # one document out of a shard
     shard = max(spark.read.schema(grammar.SHARD).parquet(str(tmp_path / "t")).collect(), key=lambda s: s.n_docs).asDict()
     assert [x.tolist() for x in grammar.decode(shard, 1, 2)] == [x.tolist() for x in grammar.decode(shard)][1:2]
+    for doc, ids in enumerate(grammar.decode(shard)):
+        for first, behind in ((0, len(ids)), (0, 1), (3, 9), (len(ids) - 2, len(ids)), (len(ids), len(ids) + 5), (2, 2)):
+            first = max(first, 0)
+            assert grammar.decode_range(shard, doc, first, behind).tolist() == ids[first:behind].tolist()
 
 
 def plain_counts(fields, rule):
@@ -169,3 +173,20 @@ def test_token_counts(spark, awkward, nothing, rule):
     key = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert token_counts.count(nothing, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_a_long_copied_passage_becomes_few_symbols(monkeypatch):
+    draw = np.random.default_rng(5)
+    passage = draw.integers(0, 50_000, 100)
+    ids = np.concatenate([np.concatenate([passage, draw.integers(0, 50_000, 1)]) for _ in range(2000)]).astype(np.uint32)
+    ends = np.array([40_000, len(ids)])
+    base, rules, sizes, symbols, places = grammar.compress(ids, ends)
+    assert sizes.max() >= 100 and len(symbols) < len(ids) / 40
+    symbols = symbols.astype(np.int64)
+    pairs = (symbols[:-1] << 32 | symbols[1:])[np.delete(np.arange(len(symbols) - 1), places[0] - 1)]
+    assert np.unique(pairs, return_counts=True)[1].max() < 8
+    monkeypatch.setattr(grammar, "BLOCK", 512)
+    shard = grammar._shard(0, 0, pa.array([1, 2]), ids, ends).to_pylist()[0]
+    assert len(shard["block_ends"]) > 16
+    assert [d.tolist() for d in grammar.decode(shard)] == [ids[:40_000].tolist(), ids[40_000:].tolist()]
+    assert grammar.decode_range(shard, 1, 70_123, 70_456).tolist() == ids[110_123:110_456].tolist()

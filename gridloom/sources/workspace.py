@@ -58,6 +58,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` returned, once everything made of them is itself written."""
+    for df in cuts:
+        spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def path_readable(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).schema

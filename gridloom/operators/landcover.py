@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import cell_x_metres, cell_y_metres, inverse_lat, inverse_lon
@@ -63,6 +63,82 @@ def mosaic_first(sources: DataFrame, keys: list[str], nodata: int = 0) -> DataFr
     return sources.groupBy(*keys).agg(F.coalesce(first, F.lit(nodata)).cast("smallint").alias("lc"))
 
 
+def footprint_index(rasters: DataFrame, size: float = 1.0) -> DataFrame:
+    """The index cells of edge ``size`` that each raster's footprint touches, one row each, with the way back to its pixels.
+
+    A raster is a row of ``tile_order``, its affine grid ``x = ax * col + bx * row + x0``, ``y = ay * col + by * row + y0``, and
+    ``n_rows``, ``n_cols``; it may be rotated, sheared, and overlap others. Index cells of the box around it that lie beside the
+    footprint are left out. Rasters without area or with a NULL in their grid cover nothing.
+    """
+    det = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
+    corners = [(i, j) for i in (F.lit(0), F.col("n_cols")) for j in (F.lit(0), F.col("n_rows"))]
+    xs = [F.col("ax") * i + F.col("bx") * j + F.col("x0") for i, j in corners]
+    ys = [F.col("ay") * i + F.col("by") * j + F.col("y0") for i, j in corners]
+
+    def touched(values: list) -> Column:
+        return F.sequence(F.floor(F.least(*values) / size), F.floor(F.greatest(*values) / size))
+
+    grids = rasters.where((det != 0) & (F.col("n_rows") > 0) & (F.col("n_cols") > 0) & (F.col("x0") + F.col("y0")).isNotNull())
+    boxes = grids.select(
+        "tile_order", "n_rows", "n_cols", "x0", "y0",
+        (F.col("by") / det).alias("cx"), (-F.col("bx") / det).alias("cy"),
+        (-F.col("ay") / det).alias("rx"), (F.col("ax") / det).alias("ry"),
+        F.explode(touched(xs)).alias("index_x"), touched(ys).alias("index_y"),
+    ).withColumn("index_y", F.explode("index_y"))
+    ends = [((F.col("index_x") + i) * size, (F.col("index_y") + j) * size) for i in (0, 1) for j in (0, 1)]
+    grid = {c: F.col(c) for c in ("x0", "y0", "cx", "cy", "rx", "ry")}
+    cols, rows = zip(*[_pixel(grid, x, y) for x, y in ends])
+    meets = [(F.greatest(*v) >= 0) & (F.least(*v) <= F.col(n)) for v, n in ((cols, "n_cols"), (rows, "n_rows"))]
+    return boxes.where(meets[0] & meets[1])
+
+
+def _pixel(grid: dict[str, Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """Column and row, not yet whole, of a position in a raster."""
+    dx, dy = x - grid["x0"], y - grid["y0"]
+    return grid["cx"] * dx + grid["cy"] * dy, grid["rx"] * dx + grid["ry"] * dy
+
+
+def covering(cells: DataFrame, rasters: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0) -> DataFrame:
+    """Each cell beside every raster that covers its position: ``tile_order``, ``src_row``, ``src_col``.
+
+    Cells meet the footprints by index cell, an equi-join; choose ``size`` near a raster's extent or below it. A position on
+    the edge of two pixels belongs to the later one. Cells that no raster covers, or with a NULL position, give no row.
+    """
+    index = footprint_index(rasters, size)
+    inner = [c for c in index.columns if c not in ("tile_order", "index_x", "index_y")]
+    # in one column, so that further columns of the cells may bear the same names
+    held = index.select("tile_order", "index_x", "index_y", F.struct(*inner).alias("_raster"))
+    keyed = cells.withColumns({"index_x": F.floor(F.col(x) / size), "index_y": F.floor(F.col(y) / size)})
+    met = keyed.join(held, ["index_x", "index_y"])
+    r = {c: F.col("_raster").getField(c) for c in inner}
+    col, row = (F.floor(v) for v in _pixel(r, F.col(x), F.col(y)))
+    inside = (col >= 0) & (col < r["n_cols"]) & (row >= 0) & (row < r["n_rows"])
+    found = met.where(inside).withColumns({"src_row": row.cast("int"), "src_col": col.cast("int")})
+    return found.drop("index_x", "index_y", "_raster")
+
+
+def reproject_covering(
+    cells: DataFrame, rasters: DataFrame, pixels: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0
+) -> DataFrame:
+    """Source value under each cell centre, one row per raster of any affine grid that covers it; NULL where the pixel is missing."""
+    values = pixels.select("tile_order", "src_row", "src_col", "lc")
+    return covering(cells, rasters, x, y, size).join(values, ["tile_order", "src_row", "src_col"], "left")
+
+
+def mosaic_covering(
+    cells: DataFrame, rasters: DataFrame, pixels: DataFrame, keys: list[str], x: str = "lon", y: str = "lat",
+    size: float = 1.0, nodata: int = 0,
+) -> DataFrame:
+    """Per cell the valid value of the first covering raster; every cell has a row, ``nodata`` where no raster has a value.
+
+    ``cells`` is read twice, once for the lookup and once for its keys, so that uncovered cells do not travel as NULL keys.
+    """
+    found = reproject_covering(cells, rasters, pixels, x, y, size).select(*keys, "tile_order", "lc")
+    order, value = found.schema["tile_order"].dataType, found.schema["lc"].dataType
+    bare = cells.select(*keys, F.lit(None).cast(order).alias("tile_order"), F.lit(None).cast(value).alias("lc"))
+    return mosaic_first(found.unionByName(bare), keys, nodata)
+
+
 def align(cells: DataFrame, tiles: DataFrame, keys: list[str], path: str | None = None, **grid) -> DataFrame:
     """Land cover on the cube cells, kept at ``path`` for reuse when one is given."""
     aligned = mosaic_first(reproject_nearest(cell_lat_lon(cells), tiles, **grid), keys)

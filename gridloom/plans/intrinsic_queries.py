@@ -38,6 +38,24 @@ _FIRST = """SELECT tile, row, col,
   CAST(coalesce(arg_min(lc, tile_order) FILTER (lc <> 0), 0) AS SMALLINT) AS lc FROM lookup GROUP BY tile, row, col"""
 _C_WITH = {"latlon": _LATLON, "lookup": _LOOKUP}
 
+# every cell against every raster
+_RASTERS = """SELECT DISTINCT CAST(o_orderkey // 512 AS INT) AS tile_order FROM orders"""
+_GRIDS = """SELECT tile_order, 5e-1 AS ax, 125e-3 * (tile_order % 3) AS bx, CAST((tile_order * 11) % 29 AS DOUBLE) - 2 AS x0,
+  -125e-3 * (tile_order % 2) AS ay, -5e-1 AS by_, 42 + 25e-2 * ((tile_order * 7) % 83) AS y0, 8 AS n_rows, 8 + tile_order % 5 AS n_cols
+  FROM rasters"""
+_PIXELS = """SELECT CAST(o_orderkey // 512 AS INT) AS tile_order, CAST(o_orderkey % 8 AS INT) AS src_row,
+  CAST(o_custkey % 12 AS INT) AS src_col, max(CAST(10 * ((o_orderkey + o_custkey) % 9) AS INT)) AS lc FROM orders GROUP BY 1, 2, 3"""
+_COVERED = """SELECT f.*, p.lc FROM (SELECT tile, row, col, tile_order, CAST(v AS INT) AS src_row, CAST(u AS INT) AS src_col FROM (
+  SELECT tile, row, col, tile_order, n_rows, n_cols,
+    floor(by_ / det * (lon - x0) + -bx / det * (lat - y0)) AS u, floor(-ay / det * (lon - x0) + ax / det * (lat - y0)) AS v
+  FROM latlon, (SELECT *, ax * by_ - bx * ay AS det FROM grids))
+  WHERE u >= 0 AND u < n_cols AND v >= 0 AND v < n_rows) f
+  LEFT JOIN pixels p ON f.tile_order = p.tile_order AND f.src_row = p.src_row AND f.src_col = p.src_col"""
+_COVERING = {"latlon": _LATLON, "rasters": _RASTERS, "grids": _GRIDS, "pixels": _PIXELS, "covered": _COVERED}
+_COVERED_FIRST = """SELECT l.tile, l.row, l.col, CAST(coalesce(c.lc, 0) AS SMALLINT) AS lc FROM latlon l LEFT JOIN (
+  SELECT tile, row, col, arg_min(lc, tile_order) FILTER (lc <> 0) AS lc FROM covered GROUP BY 1, 2, 3) c
+  ON l.tile = c.tile AND l.row = c.row AND l.col = c.col"""
+
 _DOMINANT = f"""SELECT y_coord, x_coord, lc AS class FROM (
   SELECT {_YX}, lc, count(*) AS n FROM landcover GROUP BY 1, 2, 3)
   QUALIFY row_number() OVER (PARTITION BY y_coord, x_coord ORDER BY n DESC, lc) = 1"""
@@ -133,6 +151,24 @@ def reproject(spark, d):
     return found.select("tile", "row", "col", "tile_order", "lc")
 
 
+@query(
+    "o_c1_reproject_footprints",
+    sql_over("obs", "SELECT tile, row, col, tile_order, src_row, src_col, lc FROM covered", **_COVERING),
+)
+def reproject_footprints(spark, d):
+    """Rasters on grids of their own, overlapping and partly rotated."""
+    rasters, pixels = derived.landcover_rasters(spark, d), derived.landcover_pixels(spark, d)
+    found = landcover.reproject_covering(landcover.cell_lat_lon(_cells(spark, d)), rasters, pixels, size=2.0)
+    return found.select("tile", "row", "col", "tile_order", "src_row", "src_col", "lc")
+
+
+@query("o_c2_mosaic_footprints", sql_over("obs", _COVERED_FIRST, **_COVERING))
+def mosaic_footprints(spark, d):
+    rasters, pixels = derived.landcover_rasters(spark, d), derived.landcover_pixels(spark, d)
+    cells = landcover.cell_lat_lon(_cells(spark, d))
+    return landcover.mosaic_covering(cells, rasters, pixels, ["tile", "row", "col"], size=2.0)
+
+
 @query("o_c2_mosaic_first", sql_over("obs lctiles", _FIRST, **_C_WITH))
 def mosaic_first(spark, d):
     found = landcover.reproject_nearest(_cells(spark, d), derived.landcover_tiles(spark, d))

@@ -181,6 +181,30 @@ def landcover_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.max("lc").alias("lc"))
 
 
+def landcover_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping, partly rotated rasters on grids of their own: one per 512 order keys."""
+    sources = table(spark, sf_dir, "orders").select(F.expr("CAST(o_orderkey div 512 AS INT)").alias("tile_order")).distinct()
+    return sources.selectExpr(
+        "tile_order",
+        "0.5D AS ax", "0.125D * (tile_order % 3) AS bx", "CAST((tile_order * 11) % 29 AS DOUBLE) - 2 AS x0",
+        "-0.125D * (tile_order % 2) AS ay", "-0.5D AS by", "42 + 0.25D * ((tile_order * 7) % 83) AS y0",
+        "8 AS n_rows", "8 + tile_order % 5 AS n_cols",
+    )
+
+
+def landcover_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of ``landcover_rasters``; some are missing."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(
+            F.expr("CAST(o_orderkey div 512 AS INT)").alias("tile_order"),
+            F.expr("CAST(o_orderkey % 8 AS INT)").alias("src_row"),
+            F.expr("CAST(o_custkey % 12 AS INT)").alias("src_col"),
+        )
+        .agg(F.max(F.expr("CAST(10 * ((o_orderkey + o_custkey) % 9) AS INT)")).alias("lc"))
+    )
+
+
 def patch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = (
         table(spark, sf_dir, "lineitem")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import DifficultyConfig
 from gridloom.operators import cube as cube_ops
-from gridloom.operators import intrinsic, moments, patches
+from gridloom.operators import intrinsic, landcover, moments, patches
 from gridloom.sources import derived, tables
 
 CUBE = "t INT, y INT, x INT, b01 DOUBLE, b02 DOUBLE, usability SMALLINT"
@@ -156,3 +156,54 @@ def test_merged_moments_equal_one_pass(spark):
     x, y = np.array([r[2:] for r in rows if None not in r]).T
     row = moments.correlations(pairs).first()
     assert row.n == len(x) and row.r == pytest.approx(np.corrcoef(x, y)[0, 1], rel=1e-6)
+
+
+def _rasters(spark, rows):
+    return spark.createDataFrame(
+        rows, "tile_order INT, ax DOUBLE, bx DOUBLE, x0 DOUBLE, ay DOUBLE, by DOUBLE, y0 DOUBLE, n_rows INT, n_cols INT"
+    )
+
+
+@pytest.mark.parametrize("size", [0.3, 1.0, 7.0])
+def test_overlapping_rotated_rasters_equal_all_pairs(spark, size):
+    draw = np.random.default_rng(5)
+    grids = []
+    for i in range(40):
+        turn, step = draw.uniform(0, 2 * math.pi), draw.uniform(0.05, 0.4)
+        a, b = step * math.cos(turn), step * math.sin(turn)
+        mirror = draw.choice([-1.0, 1.0])
+        grids.append((i, a, -b * mirror, draw.uniform(-5, 5), b, a * mirror, draw.uniform(-5, 5), int(draw.integers(3, 20)), int(draw.integers(3, 40))))
+    flat = [(90, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0, 5, 5), (91, None, 0.0, 0.0, 0.0, 1.0, 0.0, 5, 5),
+            (92, 1.0, 0.0, None, 0.0, 1.0, 0.0, 5, 5), (93, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0, 5)]
+    places = [(i, float(x), float(y), "kept") for i, (x, y) in enumerate(draw.uniform(-8, 8, (400, 2)))]
+    cells = spark.createDataFrame([*places, (400, None, 1.0, "kept")], "id INT, lon DOUBLE, lat DOUBLE, n_rows STRING")
+    pixels = [(g[0], r, c, (g[0] + r + c) % 4 * 10) for g in grids for r in range(g[7]) for c in range(g[8]) if (r + c) % 5]
+    lc = {p[:3]: p[3] for p in pixels}
+    want = set()
+    for n, x, y, _ in places:
+        for order, ax, bx, x0, ay, by, y0, n_rows, n_cols in grids:
+            c, r = (math.floor(v) for v in np.linalg.solve([[ax, bx], [ay, by]], [x - x0, y - y0]))
+            if 0 <= r < n_rows and 0 <= c < n_cols:
+                want.add((n, order, r, c, lc.get((order, r, c))))
+    assert len({w[0] for w in want}) < 400 < len(want)
+    rasters, values = _rasters(spark, grids + flat), spark.createDataFrame(pixels, "tile_order INT, src_row INT, src_col INT, lc INT")
+    found = landcover.reproject_covering(cells, rasters, values, size=size)
+    assert set(found.columns) == {"id", "lon", "lat", "n_rows", "tile_order", "src_row", "src_col", "lc"}
+    rows = found.select("id", "tile_order", "src_row", "src_col", "lc").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    first = {}
+    for n, order, _, _, value in sorted(want, key=lambda w: w[:2]):
+        if value:
+            first.setdefault(n, value)
+    mosaic = landcover.mosaic_covering(cells, rasters, values, ["id"], size=size)
+    assert {r.id: r.lc for r in mosaic.collect()} == {n: first.get(n, 0) for n in range(401)}
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_footprint_index_leaves_out_cells_beside_a_rotated_raster(spark):
+    side = math.sqrt(0.5)
+    long = _rasters(spark, [(1, side, -side, 0.0, side, side, 0.0, 1, 100)])
+    index = landcover.footprint_index(long).count()
+    assert 100 <= index <= 300  # the box around it has some 5000
+    assert landcover.footprint_index(long.limit(0)).count() == 0

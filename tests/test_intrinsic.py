@@ -171,7 +171,7 @@ def test_overlapping_rotated_rasters_equal_all_pairs(spark, size):
     for i in range(40):
         turn, step = draw.uniform(0, 2 * math.pi), draw.uniform(0.05, 0.4)
         a, b = step * math.cos(turn), step * math.sin(turn)
-        mirror = draw.choice([-1.0, 1.0])
+        mirror = float(draw.choice([-1.0, 1.0]))
         grids.append((i, a, -b * mirror, draw.uniform(-5, 5), b, a * mirror, draw.uniform(-5, 5), int(draw.integers(3, 20)), int(draw.integers(3, 40))))
     flat = [(90, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0, 5, 5), (91, None, 0.0, 0.0, 0.0, 1.0, 0.0, 5, 5),
             (92, 1.0, 0.0, None, 0.0, 1.0, 0.0, 5, 5), (93, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0, 5)]

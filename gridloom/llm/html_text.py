@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every block element is a node with two states, main text or not. Its tag, the words of its class, id and role, and the
-amount, punctuation and link share of its own text speak for a state; a parent-child potential ties it to the element
+amount, punctuation and link share of its own text speak for a state, and, for pages whose names say nothing, so do the share of the page's
+text that lies in it, how much of that is in links, and how much it holds of sentences; a parent-child potential ties it to the element
 around it. Sum-product messages go up and down the tree once, and the exact marginal of a block's element decides
 on the block. The potentials start from shares counted on labelled pages (those of ``labelled_pages``, and at
 most ``sample`` pages of the table, whose semantic elements label what lies below them) and are then fitted to the labels by
@@ -61,11 +62,12 @@ CONTENT, OTHER = frozenset({"article"}), frozenset({"nav", "footer", "aside", "f
 
 
 class Node:
-    __slots__ = ("parent", "tag", "words", "label", "top", "chars", "linked", "stops")
+    __slots__ = ("parent", "tag", "words", "label", "top", "chars", "linked", "stops", "shape")
 
     def __init__(self, parent: int, tag: str, words: tuple[str, ...], label: int | None, top: bool = False):
         self.parent, self.tag, self.words, self.label, self.top = parent, tag, words, label, top
         self.chars = self.linked = self.stops = 0
+        self.shape = ""
 
 
 def _attributes(text: str) -> tuple[tuple[str, ...], int | None]:
@@ -194,16 +196,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag == "br":
             buffer.append(" ")
     flush()
+    shapes(nodes)
     return nodes, blocks
 
 
+def shapes(nodes: list[Node]) -> None:
+    """Gives elements that hold others what can be said of them without names: share of the page's text, of links, of sentences."""
+    chars, linked, stops = ([getattr(node, name) for node in nodes] for name in ("chars", "linked", "stops"))
+    inner = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        parent = nodes[i].parent
+        inner[parent] = True
+        chars[parent] += chars[i]
+        linked[parent] += linked[i]
+        stops[parent] += stops[i]
+    for i in range(1, len(nodes)):
+        n = chars[i]
+        if inner[i] and n:
+            share = 0 if n * 20 < chars[0] else 1 if n * 5 < chars[0] else 2 if n * 2 < chars[0] else 3
+            links = 0 if linked[i] * 10 < n else 1 if linked[i] * 2 < n else 2
+            nodes[i].shape = f"shape {share} {links} {int(stops[i] * 100 >= n)} {int(n >= 400)}"
+
+
 def features(node: Node) -> list[str]:
-    """What speaks for a state: tag (and whether it lies right in the body), attribute words, the kind of own text."""
+    """What speaks for a state: tag (and whether it lies right in the body), attribute words, the kind of own text and of what it holds."""
     n = node.chars
     size = 0 if not n else 1 if n < 25 else 2 if n < 80 else 3 if n < 250 else 4
     top = [f"top {node.tag}"] if node.top else []
     share = "-" if not n else "all" if node.linked * 3 > n * 2 else "some" if node.linked else "none"
-    return [f"tag {node.tag}", f"text {size} {share} {int(node.stops > 0)}", *top, *(f"word {w}" for w in node.words)]
+    shape = [node.shape] if node.shape else []
+    return [f"tag {node.tag}", f"text {size} {share} {int(node.stops > 0)}", *shape, *top, *(f"word {w}" for w in node.words)]
 
 
 class Model:

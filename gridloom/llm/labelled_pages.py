@@ -3,6 +3,7 @@
 ``data-y`` labels an element and what lies below it until the next label: 1 is main text, 0 is not. Each page has one
 frame for its main text, boxes around it and sometimes boxes inside it; frames, boxes and texts are drawn
 with a fixed seed, so that every frame and every box occurs with short and long texts, with lists and with links.
+A part of the pages has no names at all: plain boxes around a story that is longer than they are.
 """
 
 from __future__ import annotations
@@ -104,8 +105,29 @@ def _box(draw: random.Random, tag: str, attributes: str) -> str:
     return f'<{tag} {attributes} data-y="0">{inner}</{tag}>'
 
 
-def build(number: int = 220, seed: int = 7) -> list[str]:
-    """The labelled pages; every frame and box is used in turn."""
+def _nameless(draw: random.Random) -> str:
+    """A page of boxes without names: short ones, or lists of links, around a long story."""
+
+    def box() -> str:
+        kind = draw.random()
+        tag = draw.choice(("div", "div", "div", "section"))
+        inner = _links(draw) if kind < 0.5 else f"<p>{draw.choice(SENTENCES)}</p>" * draw.randint(1, 2) if kind < 0.8 else f"<h3>{draw.choice(SENTENCES)}</h3>" + _links(draw)
+        return f"<{tag}>{inner}</{tag}>"
+
+    if draw.random() < 0.5:  # few long paragraphs
+        story = "".join(f"<p>{' '.join(_text(draw) for _ in range(draw.randint(3, 6)))}</p>" for _ in range(draw.randint(2, 4)))
+    else:
+        story = "".join(_story(draw) for _ in range(draw.randint(2, 4)))
+    if draw.random() < 0.6:
+        story = f"<h1>{draw.choice(SENTENCES)}</h1>{story}"
+    tag = draw.choice(("div", "div", "section"))
+    before, behind = ("".join(box() for _ in range(draw.randint(0, 3))) for _ in range(2))
+    wrapper = draw.choice(("", "", "<div>", "<div><div>"))
+    return f'<body data-y="0">{wrapper}{before}<{tag} data-y="1">{story}</{tag}>{behind}{"</div>" * wrapper.count("<div")}</body>'
+
+
+def build(number: int = 220, seed: int = 7, nameless: int = 120) -> list[str]:
+    """The labelled pages; every frame and box is used in turn, and ``nameless`` pages have neither."""
     draw, pages, at = random.Random(seed), [], 0
 
     def some(n: int) -> list[str]:
@@ -131,4 +153,4 @@ def build(number: int = 220, seed: int = 7) -> list[str]:
             framed = opening.format('data-y="1"') + story + f"</{opening[1:].split()[0].rstrip('>')}>"
         inner = "".join(around[:middle]) + framed + "".join(around[middle:])
         pages.append(f'<body data-y="0">{wrapper}{inner}{"</div>" * wrapper.count("<div")}</body>')
-    return pages
+    return pages + [_nameless(draw) for _ in range(nameless)]

@@ -110,6 +110,36 @@ def test_given_pages_equal_their_article(spark, sf, nothing):
     assert html_text.extract(odd.limit(0), html_text.train(odd.limit(0))).count() == 0
 
 
+LONG = "The council met again on Monday, and after some hours of talk it agreed on a plan for the old bridge, which had been shut since spring. "
+LAYOUTS = {  # names that say nothing, none of them in the labelled pages; {} takes the story
+    "three boxes": '<div class="zq"><a href=x>Home</a> <a href=y>News</a></div><div class="kvo">{}</div><div class="wub">Imprint 2020</div>',
+    "two columns": '<div class="rr"><div class="ka"><ul><li><a href=x>One</a></li><li><a href=x>Two</a></li></ul></div><div class="kb">{}</div></div>',
+    "nested": '<div id="qu"><div id="qv"><div id="qw">{}</div></div></div><div id="zz"><ul><li><a href=q>Last story</a></li><li><a href=q>Next one</a></li></ul></div>',
+    "teasers below": '<div class="xa">{}</div><div class="xb"><h3>Mehr</h3><ul><li><a href=a>Another bridge shut</a></li><li><a href=a>The river rises</a></li></ul></div>',
+    "sections": "<section><ul><li><a>Start</a></li></ul></section><section>{}</section><section><p>Some words of a title</p></section>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_without_known_names(model, name):
+    for parts in ([LONG * 2, LONG * 2], [LONG * 3, LONG, LONG * 2], [LONG * 2] * 6):
+        for head in ("", "The bridge"):
+            story = f"<h1>{head}</h1>" * bool(head) + "".join(f"<p>{p}</p>" for p in parts)
+            want = "\n".join([head] * bool(head) + [p.strip() for p in parts])
+            assert model.text(f"<body>{LAYOUTS[name].replace('{}', story)}</body>") == want
+
+
+def test_reader_comments_stay_out_though_they_are_long(model):
+    story = f"<h1>Title</h1><p>{LONG * 4}</p><p>{LONG * 3}</p>"
+    page = f'<body><div class="xa">{story}</div><div class="comments"><p>I do not agree with this.</p><p>{LONG}</p></div></body>'
+    assert model.text(page) == "\n".join(["Title", (LONG * 4).strip(), (LONG * 3).strip()])
+
+
+def test_shapes_add_up_what_lies_below():
+    nodes, _ = html_text.parse("<body><div><p>" + "a" * 100 + "</p><p><a>" + "b" * 100 + "</a></p></div><p></p></body>")
+    assert [(n.tag, n.shape) for n in nodes[1:]] == [("body", "shape 3 2 0 0"), ("div", "shape 3 2 0 0"), ("p", ""), ("p", ""), ("p", "")]
+
+
 def corpus(spark):
     rows = [(i, prose(i, 70)) for i in range(60)]
     rows += [(100 + i, prose(i, 70)) for i in range(0, 10)]  # exact copies

@@ -40,31 +40,46 @@ SHARD = (
 #: Symbols that are compressed together.
 BLOCK = 1 << 15
 SHARD_TOKENS = 1 << 21
+#: Pairs are counted in 2 ** BUCKET_BITS buckets before those of full ones are counted themselves.
+BUCKET_BITS = 20
 
 
-def _replace(seq: np.ndarray, last: np.ndarray, chosen: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replaces the pairs in the rows of ``chosen`` by ``first_new`` and the numbers after it."""
+def _replace(
+    seq: np.ndarray, last: np.ndarray, open_: np.ndarray, chosen: np.ndarray, first_new: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replaces the pairs in the rows of ``chosen`` by ``first_new`` and the numbers after it.
+
+    ``open_`` holds, in order, the places whose pair may be frequent, all of the chosen ones among them; the new ones are returned.
+    """
     # small numbers for the symbols that begin or end a chosen pair, and a table of the pairs
     lead, trail = np.unique(chosen[:, 0]), np.unique(chosen[:, 1])
     slot = np.zeros((2, first_new), np.int32)
     slot[0, lead], slot[1, trail] = np.arange(1, len(lead) + 1), np.arange(1, len(trail) + 1)
     pair = np.full((len(lead) + 1) * (len(trail) + 1), -1, np.int32)
     pair[slot[0, chosen[:, 0]] * (len(trail) + 1) + slot[1, chosen[:, 1]]] = np.arange(len(chosen))
-    found = pair[slot[0][seq[:-1]] * (len(trail) + 1) + slot[1][seq[1:]]]
-    found[last[:-1]] = -1
-    where = np.flatnonzero(found >= 0)
+    found = pair[slot[0][seq[open_]] * (len(trail) + 1) + slot[1][seq[open_ + 1]]]
+    hit = found >= 0
+    where, found = open_[hit], found[hit]
     equal = seq[where] == seq[where + 1]
     if equal.any():  # of a run of equal symbols, every second place from its first
         at = where[equal]
         begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, at, 0))
         drop = np.zeros(len(where), bool)
         drop[equal] = (at - begin) % 2 == 1
-        where = where[~drop]
-    seq[where] = first_new + found[where]
+        where, found = where[~drop], found[~drop]
+    seq[where] = first_new + found
     last[where] = last[where + 1]
     keep = np.ones(len(seq), bool)
     keep[where + 1] = False
-    return seq[keep], last[keep]
+    again = np.zeros(len(seq), bool)
+    again[open_] = True
+    again[where] = True
+    # the place before a new symbol; where that is gone, it was a new symbol's second half, and the one before it stands there
+    before = where[where > 0] - 1
+    again[np.where(keep[before], before, before - 1)] = True
+    last, again = last[keep], again[keep]
+    again &= ~last
+    return seq[keep], last, np.flatnonzero(again)
 
 
 def _choose(pairs: np.ndarray, counts: np.ndarray, span: int, most: int) -> np.ndarray:
@@ -101,8 +116,14 @@ def compress(
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     top = base
-    while len(seq) > 1:
-        code = (seq[:-1].astype(np.int64) << 32 | seq[1:])[~last[:-1]]
+    # a pair of old symbols never becomes more frequent, so its places are closed once it is rare
+    open_ = np.flatnonzero(~last)
+    while len(open_):
+        a, b = seq[open_], seq[open_ + 1]
+        bucket = (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
+        stays = np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least
+        open_, a, b = open_[stays], a[stays], b[stays]
+        code = a.astype(np.int64) << 32 | b
         code.sort()
         edge = np.flatnonzero(code[1:] != code[:-1]) + 1
         edge = np.concatenate(([0], edge)) if len(code) else edge
@@ -111,7 +132,7 @@ def compress(
         if not often.any():
             break
         chosen = _choose(code[edge[often]], counts[often], 1 << 32, per_round)
-        seq, last = _replace(seq, last, chosen, top)
+        seq, last, open_ = _replace(seq, last, open_, chosen, top)
         rules.append(chosen)
         top += len(chosen)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)

@@ -63,33 +63,56 @@ def mosaic_first(sources: DataFrame, keys: list[str], nodata: int = 0) -> DataFr
     return sources.groupBy(*keys).agg(F.coalesce(first, F.lit(nodata)).cast("smallint").alias("lc"))
 
 
-def footprint_index(rasters: DataFrame, size: float = 1.0) -> DataFrame:
+def footprint_index(rasters: DataFrame, size: float = 1.0, across: int | None = None) -> DataFrame:
     """The index cells of edge ``size`` that each raster's footprint touches, one row each, with the way back to its pixels.
 
     A raster is a row of ``tile_order``, its affine grid ``x = ax * col + bx * row + x0``, ``y = ay * col + by * row + y0``, and
     ``n_rows``, ``n_cols``; it may be rotated, sheared, and overlap others. Index cells of the box around it that lie beside the
     footprint are left out. Rasters without area or with a NULL in their grid cover nothing.
+
+    ``index_level`` says how often the edge was halved for a raster: 0, or, given ``across``, as often as it takes for an index
+    cell to span at most that many pixels. The pixels a position in the cell may fall on are ``row_from`` to ``row_to`` and
+    ``col_from`` to ``col_to``.
     """
-    det = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
     corners = [(i, j) for i in (F.lit(0), F.col("n_cols")) for j in (F.lit(0), F.col("n_rows"))]
     xs = [F.col("ax") * i + F.col("bx") * j + F.col("x0") for i, j in corners]
     ys = [F.col("ay") * i + F.col("by") * j + F.col("y0") for i, j in corners]
+    edge = _edge(size, F.col("index_level"))
 
     def touched(values: list) -> Column:
-        return F.sequence(F.floor(F.least(*values) / size), F.floor(F.greatest(*values) / size))
+        return F.sequence(F.floor(F.least(*values) / edge), F.floor(F.greatest(*values) / edge))
 
-    grids = rasters.where((det != 0) & (F.col("n_rows") > 0) & (F.col("n_cols") > 0) & (F.col("x0") + F.col("y0")).isNotNull())
-    boxes = grids.select(
-        "tile_order", "n_rows", "n_cols", "x0", "y0",
-        (F.col("by") / det).alias("cx"), (-F.col("bx") / det).alias("cy"),
-        (-F.col("ay") / det).alias("rx"), (F.col("ax") / det).alias("ry"),
+    boxes = _grids(rasters, size, across).select(
+        "tile_order", "n_rows", "n_cols", "x0", "y0", "cx", "cy", "rx", "ry", "index_level",
         F.explode(touched(xs)).alias("index_x"), touched(ys).alias("index_y"),
     ).withColumn("index_y", F.explode("index_y"))
-    ends = [((F.col("index_x") + i) * size, (F.col("index_y") + j) * size) for i in (0, 1) for j in (0, 1)]
+    ends = [((F.col("index_x") + i) * edge, (F.col("index_y") + j) * edge) for i in (0, 1) for j in (0, 1)]
     grid = {c: F.col(c) for c in ("x0", "y0", "cx", "cy", "rx", "ry")}
     cols, rows = zip(*[_pixel(grid, x, y) for x, y in ends])
     meets = [(F.greatest(*v) >= 0) & (F.least(*v) <= F.col(n)) for v, n in ((cols, "n_cols"), (rows, "n_rows"))]
-    return boxes.where(meets[0] & meets[1])
+    # a pixel more at either end, since ends and positions are rounded apart
+    spans = {
+        f"{name}_{end}": value.cast("int")
+        for name, v, n in (("col", cols, F.col("n_cols")), ("row", rows, F.col("n_rows")))
+        for end, value in (("from", F.greatest(F.lit(0), F.floor(F.least(*v)) - 1)), ("to", F.least(n - 1, F.floor(F.greatest(*v)) + 1)))
+    }
+    return boxes.where(meets[0] & meets[1]).withColumns(spans)
+
+
+def _grids(rasters: DataFrame, size: float, across: int | None) -> DataFrame:
+    """Rasters that cover something, with the way back to their pixels and the level of their index cells."""
+    det = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
+    back = {"cx": F.col("by") / det, "cy": -F.col("bx") / det, "rx": -F.col("ay") / det, "ry": F.col("ax") / det}
+    some = (det != 0) & (F.col("n_rows") > 0) & (F.col("n_cols") > 0) & (F.col("x0") + F.col("y0")).isNotNull()
+    grids = rasters.where(some).withColumns(back)
+    if across is None:
+        return grids.withColumn("index_level", F.lit(0))
+    spanned = size * F.greatest(F.abs("cx") + F.abs("cy"), F.abs("rx") + F.abs("ry"))
+    return grids.withColumn("index_level", F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(spanned / across)))).cast("int"))
+
+
+def _edge(size: float, level: Column) -> Column:
+    return F.lit(float(size)) / F.pow(F.lit(2.0), level)
 
 
 def _pixel(grid: dict[str, Column], x: Column, y: Column) -> tuple[Column, Column]:
@@ -98,31 +121,73 @@ def _pixel(grid: dict[str, Column], x: Column, y: Column) -> tuple[Column, Colum
     return grid["cx"] * dx + grid["cy"] * dy, grid["rx"] * dx + grid["ry"] * dy
 
 
+def _met(cells: DataFrame, index: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """Cells, with an ``index_level`` each, beside every row of a footprint index that holds the pixel under them."""
+    keys = ["index_level", "index_x", "index_y"]
+    inner = [c for c in index.columns if c not in ("tile_order", "n_rows", "n_cols", *keys)]
+    # in one column, so that further columns of the cells may bear the same names
+    held = index.select("tile_order", *keys, F.struct(*inner).alias("_raster"))
+    edge = _edge(size, F.col("index_level"))
+    met = cells.withColumns({"index_x": F.floor(F.col(x) / edge), "index_y": F.floor(F.col(y) / edge)}).join(held, keys)
+    r = {c: F.col("_raster").getField(c) for c in inner}
+    col, row = (F.floor(v) for v in _pixel(r, F.col(x), F.col(y)))
+    inside = col.between(r["col_from"], r["col_to"]) & row.between(r["row_from"], r["row_to"])
+    return met.where(inside).withColumns({"src_row": row.cast("int"), "src_col": col.cast("int")}).drop(*keys)
+
+
 def covering(cells: DataFrame, rasters: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0) -> DataFrame:
     """Each cell beside every raster that covers its position: ``tile_order``, ``src_row``, ``src_col``.
 
     Cells meet the footprints by index cell, an equi-join; choose ``size`` near a raster's extent or below it. A position on
     the edge of two pixels belongs to the later one. Cells that no raster covers, or with a NULL position, give no row.
     """
-    index = footprint_index(rasters, size)
-    inner = [c for c in index.columns if c not in ("tile_order", "index_x", "index_y")]
-    # in one column, so that further columns of the cells may bear the same names
-    held = index.select("tile_order", "index_x", "index_y", F.struct(*inner).alias("_raster"))
-    keyed = cells.withColumns({"index_x": F.floor(F.col(x) / size), "index_y": F.floor(F.col(y) / size)})
-    met = keyed.join(held, ["index_x", "index_y"])
-    r = {c: F.col("_raster").getField(c) for c in inner}
-    col, row = (F.floor(v) for v in _pixel(r, F.col(x), F.col(y)))
-    inside = (col >= 0) & (col < r["n_cols"]) & (row >= 0) & (row < r["n_rows"])
-    found = met.where(inside).withColumns({"src_row": row.cast("int"), "src_col": col.cast("int")})
-    return found.drop("index_x", "index_y", "_raster")
+    return _met(cells.withColumn("index_level", F.lit(0)), footprint_index(rasters, size), x, y, size).drop("_raster")
+
+
+def pixel_index(rasters: DataFrame, pixels: DataFrame, size: float = 1.0, across: int = 16) -> DataFrame:
+    """``footprint_index`` with the pixels of each index cell as ``values``, row by row; NULL where a pixel is missing.
+
+    An index cell spans at most ``across`` pixels of a raster, and two more at either end, so a row is bounded whatever the
+    raster's size. A pixel listed again is a row of its own, for that pixel alone.
+    """
+    index, window = footprint_index(rasters, size, across), ["row_from", "row_to", "col_from", "col_to"]
+    at = ["src_row", "src_col"]
+    listed = pixels.groupBy("tile_order", *at).agg(F.collect_list(F.struct("lc")).alias("listed"))
+    places = index.select("tile_order", *window).distinct()
+    for name, (low, high) in zip(at, (window[:2], window[2:])):
+        places = places.withColumn(name, F.explode(F.sequence(low, high)))
+    found = places.join(listed, ["tile_order", *at], "left").select("tile_order", *window, *at, F.posexplode_outer("listed").alias("again", "lc"))
+    again, alone = F.coalesce("again", F.lit(0)), F.col("again") > 0
+    held = found.withColumns({"again": again, "_row": F.when(alone, F.col("src_row")), "_col": F.when(alone, F.col("src_col"))})
+    held = held.groupBy("tile_order", *window, "again", "_row", "_col").agg(F.sort_array(F.collect_list(F.struct(*at, "lc"))).alias("held"))
+    bounds = {f"_{c}": F.coalesce("_row" if c.startswith("row") else "_col", c) for c in window}
+    held = held.select("tile_order", *window, *[v.alias(c) for c, v in bounds.items()], F.transform("held", lambda e: e["lc"]["lc"]).alias("values"))
+    i, h = index.alias("i"), held.alias("h")
+    same = F.col("i.tile_order").eqNullSafe(F.col("h.tile_order"))
+    for c in window:
+        same &= F.col(f"i.{c}") == F.col(f"h.{c}")
+    kept = [c for c in index.columns if c not in window]
+    return i.join(h, same).select(*[f"i.{c}" for c in kept], *[F.col(f"h._{c}").alias(c) for c in window], "h.values")
 
 
 def reproject_covering(
-    cells: DataFrame, rasters: DataFrame, pixels: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0
+    cells: DataFrame, rasters: DataFrame, pixels: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0, across: int = 16
 ) -> DataFrame:
-    """Source value under each cell centre, one row per raster of any affine grid that covers it; NULL where the pixel is missing."""
-    values = pixels.select("tile_order", "src_row", "src_col", "lc")
-    return covering(cells, rasters, x, y, size).join(values, ["tile_order", "src_row", "src_col"], "left")
+    """Source value under each cell centre, one row per raster of any affine grid that covers it; NULL where the pixel is missing.
+
+    Pixels travel to the index cells they lie in and cells meet them there, so the pairs of cells and rasters, of which there
+    may be many times as many as cells, are made last and never move.
+    """
+    # the levels there are, in one row that every placed cell meets
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    levels = _grids(rasters, size, across).groupBy((F.col("n_rows") > 0).alias("index_any"))
+    levels = F.broadcast(levels.agg(F.collect_set("index_level").alias("index_level")))
+    leveled = cells.withColumn("index_any", placed).join(levels, "index_any").drop("index_any")
+    found = _met(leveled.withColumn("index_level", F.explode("index_level")), pixel_index(rasters, pixels, size, across), x, y, size)
+    r = {c: F.col("_raster").getField(c) for c in ("row_from", "col_from", "col_to", "values")}
+    place = (F.col("src_row") - r["row_from"]) * (r["col_to"] - r["col_from"] + 1) + F.col("src_col") - r["col_from"]
+    named = [c for c in found.columns if c not in ("tile_order", "src_row", "src_col", "_raster")]
+    return found.select("tile_order", "src_row", "src_col", *named, F.get(r["values"], place.cast("int")).alias("lc"))
 
 
 def mosaic_covering(

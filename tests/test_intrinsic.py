@@ -207,3 +207,52 @@ def test_footprint_index_leaves_out_cells_beside_a_rotated_raster(spark):
     index = landcover.footprint_index(long).count()
     assert 100 <= index <= 300  # the box around it has some 5000
     assert landcover.footprint_index(long.limit(0)).count() == 0
+
+
+def _wide_and_fine(spark):
+    grids = [(1, 0.5, 0.0, 0.0, 0.0, -0.5, 4.0, 8, 8), (1, 0.5, 0.0, 0.0, 0.0, -0.5, 4.0, 8, 8), (2, 0.01, 0.002, 0.5, -0.002, 0.01, 0.5, 90, 120),
+             (None, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 2, 2)]
+    pixels = [(g[0], r, c, (r * 7 + c) % 5 * 10) for g in grids[1:3] for r in range(g[7]) for c in range(g[8]) if (r + c) % 3]
+    pixels += [(1, 2, 2, 70), (1, 2, 2, None), (2, 40, 60, 80), (None, 0, 0, 90), (1, None, 0, 90), (1, 99, 0, 90)]
+    draw = np.random.default_rng(8)
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(draw.uniform(-0.5, 4.5, (600, 2)))]
+    places += [(600, 1.25, 2.75), (601, 0.5 + 0.01 * 60.5 + 0.002 * 40.5, 0.5 - 0.002 * 60.5 + 0.01 * 40.5), (602, None, 1.0)]
+    cells = spark.createDataFrame([*places, places[3]], "id INT, lon DOUBLE, lat DOUBLE")
+    return cells, _rasters(spark, grids), spark.createDataFrame(pixels, "tile_order INT, src_row INT, src_col INT, lc INT"), pixels
+
+
+@pytest.mark.parametrize("across", [2, 16])
+def test_pixels_listed_again_and_grids_of_all_widths_give_the_rows_of_a_plain_join(spark, across):
+    cells, rasters, values, pixels = _wide_and_fine(spark)
+    met = landcover.covering(cells, rasters, size=2.0).collect()
+    want = []
+    for r in met:
+        found = [p[3] for p in pixels if r.tile_order is not None and p[:3] == (r.tile_order, r.src_row, r.src_col)]
+        want += [(r.id, r.tile_order, r.src_row, r.src_col, lc) for lc in found or [None]]
+    rows = landcover.reproject_covering(cells, rasters, values, size=2.0, across=across).select("id", "tile_order", "src_row", "src_col", "lc")
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, want))
+    assert {w[4] for w in want if w[0] == 600} >= {70, None} and 80 in {w[4] for w in want if w[0] == 601}
+    index = landcover.pixel_index(rasters, values, 2.0, across)
+    assert index.agg({"index_level": "max"}).first()[0] > 0
+    assert max(len(r["values"]) for r in index.select("values").collect()) <= (across + 4) ** 2
+
+
+def _pairs_below(frame) -> str:
+    """The left side of the last join, with neither broadcasts by size nor adaptive plans."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().head()
+    return plan.children().head().toString()
+
+
+def test_pairs_of_cells_and_rasters_do_not_move_to_their_pixels(spark):
+    cells, rasters, values, _ = _wide_and_fine(spark)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, value in zip(kept, ("-1", "false")):
+            spark.conf.set(c, value)
+        left = _pairs_below(landcover.reproject_covering(cells, rasters, values, size=2.0))
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    assert "Exchange hashpartitioning" in left and "SortMergeJoin" not in left

@@ -197,8 +197,9 @@ def mosaic_covering(
     """Per cell the valid value of the first covering raster; every cell has a row, ``nodata`` where no raster has a value.
 
     ``cells`` is read twice, once for the lookup and once for its keys, so that uncovered cells do not travel as NULL keys.
+    Of the pairs of a cell and its rasters only the valid ones are grouped, and combined where they arise.
     """
-    found = reproject_covering(cells, rasters, pixels, x, y, size).select(*keys, "tile_order", "lc")
+    found = reproject_covering(cells, rasters, pixels, x, y, size).select(*keys, "tile_order", "lc").where(F.col("lc") != nodata)
     order, value = found.schema["tile_order"].dataType, found.schema["lc"].dataType
     bare = cells.select(*keys, F.lit(None).cast(order).alias("tile_order"), F.lit(None).cast(value).alias("lc"))
     return mosaic_first(found.unionByName(bare), keys, nodata)

@@ -256,3 +256,28 @@ def test_pairs_of_cells_and_rasters_do_not_move_to_their_pixels(spark):
         for c, value in kept.items():
             spark.conf.set(c, value)
     assert "Exchange hashpartitioning" in left and "SortMergeJoin" not in left
+
+
+def test_mosaic_combines_pairs_where_they_arise(spark):
+    cells, rasters, values, pixels = _wide_and_fine(spark)
+    mosaic = landcover.mosaic_covering(cells, rasters, values, ["id"], size=2.0)
+    first = {}
+    for r in landcover.covering(cells, rasters, size=2.0).orderBy("tile_order").collect():
+        lcs = [p[3] for p in pixels if r.tile_order is not None and p[:3] == (r.tile_order, r.src_row, r.src_col) and p[3]]
+        if lcs:
+            first.setdefault(r.id, set(lcs))
+    got = mosaic.collect()
+    assert len(got) == 603 and all(r.lc in first.get(r.id, {0}) for r in got)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, value in zip(kept, ("-1", "false")):
+            spark.conf.set(c, value)
+        plan = landcover.mosaic_covering(cells, rasters, values, ["id"], size=2.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    # between the last join and the last exchange the pairs are filtered and combined
+    assert sum("Exchange" in line for line in lines[:join]) == 1 and sum("partial_min_by" in line for line in lines[:join]) == 1
+    assert "tile_order" not in lines[join].split("[")[1].split("]")[0]

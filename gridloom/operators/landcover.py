@@ -176,14 +176,11 @@ def reproject_covering(
     """Source value under each cell centre, one row per raster of any affine grid that covers it; NULL where the pixel is missing.
 
     Pixels travel to the index cells they lie in and cells meet them there, so the pairs of cells and rasters, of which there
-    may be many times as many as cells, are made last and never move.
+    may be many times as many as cells, are made last and never move. A small job tells which levels the rasters are on, 31 at most.
     """
-    # the levels there are, in one row that every placed cell meets
-    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
-    levels = _grids(rasters, size, across).groupBy((F.col("n_rows") > 0).alias("index_any"))
-    levels = F.broadcast(levels.agg(F.collect_set("index_level").alias("index_level")))
-    leveled = cells.withColumn("index_any", placed).join(levels, "index_any").drop("index_any")
-    found = _met(leveled.withColumn("index_level", F.explode("index_level")), pixel_index(rasters, pixels, size, across), x, y, size)
+    levels = [row["index_level"] for row in _grids(rasters, size, across).select("index_level").distinct().collect()]
+    leveled = cells.withColumn("index_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels) or [0]])))
+    found = _met(leveled, pixel_index(rasters, pixels, size, across), x, y, size)
     r = {c: F.col("_raster").getField(c) for c in ("row_from", "col_from", "col_to", "values")}
     place = (F.col("src_row") - r["row_from"]) * (r["col_to"] - r["col_from"] + 1) + F.col("src_col") - r["col_from"]
     named = [c for c in found.columns if c not in ("tile_order", "src_row", "src_col", "_raster")]

@@ -17,7 +17,7 @@ without any). An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import LETTER, coded, flat, hashed, mixed, pieces, rows_of, spans
+from gridloom.llm.columns import LETTER, coded, flat, give_back, hashed, mixed, pieces, rows_of, spans
 
 BITS = 18
 PIECE = 1_200_000  # bytes of text at a time; an indicator takes some tens of bytes on the way
@@ -100,16 +100,19 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def descend(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, c: np.ndarray, dims: int, passes: int = 12):
     """Dual coordinate descent for the linear hinge loss; the last of ``dims`` weights is the intercept."""
+    return descend_rows(lambda i: (index[indptr[i] : indptr[i + 1]], value[indptr[i] : indptr[i + 1]]), y, c, dims, passes)
+
+
+def descend_rows(row: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: np.ndarray, dims: int, passes: int = 12):
+    """The same for rows whose places and values are made when they are asked for."""
     w, alpha = np.zeros(dims), np.zeros(len(y))
-    square = np.add.reduceat(np.append(value**2, 0.0), indptr[:-1]) * (np.diff(indptr) > 0)
     order = np.random.default_rng(7)
     for _ in range(passes):
         moved = 0.0
         for i in order.permutation(len(y)):
-            a, b = indptr[i], indptr[i + 1]
-            at, x = index[a:b], value[a:b]
+            at, x = row(i)
             gradient = y[i] * (w[at] @ x) - 1
-            new = min(max(alpha[i] - gradient / max(square[i], 1e-12), 0.0), c[i])
+            new = min(max(alpha[i] - gradient / max(float(x @ x), 1e-12), 0.0), c[i])
             step = new - alpha[i]
             if step:
                 w[at] += step * y[i] * x
@@ -132,8 +135,11 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
     return float(max(theta[0], 0.1)), float(theta[1])
 
 
-def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, smoothing: float = 1.0, cost: float = 0.1) -> Model:
-    """Fits a model on the indicators of texts (row and number, ordered by row) and their 0/1 labels."""
+def fit(ends: np.ndarray, features: np.ndarray, labels: np.ndarray, smoothing: float = 1.0, cost: float = 0.1) -> Model:
+    """Fits a model on the indicators of texts, row after row up to each of ``ends``, and their 0/1 labels.
+
+    Beside the indicators themselves only arrays of one number per row, per weight or per block of rows are made.
+    """
     good = labels >= 0.5
     n, dims = len(labels), (1 << BITS) + 1
     if not n or good.all() or not good.any():
@@ -144,26 +150,32 @@ def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, smoothing: f
     if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
         held = np.zeros(n, bool)
     fitted = ~held
+    begin = np.concatenate(([0], ends[:-1]))
+    counts = ends - begin
+
+    def row(i: int) -> np.ndarray:
+        return features[begin[i] : ends[i]]
 
     def share(chosen: np.ndarray) -> np.ndarray:
-        return np.bincount(features[chosen[rows]], minlength=dims - 1) + smoothing
+        found = np.zeros(dims - 1, np.int64)
+        for i in np.flatnonzero(chosen):
+            found[row(i)] += 1  # a row's indicators are distinct
+        return found + smoothing
 
     up, down = share(good & fitted), share(~good & fitted)
     ratio = np.log((up / up.sum()) / (down / down.sum()))
-    counts = np.bincount(rows, minlength=n)
-    scaled = ratio[features] / np.sqrt(np.maximum(counts, 1))[rows]
-    # one constant indicator per row carries the intercept
-    index = np.insert(features, np.cumsum(counts), dims - 1)
-    value = np.insert(scaled, np.cumsum(counts), 1.0)
-    indptr = np.concatenate(([0], np.cumsum(counts + 1)))
+    root = np.sqrt(np.maximum(counts, 1))
+
+    def scaled(i: int) -> tuple[np.ndarray, np.ndarray]:
+        # one constant indicator per row carries the intercept
+        return np.append(row(i), dims - 1), np.append(ratio[row(i)] / root[i], 1.0)
+
     y = np.where(good, 1.0, -1.0)
     take = np.flatnonzero(fitted)
-    inner = np.concatenate([np.arange(indptr[i], indptr[i + 1]) for i in take])
-    part = np.concatenate(([0], np.cumsum(np.diff(indptr)[take])))
     balance = np.where(y > 0, n / (2 * good.sum()), n / (2 * (~good).sum()))
-    w = descend(part, index[inner], value[inner], y[take], cost * balance[take], dims)
+    w = descend_rows(lambda i: scaled(take[i]), y[take], cost * balance[take], dims)
     weights = w[:-1] * ratio
-    margin = np.bincount(rows, weights=weights[features], minlength=n) / np.sqrt(np.maximum(counts, 1)) + w[-1]
+    margin = np.array([weights[row(i)].sum() for i in range(n)]) / root + w[-1]
     used = held if held.any() else fitted
     slope, shift = logistic(margin[used], y[used], balance[used])
     return Model(weights, float(w[-1]), slope, shift)
@@ -203,8 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 2000) -> Model:
         .toArrow().sort_by("doc_id").combine_chunks()
     )
     listed = pa.chunked_array(table["features"].chunks, pa.list_(pa.int32())).combine_chunks()
-    counts = np.diff(listed.offsets.to_numpy())
-    model = fit(np.repeat(np.arange(len(counts)), counts), listed.values.to_numpy(), table["quality"].to_numpy())
+    model = fit(listed.offsets.to_numpy()[1:].astype(np.int64), listed.values.to_numpy(), table["quality"].to_numpy())
+    del table, listed
+    give_back()
     # the fit weighs both classes alike; the score speaks for the classes as they occur
     totals = {row["quality"]: row["count"] for row in known.groupBy("quality").count().collect()}
     if len(totals) == 2:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -110,6 +111,21 @@ def test_descent_reaches_the_optimum_of_the_hinge_loss():
     assert all(loss(found) <= loss(found + draw.normal(size=5) * s) + 1e-9 for s in (0.3, 0.03, 0.003) for _ in range(200))
 
 
+def test_fit_copies_no_indicators():
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 1 << quality.BITS, 2000)) for _ in range(400)]
+    good = np.arange(400) % 3 == 0
+    rows = [np.union1d(r, np.arange(20) + 100 * g).astype(np.int32) for r, g in zip(rows, good)]
+    features, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
+    tracemalloc.start()
+    model = quality.fit(ends, features, good.astype(float))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000  # a handful of weights per indicator; one number more per entry of the sample would be 6 MB each
+    scores = model.scores(np.repeat(np.arange(400), np.diff(ends, prepend=0)), features, 400)
+    assert ((scores > 0.5) == good).mean() > 0.9
+
+
 def test_indicators_are_distinct_and_see_repeats():
     rows, features = quality.indicators(pa.array(["a b a b", None, "x x x x"]))
     assert len(set(zip(rows.tolist(), features.tolist()))) == len(rows) and set(rows.tolist()) == {0, 2}

@@ -1,5 +1,7 @@
 import datetime as dt
+import glob
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,26 @@ def test_cuts_go_to_the_working_folder(spark, tmp_path, monkeypatch):
     assert fixed.collect() == fixed.collect()
 
 
+def test_a_cut_frees_its_exchanges(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(workspace, "work_dir", lambda _: str(tmp_path))
+    local = spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+
+    def shuffled():
+        return {x for x in glob.glob(f"{local}/blockmgr-*/*/shuffle_*") + glob.glob(f"{local}/*/blockmgr-*/*/shuffle_*") if x.endswith(".data")}
+
+    before = shuffled()
+    table = spark.range(1000).repartition(3, "id")
+    assert table.count() == 1000 and shuffled() - before  # an action of its own keeps its files
+    before |= shuffled()
+    setting = spark.conf.get(workspace.FREE_SHUFFLES)
+    fixed = workspace.cut(table)
+    end = time.monotonic() + 5
+    while shuffled() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(workspace.FREE_SHUFFLES) == setting and fixed.count() == 1000
+
+
 def test_work_dir_follows_the_session_and_refuses_a_cluster_without_one():
     class Conf:
         def __init__(self, values):

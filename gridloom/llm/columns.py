@@ -6,13 +6,15 @@ of bytes other than space, tab, newline, vertical tab, form feed and return.
 
 from __future__ import annotations
 
+import codecs
 import ctypes
 import os
+import re
 import sys
 import types
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -142,9 +144,11 @@ def kept(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+WIDE = re.compile("[^\x00-\xff]").search
 # the byte alphabet of byte-level files: printable Latin-1 stands for itself, the rest follows from 256
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_KEPT)))}
+ALPHABET = "".join(BYTE_CHARS.get(b, chr(b)) for b in range(256))
 
 
 class Store:
@@ -159,6 +163,18 @@ class Store:
         self.ids.extend(ids)
         self.begin.append(len(self.ids))
 
+    def only(self, pieces: list[str]) -> Store:
+        """A new store of those of the pieces that this one has."""
+        out = Store()
+        for piece in pieces:
+            at = self.index.get(piece)
+            if at is not None:
+                a, b = self.begin[at], self.begin[at + 1]
+                out.add(piece, self.ids[a:b])
+                if self.spans:
+                    out.spans.extend(self.spans[2 * a : 2 * b])
+        return out
+
 
 class Encoder:
     """Token ids of whole texts by a public ``tokenizers`` file.
@@ -204,18 +220,18 @@ class Encoder:
     def _learn(self, store: Store, new: list[str], with_spans: bool) -> None:
         plain, hard = [], []
         for piece in new:
-            body = piece[1:] if piece[:1] == " " and not self.lower else piece
-            easy = not with_spans and body.isalpha() and (body.isascii() or max(body) < "\u0100")
+            body = piece if self.lower or piece[:1] != " " else piece[1:]
+            easy = not with_spans and body.isalpha() and (body.isascii() or not WIDE(body))
             (plain if easy else hard).append(piece)
         # one run of letters is one pre-token: the model itself takes it, in its byte alphabet
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, add, blank = self.tokenizer.model.tokenize, store.add, BYTE_CHARS[32]
         for piece in plain:
             part = piece.lower() if self.lower else piece
             if not part.isascii():
-                part = part.encode().decode("latin-1").translate(BYTE_CHARS)
+                part = codecs.charmap_decode(part.encode(), "strict", ALPHABET)[0]
             elif part[0] == " ":
-                part = BYTE_CHARS[32] + part[1:]
-            store.add(piece, [t.id for t in tokenize(part)])
+                part = blank + part[1:]
+            add(piece, [t.id for t in tokenize(part)])
         encode = self.tokenizer.encode_batch if with_spans else self.tokenizer.encode_batch_fast
         for piece, found in zip(hard, encode(hard, add_special_tokens=False)):
             store.add(piece, found.ids)
@@ -237,14 +253,15 @@ class Encoder:
             at = np.concatenate(([0], np.cumsum(inside)))[cuts]
             body = LOWER_CASE[data][inside]
         found = strings(body, at).dictionary_encode()
-        codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+        codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(store.index) > self.cache:
-            store = memory["store"] = Store()
-        places = list(map(store.index.get, distinct))
-        if None in places:
-            self._learn(store, [p for p, at in zip(distinct, places) if at is None], with_spans)
-            places = list(map(store.index.get, distinct))
-        places = np.array(places, np.int64)
+            store = memory["store"] = store.only(distinct)
+        places = np.fromiter(map(store.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
+            self._learn(store, new, with_spans)
+            places[unknown] = list(map(store.index.get, new))
         begin = np.frombuffer(store.begin, np.int64)
         first, sizes = begin[places], begin[places + 1] - begin[places]
         ids, n = gathered(np.frombuffer(store.ids, np.uint32), first, sizes, codes)

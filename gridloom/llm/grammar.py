@@ -45,22 +45,22 @@ BUCKET_BITS = 20
 
 
 def _replace(
-    seq: np.ndarray, last: np.ndarray, open_: np.ndarray, chosen: np.ndarray, first_new: int
+    seq: np.ndarray, last: np.ndarray, open_: np.ndarray, a: np.ndarray, b: np.ndarray, chosen: np.ndarray, first_new: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replaces the pairs in the rows of ``chosen`` by ``first_new`` and the numbers after it.
 
-    ``open_`` holds, in order, the places whose pair may be frequent, all of the chosen ones among them; the new ones are returned.
+    ``open_`` holds, in order, the places whose pair (``a``, ``b``) may be frequent, all of the chosen ones among them; the new ones are returned.
     """
     # small numbers for the symbols that begin or end a chosen pair, and a table of the pairs
     lead, trail = np.unique(chosen[:, 0]), np.unique(chosen[:, 1])
     slot = np.zeros((2, first_new), np.int32)
     slot[0, lead], slot[1, trail] = np.arange(1, len(lead) + 1), np.arange(1, len(trail) + 1)
-    pair = np.full((len(lead) + 1) * (len(trail) + 1), -1, np.int32)
+    pair = np.full((len(lead) + 1) * (len(trail) + 1), -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
     pair[slot[0, chosen[:, 0]] * (len(trail) + 1) + slot[1, chosen[:, 1]]] = np.arange(len(chosen))
-    found = pair[slot[0][seq[open_]] * (len(trail) + 1) + slot[1][seq[open_ + 1]]]
-    hit = found >= 0
-    where, found = open_[hit], found[hit]
-    equal = seq[where] == seq[where + 1]
+    found = pair.take(slot[0].take(a) * (len(trail) + 1) + slot[1].take(b))
+    hit = np.flatnonzero(found >= 0)
+    where, found = open_.take(hit), found.take(hit).astype(np.int32)
+    equal = a.take(hit) == b.take(hit)
     if equal.any():  # of a run of equal symbols, every second place from its first
         at = where[equal]
         begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, at, 0))
@@ -77,9 +77,10 @@ def _replace(
     # the place before a new symbol; where that is gone, it was a new symbol's second half, and the one before it stands there
     before = where[where > 0] - 1
     again[np.where(keep[before], before, before - 1)] = True
-    last, again = last[keep], again[keep]
+    left = np.flatnonzero(keep)
+    last, again = last.take(left), again.take(left)
     again &= ~last
-    return seq[keep], last, np.flatnonzero(again)
+    return seq.take(left), last, np.flatnonzero(again)
 
 
 def _choose(pairs: np.ndarray, counts: np.ndarray, span: int, most: int) -> np.ndarray:
@@ -119,10 +120,11 @@ def compress(
     # a pair of old symbols never becomes more frequent, so its places are closed once it is rare
     open_ = np.flatnonzero(~last)
     while len(open_):
-        a, b = seq[open_], seq[open_ + 1]
+        a, b = seq.take(open_), seq.take(open_ + 1)
         bucket = (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
-        stays = np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least
-        open_, a, b = open_[stays], a[stays], b[stays]
+        bucket = bucket.astype(np.int64)
+        stays = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least).take(bucket))
+        open_, a, b = open_.take(stays), a.take(stays), b.take(stays)
         code = a.astype(np.int64) << 32 | b
         code.sort()
         edge = np.flatnonzero(code[1:] != code[:-1]) + 1
@@ -132,7 +134,7 @@ def compress(
         if not often.any():
             break
         chosen = _choose(code[edge[often]], counts[often], 1 << 32, per_round)
-        seq, last, open_ = _replace(seq, last, open_, chosen, top)
+        seq, last, open_ = _replace(seq, last, open_, a, b, chosen, top)
         rules.append(chosen)
         top += len(chosen)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
@@ -149,30 +151,33 @@ def reached(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Which rules the symbols need; a rule's symbols are ids or older rules."""
     need = np.zeros(len(rules), bool)
     need[symbols[symbols >= base] - base] = True
-    pairs = rules.tolist()
-    for k in range(len(rules) - 1, -1, -1):
-        if need[k]:
-            for symbol in pairs[k]:
-                if symbol >= base:
-                    need[symbol - base] = True
-    return need
+    while True:  # one step per depth of the rules
+        inner = rules[need]
+        found = inner[inner >= base] - base
+        if need[found].all():
+            return need
+        need[found] = True
 
 
 def expansions(base: int, rules: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the needed rules in a row, and where each begins."""
     begin = np.concatenate(([0], np.cumsum(np.where(need, sizes, 0))))
     out = np.zeros(begin[-1], np.uint32)
-    pairs = rules.tolist()
-    for k in np.flatnonzero(need).tolist():
-        at = begin[k]
-        for symbol in pairs[k]:
-            if symbol < base:
-                out[at] = symbol
-                at += 1
-            else:
-                run = out[begin[symbol - base] : begin[symbol - base] + sizes[symbol - base]]
-                out[at : at + len(run)] = run
-                at += len(run)
+    plain = rules < base
+    inner = np.where(plain, 0, rules - base)
+    counts = np.where(plain, 1, sizes[inner]) if len(rules) else inner
+    depth, deeper = None, np.zeros(len(rules), np.int64)
+    while depth is None or (depth != deeper).any():
+        depth, deeper = deeper, np.where(plain, 0, deeper[inner] + 1).max(axis=1, initial=0)
+    for level in range(int(depth.max(initial=-1)) + 1):  # rules of ids alone first, then those made of them
+        rows = np.flatnonzero(need & (depth == level))
+        for side in (0, 1):
+            at = begin[rows] + (counts[rows, 0] if side else 0)
+            ids = plain[rows, side]
+            out[at[ids]] = rules[rows[ids], side]
+            older = inner[rows[~ids], side]
+            text, n = gathered(out, begin[:-1], sizes, older)
+            out[np.repeat(at[~ids] - np.cumsum(n) + n, n) + np.arange(len(text))] = text
     return out, begin[:-1]
 
 

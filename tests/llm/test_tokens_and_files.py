@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gridloom.llm import grammar, packing, token_counts
-from gridloom.llm.columns import Encoder, flat, pieces, words
+from gridloom.llm.columns import Encoder, Store, flat, kept, pieces, words
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
@@ -44,6 +44,29 @@ def test_ids_of_odd_texts(texts):
             assert ids[rows[k] : rows[k + 1]].tolist() == found.ids
 
 
+@pytest.mark.parametrize("with_spans", [False, True])
+def test_a_full_cache_keeps_the_pieces_in_use(monkeypatch, with_spans):
+    monkeypatch.setitem(kept(f"pieces {P.path(FILES[0])} {with_spans}"), "store", Store())
+    learn, learnt = Encoder._learn, []
+    monkeypatch.setattr(Encoder, "_learn", lambda self, store, new, spans: (learnt.append([p.strip() for p in new]), learn(self, store, new, spans)))
+    encoder = Encoder(P.path(FILES[0]), cache=3)
+    first = encoder(pa.array(["aa bb cc dd ee"]), with_spans)
+    encoder(pa.array(["aa bb zzz bb"]), with_spans)
+    assert learnt[1:] == [["zzz"]]
+    again = encoder(pa.array(["aa bb cc dd ee"]), with_spans)
+    assert all((a == b).all() for a, b in zip(first, again))
+
+
+def test_rules_of_rules_expand_to_their_ids():
+    rules, sizes = np.array([[1, 2], [10, 3], [11, 11], [4, 10]]), np.array([2, 3, 6, 3])
+    need = grammar.reached(10, rules, np.array([5, 12]))
+    assert need.tolist() == [True, True, True, False]
+    text, begin = grammar.expansions(10, rules, sizes, need)
+    assert grammar.expand(np.array([5, 12, 10]), 10, sizes, text, begin).tolist() == [5, 1, 2, 3, 1, 2, 3, 1, 2]
+    text, begin = grammar.expansions(10, rules[:0], sizes[:0], need[:0])
+    assert not len(text) and not len(begin)
+
+
 def test_words_of_rows_do_not_run_together():
     rows, codes, distinct = words(pa.array(["ab", "cd ef", None, "", "ab"]))
     assert rows.tolist() == [0, 1, 1, 4] and [distinct[int(c)].as_py() for c in codes] == ["ab", "cd", "ef", "ab"]

@@ -4,14 +4,17 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from awkward_rows import AWKWARD, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, line_dedup, near_dedup
 from gridloom.llm.components import components
 from gridloom.llm.edits import find, pattern_bits, within
+from gridloom.sources import workspace
 
 
 def forest(nodes, links):
@@ -207,6 +210,53 @@ def test_growing_budget_equals_all_pairs(spark):
     assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
+def test_lines_that_share_a_segment_alone_are_not_paired(spark, monkeypatch):
+    """Text that repeats within a line asks for nothing, and lines that share a segment are paired only if what lies before it is alike."""
+    counts = defaultdict(list)
+
+    def counted(df, label="cut"):
+        out = workspace.cut(df, label)
+        counts[label].append(out.agg(F.sum("rows")).first()[0] or 0 if label == "probes" else out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    shared = "in this passage they are alike"
+    rows = [(i, f"{prose(10 + i, 60)[:160]}{shared}{prose(300 + i, 60)[:150]}".replace("\n", " ")) for i in range(50)]
+    rows += [(100 + i, prose(600 + i, 20).replace("\n", " ") + " and" * 700) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all(r.n_removed == 0 for r in line_dedup.dedup(docs.where("doc_id < 100")).collect())
+    assert sum(counts["pairs"]) <= 100  # of 50 * 49 / 2
+    counts.clear()
+    assert line_dedup.dedup(docs.where("doc_id = 100")).first().n_removed == 0
+    assert sum(counts["probes"]) == 0
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.2, 0.4])
+def test_a_free_segment_has_half_of_the_one_before_it(rate):
+    """Some segment is found unchanged with a half of the segment before it, whatever the edits."""
+    draw = random.Random(5)
+    for n in range(300):
+        line = "".join(draw.choice("abcd") for _ in range(draw.randrange(int(2 / rate) + 1, int(40 / rate))))
+        other = changed(line, n, draw.randrange(int(len(line) * rate) + 1))
+        x, y = sorted((line, other), key=len)
+        budget = int(len(x) * rate)
+        if not budget or within(x, y, budget) is None:
+            continue
+        width = int(line_dedup._widths(np.array([len(x)]), rate)[0])
+
+        def context(text, place):
+            found = line_dedup.Substrings([text], rate)
+            return found.contexts(np.array([place]), np.array([width])).astype(np.int64)
+
+        found = False
+        for k in range(budget + 1):
+            part = x[k * width : (k + 1) * width]
+            for place in range(max(k * width - k, 0), k * width + k + 1):
+                if y[place : place + width] == part and abs(len(y) - len(x) - place + k * width) <= budget - k:
+                    found |= k == 0 or bool(line_dedup._alike(context(x, k * width), context(y, place))[0])
+        assert found, (x, y)
+
+
 def test_lines_of_awkward_documents(awkward, nothing):
     got = line_dedup.dedup(awkward).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in AWKWARD)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import cell_x_metres, cell_y_metres, inverse_lat, inverse_lon
-from gridloom.sources.workspace import materialize
+from gridloom.sources.workspace import cut, discard, materialize
+
+INDEX_KEYS = ["index_level", "index_x", "index_y"]
+#: Rasters of a square that a mosaic asks first, and how many times as many are asked by the next round.
+ASKED_FIRST, TIMES = 32, 8
 
 
 def clip_to_region(
@@ -123,16 +127,20 @@ def _pixel(grid: dict[str, Column], x: Column, y: Column) -> tuple[Column, Colum
 
 def _met(cells: DataFrame, index: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Cells, with an ``index_level`` each, beside every row of a footprint index that holds the pixel under them."""
-    keys = ["index_level", "index_x", "index_y"]
-    inner = [c for c in index.columns if c not in ("tile_order", "n_rows", "n_cols", *keys)]
+    inner = [c for c in index.columns if c not in ("tile_order", "n_rows", "n_cols", *INDEX_KEYS)]
     # in one column, so that further columns of the cells may bear the same names
-    held = index.select("tile_order", *keys, F.struct(*inner).alias("_raster"))
-    edge = _edge(size, F.col("index_level"))
-    met = cells.withColumns({"index_x": F.floor(F.col(x) / edge), "index_y": F.floor(F.col(y) / edge)}).join(held, keys)
+    held = index.select("tile_order", *INDEX_KEYS, F.struct(*inner).alias("_raster"))
+    met = _index_cells(cells, x, y, size).join(held, INDEX_KEYS)
     r = {c: F.col("_raster").getField(c) for c in inner}
     col, row = (F.floor(v) for v in _pixel(r, F.col(x), F.col(y)))
     inside = col.between(r["col_from"], r["col_to"]) & row.between(r["row_from"], r["row_to"])
-    return met.where(inside).withColumns({"src_row": row.cast("int"), "src_col": col.cast("int")}).drop(*keys)
+    return met.where(inside).withColumns({"src_row": row.cast("int"), "src_col": col.cast("int")}).drop(*INDEX_KEYS)
+
+
+def _index_cells(cells: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """Cells, with an ``index_level`` each, and the index cell they lie in."""
+    edge = _edge(size, F.col("index_level"))
+    return cells.withColumns({"index_x": F.floor(F.col(x) / edge), "index_y": F.floor(F.col(y) / edge)})
 
 
 def covering(cells: DataFrame, rasters: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0) -> DataFrame:
@@ -144,13 +152,16 @@ def covering(cells: DataFrame, rasters: DataFrame, x: str = "lon", y: str = "lat
     return _met(cells.withColumn("index_level", F.lit(0)), footprint_index(rasters, size), x, y, size).drop("_raster")
 
 
-def pixel_index(rasters: DataFrame, pixels: DataFrame, size: float = 1.0, across: int = 16) -> DataFrame:
+def pixel_index(
+    rasters: DataFrame, pixels: DataFrame, size: float = 1.0, across: int = 16, index: DataFrame | None = None
+) -> DataFrame:
     """``footprint_index`` with the pixels of each index cell as ``values``, row by row; NULL where a pixel is missing.
 
     An index cell spans at most ``across`` pixels of a raster, and two more at either end, so a row is bounded whatever the
-    raster's size. A pixel listed again is a row of its own, for that pixel alone.
+    raster's size. A pixel listed again is a row of its own, for that pixel alone. ``index`` may give some rows of the
+    footprint index instead of all.
     """
-    index, window = footprint_index(rasters, size, across), ["row_from", "row_to", "col_from", "col_to"]
+    index, window = footprint_index(rasters, size, across) if index is None else index, ["row_from", "row_to", "col_from", "col_to"]
     at = ["src_row", "src_col"]
     listed = pixels.groupBy("tile_order", *at).agg(F.collect_list(F.struct("lc")).alias("listed"))
     places = index.select("tile_order", *window).distinct()
@@ -170,17 +181,27 @@ def pixel_index(rasters: DataFrame, pixels: DataFrame, size: float = 1.0, across
     return i.join(h, same).select(*[f"i.{c}" for c in kept], *[F.col(f"h._{c}").alias(c) for c in window], "h.values")
 
 
+def _leveled(cells: DataFrame, grids: DataFrame) -> DataFrame:
+    """Cells once per level that the grids are on."""
+    levels = [row["index_level"] for row in grids.select("index_level").distinct().collect()]
+    return cells.withColumn("index_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels) or [0]])))
+
+
 def reproject_covering(
-    cells: DataFrame, rasters: DataFrame, pixels: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0, across: int = 16
+    cells: DataFrame, rasters: DataFrame, pixels: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0, across: int = 16,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Source value under each cell centre, one row per raster of any affine grid that covers it; NULL where the pixel is missing.
 
     Pixels travel to the index cells they lie in and cells meet them there, so the pairs of cells and rasters, of which there
-    may be many times as many as cells, are made last and never move. A small job tells which levels the rasters are on, 31 at most.
+    may be many times as many as cells, are made last and never move. The footprint index is written, and tells which levels the rasters are on, 31 at most.
+    ``index`` may give some rows of the footprint index instead of all.
     """
-    levels = [row["index_level"] for row in _grids(rasters, size, across).select("index_level").distinct().collect()]
-    leveled = cells.withColumn("index_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels) or [0]])))
-    found = _met(leveled, pixel_index(rasters, pixels, size, across), x, y, size)
+    if index is None:
+        # written first, so that what makes the rasters is not worked out anew in each term of the index
+        index = cut(footprint_index(cut(rasters, "rasters"), size, across), "index")
+    leveled = _leveled(cells, index)
+    found = _met(leveled, pixel_index(rasters, pixels, size, across, index), x, y, size)
     r = {c: F.col("_raster").getField(c) for c in ("row_from", "col_from", "col_to", "values")}
     place = (F.col("src_row") - r["row_from"]) * (r["col_to"] - r["col_from"] + 1) + F.col("src_col") - r["col_from"]
     named = [c for c in found.columns if c not in ("tile_order", "src_row", "src_col", "_raster")]
@@ -189,14 +210,58 @@ def reproject_covering(
 
 def mosaic_covering(
     cells: DataFrame, rasters: DataFrame, pixels: DataFrame, keys: list[str], x: str = "lon", y: str = "lat",
-    size: float = 1.0, nodata: int = 0,
+    size: float = 1.0, nodata: int = 0, asked_first: int = ASKED_FIRST,
 ) -> DataFrame:
     """Per cell the valid value of the first covering raster; every cell has a row, ``nodata`` where no raster has a value.
 
     ``cells`` is read twice, once for the lookup and once for its keys, so that uncovered cells do not travel as NULL keys.
-    Of the pairs of a cell and its rasters only the valid ones are grouped, and combined where they arise.
+    Of the pairs of a cell and its rasters only the valid ones are grouped, and combined where they arise. Where more than
+    ``asked_first`` rasters touch a square of edge ``size``, so many are asked first, in their order, and the next ones only for the
+    positions that are still without a value; a small job counts them.
     """
-    found = reproject_covering(cells, rasters, pixels, x, y, size).select(*keys, "tile_order", "lc").where(F.col("lc") != nodata)
+    # rasters without an order come first nowhere
+    rasters, kept = cut(rasters.where(F.col("tile_order").isNotNull()), "rasters"), list(dict.fromkeys([*keys, x, y]))
+    index = cut(footprint_index(rasters, size, 16), "index")
+    squares = {f"_{c}": F.expr(f"shiftright({c}, index_level)") for c in ("index_x", "index_y")}
+    touched = index.withColumns(squares).select("tile_order", *squares).distinct()
+    most = touched.groupBy(*squares).count().agg(F.max("count")).first()[0] or 0
+    if most <= asked_first:
+        found = _valid(reproject_covering(cells, rasters, pixels, x, y, size, index=index), nodata).select(*keys, "tile_order", "lc")
+        return _with_bare(found, cells, keys, nodata)
+    # what every round reads again
+    cells, pixels, ordered = cut(cells.select(*kept), "cells"), cut(pixels, "pixels"), Window.partitionBy(*squares).orderBy("tile_order")
+    numbers = touched.withColumn("_number", F.row_number().over(ordered))
+    index = cut(index.withColumns(squares).join(numbers, ["tile_order", *squares]).drop(*squares), "index")
+    low, high, left, rounds = 0, asked_first, cells, []
+    while low < most:
+        some = index.where((F.col("_number") > low) & (F.col("_number") <= high)).drop("_number")
+        if rounds:
+            some = some.join(_index_cells(_leveled(left, some), x, y, size).select(*INDEX_KEYS).distinct(), INDEX_KEYS, "left_semi")
+        # each position for itself, since positions of one key may lie in several squares
+        met = _valid(reproject_covering(left, rasters, pixels, x, y, size, index=some), nodata)
+        met = met.groupBy(*kept).agg(F.min_by("lc", "tile_order").alias("lc"), F.min("tile_order").alias("tile_order"))
+        rounds.append(cut(met, "met"))
+        low, high = high, high * TIMES
+        if low < most:
+            a, b = left.alias("a"), rounds[-1].alias("b")
+            same = F.lit(True)
+            for c in kept:
+                same &= F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+            older, left = left, cut(a.join(b, same, "left_anti"), "left")
+            if older is not cells:
+                discard(older)
+    discard(pixels, index)
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.union(more)
+    return _with_bare(found.select(*keys, "tile_order", "lc"), cells, keys, nodata)
+
+
+def _valid(found: DataFrame, nodata: int) -> DataFrame:
+    return found.where(F.col("lc") != nodata)
+
+
+def _with_bare(found: DataFrame, cells: DataFrame, keys: list[str], nodata: int) -> DataFrame:
     order, value = found.schema["tile_order"].dataType, found.schema["lc"].dataType
     bare = cells.select(*keys, F.lit(None).cast(order).alias("tile_order"), F.lit(None).cast(value).alias("lc"))
     return mosaic_first(found.unionByName(bare), keys, nodata)

@@ -281,3 +281,32 @@ def test_mosaic_combines_pairs_where_they_arise(spark):
     # between the last join and the last exchange the pairs are filtered and combined
     assert sum("Exchange" in line for line in lines[:join]) == 1 and sum("partial_min_by" in line for line in lines[:join]) == 1
     assert "tile_order" not in lines[join].split("[")[1].split("]")[0]
+
+
+def test_mosaic_in_rounds_asks_few_rasters_of_each_cell(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    grids = [(i // 2, 0.5, 0.1 * (i % 3), float(draw.uniform(-1, 1)), -0.1 * (i % 2), -0.5, float(draw.uniform(3, 5)), 8, 8) for i in range(120)]
+    grids += [(200 + i, 0.05, 0.0, 0.5, 0.0, 0.05, 0.5, 60, 80) for i in range(4)] + [(None, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 9, 9)]
+    pixels = [(g[0], r, c, int(draw.integers(0, 4)) * 10 or None) for g in grids for r in range(g[7]) for c in range(g[8])]
+    places = [(i % 250, float(x), float(y)) for i, (x, y) in enumerate(draw.uniform(-1.5, 4.5, (300, 2)))]
+    places += [(400, None, 1.0), (None, 1.0, 1.0), (None, 2.0, 1.5), places[0]]
+    cells = spark.createDataFrame(places, "id INT, lon DOUBLE, lat DOUBLE")
+    # rasters of one order have one value
+    pixels = [(o, r, c, lc and (o or 0) % 7 * 10 + 10) for o, r, c, lc in pixels]
+    rasters, values = _rasters(spark, grids), spark.createDataFrame(pixels, "tile_order INT, src_row INT, src_col INT, lc INT")
+    once = landcover.mosaic_covering(cells, rasters, values, ["id"], size=2.0, asked_first=1000)
+    want = {tuple(r) for r in once.collect()}
+    rows = []
+    cut = landcover.cut
+
+    def counted(df, label="cut"):
+        out = cut(df, label)
+        rows.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(landcover, "cut", counted)
+    for first in (4,):
+        got = landcover.mosaic_covering(cells, rasters, values, ["id"], size=2.0, asked_first=first)
+        assert {tuple(r) for r in got.collect()} == want and len(want) == got.count()
+    left = [n for label, n in rows if label == "left"]
+    assert left and min(left) < 150  # of 304 positions

@@ -310,3 +310,13 @@ def test_mosaic_in_rounds_asks_few_rasters_of_each_cell(spark, monkeypatch):
         assert {tuple(r) for r in got.collect()} == want and len(want) == got.count()
     left = [n for label, n in rows if label == "left"]
     assert left and min(left) < 150  # of 304 positions
+
+
+def test_reprojection_writes_the_index_that_it_reads_again(spark, monkeypatch):
+    cells, rasters, values, _ = _wide_and_fine(spark)
+    written, cut = {}, landcover.cut
+    monkeypatch.setattr(landcover, "cut", lambda df, label="cut": written.setdefault(label, cut(df, label)))
+    found = landcover.reproject_covering(cells, rasters.withColumn("x0", F.col("x0") + F.lit(0.0)), values, size=2.0)
+    assert set(written) == {"rasters", "index"} and found.count() > 600
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "by#" not in plan  # the grid itself is used by the index alone
